@@ -76,12 +76,9 @@ def row_hash(df: DataFrame, cols: list[str]) -> Column:
     return F.xxhash64(*parts) if parts else F.lit(0).cast("bigint")
 
 
-def hash_sums(hash_col: Column) -> list[Column]:
-    """Two sums over the halves of a hash. Each stays far below bigint overflow, and both run in generated code."""
-    return [
-        F.sum(F.shiftright(hash_col, 32)).alias("hash_hi"),
-        F.sum(hash_col.bitwiseAND(F.lit(WORD - 1))).alias("hash_lo"),
-    ]
+def hash_halves(hash_col: Column) -> tuple[Column, Column]:
+    """Upper and lower half of a hash. Sums of either stay far below bigint overflow."""
+    return F.shiftright(hash_col, 32), hash_col.bitwiseAND(F.lit(WORD - 1))
 
 
 def like_schema(df: DataFrame, model: DataFrame, cols: list[str]) -> DataFrame:

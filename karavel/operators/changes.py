@@ -151,34 +151,32 @@ def apply_changes_keyless(
     numbered, so a row with very many copies costs one counter per task.
     """
     cols = target.columns
-    step = F.when(F.col("op") == "I", 1).otherwise(-1).cast("bigint")
+    is_delete = F.when(F.col("op") == "D", 1).otherwise(0)
     if pos is None:
         images = changes.groupBy(*cols).agg(
-            F.sum(F.when(F.col("op") == "I", 1).otherwise(0)).alias("__ins"),
-            F.sum(F.when(F.col("op") == "D", 1).otherwise(0)).alias("__del"),
+            F.sum(1 - is_delete).alias("__up"), F.sum(is_delete).alias("__down"), F.sum(is_delete).alias("__deletes")
         )
-        final = F.greatest(F.col("__n") - F.col("__del"), F.lit(0)) + F.col("__ins")
+        final = F.greatest(F.col("__n") - F.col("__down"), F.lit(0)) + F.col("__up")
     else:
+        step = (1 - 2 * is_delete).cast("bigint")
         summed = running_sum(changes, cols, [pos], "__run", step, rows_per_range=rows_per_range)
         images = summed.groupBy(*cols).agg(
-            F.sum(step).alias("__net"),
-            F.least(F.min("__run"), F.lit(0)).alias("__low"),
-            F.sum(F.when(F.col("op") == "D", 1).otherwise(0)).alias("__del"),
+            F.sum(step).alias("__up"), F.least(F.min("__run"), F.lit(0)).alias("__down"), F.sum(is_delete).alias("__deletes")
         )
-        images = images.withColumn("__ins", F.col("__net"))
-        final = F.greatest(F.col("__n") + F.col("__net"), F.col("__net") - F.col("__low"))
+        final = F.greatest(F.col("__n"), -F.col("__down")) + F.col("__up")
 
-    named = images.filter(F.col("__del") > 0)
-    sought = named.select(*[F.col(c).alias(f"__i_{c}") for c in cols])
+    sought = images.filter(F.col("__deletes") > 0).select(*[F.col(c).alias(f"__i_{c}") for c in cols])
     same = all_equal((target[c], sought[f"__i_{c}"]) for c in cols)
     untouched = target.join(sought, same, "left_anti")
-    found = target.join(sought, same, "left_semi").groupBy(*cols).agg(F.count("*").alias("__n"))
-
-    counted = found.select(*[F.col(c).alias(f"__i_{c}") for c in cols], "__n")
-    left = named.join(counted, all_equal((named[c], counted[f"__i_{c}"]) for c in cols), "left")
-    left = left.withColumn("__n", F.coalesce("__n", F.lit(0))).select(*cols, final.cast("bigint").alias("__times"))
-    added = images.filter(F.col("__del") == 0).select(*cols, F.col("__ins").cast("bigint").alias("__times"))
-    return untouched.unionByName(repeat_rows(left.unionByName(added), "__times", copies_per_row))
+    found = target.join(sought, same, "left_semi").withColumn("__n", F.lit(1).cast("bigint"))
+    # equal rows of the target and the steps of their image meet in one count per image
+    steps = images.select(*cols, "__up", "__down")
+    counted = found.unionByName(steps, allowMissingColumns=True).groupBy(*cols)
+    met = counted.agg(
+        F.coalesce(F.sum("__n"), F.lit(0)).alias("__n"), F.max("__up").alias("__up"), F.max("__down").alias("__down")
+    )
+    again = met.select(*cols, final.cast("bigint").alias("__times"))
+    return untouched.unionByName(repeat_rows(again, "__times", copies_per_row))
 
 
 # ------------------------------------------------------------------------------------ error policy
@@ -231,7 +229,9 @@ def classify_changes(
     sets = F.when(sound & (F.col("op") == "I"), F.lit(True)).when(sound & (F.col("op") == "D"), F.lit(False))
     stated = last_known(marked, [table, *key] if table in changes.columns else key, ["pos"], "__state", sets, rows_per_range=rows_per_range)
 
-    there = target.select(*[F.col(k).alias(f"__t_{k}") for k in key], F.lit(True).alias("__there"))
+    # only the target keys that the batch names, so that a small batch does not shuffle the target
+    touched = target.select(*key).join(changes.select(*key).distinct(), key, "left_semi")
+    there = touched.select(*[F.col(k).alias(f"__t_{k}") for k in key], F.lit(True).alias("__there"))
     cond = F.lit(True)
     for k in key:
         cond = cond & (stated[k] == there[f"__t_{k}"])

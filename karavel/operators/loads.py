@@ -9,7 +9,7 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, Observation, Row, SparkSession, functions as F
 
-from karavel.sources.files import exists, list_names, size_of
+from karavel.sources.files import finished, size_of
 from karavel.sources.sinks import write_snapshot
 from karavel.sources.snapshot import read_part
 
@@ -23,7 +23,7 @@ def _log_progress(spark: SparkSession, path: str, row: tuple) -> None:
 
 
 def read_progress(spark: SparkSession, path: str) -> DataFrame:
-    done = [f"{path}/{n}" for n in list_names(spark, path) if exists(spark, f"{path}/{n}/_SUCCESS")]
+    done = [f"{path}/{n}" for n in finished(spark, path)]
     return spark.read.schema(PROGRESS).parquet(*done) if done else spark.createDataFrame([], PROGRESS)
 
 
@@ -72,7 +72,8 @@ def load_ignore_conflicts(df: DataFrame, target: DataFrame, key: list[str], orde
     rest = [c for c in df.columns if c not in key]
     first = F.min_by(F.struct(*rest), F.struct(*order))
     once = df.groupBy(*key).agg(first.alias("__first")).select(*key, "__first.*").select(*df.columns)
-    return target.unionByName(once.join(target.select(*key), key, "left_anti").select(*target.columns))
+    taken = target.select(*key).join(once.select(*key), key, "left_semi")  # a small input is sent to the target's scan
+    return target.unionByName(once.join(taken, key, "left_anti").select(*target.columns))
 
 
 class SplitMismatch(ValueError):

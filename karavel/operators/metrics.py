@@ -120,21 +120,30 @@ def apply_rate_eta(log: DataFrame, positions: DataFrame, as_of: int, by: list[st
 
 
 def error_summary(log: DataFrame, pattern: str = "ERROR", length: int = 100, by: list[str] | None = None) -> DataFrame:
-    """Lines that contain the pattern: count, last one (cut to ``length``), and time of the last log line."""
+    """Lines that contain the pattern: count, last one (cut to ``length``), and time of the last log line.
+
+    The counters are numbers, so they are hashed and no log text is sorted or moved; the one text per
+    run is fetched by its line number afterwards. A line number occurs once per run.
+    """
     hit = F.col("line").contains(pattern)
-    return log.groupBy(*(by or [])).agg(
+    keys = by or []
+    counts = log.groupBy(*keys).agg(
         F.count_if(hit).alias("errors"),
-        F.substring(F.max_by("line", F.when(hit, F.col("line_no"))), 1, length).alias("last_error"),
-        F.date_format(F.max_by("ts", "line_no"), "yyyy-MM-dd HH:mm:ss").alias("last_log_ts"),
+        F.max(F.when(hit, F.col("line_no"))).alias("line_no"),
+        F.max_by(F.unix_micros(F.col("ts").cast("timestamp")), "line_no").alias("__micros"),
     )
+    texts = log.filter(hit).select(*keys, "line_no", F.substring("line", 1, length).alias("last_error"))
+    stamp = F.date_format(F.timestamp_micros("__micros"), "yyyy-MM-dd HH:mm:ss")
+    joined = counts.join(texts, [*keys, "line_no"], "left")
+    return joined.select(*keys, "errors", "last_error", stamp.alias("last_log_ts"))
 
 
 def tolerance_check(log: DataFrame, default: int = 10, by: list[str] | None = None) -> DataFrame:
     """Errors of the last restore report against the last reported tolerance."""
 
     def last_number(pattern: str) -> Column:
-        found = F.regexp_extract("line", pattern, 1)
-        return F.max_by(found, F.when(found != "", F.col("line_no"))).cast("bigint")
+        number = F.nullif(F.regexp_extract("line", pattern, 1), F.lit("")).cast("bigint")
+        return F.max_by(number, F.when(number.isNotNull(), F.col("line_no")))
 
     spoken, written = (last_number(p) for p in TOLERANCE_MARKS)
     out = log.groupBy(*(by or [])).agg(

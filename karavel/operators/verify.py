@@ -14,9 +14,9 @@ from functools import reduce
 from threading import Timer
 
 from pyspark import inheritable_thread_target
-from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window, functions as F
 
-from karavel.functions.expr import clamp, div, hash_sums, is_integral, like_schema, row_hash
+from karavel.functions.expr import clamp, div, hash_halves, is_integral, like_schema, row_hash
 
 # Verdict per kind for objects that are missing in the target, extra in it, or changed.
 OBJECT_VERDICTS = {
@@ -280,14 +280,6 @@ def _bucket(df: DataFrame, key: list[str], partition_size: int, buckets: int) ->
     return F.pmod(row_hash(df, key), F.lit(buckets))
 
 
-def bucket_fingerprints(
-    df: DataFrame, key: list[str], cols: list[str], partition_size: int = 10_000, buckets: int = 65_536
-) -> DataFrame:
-    """Row count and hash sums per key bucket. The partial sums move, the rows do not."""
-    hashed = df.select(_bucket(df, key, partition_size, buckets).alias("bucket"), row_hash(df, cols).alias("h"))
-    return hashed.groupBy("bucket").agg(F.count("*").alias("n"), *hash_sums(F.col("h")))
-
-
 def row_diff(
     src: DataFrame,
     tgt: DataFrame,
@@ -299,27 +291,26 @@ def row_diff(
 ) -> DataFrame:
     """Rows that differ: key, state (MISSING_TARGET, MISSING_SOURCE, DIFFERENT), differing columns.
 
-    First pass: fingerprints per key bucket. Second pass: only rows of unequal buckets are counted per
-    full image and side, equal images cancel, and what is left is put together per key. Copies of a
-    row cancel by count, so a key that is not unique cannot blow up the comparison.
+    Source rows count +1 and target rows -1. First pass: signed row count and hash sums per key bucket;
+    only these sums move. Second pass: rows of buckets that do not cancel out are counted per full
+    image, equal images cancel, and what is left is put together per key. Copies of a row cancel by
+    count, so a key that is not unique cannot blow up the comparison.
     """
     cols = [c for c in src.columns if c not in (skip_cols or [])]
     rest = [c for c in cols if c not in key]
-    s, t = src.select(*cols), like_schema(tgt, src, cols)
-    prints = [bucket_fingerprints(d, key, cols, partition_size, buckets) for d in (s, t)]
-    other = prints[1].select(*[F.col(c).alias(f"t_{c}") for c in prints[1].columns])
-    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"t_{c}")) for c in ("n", "hash_hi", "hash_lo")])
-    pairs = prints[0].join(other, F.col("bucket").eqNullSafe(F.col("t_bucket")), "full_outer").filter(~same)
-    # a NULL bucket comes from a NULL key and equals itself only
-    unequal = pairs.select(F.when(F.col("n").isNotNull(), F.col("bucket")).otherwise(F.col("t_bucket")).alias("__b"))
-
-    def rows_of(df: DataFrame, sign: int) -> DataFrame:
-        marked = df.withColumn("__bucket", _bucket(df, key, partition_size, buckets))
-        hit = marked.join(unequal, F.col("__bucket").eqNullSafe(F.col("__b")), "left_semi").select(*cols)
-        return hit.withColumn("__sign", F.lit(sign).cast("bigint"))
-
-    images = rows_of(s, 1).unionByName(rows_of(t, -1)).groupBy(*cols).agg(F.sum("__sign").alias("__n"))
-    left = images.filter(F.col("__n") != 0)
+    one = F.lit(1).cast("bigint")
+    both = src.select(*cols).withColumn("__sign", one).unionByName(like_schema(tgt, src, cols).withColumn("__sign", -one))
+    bucket = _bucket(src, key, partition_size, buckets)
+
+    hashed = both.select(bucket.alias("__b"), "__sign", row_hash(src, cols).alias("__h"))
+    high, low = hash_halves(F.col("__h"))
+    prints = hashed.groupBy("__b").agg(
+        F.sum("__sign").alias("n"), F.sum(F.col("__sign") * high).alias("high"), F.sum(F.col("__sign") * low).alias("low")
+    )
+    unequal = prints.filter((F.col("n") != 0) | (F.col("high") != 0) | (F.col("low") != 0)).select("__b")
+
+    hit = both.withColumn("__bucket", bucket).join(unequal, F.col("__bucket").eqNullSafe(F.col("__b")), "left_semi")
+    left = hit.groupBy(*cols).agg(F.sum("__sign").alias("__n")).filter(F.col("__n") != 0)
     image = F.struct(*rest) if rest else F.struct(F.lit(1).alias("__one"))
     sides = left.groupBy(*key).agg(
         F.max(F.when(F.col("__n") > 0, image)).alias("__s"), F.max(F.when(F.col("__n") < 0, image)).alias("__t")
@@ -352,10 +343,8 @@ def validation_status(diffs: DataFrame, by: str = "tbl", table_max: int = 1000,
         F.count_if(F.col("state") == "MISSING_SOURCE").alias("missing_source"),
         F.count_if(F.col("state") == "DIFFERENT").alias("different"),
     )
-    total = per.agg(F.sum("failures").alias("x")).scalar()
-    return per.withColumn("suspended", F.col("failures") >= table_max).withColumn(
-        "task_stopped", F.coalesce(total >= overall_max, F.lit(False))
-    )
+    overall = F.sum("failures").over(Window.partitionBy(F.lit(0)))  # one row per table
+    return per.withColumn("suspended", F.col("failures") >= table_max).withColumn("task_stopped", overall >= overall_max)
 
 
 # ------------------------------------------------------------------------------------------ verdict

@@ -100,7 +100,7 @@ COUNTED = ("orders", "customer", "lineitem", "part", "events", "nation")
 def _sizes(t: Tables) -> DataFrame:
     out = None
     for n in COUNTED:
-        one = t[n].agg(F.lit(n).alias("tbl"), (F.count("*") * 100).alias("bytes"))
+        one = t.statistics(n).agg(F.count("*").alias("n")).select(F.lit(n).alias("tbl"), (F.col("n") * 100).alias("bytes"))
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -119,7 +119,7 @@ select tbl, case when src_count = tgt_count then 'MATCH' else 'MISSING' end as s
 from c"""
 )
 def v4_exact_counts(t: Tables) -> DataFrame:
-    src = {n: t[n] for n in COUNTED}
+    src = {n: t.statistics(n) for n in COUNTED}
     tgt = {**src, "orders": t["fx_orders_tgt"], "lineitem": t["fx_lineitem_tgt"]}
     out = V.exact_counts(t.spark, src, tgt, _sizes(t), n=4, max_bytes=100_000_000_000, seed="a", timeout=None)
     return out.drop("detail")
@@ -155,11 +155,10 @@ from top join s on top.tbl = s.tbl join g on top.tbl = g.tbl"""
 def v6_minmax_check(t: Tables) -> DataFrame:
     keys = None
     for name, col, kind in KEYS:
-        one = t[name].agg(
-            F.lit(name).alias("tbl"), F.lit(col).alias("column_name"), F.lit(kind).alias("type"), F.count("*").alias("est_rows")
-        )
+        one = t.statistics(name).agg(F.count("*").alias("est_rows"))
+        one = one.select(F.lit(name).alias("tbl"), F.lit(col).alias("column_name"), F.lit(kind).alias("type"), "est_rows")
         keys = one if keys is None else keys.unionByName(one)
-    src = {name: t[name] for name, _, _ in KEYS}
+    src = {name: t.statistics(name) for name, _, _ in KEYS}
     return V.minmax_check(t.spark, src, {**src, "orders": t["fx_orders_tgt"]}, keys, n=5)
 
 

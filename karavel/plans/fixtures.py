@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from karavel.functions.ordered import running_sum
 from karavel.operators.changes import net_changes
+from karavel.sources.snapshot import read_for_statistics
 
 BASE = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
@@ -274,6 +275,10 @@ class Tables:
             self._known[name] = df
         return self._known[name]
 
+    def statistics(self, name: str) -> DataFrame:
+        """A driver table for counts, minimum and maximum."""
+        return read_for_statistics(self.spark, f"{self.folder}/{name}.parquet")
+
     def sql(self, text: str) -> DataFrame:
         needed = _needs(text)
         for name in needed:

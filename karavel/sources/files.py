@@ -23,6 +23,18 @@ def list_names(spark: SparkSession, path: str) -> list[str]:
     return sorted(n for n in (s.getPath().getName() for s in fs.listStatus(p)) if not n.startswith(("_", ".")))
 
 
+def finished(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders below ``path`` whose write has ended, by one listing."""
+    fs, _ = _open(spark, path)
+    found = fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/*/_SUCCESS"))
+    return sorted(s.getPath().getParent().getName() for s in found or [])
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    fs, p = _open(spark, path)
+    fs.delete(p, True)
+
+
 def size_of(spark: SparkSession, path: str) -> int:
     fs, p = _open(spark, path)
     return fs.getContentSummary(p).getLength() if fs.exists(p) else 0

@@ -56,6 +56,18 @@ def read_snapshot(spark: SparkSession, location: Location, scope: Scope | None =
     return {r["name"]: location.read(spark, r["name"]) for r in chosen.select("name").orderBy("name").collect()}
 
 
+def read_for_statistics(spark: SparkSession, path: str) -> DataFrame:
+    """Parquet through the reader that answers count, min and max from file footers where the type allows it."""
+    v1 = "spark.sql.sources.useV1SourceList"
+    spark.conf.set("spark.sql.parquet.aggregatePushdown", "true")
+    old = spark.conf.get(v1)
+    spark.conf.set(v1, "")
+    try:
+        return spark.read.parquet(path)
+    finally:
+        spark.conf.set(v1, old)
+
+
 # --------------------------------------------------------------------------------------------- parts
 
 

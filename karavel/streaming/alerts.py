@@ -10,11 +10,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from karavel.operators.activity import alert_events, alert_state
-from karavel.sources.files import exists, list_names
+from karavel.sources.files import finished
 
 
 class AlertLog:
@@ -25,8 +25,7 @@ class AlertLog:
         self.deliver = deliver or (lambda alerts: alerts)
 
     def _batches(self, kind: str) -> list[int]:
-        names = list_names(self.spark, f"{self.path}/{kind}")
-        return sorted(int(n.removeprefix("batch=")) for n in names if exists(self.spark, f"{self.path}/{kind}/{n}/_SUCCESS"))
+        return sorted(int(n.removeprefix("batch=")) for n in finished(self.spark, f"{self.path}/{kind}"))
 
     def alerts(self) -> DataFrame:
         done = self._batches("state")

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from karavel.operators.changes import apply_changes, bound_changes, net_changes, resume_changes
-from karavel.sources.files import exists, list_names
+from karavel.sources.files import delete, finished
 
 COMMITS = "name string, max_pos decimal(20,0), rows bigint"
 VERSIONS = "version bigint, upto_pos decimal(20,0)"
@@ -32,8 +32,7 @@ class FollowedTable:
     # ------------------------------------------------------------------------------- state on disk
 
     def _finished(self, kind: str) -> list[str]:
-        folder = f"{self.path}/{kind}"
-        return [n for n in list_names(self.spark, folder) if exists(self.spark, f"{folder}/{n}/_SUCCESS")]
+        return finished(self.spark, f"{self.path}/{kind}")
 
     def commits(self) -> DataFrame:
         """One row per committed batch: name, highest position, net changes."""
@@ -108,6 +107,19 @@ class FollowedTable:
         self._publish(version + 1, upto)
         return version + 1
 
+    def prune(self, keep: int = 2) -> None:
+        """Delete base versions older than the newest ``keep``, and batches that the oldest kept one holds."""
+        versions = sorted(int(n.removeprefix("v=")) for n in self._finished("versions"))
+        kept = versions[-keep:]
+        upto = int(self.spark.read.schema(VERSIONS).parquet(f"{self.path}/versions/v={kept[0]}").first()["upto_pos"])
+        old = self.commits().filter(F.col("max_pos") <= F.lit(str(upto)).cast("decimal(20,0)")).select("name")
+        for name in [r["name"] for r in old.collect()]:
+            delete(self.spark, f"{self.path}/commits/{name}")
+            delete(self.spark, f"{self.path}/changes/{name}")
+        for v in versions[:-keep]:
+            delete(self.spark, f"{self.path}/versions/v={v}")
+            delete(self.spark, f"{self.path}/base/v={v}")
+
 
 def resume_commits(commits: DataFrame, upto_pos: int) -> DataFrame:
     return commits.filter(F.col("max_pos") > F.lit(str(upto_pos)).cast("decimal(20,0)"))
@@ -150,5 +162,5 @@ def route_stream(changes: DataFrame, published: DataFrame, dest: str, checkpoint
 
 def routed(spark: SparkSession, dest: str) -> DataFrame:
     """What ``route_stream`` has written so far, all batches and tables."""
-    folders = [f"{dest}/{n}" for n in list_names(spark, dest) if exists(spark, f"{dest}/{n}/_SUCCESS")]
+    folders = [f"{dest}/{n}" for n in finished(spark, dest)]
     return spark.read.option("basePath", dest).parquet(*folders).drop("batch")
