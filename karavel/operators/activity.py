@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from karavel.functions.expr import age_text, clamp, div, epoch, one_line
 from karavel.functions.ordered import ROWS_PER_RANGE, prior
+from karavel.functions.sized import settle
 
 # Statement patterns in the order in which they are tried, and what is printed for each.
 OPERATIONS = (
@@ -182,10 +183,11 @@ def alert_events(
         known = known.withColumns({n: F.coalesce(F.col(n), v) for n, v in _fresh().items()})
     # flags: first poll that raises the copy alert, then first final poll other than that one
     first_copy = known.filter(F.col("copy_done") & ~F.col("copy_sent")).groupBy("run").agg(F.min("poll").alias("copy_poll"))
+    first_copy, _ = settle(first_copy, "alerts")
     withcopy = known.join(first_copy, "run", "left")
     is_copy = F.coalesce(F.col("poll") == F.col("copy_poll"), F.lit(False))
     ends = withcopy.filter(F.col("status").isin(*FINAL) & ~is_copy & ~F.col("final_sent"))
-    first_end = ends.groupBy("run").agg(F.min("poll").alias("final_poll"))
+    first_end, _ = settle(ends.groupBy("run").agg(F.min("poll").alias("final_poll")), "alerts")
     joined = withcopy.join(first_end, "run", "left")
     seen = prior(
         joined, ["run"], ["poll"], {"prev_status": F.col("status"), "prev_errors": F.col("errors")}, rows_per_range=rows_per_range

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from karavel.functions.expr import all_equal, lsn_to_pos
 from karavel.functions.ordered import ROWS_PER_RANGE, last_known, running_sum
+from karavel.functions.sized import settle
 
 COPIES_PER_ROW = 100_000  # equal rows that one row may expand into at a time
 
@@ -83,7 +84,7 @@ def whole_transactions(changes: DataFrame, endpos: int, xid: str = "xid") -> Dat
     Only the transactions still open at the cut are collected (as a table) and taken out, so the rows
     of a large finished transaction are not moved.
     """
-    cut = changes.filter(F.col("pos") > endpos).select(xid).distinct()
+    cut, _ = settle(changes.filter(F.col("pos") > endpos).select(xid).distinct(), "open_transactions")
     return changes.filter(F.col("pos") <= endpos).join(cut, xid, "left_anti")
 
 
@@ -212,12 +213,14 @@ def classify_changes(
     bad_data: Column | None = None,
     table_error: Column | None = None,
     table: str = "tbl",
+    store: str | None = None,
     rows_per_range: int = ROWS_PER_RANGE,
 ) -> DataFrame:
     """Add ``reason`` (NULL when the change applies), ``action`` and ``suspended`` to each change.
 
     Whether a key exists before a change follows from the last sound insert or delete before it, else
-    from the target. Bad rows never change the state of a key.
+    from the target. Bad rows never change the state of a key. With ``store``, a fresh folder that all
+    executors share, the judged changes are written there once and every later use reads them back.
     """
     bad = F.coalesce(bad_data, F.lit(False)) if bad_data is not None else F.lit(False)
     broken = F.coalesce(table_error, F.lit(False)) if table_error is not None else F.lit(False)
@@ -249,9 +252,12 @@ def classify_changes(
         action = F.when(F.col("reason") == name, F.lit(what)).otherwise(action)
     out = joined.withColumn("reason", reason).drop("__bad", "__broken", "__state", "__there")
     out = out.withColumn("action", action)
+    if store:
+        out.write.parquet(store)
+        out = changes.sparkSession.read.parquet(store)
     if table not in changes.columns or "suspend" not in policy.actions().values():
         return out.withColumn("suspended", F.lit(False))
-    stops = out.filter(F.col("action") == "suspend").groupBy(table).agg(F.min("pos").alias("__stop"))
+    stops, _ = settle(out.filter(F.col("action") == "suspend").groupBy(table).agg(F.min("pos").alias("__stop")), "suspended")
     return (
         out.join(stops, table, "left")
         .withColumn("suspended", F.coalesce(F.col("pos") > F.col("__stop"), F.lit(False)))
@@ -291,7 +297,7 @@ def apply_ddl(rows: DataFrame, events: DataFrame, policy: DdlPolicy = DdlPolicy(
     ops = [op for op, on in (("T", policy.truncate), ("X", policy.drop)) if on]
     if not ops:
         return rows
-    cut = events.filter(F.col("op").isin(*ops)).groupBy(table).agg(F.max("pos").alias("__cut"))
+    cut, _ = settle(events.filter(F.col("op").isin(*ops)).groupBy(table).agg(F.max("pos").alias("__cut")), "ddl_cuts")
     kept = rows.join(cut, table, "left").filter(F.col("__cut").isNull() | (F.col("pos") > F.col("__cut")))
     return kept.select(*rows.columns)
 

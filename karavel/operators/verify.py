@@ -17,6 +17,7 @@ from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, Row, SparkSession, Window, functions as F
 
 from karavel.functions.expr import clamp, div, hash_halves, is_integral, like_schema, row_hash
+from karavel.functions.sized import settle
 
 # Verdict per kind for objects that are missing in the target, extra in it, or changed.
 OBJECT_VERDICTS = {
@@ -276,10 +277,34 @@ def minmax_check(
 
 def _bucket(df: DataFrame, key: list[str], partition_size: int, buckets: int) -> Column:
     if len(key) == 1 and is_integral(df, key[0]):
-        return F.floor(F.col(key[0]) / F.lit(partition_size)).cast("bigint")
+        return div(F.col(key[0]), partition_size)
     return F.pmod(row_hash(df, key), F.lit(buckets))
 
 
+def _signed(src: DataFrame, tgt: DataFrame, cols: list[str]) -> DataFrame:
+    """Rows of both sides with ``__sign``: source +1, target -1."""
+    one = F.lit(1).cast("bigint")
+    return src.select(*cols).withColumn("__sign", one).unionByName(like_schema(tgt, src, cols).withColumn("__sign", -one))
+
+
+def _in_unequal_buckets(both: DataFrame, bucket: Column, hash_col: Column) -> DataFrame:
+    """Rows of the buckets whose signed row count or hash sums are not 0.
+
+    The sums are computed at once and only they move; the unequal bucket numbers go to the shared
+    folder, and rows of equal buckets are not shuffled at all.
+    """
+    high, low = hash_halves(F.col("__h"))
+    prints = both.select(bucket.alias("__b"), "__sign", hash_col.alias("__h")).groupBy("__b").agg(
+        F.sum("__sign").alias("n"), F.sum(F.col("__sign") * high).alias("high"), F.sum(F.col("__sign") * low).alias("low")
+    )
+    unequal = prints.filter((F.col("n") != 0) | (F.col("high") != 0) | (F.col("low") != 0)).select("__b")
+    unequal, found = settle(unequal, "unequal_buckets")
+    if not found:
+        return both.limit(0)
+    hit = both.withColumn("__bucket", bucket)
+    return hit.join(unequal, F.col("__bucket").eqNullSafe(F.col("__b")), "left_semi").drop("__bucket")
+
+
 def row_diff(
     src: DataFrame,
     tgt: DataFrame,
@@ -291,25 +316,13 @@ def row_diff(
 ) -> DataFrame:
     """Rows that differ: key, state (MISSING_TARGET, MISSING_SOURCE, DIFFERENT), differing columns.
 
-    Source rows count +1 and target rows -1. First pass: signed row count and hash sums per key bucket;
-    only these sums move. Second pass: rows of buckets that do not cancel out are counted per full
+    First pass: fingerprints per key bucket. Second pass: rows of unequal buckets are counted per full
     image, equal images cancel, and what is left is put together per key. Copies of a row cancel by
     count, so a key that is not unique cannot blow up the comparison.
     """
     cols = [c for c in src.columns if c not in (skip_cols or [])]
     rest = [c for c in cols if c not in key]
-    one = F.lit(1).cast("bigint")
-    both = src.select(*cols).withColumn("__sign", one).unionByName(like_schema(tgt, src, cols).withColumn("__sign", -one))
-    bucket = _bucket(src, key, partition_size, buckets)
-
-    hashed = both.select(bucket.alias("__b"), "__sign", row_hash(src, cols).alias("__h"))
-    high, low = hash_halves(F.col("__h"))
-    prints = hashed.groupBy("__b").agg(
-        F.sum("__sign").alias("n"), F.sum(F.col("__sign") * high).alias("high"), F.sum(F.col("__sign") * low).alias("low")
-    )
-    unequal = prints.filter((F.col("n") != 0) | (F.col("high") != 0) | (F.col("low") != 0)).select("__b")
-
-    hit = both.withColumn("__bucket", bucket).join(unequal, F.col("__bucket").eqNullSafe(F.col("__b")), "left_semi")
+    hit = _in_unequal_buckets(_signed(src, tgt, cols), _bucket(src, key, partition_size, buckets), row_hash(src, cols))
     left = hit.groupBy(*cols).agg(F.sum("__sign").alias("__n")).filter(F.col("__n") != 0)
     image = F.struct(*rest) if rest else F.struct(F.lit(1).alias("__one"))
     sides = left.groupBy(*key).agg(
@@ -326,12 +339,14 @@ def row_diff(
     return sides.select(*key, state.alias("state"), listed.alias("columns"))
 
 
-def row_diff_keyless(src: DataFrame, tgt: DataFrame) -> DataFrame:
-    """Full row images whose number of copies differs, with both numbers."""
+def row_diff_keyless(src: DataFrame, tgt: DataFrame, *, buckets: int = 65_536) -> DataFrame:
+    """Full row images whose number of copies differs, with both numbers. Buckets come from the image's hash."""
     cols = src.columns
-    s = src.select(*cols).withColumn("__s", F.lit(1)).withColumn("__t", F.lit(0))
-    t = like_schema(tgt, src, cols).withColumn("__s", F.lit(0)).withColumn("__t", F.lit(1))
-    counted = s.unionByName(t).groupBy(*cols).agg(F.sum("__s").alias("src_copies"), F.sum("__t").alias("tgt_copies"))
+    image_hash = row_hash(src, cols)
+    hit = _in_unequal_buckets(_signed(src, tgt, cols), F.pmod(image_hash, F.lit(buckets)), image_hash)
+    counted = hit.groupBy(*cols).agg(
+        F.count_if(F.col("__sign") > 0).alias("src_copies"), F.count_if(F.col("__sign") < 0).alias("tgt_copies")
+    )
     return counted.filter(F.col("src_copies") != F.col("tgt_copies"))
 
 

@@ -296,7 +296,12 @@ lv as (select rs.* from rs left join sp on rs.tbl = sp.tbl where stop_pos is nul
 def _policy(t: Tables) -> tuple[DataFrame, DataFrame]:
     log = t["fx_change_log"].select("pos", "op", "k", "v", F.concat(F.lit("t"), F.col("k") % 3).alias("tbl"), "event_id")
     return C.apply_with_policy(
-        t["fx_base"], log, ["k"], bad_data=F.col("event_id") % 211 == 0, table_error=F.col("event_id") % 1999 == 1500
+        t["fx_base"],
+        log,
+        ["k"],
+        bad_data=F.col("event_id") % 211 == 0,
+        table_error=F.col("event_id") % 1999 == 1500,
+        store=shared_folder(t.spark, "c8"),
     )
 
 

@@ -10,6 +10,7 @@ import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from karavel.functions.ordered import running_sum
 from karavel.operators.changes import net_changes
@@ -254,6 +255,9 @@ def with_views(sql: str) -> str:
     return f"with {views}\n{body}"
 
 
+_schemas: dict[str, StructType] = {}  # by path; saves a footer job whenever a query reads the same table again
+
+
 class Tables:
     """Driver tables and views of one folder as DataFrames, read when first asked for."""
 
@@ -267,7 +271,10 @@ class Tables:
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self._known:
             if name in BASE:
-                df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+                path = f"{self.folder}/{name}.parquet"
+                reader = self.spark.read.schema(_schemas[path]) if path in _schemas else self.spark.read
+                df = reader.parquet(path)
+                _schemas[path] = df.schema
             elif name in self._own:
                 df = self._own[name]()
             else:

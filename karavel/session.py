@@ -15,6 +15,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # plans here have hundreds of expressions; recording a Python stack for each takes longer than building it
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

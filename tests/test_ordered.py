@@ -30,7 +30,7 @@ def by_key():
     return groups
 
 
-# one range, some ranges, and so many that most hold a handful of rows
+# no hot key, one hot key, and so low a limit that nearly every key is cut
 SIZES = [10_000, 700, 11]
 
 
@@ -60,8 +60,10 @@ def test_last_known(data, size):
     assert got == want
 
 
+@pytest.mark.parametrize("limit", [0, 100_000])
 @pytest.mark.parametrize("size", SIZES)
-def test_running_sum(data, size):
+def test_running_sum(data, size, limit, monkeypatch):
+    monkeypatch.setattr(ordered, "BROADCAST_ROWS", limit)
     out = ordered.running_sum(data, ["k"], ["pos"], "total", F.col("v"), rows_per_range=size)
     got = {(r["k"], r["pos"]): r["total"] for r in out.collect()}
     want = {}
@@ -73,10 +75,15 @@ def test_running_sum(data, size):
     assert got == want
 
 
-def test_no_group_is_larger_than_its_range(data):
-    ranged = ordered._add_range(data, ["pos"], 100)
-    largest = ranged.groupBy("k", "__range").count().agg(F.max("count")).first()[0]
-    assert largest <= 200 and ranged.select("__range").distinct().count() >= 25
+def test_only_hot_keys_are_cut_and_no_group_is_larger_than_its_range(data):
+    ranged, pairs = ordered._add_range(data, ["k"], ["pos"], 100)
+    sizes = ranged.groupBy("k", "__range").count()
+    assert sizes.agg(F.max("count")).first()[0] <= 150
+    assert sizes.count() - sizes.groupBy("k").count().filter("count = 1").count() <= pairs
+    cut = sizes.groupBy("k").count().filter("count > 1").collect()
+    hot = {k for k, items in by_key().items() if len(items) > 100}
+    assert {r["k"] for r in cut} == hot and "hot" in hot and None in hot
+    assert ordered._add_range(data, ["k"], ["pos"], 5000) is None
 
 
 @pytest.mark.parametrize("kind", ["timestamp", "timestamp_ntz", "date", "decimal(20,0)"])
