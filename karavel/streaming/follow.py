@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from karavel.operators.changes import apply_changes, bound_changes, net_changes, resume_changes
@@ -28,6 +28,7 @@ class FollowedTable:
 
     def __init__(self, spark: SparkSession, path: str, key: list[str]):
         self.spark, self.path, self.key = spark, path, key
+        self._upto: dict[int, int] = {}  # a published version never changes
 
     # ------------------------------------------------------------------------------- state on disk
 
@@ -46,8 +47,13 @@ class FollowedTable:
         if not names:
             raise ValueError(f"{self.path} has no base yet, call start first")
         newest = max(int(n.removeprefix("v=")) for n in names)
-        row = self.spark.read.schema(VERSIONS).parquet(f"{self.path}/versions/v={newest}").first()
-        return newest, int(row["upto_pos"])
+        return newest, self._upto_pos(newest)
+
+    def _upto_pos(self, version: int) -> int:
+        if version not in self._upto:
+            row = self.spark.read.schema(VERSIONS).parquet(f"{self.path}/versions/v={version}").first()
+            self._upto[version] = int(row["upto_pos"])
+        return self._upto[version]
 
     def _publish(self, version: int, upto_pos: int) -> None:
         row = self.spark.range(1).select(
@@ -64,6 +70,8 @@ class FollowedTable:
 
     def start(self, snapshot: DataFrame, snapshot_pos: int = 0) -> None:
         """Write the base table: a snapshot that holds all changes up to its position."""
+        if self._finished("versions"):
+            raise ValueError(f"{self.path} has a base already")
         snapshot.write.mode("overwrite").parquet(f"{self.path}/base/v=0")
         self._publish(0, snapshot_pos)
 
@@ -88,9 +96,14 @@ class FollowedTable:
         fresh = resume_changes(changes, self._version()[1])
         if endpos is not None:
             fresh = bound_changes(fresh, endpos)
-        net_changes(fresh, self.key).write.mode("overwrite").parquet(f"{self.path}/changes/{name}")
-        done = self.spark.read.parquet(f"{self.path}/changes/{name}").agg(
-            F.lit(name).alias("name"), F.max("pos").cast("decimal(20,0)").alias("max_pos"), F.count("*").alias("rows")
+        seen = Observation()
+        net = net_changes(fresh, self.key).observe(seen, F.max("pos").alias("max_pos"), F.count("*").alias("rows"))
+        net.write.mode("overwrite").parquet(f"{self.path}/changes/{name}")
+        top = seen.get["max_pos"]
+        done = self.spark.range(1).select(
+            F.lit(name).alias("name"),
+            F.lit(None if top is None else str(top)).cast("decimal(20,0)").alias("max_pos"),
+            F.lit(seen.get["rows"]).cast("bigint").alias("rows"),
         )
         done.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/commits/{name}")
         return True
@@ -111,7 +124,7 @@ class FollowedTable:
         """Delete base versions older than the newest ``keep``, and batches that the oldest kept one holds."""
         versions = sorted(int(n.removeprefix("v=")) for n in self._finished("versions"))
         kept = versions[-keep:]
-        upto = int(self.spark.read.schema(VERSIONS).parquet(f"{self.path}/versions/v={kept[0]}").first()["upto_pos"])
+        upto = self._upto_pos(kept[0])
         old = self.commits().filter(F.col("max_pos") <= F.lit(str(upto)).cast("decimal(20,0)")).select("name")
         for name in [r["name"] for r in old.collect()]:
             delete(self.spark, f"{self.path}/commits/{name}")
