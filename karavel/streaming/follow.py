@@ -9,13 +9,13 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from karavel.operators.changes import apply_changes, bound_changes, net_changes, resume_changes
 from karavel.sources.files import delete, finished
 
-COMMITS = "name string, max_pos decimal(20,0), rows bigint"
+COMMITS = "name string, max_pos decimal(20,0), rows bigint, seen_pos decimal(20,0)"
 VERSIONS = "version bigint, upto_pos decimal(20,0)"
 
 
@@ -36,7 +36,7 @@ class FollowedTable:
         return finished(self.spark, f"{self.path}/{kind}")
 
     def commits(self) -> DataFrame:
-        """One row per committed batch: name, highest position, net changes."""
+        """One row per committed batch: name, highest position applied, net changes, highest position read."""
         done = self._finished("commits")
         if not done:
             return self.spark.createDataFrame([], COMMITS)
@@ -66,6 +66,11 @@ class FollowedTable:
         last = self.commits().agg(F.max("max_pos")).first()[0]
         return max(self._version()[1], int(last or 0))
 
+    def seen_pos(self) -> int:
+        """Highest position read so far, applied or not."""
+        last = self.commits().agg(F.max("seen_pos")).first()[0]
+        return max(self._version()[1], int(last or 0))
+
     # ------------------------------------------------------------------------------------ the table
 
     def start(self, snapshot: DataFrame, snapshot_pos: int = 0) -> None:
@@ -93,17 +98,22 @@ class FollowedTable:
         """
         if name in self._finished("commits"):
             return False
-        fresh = resume_changes(changes, self._version()[1])
+        read = Observation()
+        fresh = resume_changes(changes.observe(read, F.max("pos").alias("seen_pos")), self._version()[1])
         if endpos is not None:
             fresh = bound_changes(fresh, endpos)
         seen = Observation()
         net = net_changes(fresh, self.key).observe(seen, F.max("pos").alias("max_pos"), F.count("*").alias("rows"))
         net.write.mode("overwrite").parquet(f"{self.path}/changes/{name}")
-        top = seen.get["max_pos"]
+
+        def position(p: int | None, name: str) -> Column:
+            return F.lit(None if p is None else str(p)).cast("decimal(20,0)").alias(name)
+
         done = self.spark.range(1).select(
             F.lit(name).alias("name"),
-            F.lit(None if top is None else str(top)).cast("decimal(20,0)").alias("max_pos"),
+            position(seen.get["max_pos"], "max_pos"),
             F.lit(seen.get["rows"]).cast("bigint").alias("rows"),
+            position(read.get["seen_pos"], "seen_pos"),
         )
         done.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/commits/{name}")
         return True
@@ -155,11 +165,24 @@ def follow(
     return writer.trigger(**trigger).start()
 
 
-def stop_at(query: StreamingQuery, table: FollowedTable, endpos: int, poll_seconds: float = 1.0) -> None:
-    """Wait until the table has reached the end position, then stop the stream."""
-    while query.isActive and table.replay_pos() < endpos:
-        query.awaitTermination(poll_seconds)
+def follow_until(
+    changes: DataFrame, table: FollowedTable, checkpoint: str, endpos: int, *, interval: str = "1 second", poll_seconds: float = 1.0
+) -> None:
+    """Follow a growing log until it has gone up to the end position, apply nothing after it, and return.
+
+    The position need not be that of a change. Files that are there but were not read yet when the
+    position was seen, because they came out of order, are applied by a last pass.
+
+    To go on after the end position later, follow the log with a fresh checkpoint: this one counts the
+    files as read, with what they hold after the position. Changes applied already do no harm.
+    """
+    query = follow(changes, table, checkpoint, endpos=endpos, interval=interval)
+    while table.seen_pos() < endpos and not query.awaitTermination(poll_seconds):
+        pass
     query.stop()
+    if query.exception() is not None:
+        raise query.exception()
+    follow(changes, table, checkpoint, endpos=endpos).awaitTermination()
 
 
 def route_stream(changes: DataFrame, published: DataFrame, dest: str, checkpoint: str, table: str = "tbl") -> StreamingQuery:

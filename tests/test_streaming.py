@@ -5,7 +5,7 @@ from karavel.operators.activity import alert_events, alert_state
 from karavel.operators.changes import apply_changes
 from karavel.session import shared_folder
 from karavel.streaming.alerts import AlertLog, follow_alerts
-from karavel.streaming.follow import FollowedTable, follow, route_stream, routed, stop_at
+from karavel.streaming.follow import FollowedTable, follow, follow_until, route_stream, routed
 from tests.test_changes import SCHEMA, random_log
 
 BASE = [(k, f"b{k}") for k in range(0, 40, 3)]
@@ -91,11 +91,29 @@ def test_hand_over_and_end_position(spark, log_folder):
     assert 300 < t.replay_pos() <= 500
 
 
-def test_endless_stream_stops_at_a_position(spark, log_folder):
+@pytest.mark.parametrize("endpos", [500, 555, 800])
+def test_endless_stream_stops_at_a_position(spark, endpos):
+    """Even positions only, so 555 is that of no change; the newest file is read first."""
+    folder = shared_folder(spark, "log")
+    log = [(2 * p, op, k, v) for p, op, k, v in random_log(400, 30, 12)]
+    rows = spark.createDataFrame(log, SCHEMA)
+    for lo in (600, 400, 200, 0):
+        rows.filter((F.col("pos") > lo) & (F.col("pos") <= lo + 200)).coalesce(1).write.mode("append").parquet(folder)
     t = table(spark)
-    query = follow(stream(spark, log_folder), t, shared_folder(spark, "cp"), interval="0 seconds")
-    stop_at(query, t, 800, 0.5)
-    assert not query.isActive and content(t.read()) == expected(spark, log_folder)
+    follow_until(stream(spark, folder), t, shared_folder(spark, "cp"), endpos, interval="0 seconds", poll_seconds=0.2)
+    assert content(t.read()) == expected(spark, folder, f"pos <= {endpos}")
+    assert t.seen_pos() == 800 and t.replay_pos() == endpos - endpos % 2
+    # going on after the end position, with a fresh checkpoint
+    follow(stream(spark, folder), t, shared_folder(spark, "cp")).awaitTermination()
+    assert content(t.read()) == expected(spark, folder) and t.replay_pos() == 800
+
+
+def test_a_failing_stream_is_not_taken_for_done(spark):
+    folder = shared_folder(spark, "log")
+    spark.createDataFrame([(1, "I", 1, "x")], SCHEMA).write.parquet(folder)
+    broken = stream(spark, folder).withColumn("pos", F.expr("pos / 0").cast("bigint"))
+    with pytest.raises(Exception, match="DIVIDE_BY_ZERO"):
+        follow_until(broken, table(spark), shared_folder(spark, "cp"), 5, interval="0 seconds", poll_seconds=0.2)
 
 
 def test_a_table_needs_a_base(spark):
