@@ -37,7 +37,7 @@ def full_load(
     prep: str = "drop_and_create",
     table_jobs: int = 16,
 ) -> DataFrame:
-    """Write every planned ``(table, part)`` below ``dest/<table>/part=<n>`` and log each finished task.
+    """Write every planned ``(table, part)`` to ``dest/<table>/part-<n>`` and log each finished task.
 
     Parts are independent Spark jobs, ``table_jobs`` of them at a time, so a lost task is retried by
     Spark and a lost run goes on with ``resume_plan``. Rows are counted while they are written.
@@ -49,7 +49,7 @@ def full_load(
         df = src_tables[p["tbl"]]
         if p["parts"] > 1:
             df = read_part(df, keys[p["tbl"]], p["lo"], p["hi"], with_nulls=p["part"] == 1)
-        out = f"{dest}/{p['tbl']}/part={p['part']}"
+        out = f"{dest}/{p['tbl']}/part-{p['part']}"
         seen = Observation()
         start = int(time.time())
         write_snapshot(df.observe(seen, F.count("*").alias("rows")), out, prep)
@@ -63,8 +63,8 @@ def full_load(
 
 
 def loaded_table(spark: SparkSession, dest: str, table: str) -> DataFrame:
-    """A loaded table, all parts together."""
-    return spark.read.parquet(f"{dest}/{table}").drop("part")
+    """A loaded table, all finished parts together."""
+    return spark.read.parquet(*[f"{dest}/{table}/{n}" for n in finished(spark, f"{dest}/{table}")])
 
 
 def load_ignore_conflicts(df: DataFrame, target: DataFrame, key: list[str], order: list[str]) -> DataFrame:

@@ -190,7 +190,7 @@ def route_stream(changes: DataFrame, published: DataFrame, dest: str, checkpoint
 
     def batch(df: DataFrame, batch_id: int) -> None:
         wanted = df.join(published.select(table).distinct(), table, "left_semi")
-        wanted.write.mode("overwrite").partitionBy(table).parquet(f"{dest}/batch={batch_id}")
+        wanted.write.mode("overwrite").partitionBy(table).parquet(f"{dest}/routed_batch={batch_id}")
 
     writer = changes.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return writer.trigger(availableNow=True).start()
@@ -199,4 +199,4 @@ def route_stream(changes: DataFrame, published: DataFrame, dest: str, checkpoint
 def routed(spark: SparkSession, dest: str) -> DataFrame:
     """What ``route_stream`` has written so far, all batches and tables."""
     folders = [f"{dest}/{n}" for n in finished(spark, dest)]
-    return spark.read.option("basePath", dest).parquet(*folders).drop("batch")
+    return spark.read.option("basePath", dest).parquet(*folders).drop("routed_batch")

@@ -41,6 +41,24 @@ def test_full_load_resumes_where_it_stopped(spark):
         L.resume_plan(plan.withColumn("parts", F.lit(9).cast("bigint")), done)
 
 
+def test_a_column_may_be_called_part(spark):
+    df = spark.range(100).select("id", (F.col("id") % 3).alias("part"))
+    plan = plan_parts(spark.createDataFrame([("t", 500, 0, 99)], STATS), 100, 3)
+    dest = shared_folder(spark, "t")
+    L.full_load({"t": df}, dest, plan, {"t": "id"}, progress=shared_folder(spark, "t"))
+    assert L.loaded_table(spark, dest, "t").exceptAll(df).count() == 0 and L.loaded_table(spark, dest, "t").count() == 100
+
+
+def test_a_failed_part_leaves_the_others_done(spark):
+    df = spark.range(100).withColumn("x", F.expr("if(id = 70, 1 / (id - 70), 0)"))
+    plan = plan_parts(spark.createDataFrame([("t", 500, 0, 99)], STATS), 100, 4)
+    dest, progress = shared_folder(spark, "t"), shared_folder(spark, "t")
+    with pytest.raises(Exception, match="DIVIDE_BY_ZERO"):
+        L.full_load({"t": df}, dest, plan, {"t": "id"}, progress=progress)
+    left = L.resume_plan(plan, L.read_progress(spark, progress)).collect()
+    assert [(r["lo"], r["hi"]) for r in left] == [(50, 74)]
+
+
 def test_rows_without_a_key_are_loaded_once(spark):
     df = spark.createDataFrame([(1,), (5,), (None,)], "k bigint")
     assert [read_part(df, "k", 0, 2, True).count(), read_part(df, "k", 3, 9).count()] == [2, 1]
