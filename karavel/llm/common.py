@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StructType
 
 from karavel.session import shared_folder
 
@@ -30,6 +31,11 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def with_column(df: DataFrame, name: str, kind: str) -> StructType:
+    """The schema of ``df`` with one column more."""
+    return StructType([*df.schema.fields, *StructType.fromDDL(f"{name} {kind}").fields])
+
+
 def sized(df: DataFrame, limit: int = 100_000) -> DataFrame:
     """A staged table, marked for broadcast only if it was counted to have few rows."""
     return F.broadcast(df) if df.count() <= limit else df

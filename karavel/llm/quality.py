@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from karavel.llm.common import IS_SPACE, Words, chunks, sorted_parts
+from karavel.llm.common import IS_SPACE, Words, chunks, sorted_parts, with_column
 
 SAMPLE_ROWS = 400  # documents that cost and selectivity are estimated on; they decide the order only, never a verdict
 REPEAT_WINDOW = 8
@@ -154,7 +154,7 @@ def apply_rules(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + RULES, s
                 names = pa.array([order[k].name if k >= 0 else None for k in found], pa.string())
                 yield pa.RecordBatch.from_arrays([*part.columns, names], [*part.schema.names, "failed_rule"])
 
-    return docs.mapInArrow(judge, docs.schema.add("failed_rule", "string"))
+    return docs.mapInArrow(judge, with_column(docs, "failed_rule", "string"))
 
 
 def measured(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from karavel.llm import quality, token_counts, warc
+from karavel.llm import html_text, near_dedup, quality, sentencepiece_codec, token_counts, warc
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -17,6 +17,18 @@ def op5_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.length_histogram(token_counts.encoded_lengths(table(spark, folder, "documents")))
 
 
+def op3_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    return html_text.extract_text(table(spark, folder, "pages"))
+
+
+def op6_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, folder, "documents"), k=4)
+
+
+def op7_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    return sentencepiece_codec.round_trip(table(spark, folder, "documents"))
+
+
 def op9_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc.round_trip(table(spark, folder, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "digest_ok")
 
@@ -56,7 +68,10 @@ from m
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_html_text": op3_html_text,
     "op5_token_counts": op5_token_counts,
+    "op6_near_dedup": op6_near_dedup,
+    "op7_sentencepiece": op7_sentencepiece,
     "op9_warc": op9_warc,
     "op10_quality_rules": op10_quality_rules,
 }
