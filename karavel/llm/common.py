@@ -111,8 +111,8 @@ def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
 class Words:
     """The words of some texts: ``starts`` and ``ends`` in ``buf``, ``first`` word of each text, ``hashes``."""
 
-    def __init__(self, texts: pa.Array, lower: bool = False):
-        self.buf, self.off = text_bytes(texts)
+    def __init__(self, texts: pa.Array | tuple[np.ndarray, np.ndarray], lower: bool = False):
+        self.buf, self.off = texts if isinstance(texts, tuple) else text_bytes(texts)
         if lower:
             self.buf = LOWER[self.buf]
         n = len(self.buf)

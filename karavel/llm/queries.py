@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from karavel.llm import html_text, near_dedup, quality, sentencepiece_codec, token_counts, warc
+from karavel.llm import html_text, line_dedup, near_dedup, quality, sentencepiece_codec, token_counts, warc
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op7_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     return sentencepiece_codec.round_trip(table(spark, folder, "documents"))
 
 
+def op8_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, folder, "documents")).select("doc_id", "text", "n_lines", "n_removed")
+
+
 def op9_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc.round_trip(table(spark, folder, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "digest_ok")
 
@@ -72,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_token_counts": op5_token_counts,
     "op6_near_dedup": op6_near_dedup,
     "op7_sentencepiece": op7_sentencepiece,
+    "op8_line_dedup": op8_line_dedup,
     "op9_warc": op9_warc,
     "op10_quality_rules": op10_quality_rules,
 }
