@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from karavel.llm import html_text, line_dedup, near_dedup, quality, sentencepiece_codec, token_counts, warc
+from karavel.llm import decontaminate, html_text, line_dedup, near_dedup, quality, sentencepiece_codec, token_counts, warc
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -17,6 +17,11 @@ def op5_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.length_histogram(token_counts.encoded_lengths(table(spark, folder, "documents")))
 
 
+def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    leaks = decontaminate.find_leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return leaks.select("doc_id", "item_id", "shared", "similarity")
+
+
 def op3_html_text(spark: SparkSession, folder: str) -> DataFrame:
     return html_text.extract_text(table(spark, folder, "pages"))
 
@@ -41,6 +46,21 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.measured(table(spark, folder, "documents"))
 
 
+# every window that holds a shingle of the item is tried; items have five words or more
+OP2_SQL = r"""
+with w as (select doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') ws from documents),
+  b as (select item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') ws from benchmark),
+  d as (select doc_id, n, p, ws[p + 1:p + 5] g from (select doc_id, ws, len(ws) n, unnest(range(0, len(ws) - 4)) p from w where len(ws) >= 5)),
+  i as (select item_id, n, p, ws[p + 1:p + 5] g from (select item_id, ws, len(ws) n, unnest(range(0, len(ws) - 4)) p from b where len(ws) >= 5)),
+  ic as (select item_id, g, count(*) c from i group by all),
+  near as (select distinct d.doc_id, d.n, i.item_id, i.n size, d.p from d join i using (g)),
+  starts as (select distinct doc_id, item_id, size, least(n, size) - 4 runs, unnest(range(greatest(0, p - size + 5), 1 + least(p, greatest(0, n - size)))) s from near),
+  wc as (select s.doc_id, s.item_id, s.size, s.runs, s.s, d.g, count(*) c from starts s join d on d.doc_id = s.doc_id and d.p >= s.s and d.p < s.s + s.runs group by all),
+  sh as (select doc_id, item_id, runs, size - 4 item_runs, s, sum(least(wc.c, ic.c))::bigint shared from wc join ic using (item_id, g) group by all)
+select doc_id, item_id, max(shared) shared, max(shared / (runs + item_runs - shared)) similarity
+from sh where 100 * shared >= 80 * (runs + item_runs - shared) group by doc_id, item_id
+"""
+
 OP9_SQL = """
 with p as (select page_id, coalesce(html, '') h from pages),
   d as (select page_id, octet_length(encode(h)) payload_bytes, upper(sha1(h)) x, h from p),
@@ -72,6 +92,7 @@ from m
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_decontamination": op2_decontamination,
     "op3_html_text": op3_html_text,
     "op5_token_counts": op5_token_counts,
     "op6_near_dedup": op6_near_dedup,
@@ -80,4 +101,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_warc": op9_warc,
     "op10_quality_rules": op10_quality_rules,
 }
-ORACLES = {"op9_warc": OP9_SQL, "op10_quality_rules": OP10_SQL}
+ORACLES = {"op2_decontamination": OP2_SQL, "op9_warc": OP9_SQL, "op10_quality_rules": OP10_SQL}
