@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from karavel.llm import decontaminate, html_text, line_dedup, near_dedup, quality, sentencepiece_codec, token_counts, warc
+from karavel.llm import decontaminate, html_text, language_id, line_dedup, near_dedup, quality, sentencepiece_codec, token_counts, warc
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op4_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return language_id.identify(table(spark, folder, "documents"))
+
+
 def op5_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.length_histogram(token_counts.encoded_lengths(table(spark, folder, "documents")))
 
@@ -94,6 +98,7 @@ from m
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontamination": op2_decontamination,
     "op3_html_text": op3_html_text,
+    "op4_language_id": op4_language_id,
     "op5_token_counts": op5_token_counts,
     "op6_near_dedup": op6_near_dedup,
     "op7_sentencepiece": op7_sentencepiece,
