@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from karavel.llm import decontaminate, html_text, language_id, line_dedup, near_dedup, quality, sentencepiece_codec, token_counts, warc
+from karavel.llm import decontaminate, html_text, language_id, line_dedup, near_dedup, quality, sentencepiece_codec, suffix_dedup, token_counts, warc
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -21,6 +21,12 @@ def op5_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.length_histogram(token_counts.encoded_lengths(table(spark, folder, "documents")))
 
 
+def op1_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    left = suffix_dedup.remove_repeats(table(spark, folder, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda total, x: total + x["end"] - x["start"])
+    return left.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     leaks = decontaminate.find_leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
     return leaks.select("doc_id", "item_id", "shared", "similarity")
@@ -96,6 +102,7 @@ from m
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_decontamination": op2_decontamination,
     "op3_html_text": op3_html_text,
     "op4_language_id": op4_language_id,
