@@ -1,18 +1,47 @@
-"""The corpus pipeline: quality rules, and the stages after it."""
+"""The corpus pipeline: quality rules, line dedup, near copies, benchmark passages, then pieces."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from karavel.llm import quality
+from karavel.llm import decontaminate, line_dedup, near_dedup, quality, sentencepiece_codec
 from karavel.llm.common import stage
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that no rule rejects."""
     return quality.apply_rules(docs).where("failed_rule is null").select(docs.columns)
 
 
-STAGES = [("quality_rules", quality_rules)]
+def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that stand elsewhere; those of which only blank lines would be left go, n_chars follows the text."""
+    left = line_dedup.dedup_lines(docs)
+    left = left.where((F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    return left.withColumn("n_chars", F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.length("text"))).select(docs.columns)
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies (five words, 0.8), the one with the smallest doc_id."""
+    return near_dedup.one_of_each(docs).select(docs.columns)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that repeat no benchmark item."""
+    return decontaminate.remove_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(docs.columns)
+
+
+def sentencepiece_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, score, ids, round_trip of every document that is left."""
+    return sentencepiece_codec.round_trip(docs)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("line_dedup", line_dedup_stage),
+    ("near_dedup", near_dedup_stage),
+    ("decontamination", decontamination_stage),
+    ("sentencepiece", sentencepiece_stage),
+]
 ORACLE_SQL = None
 
 

@@ -181,10 +181,9 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         rank = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("x"))
         up = both.groupBy("a").agg(F.min(rank("b")).alias("least")).select("a", F.least("least", rank("a"))["x"].alias("r"))
-        up = stage(up, name)
-        for _ in range(2):
-            top = up.select(F.col("a").alias("r"), F.col("r").alias("rr"))
-            up = stage(up.join(top, "r").select("a", F.col("rr").alias("r")), name)
+        up = sized(stage(up, name))
+        second, third = up.select(F.col("a").alias("r"), F.col("r").alias("r2")), up.select(F.col("a").alias("r2"), F.col("r").alias("r3"))
+        up = sized(stage(up.join(second, "r").join(third, "r2").select("a", F.col("r3").alias("r")), name))
         steps.append(up)
         left = up.select("a", F.col("r").alias("ra"))
         right = up.select(F.col("a").alias("b"), F.col("r").alias("rb"))
@@ -195,51 +194,74 @@ def components(edges: DataFrame, name: str) -> DataFrame:
     found = steps[0].select(F.col("a").alias("id"), F.col("r").alias("root"))
     for up in steps[1:]:
         found = found.join(up, found["root"] == up["a"], "left").select("id", F.coalesce("r", "root").alias("root"))
-    return stage(found, name)
+    return sized(stage(found, name) if len(steps) > 1 else found)
 
 
-STAR_ROUNDS = 6  # how often large mixed buckets are tried against one member each before all pairs are
-PAIRS_PER_ROW = 16  # all open pairs of the buckets are tried once there are no more than so many for each row
-BLOCK = 64  # members of a bucket that one row of the last step meets
+BLOCK = 4096  # members of a bucket that are compared in one piece once all pairs are tried
+Side = Callable[[str], Column]  # gives a column of one of the two items of a pair
+BIN = 1.05  # sizes up to so many times as large count as one
 
 
-def linked_groups(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
+def linked_groups(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], name: str, bound: Callable[[DataFrame], DataFrame] | None = None, fits: Callable[[Side, Side], Column] | None = None) -> DataFrame:
     """Groups of items linked through pairs that share a bucket and pass ``verify``, as (id, root).
 
-    ``buckets`` (staged): bucket, id. ``verify`` takes distinct pairs (a, b) and returns those that are linked.
-    Members are first tried against one member of their bucket, so a group of any size costs one pair a
-    member. Buckets whose members all got into one group are finished; in the others every pair between
-    different groups is tried in the end, cut into blocks, so no link is lost.
+    ``buckets``: bucket, id. ``verify`` takes distinct pairs (a, b) and returns those that are linked. Members are
+    first tried against one member of their bucket, so a group of any size costs one pair a member. Buckets
+    whose members all got into one group are finished. The others are tried against other members as long
+    as that links many; in the end every pair between different groups is tried, so no link is lost.
+    ``bound`` keeps these few: from (id, root) it makes (id, size, low, reach) of the items that may be linked with
+    another group at all, which is only so if the size of each is from ``low`` to ``reach`` of the other, and if
+    ``fits`` holds for the further columns of both.
     """
-    rows = buckets.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("pivot")).where("n > 1")
-    rows = buckets.join(stage(rows, name), "bucket")
-    pairs = rows.where("id <> pivot").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
-    links = stage(verify(stage(pairs, name)), name)
-    members = stage(rows.select("bucket", "id"), name)
-    for turn in range(STAR_ROUNDS + 1):
-        roots = components(links, name)
-        named = members.join(roots, "id", "left").select("bucket", "id", F.coalesce("root", "id").alias("root"))
-        named = stage(named, name)
-        parts = named.groupBy("bucket", "root").agg(F.count("*").alias("c"))
-        open_ = parts.groupBy("bucket").agg(F.count("*").alias("parts"), F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("own"))
-        open_ = stage(open_.where("parts > 1").select("bucket", "n", ((F.col("n") * F.col("n") - F.col("own")) / 2).cast("long").alias("pairs")), name)
-        total = open_.agg(F.sum("n"), F.sum("pairs")).first()
-        if not total[0]:
-            return roots
-        last = turn == STAR_ROUNDS or total[1] <= PAIRS_PER_ROW * total[0]
-        members = named.join(open_, "bucket")
-        if last:
-            blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-            left = members.select("bucket", "id", "root", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"))
-            right = members.select("bucket", F.col("id").alias("to"), F.col("root").alias("to_root"), F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block"))
-            pairs = left.join(right, ["bucket", "block"]).where("root <> to_root and id < to").select(F.col("id").alias("a"), F.col("to").alias("b"))
+    rows = buckets.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("pivot")).where("n > 1").select("bucket", "pivot")
+    members = stage(buckets.join(sized(stage(rows, name)), "bucket"), name)
+    links = roots = None
+    turn, last = 0, False
+    while True:
+        if turn == 0:
+            pairs = members.where("id <> pivot").select("id", F.col("pivot").alias("to"))
         else:
-            order = F.struct(F.xxhash64("id", "bucket", F.lit(turn)).alias("h"), F.col("id").alias("to"), F.col("root").alias("to_root"))
-            pivots = stage(members.groupBy("bucket").agg(F.min(order).alias("p")).select("bucket", "p.to", "p.to_root"), name)
-            pairs = members.join(pivots, "bucket").where("root <> to_root").select(F.least("id", "to").alias("a"), F.greatest("id", "to").alias("b"))
-        more = stage(verify(stage(pairs.distinct(), name)), name)
-        links = links.unionByName(more)
+            named = stage(members.join(roots, "id", "left").select("bucket", "id", F.coalesce("root", "id").alias("root")), name)
+            mixed = named.groupBy("bucket").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
+            mixed = sized(stage(mixed.where("low <> high").select("bucket", "n"), name))
+            if mixed.isEmpty():
+                return roots
+            members = stage(named.join(mixed, "bucket"), name)
+            if last:
+                pairs = _pairs_between_groups(members, bound, fits, name)
+            else:
+                order = F.struct(F.xxhash64("id", "bucket", F.lit(turn)).alias("h"), F.col("id").alias("to"), F.col("root").alias("to_root"))
+                pivots = sized(stage(members.groupBy("bucket").agg(F.min(order).alias("p")).select("bucket", "p.to", "p.to_root"), name))
+                pairs = members.join(pivots, "bucket").where("root <> to_root").select("id", "to")
+            members = members.select("bucket", "id")
+        pairs = stage(pairs.select(F.least("id", "to").alias("a"), F.greatest("id", "to").alias("b")).distinct(), name)
+        more = stage(verify(pairs), name)
+        links = more if links is None else links.unionByName(more)
+        if turn == 0 or not more.isEmpty():
+            roots = components(links, name)
         if last:
-            return components(links, name)
-        members = stage(members.select("bucket", "id"), name)
-    raise AssertionError("unreachable")
+            return roots
+        last = turn > 0 and 50 * more.count() <= pairs.count()
+        turn += 1
+
+
+def _pairs_between_groups(members: DataFrame, bound: Callable[[DataFrame], DataFrame] | None, fits: Callable[[Side, Side], Column] | None, name: str) -> DataFrame:
+    """All pairs (id, to) of a bucket whose groups differ and whose sizes allow a link, each once.
+
+    Members meet by bucket, class of size and block of at most about BLOCK members, so one large bucket is many tasks' work.
+    """
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    if bound is None:
+        members = members.withColumn("size", F.lit(1)).withColumn("low", F.lit(1)).withColumn("reach", F.lit(1))
+    else:
+        members = members.join(sized(stage(bound(members.select("id", "root").distinct()), name)), "id").where("low <= reach")
+    bin_ = lambda c: F.floor(F.log(BIN, F.greatest(F.col(c), F.lit(1)))).cast("int")
+    kept = [c for c in members.columns if c not in ("bucket", "id", "n")]
+    left = members.select("bucket", "id", *kept, F.explode(F.sequence(bin_("low"), bin_("reach"))).alias("bin"), blocks.alias("blocks"))
+    left = left.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    to = [F.col(c).alias(f"to_{c}") for c in kept]
+    right = members.select("bucket", F.col("id").alias("to"), *to, bin_("size").alias("bin"), F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block"))
+    pairs = left.join(right, ["bucket", "bin", "block"]).where("root <> to_root and id < to and to_size between low and reach and size between to_low and to_reach")
+    if fits is not None:
+        pairs = pairs.where(fits(F.col, lambda c: F.col(f"to_{c}")))
+    return pairs.select("id", "to")

@@ -7,10 +7,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from karavel.llm.common import Words, chunks, linked_groups, mix, part_sums, seeds, sized, sorted_parts, stage, text_key
+from karavel.llm.common import Side, Words, chunks, linked_groups, mix, part_sums, seeds, sized, sorted_parts, stage, text_key
 
+PARITY_WORDS = 16  # 64-bit words of parity bits by which sets are compared before their texts are
 CACHE_ROWS = 1 << 14  # shingles hashed at a time, so that they stay in the processor's cache
 
 
@@ -103,7 +104,7 @@ def sketch_documents(docs: DataFrame, k: int, sketch: SetSketch) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, sketch: SetSketch = SetSketch()) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every document.
+    """doc_id, n_shingles, component_id, kept of every document, then th (hash of the text) and group (null without shingles).
 
     A text is the set of its distinct k-word shingles, with fewer words all of them as one. Documents are linked if
     100 * shared >= percent * all; component_id is the smallest doc_id that links lead to, its own included, and
@@ -147,27 +148,74 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, sketch: SetS
                     keep.append(100 * both >= percent * (len(x) + len(y) - both))
                 yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
+    source = docs.withColumn("th", text_key())
+    repeated = _repeated(rows)
+
+    def texts_of(ids: DataFrame) -> DataFrame:
+        """id, text for (id)."""
+        wanted = sized(stage(ids.join(sets, "id").select("id", "one.doc_id", "one.th"), "near_wanted"))
+        found = source.join(wanted, source["doc_id"].eqNullSafe(wanted["doc_id"]) & (source["th"] == wanted["th"])).select("id", "text")
+        return stage(found.groupBy("id").agg(F.first("text").alias("text")) if repeated else found, "near_texts")
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks(batch):
+                h, bounds = shingle_sets(part.column("text"), k)
+                owner = pa.array(np.repeat(np.arange(part.num_rows), np.diff(bounds)))
+                yield pa.RecordBatch.from_arrays([part.column("id").take(owner), part.column("root").take(owner), pa.array(h.view(np.int64))], ["id", "root", "h"])
+
+    def bound(named: DataFrame) -> DataFrame:
+        """At most the ``c`` shingles that also occur in another group can be shared with one: sizes n and m allow a link only if 100 c >= percent (n + m - c)."""
+        named = stage(named, "near_open")
+        shingles = stage(texts_of(named.select("id")).join(sized(named), "id").mapInArrow(spread, "id long, root long, h long"), "near_shingles")
+        both = shingles.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("h")
+        common = shingles.join(stage(both, "near_common"), "h").groupBy("id").agg(F.count("*").alias("c"))
+        size = F.col("n_shingles")
+        reach = F.floor(100 * F.col("c") / percent) + F.col("c") - size
+        common = common.join(sets, "id").select("id", size.alias("size"), F.ceil(percent * size / 100).alias("low"), reach.alias("reach")).where("low <= reach")
+        bit = F.expr("shiftleft(1L, cast(h & 63 as int))")
+        word = F.pmod(F.shiftright("h", 6), F.lit(PARITY_WORDS))
+        parity = shingles.groupBy("id").agg(*(F.bit_xor(F.when(word == i, bit).otherwise(F.lit(0).cast("long"))).alias(f"b{i}") for i in range(PARITY_WORDS)))
+        return common.join(parity, "id")
+
+    def fits(x: Side, y: Side) -> Column:
+        """Each shingle that only one set has changes one parity bit, so at least as many shingles differ as bits do."""
+        differ = sum((F.bit_count(x(f"b{i}").bitwiseXOR(y(f"b{i}"))) for i in range(PARITY_WORDS)), F.lit(0))
+        return (100 + percent) * differ <= (100 - percent) * (x("size") + y("size"))
+
     def verify(pairs: DataFrame) -> DataFrame:
         a = sets.select(F.col("id").alias("a"), F.col("n_shingles").alias("na"), F.col("registers").alias("ra"))
         b = sets.select(F.col("id").alias("b"), F.col("n_shingles").alias("nb"), F.col("registers").alias("rb"))
         pairs = stage(pairs.join(a, "a").join(b, "b").mapInArrow(likely, "a long, b long"), "near_likely")
-        ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-        wanted = ids.join(sets, "id").select("id", "one.doc_id", "one.th")
-        wanted = sized(stage(wanted, "near_wanted"))
-        source = docs.withColumn("th", text_key())
-        found = source.join(wanted, source["doc_id"].eqNullSafe(wanted["doc_id"]) & (source["th"] == wanted["th"])).select("id", "text")
-        texts = stage(found.groupBy("id").agg(F.first("text").alias("text")) if _repeated(rows) else found, "near_texts")
+        texts = texts_of(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
         a, b = texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
         return pairs.join(a, "a").join(b, "b").mapInArrow(linked, "a long, b long")
 
-    roots = linked_groups(buckets, verify, "near_links")
+    roots = linked_groups(buckets, verify, "near_links", bound, fits)
     named = sets.join(roots, "id", "left").select(*key, "least_doc", F.coalesce("root", "id").alias("root"))
     named = stage(named, "near_named")
-    least = stage(named.groupBy("root").agg(F.min("least_doc").alias("component_id")), "near_components")
-    named = stage(named.join(least, "root").select(*key, "component_id"), "near_named_sets")
-    out = rows.select("doc_id", *key).join(named, key, "left")
-    out = out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    least = sized(stage(named.groupBy("root").agg(F.min("least_doc").alias("component_id")), "near_components"))
+    named = stage(named.join(least, "root").select(*key, "component_id", F.col("root").alias("group")), "near_named_sets")
+    out = rows.select("doc_id", "th", *key).join(named, key, "left")
+    component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "th", "group")
+
+
+def one_of_each(docs: DataFrame, **options) -> DataFrame:
+    """Documents (all columns) without near copies: of each group the one with the smallest doc_id stays (null comes last, then by hash of the text).
+
+    Documents without shingles stay. Rows that agree in doc_id and text are one document, of which one row stays.
+    """
+    found = stage(near_duplicates(docs, **options).select("doc_id", "th", "group"), "near_found")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
+    first = stage(found.where("group is not null").groupBy("group").agg(F.min(order).alias("first")), "near_first")
+    gone = found.join(first, "group").where(order != F.col("first")).select(F.struct("doc_id", "th").alias("copy")).distinct()
+    gone = sized(stage(gone, "near_gone"))
+    left = docs.join(gone, F.struct(docs["doc_id"], F.xxhash64(docs["text"]).alias("th")).eqNullSafe(gone["copy"]), "left_anti")
+    if not _repeated(found):
+        return left
+    left = left.withColumn("__th", text_key()).dropDuplicates(["doc_id", "__th"])
+    return left.drop("__th")
 
 
 def _repeated(rows: DataFrame) -> bool:

@@ -37,7 +37,7 @@ def op3_html_text(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op6_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    return near_dedup.near_duplicates(table(spark, folder, "documents"), k=4)
+    return near_dedup.near_duplicates(table(spark, folder, "documents"), k=4).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op7_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
