@@ -81,10 +81,30 @@ def hash_halves(hash_col: Column) -> tuple[Column, Column]:
     return F.shiftright(hash_col, 32), hash_col.bitwiseAND(F.lit(WORD - 1))
 
 
-def like_schema(df: DataFrame, model: DataFrame, cols: list[str]) -> DataFrame:
-    """Select ``cols`` cast to the types they have in ``model``."""
-    types = {f.name: f.dataType for f in model.schema.fields}
-    return df.select(*[F.col(c).cast(types[c]).alias(c) for c in cols])
+def common_type(a: T.DataType, b: T.DataType) -> T.DataType | None:
+    """A type that holds the values of both without loss; None if there is none."""
+    if a == b:
+        return a
+    whole = {T.ByteType: 3, T.ShortType: 5, T.IntegerType: 10, T.LongType: 19}
+    if type(a) in whole and type(b) in whole:
+        return max(a, b, key=lambda t: whole[type(t)])
+    digits = lambda t: (t.precision - t.scale, t.scale) if isinstance(t, T.DecimalType) else (whole[type(t)], 0) if type(t) in whole else None
+    if digits(a) and digits(b):
+        left, right = (max(x) for x in zip(digits(a), digits(b)))
+        return T.DecimalType(left + right, right) if left + right <= 38 else None
+    if {type(a), type(b)} == {T.FloatType, T.DoubleType}:
+        return T.DoubleType()
+    if {type(a), type(b)} <= {T.StringType, T.VarcharType, T.CharType}:
+        return T.StringType()
+    if {type(a), type(b)} in ({T.DateType, T.TimestampType}, {T.DateType, T.TimestampNTZType}):
+        return b if isinstance(a, T.DateType) else a
+    return None
+
+
+def alike(a: DataFrame, b: DataFrame, cols: list[str]) -> tuple[DataFrame, DataFrame]:
+    """``cols`` of both tables in types that hold the values of either; as text where there is no such type."""
+    wide = {c: common_type(a.schema[c].dataType, b.schema[c].dataType) or T.StringType() for c in cols}
+    return tuple(df.select(*[F.col(c).cast(wide[c]).alias(c) for c in cols]) for df in (a, b))
 
 
 def is_integral(df: DataFrame, col: str) -> bool:

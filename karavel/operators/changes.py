@@ -14,16 +14,20 @@ from karavel.functions.expr import all_equal, lsn_to_pos
 from karavel.functions.ordered import ROWS_PER_RANGE, last_known, running_sum
 from karavel.functions.sized import settle
 
+EMPTIES = ("T", "X")  # operations after which a table has no rows
 COPIES_PER_ROW = 100_000  # equal rows that one row may expand into at a time
 
 
 # ---------------------------------------------------------------------------------------- decode
 
 
-def decode_changes(records: DataFrame, row_schema: T.StructType, text: str = "value") -> DataFrame:
+def decode_changes(
+    records: DataFrame, row_schema: T.StructType, text: str = "value", key_type: T.DataType | None = None
+) -> DataFrame:
     """JSON change records to typed rows ``(pos, xid, op, tbl, key, after, before, malformed, raw)``.
 
-    A record has ``lsn, xid, action, table, key, after, before``. A record that does not parse, lacks
+    A record has ``lsn, xid, action, table, key, after, before``. The key is a bigint unless ``key_type`` says
+    otherwise: a text, or a struct for a key of several columns. A record that does not parse, lacks
     a position or has an unknown action stays in the result with ``malformed`` set, for the error policy.
     """
     shape = T.StructType(
@@ -32,7 +36,7 @@ def decode_changes(records: DataFrame, row_schema: T.StructType, text: str = "va
             T.StructField("xid", T.LongType()),
             T.StructField("action", T.StringType()),
             T.StructField("table", T.StringType()),
-            T.StructField("key", T.LongType()),
+            T.StructField("key", key_type or T.LongType()),
             T.StructField("after", row_schema),
             T.StructField("before", row_schema),
             T.StructField("bad", T.StringType()),
@@ -58,6 +62,34 @@ def decode_changes(records: DataFrame, row_schema: T.StructType, text: str = "va
     return out.withColumn("malformed", malformed).drop("bad")
 
 
+def row_changes(decoded: DataFrame, key: list[str]) -> DataFrame:
+    """Sound decoded records as flat rows ``(pos, seq, op, tbl, columns of the table)``, ready to be applied.
+
+    An update that changes the key, or any update of a table without one (``key`` empty), becomes a delete of the
+    old image and an insert of the new one at the same position; ``seq`` keeps them in this order, so
+    order by ``[pos, seq]``. Truncates and drops come through with empty columns.
+    """
+    cols = [f.name for f in decoded.schema["after"].dataType]
+    same = F.lit(bool(key))
+    for k in key:
+        same = same & F.col("before")[k].eqNullSafe(F.col("after")[k])
+    split = (F.col("op") == "U") & F.col("before").isNotNull() & ~same
+
+    def step(seq: int, op: Column, image: Column) -> Column:
+        return F.struct(F.lit(seq).alias("seq"), op.alias("op"), image.alias("row"))
+
+    image = F.when(F.col("op") == "D", F.coalesce("before", "after")).otherwise(F.col("after"))
+    both = F.array(step(0, F.lit("D"), F.col("before")), step(1, F.lit("I"), F.col("after")))
+    steps = F.when(split, both).otherwise(F.array(step(0, F.col("op"), image)))
+    if "key" in decoded.columns and len(key) == 1:  # a delete may bring its key only
+        out = decoded.filter(~F.col("malformed")).select("pos", "tbl", "key", F.explode(steps).alias("__s"))
+        columns = [F.coalesce(F.col(f"__s.row.{c}"), F.col("key")).alias(c) if c == key[0] else F.col(f"__s.row.{c}") for c in cols]
+    else:
+        out = decoded.filter(~F.col("malformed")).select("pos", "tbl", F.explode(steps).alias("__s"))
+        columns = [F.col(f"__s.row.{c}") for c in cols]
+    return out.select("pos", "__s.seq", "__s.op", "tbl", *columns)
+
+
 # ------------------------------------------------------------------------------- cut by position
 
 
@@ -89,8 +121,9 @@ def whole_transactions(changes: DataFrame, endpos: int, xid: str = "xid") -> Dat
 
 
 def route_changes(changes: DataFrame, published: DataFrame, table: str = "tbl") -> DataFrame:
-    """Changes of the published tables only."""
-    return changes.join(published.select(table).distinct(), table, "left_semi")
+    """Changes of the published tables only. The list is settled first, so that a short one is sent to the log's scan."""
+    listed, _ = settle(published.select(table).distinct(), "published")
+    return changes.join(listed, table, "left_semi")
 
 
 # ---------------------------------------------------------------------------------- collapse, apply
@@ -107,10 +140,18 @@ def net_changes(changes: DataFrame, key: list[str], order: list[str] | None = No
 def apply_changes(target: DataFrame, changes: DataFrame, key: list[str], order: list[str] | None = None) -> DataFrame:
     """The target after the changes, with the upsert rule: insert and update both set the row.
 
-    The join carries keys only on the change side, so it becomes a broadcast without any shuffle of the
-    target when the net keys are small, and a shuffle join otherwise.
+    A truncate or drop (``T``, ``X``) empties the target, and only later changes count; other operations are no
+    rows and are passed over. The net changes are computed once, in the shared folder, so their size is known: few are
+    sent to the target's scan, which is then not shuffled, many are joined by shuffle.
     """
-    net = net_changes(changes, key, order)
+    order = order or ["pos"]
+    if set(order) <= set(changes.columns):
+        place = F.struct(*order)
+        cut = changes.filter(F.col("op").isin(*EMPTIES)).agg(F.max(place).alias("cut")).first()["cut"]  # one row
+        if cut is not None:
+            changes = changes.filter(place > F.struct(*[F.lit(v).cast(changes.schema[c].dataType).alias(c) for c, v in zip(order, cut)]))
+            target = target.limit(0)
+    net, _ = settle(net_changes(changes.filter(F.col("op").isin("I", "U", "D")), key, order), "net_changes")
     kept = target.join(net.select(*key), key, "left_anti").select(*target.columns)
     return kept.unionByName(net.filter(F.col("op") != "D").select(*target.columns))
 
@@ -136,13 +177,15 @@ def repeat_rows(df: DataFrame, times: str, copies_per_row: int = COPIES_PER_ROW)
 def apply_changes_keyless(
     target: DataFrame,
     changes: DataFrame,
-    pos: str | None = None,
+    pos: str | list[str] | None = None,
     *,
     rows_per_range: int = ROWS_PER_RANGE,
     copies_per_row: int = COPIES_PER_ROW,
 ) -> DataFrame:
     """Apply full-image inserts and deletes to a table without a key; one delete takes one equal row away.
 
+    Updates have to be split into both first, which ``row_changes`` does; order by ``["pos", "seq"]`` then.
+
     Without a position, deletes take rows of the target only and inserts are added afterwards. With a
     position the log order counts: a delete also takes a row inserted before it, and a delete that
     finds no row does nothing. For rows 0..n at the start that gives ``max(n + net, net - low)`` at the end, with
@@ -160,16 +203,18 @@ def apply_changes_keyless(
         final = F.greatest(F.col("__n") - F.col("__down"), F.lit(0)) + F.col("__up")
     else:
         step = (1 - 2 * is_delete).cast("bigint")
-        summed = running_sum(changes, cols, [pos], "__run", step, rows_per_range=rows_per_range)
+        summed = running_sum(changes, cols, [pos] if isinstance(pos, str) else pos, "__run", step, rows_per_range=rows_per_range)
         images = summed.groupBy(*cols).agg(
             F.sum(step).alias("__up"), F.least(F.min("__run"), F.lit(0)).alias("__down"), F.sum(is_delete).alias("__deletes")
         )
         final = F.greatest(F.col("__n"), -F.col("__down")) + F.col("__up")
 
-    sought = images.filter(F.col("__deletes") > 0).select(*[F.col(c).alias(f"__i_{c}") for c in cols])
+    images, _ = settle(images, "keyless_images")
+    sought = images.filter(F.col("__deletes") > 0).select(*[F.col(c).alias(f"__i_{c}") for c in cols], F.lit(True).alias("__sought"))
     same = all_equal((target[c], sought[f"__i_{c}"]) for c in cols)
-    untouched = target.join(sought, same, "left_anti")
-    found = target.join(sought, same, "left_semi").withColumn("__n", F.lit(1).cast("bigint"))
+    marked = target.join(sought, same, "left").select(*[target[c] for c in cols], "__sought")  # at most one match
+    untouched = marked.filter(F.col("__sought").isNull()).select(*cols)
+    found = marked.filter(F.col("__sought")).select(*cols, F.lit(1).cast("bigint").alias("__n"))
     # equal rows of the target and the steps of their image meet in one count per image
     steps = images.select(*cols, "__up", "__down")
     counted = found.unionByName(steps, allowMissingColumns=True).groupBy(*cols)
@@ -233,7 +278,8 @@ def classify_changes(
     stated = last_known(marked, [table, *key] if table in changes.columns else key, ["pos"], "__state", sets, rows_per_range=rows_per_range)
 
     # only the target keys that the batch names, so that a small batch does not shuffle the target
-    touched = target.select(*key).join(changes.select(*key).distinct(), key, "left_semi")
+    named, _ = settle(changes.select(*key).distinct(), "named_keys")
+    touched = target.select(*key).join(named, key, "left_semi")
     there = touched.select(*[F.col(k).alias(f"__t_{k}") for k in key], F.lit(True).alias("__there"))
     cond = F.lit(True)
     for k in key:
@@ -323,14 +369,14 @@ def add_columns(df: DataFrame, added: T.StructType, policy: DdlPolicy = DdlPolic
 
 def sync_changed_keys(source: DataFrame, target: DataFrame, changed: DataFrame, key: list[str]) -> DataFrame:
     """The target with all rows of the changed keys replaced by the source rows of these keys."""
-    keys = changed.select(*key).distinct()
+    keys, _ = settle(changed.select(*key).distinct(), "changed_keys")
     kept = target.join(keys, key, "left_anti").select(*target.columns)
     return kept.unionByName(source.join(keys, key, "left_semi").select(*target.columns))
 
 
 def sync_counts(source: DataFrame, target: DataFrame, changed: DataFrame, key: list[str]) -> DataFrame:
     """One row: how many rows the sync deletes in the target and inserts from the source."""
-    keys = changed.select(*key).distinct()
+    keys, _ = settle(changed.select(*key).distinct(), "changed_keys")
     gone = target.join(keys, key, "left_semi").select(F.lit(1).alias("d"), F.lit(0).alias("i"))
     come = source.join(keys, key, "left_semi").select(F.lit(0).alias("d"), F.lit(1).alias("i"))
     return gone.unionByName(come).agg(

@@ -82,9 +82,11 @@ def schema_counts(inventory: DataFrame, owned: DataFrame, kind: str, n: int = 15
     return per.orderBy(F.col("objects").desc(), "schema_name").limit(n)
 
 
-def reset_plan(inventory: DataFrame, scope: Scope, protected: tuple[str, ...] = PROTECTED_SCHEMAS) -> DataFrame:
-    """What a reset drops: everything in scope outside the protected schemas, with its statement."""
-    within = scope_filter(inventory, scope).filter(~F.col("schema_name").isin(*protected))
+def reset_plan(
+    inventory: DataFrame, scope: Scope, protected: tuple[str, ...] = PROTECTED_SCHEMAS, owned: DataFrame | None = None
+) -> DataFrame:
+    """What a reset drops: everything in scope outside the protected schemas and not ``owned`` by an extension, with its statement."""
+    within = scope_filter(inventory if owned is None else _not_owned(inventory, owned), scope).filter(~F.col("schema_name").isin(*protected))
 
     def quoted(c: str) -> Column:
         return F.concat(F.lit("`"), F.replace(F.col(c), F.lit("`"), F.lit("``")), F.lit("`"))

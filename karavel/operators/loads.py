@@ -9,11 +9,12 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, Observation, Row, SparkSession, functions as F
 
-from karavel.sources.files import finished, size_of
+from karavel.functions.sized import settle
+from karavel.sources.files import delete, finished, list_names, size_of
 from karavel.sources.sinks import write_snapshot
 from karavel.sources.snapshot import read_part
 
-PROGRESS = "tbl string, part bigint, parts bigint, start_epoch bigint, done_epoch bigint, rows bigint, bytes bigint"
+PROGRESS = "tbl string, part bigint, parts bigint, lo bigint, hi bigint, start_epoch bigint, done_epoch bigint, rows bigint, bytes bigint"
 
 
 def _log_progress(spark: SparkSession, path: str, row: tuple) -> None:
@@ -23,10 +24,27 @@ def _log_progress(spark: SparkSession, path: str, row: tuple) -> None:
 
 
 def read_progress(spark: SparkSession, path: str) -> DataFrame:
+    """One row per task; a planned task that has not ended has no ``done_epoch``."""
     done = [f"{path}/{n}" for n in finished(spark, path)]
     return spark.read.schema(PROGRESS).parquet(*done) if done else spark.createDataFrame([], PROGRESS)
 
 
+def _clear_other_parts(spark: SparkSession, dest: str, progress: str, planned: list[Row]) -> None:
+    """Forget parts that an earlier load with other ranges has left; finished parts of the same plan stay."""
+    logged = {(r["tbl"], r["part"]): r for r in read_progress(spark, progress).collect()}  # a row per part
+    for table in {p["tbl"] for p in planned}:
+        own = {p["part"]: p for p in planned if p["tbl"] == table}
+        parts = next(iter(own.values()))["parts"]
+        same = {part for (t, part), r in logged.items() if t == table and r["parts"] == parts and r["done_epoch"] is not None}
+        for name in list_names(spark, f"{dest}/{table}"):
+            number = re.fullmatch(r"part-(\d+)", name)
+            if number and int(number[1]) not in same:
+                delete(spark, f"{dest}/{table}/{name}")
+        for t, part in logged:
+            if t == table and part not in same:
+                delete(spark, f"{progress}/{t}-{part}")
+
+
 def full_load(
     src_tables: dict[str, DataFrame],
     dest: str,
@@ -40,25 +58,37 @@ def full_load(
     """Write every planned ``(table, part)`` to ``dest/<table>/part-<n>`` and log each finished task.
 
     Parts are independent Spark jobs, ``table_jobs`` of them at a time, so a lost task is retried by
-    Spark and a lost run goes on with ``resume_plan``. Rows are counted while they are written.
+    Spark and a lost run goes on with ``resume_plan``. The plan with its ranges is logged before the first task.
+    Rows are counted while they are written. The first part is open below and the last one above. With
+    ``drop_and_create`` parts of an earlier load of the table that are not of this plan are deleted.
     """
     spark = parts.sparkSession
     planned = parts.orderBy("tbl", "part").collect()  # the plan: at most max_parts rows per table
+    if prep == "drop_and_create":
+        _clear_other_parts(spark, dest, progress, planned)
+    pool = ThreadPoolExecutor(max_workers=max(1, table_jobs))
+
+    def each(f) -> None:
+        for done in [pool.submit(inheritable_thread_target(spark)(f), p) for p in planned]:
+            done.result()
+
+    def plan(p: Row) -> None:
+        _log_progress(spark, progress, (p["tbl"], p["part"], p["parts"], p["lo"], p["hi"], None, None, None, None))
 
     def load(p: Row) -> None:
         df = src_tables[p["tbl"]]
         if p["parts"] > 1:
-            df = read_part(df, keys[p["tbl"]], p["lo"], p["hi"], with_nulls=p["part"] == 1)
+            df = read_part(df, keys[p["tbl"]], p["lo"], p["hi"], first=p["part"] == 1, last=p["part"] == p["parts"])
         out = f"{dest}/{p['tbl']}/part-{p['part']}"
         seen = Observation()
         start = int(time.time())
         write_snapshot(df.observe(seen, F.count("*").alias("rows")), out, prep)
-        done = (p["tbl"], p["part"], p["parts"], start, int(time.time()), seen.get["rows"], size_of(spark, out))
-        _log_progress(spark, progress, done)
+        times = (start, int(time.time()))
+        _log_progress(spark, progress, (p["tbl"], p["part"], p["parts"], p["lo"], p["hi"], *times, seen.get["rows"], size_of(spark, out)))
 
-    with ThreadPoolExecutor(max_workers=max(1, table_jobs)) as pool:
-        for f in [pool.submit(inheritable_thread_target(spark)(load), p) for p in planned]:
-            f.result()
+    with pool:
+        each(plan)
+        each(load)
     return read_progress(spark, progress)
 
 
@@ -71,7 +101,7 @@ def load_ignore_conflicts(df: DataFrame, target: DataFrame, key: list[str], orde
     """The target plus the rows whose key it lacks; of equal keys in the input the first by ``order`` counts."""
     rest = [c for c in df.columns if c not in key]
     first = F.min_by(F.struct(*rest), F.struct(*order))
-    once = df.groupBy(*key).agg(first.alias("__first")).select(*key, "__first.*").select(*df.columns)
+    once, _ = settle(df.groupBy(*key).agg(first.alias("__first")).select(*key, "__first.*").select(*df.columns), "first_rows")
     taken = target.select(*key).join(once.select(*key), key, "left_semi")  # a small input is sent to the target's scan
     return target.unionByName(once.join(taken, key, "left_anti").select(*target.columns))
 
@@ -87,12 +117,24 @@ def split_mismatch(plan: DataFrame, progress: DataFrame) -> DataFrame:
 
 
 def resume_plan(plan: DataFrame, progress: DataFrame) -> DataFrame:
-    """The planned tasks that no finished progress row covers. Other split settings than at first are an error."""
+    """The tasks that no finished progress row covers. Other split settings than at first are an error.
+
+    Ranges come from the first run where it logged them, since a plan made again after the table has
+    changed would cut it elsewhere. If the table has grown beyond the logged ranges, the part that is open on
+    that side is loaded again.
+    """
     wrong = split_mismatch(plan, progress).limit(5).collect()
     if wrong:
         raise SplitMismatch("split settings differ from the first run: " + ", ".join(str(r["tbl"]) for r in wrong))
     done = progress.filter(F.col("done_epoch").isNotNull()).select("tbl", "part").distinct()
-    return plan.join(done, ["tbl", "part"], "left_anti").select(*plan.columns)
+    if not {"lo", "hi"} <= set(plan.columns) & set(progress.columns):
+        return plan.join(done, ["tbl", "part"], "left_anti").select(*plan.columns)
+    logged = progress.groupBy("tbl", "part").agg(F.max("lo").alias("old_lo"), F.max("hi").alias("old_hi"), F.max("done_epoch").alias("done"))
+    both = plan.join(logged, ["tbl", "part"], "left")
+    grown = ((F.col("part") == 1) & (F.col("lo") < F.col("old_lo"))) | ((F.col("part") == F.col("parts")) & (F.col("hi") > F.col("old_hi")))
+    rest = both.filter(F.col("done").isNull() | F.coalesce(grown, F.lit(False)))
+    kept = {"lo": F.coalesce("old_lo", "lo").alias("lo"), "hi": F.coalesce("old_hi", "hi").alias("hi")}
+    return rest.select(*[kept.get(c, F.col(c)) for c in plan.columns])
 
 
 def reset_high_water(seqs: DataFrame, max_keys: DataFrame) -> DataFrame:

@@ -101,8 +101,16 @@ def scope_filter(
     table: str = "name",
     table_kinds: tuple[str, ...] = ("table",),
 ) -> DataFrame:
-    """The objects of an inventory ``(kind, schema, name, ...)`` that are in scope."""
+    """The objects of an inventory ``(kind, schema, name, ...)`` that are in scope.
+
+    Extensions and event triggers that the scope names are left out in every mode.
+    """
     known = schema_filter(drop_system(inventory, schema), scope, schema)
+    for kind, names in (("extension", scope.exclude_extension), ("event trigger", scope.exclude_event_trigger)):
+        if names:
+            known = _in_list(known.filter(F.col("kind") == kind), F.col(table), names, False).unionByName(
+                known.filter(~F.col("kind").eqNullSafe(F.lit(kind)))
+            )
     if scope.mode != "include-table" and not scope.exclude_table:
         return known
     has_table = F.col("kind").isin(*table_kinds)

@@ -6,6 +6,7 @@ Every check returns rows; ``verdict`` adds them up. A check that could not run i
 
 from __future__ import annotations
 
+import logging
 import math
 import uuid
 from collections.abc import Callable
@@ -14,9 +15,9 @@ from functools import reduce
 from threading import Timer
 
 from pyspark import inheritable_thread_target
-from pyspark.sql import Column, DataFrame, Row, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F, types as T
 
-from karavel.functions.expr import clamp, div, hash_halves, is_integral, like_schema, row_hash
+from karavel.functions.expr import alike, clamp, common_type, div, hash_halves, is_integral, row_hash
 from karavel.functions.sized import settle
 
 # Verdict per kind for objects that are missing in the target, extra in it, or changed.
@@ -214,7 +215,7 @@ def exact_counts(
         pct = None
         if diff is not None:
             pct = math.trunc(diff * 100 / counts[0]) if counts[0] > 0 else 0
-        verdict = {"MATCH": "PASS", "TIMEOUT": "WARN"}.get(state, "FAIL")
+        verdict = {"MATCH": "PASS", "TIMEOUT": "WARN", "ERROR": "ERROR"}.get(state, "FAIL")
         rows.append((name, state, *counts, diff, pct, verdict, detail))
     schema = "tbl string, state string, src_count bigint, tgt_count bigint, diff bigint, diff_pct bigint, verdict string, detail string"
     return spark.createDataFrame(rows, schema)
@@ -238,7 +239,7 @@ def minmax_check(
     """Min and max of single-column keys ``(tbl, column_name, type, est_rows)`` of the ``n`` biggest tables.
 
     The type test comes after the limit, so skipped tables use up the budget. Text comparison, NULL
-    equal to NULL; a query that fails is a FAIL.
+    equal to NULL; a query that fails is an ERROR.
     """
     top = keys.orderBy(F.col("est_rows").desc(), "tbl").limit(n)
     chosen = top.select("tbl", "column_name", "type", F.col("type").rlike(SPOT_TYPES).alias("fits")).collect()
@@ -261,7 +262,7 @@ def minmax_check(
         pair = [results[f"src {r['tbl']}"], results[f"tgt {r['tbl']}"]]
         values = [(None, None) if isinstance(p, str) else (p["lo"], p["hi"]) for p in pair]
         if any(isinstance(p, str) for p in pair):
-            verdict = "FAIL"
+            verdict = "ERROR"
         else:
             verdict = "PASS" if values[0] == values[1] else "FAIL"
         rows.append((r["tbl"], r["column_name"], r["type"], *values[0], *values[1], verdict))
@@ -284,7 +285,31 @@ def _bucket(df: DataFrame, key: list[str], partition_size: int, buckets: int) ->
 def _signed(src: DataFrame, tgt: DataFrame, cols: list[str]) -> DataFrame:
     """Rows of both sides with ``__sign``: source +1, target -1."""
     one = F.lit(1).cast("bigint")
-    return src.select(*cols).withColumn("__sign", one).unionByName(like_schema(tgt, src, cols).withColumn("__sign", -one))
+    return src.select(*cols).withColumn("__sign", one).unionByName(tgt.select(*cols).withColumn("__sign", -one))
+
+
+def type_diff(src: DataFrame, tgt: DataFrame) -> DataFrame:
+    """Columns of both tables whose types differ: ``(column_name, src_type, tgt_type, comparable)``.
+
+    Where the types have no common one, ``comparable`` is false, and values are compared as text.
+    """
+    both = [(f.name, f.dataType, tgt.schema[f.name].dataType) for f in src.schema if f.name in tgt.columns]
+    rows = [(n, a.simpleString(), b.simpleString(), common_type(a, b) is not None) for n, a, b in both if a != b]
+    return src.sparkSession.createDataFrame(rows, "column_name string, src_type string, tgt_type string, comparable boolean")
+
+
+# How text is compared, by the name of the option.
+COLLATIONS: dict[str, Callable[[Column], Column]] = {
+    "binary": lambda c: c,
+    "ignore_case": F.lower,
+    "ignore_trailing_blanks": F.rtrim,
+    "ignore_case_and_trailing_blanks": lambda c: F.lower(F.rtrim(c)),
+}
+
+
+def _collated(df: DataFrame, collation: str) -> DataFrame:
+    rule = COLLATIONS[collation]
+    return df.select(*[rule(F.col(f.name)).alias(f.name) if isinstance(f.dataType, T.StringType) else F.col(f.name) for f in df.schema])
 
 
 def _in_unequal_buckets(both: DataFrame, bucket: Column, hash_col: Column) -> DataFrame:
@@ -313,35 +338,43 @@ def row_diff(
     skip_cols: list[str] | None = None,
     partition_size: int = 10_000,
     buckets: int = 65_536,
+    collation: str = "binary",
+    counts: bool = False,
 ) -> DataFrame:
     """Rows that differ: key, state (MISSING_TARGET, MISSING_SOURCE, DIFFERENT), differing columns.
 
-    First pass: fingerprints per key bucket. Second pass: rows of unequal buckets are counted per full
-    image, equal images cancel, and what is left is put together per key. Copies of a row cancel by
-    count, so a key that is not unique cannot blow up the comparison.
+    Values are compared in types that hold those of both sides, text as ``collation`` says (see ``COLLATIONS``; keys come
+    back as compared). First pass: fingerprints per key bucket. Second pass: rows of unequal buckets are counted
+    per full image and side, then put together per key, one row each. A key is missing only if the other side has
+    no row of it; one that is not unique is DIFFERENT as soon as copies of any image differ, and ``counts`` adds
+    ``src_rows`` and ``tgt_rows``, the rows of the key on either side.
     """
     cols = [c for c in src.columns if c not in (skip_cols or [])]
     rest = [c for c in cols if c not in key]
+    src, tgt = (_collated(df, collation) for df in alike(src, tgt, cols))
     hit = _in_unequal_buckets(_signed(src, tgt, cols), _bucket(src, key, partition_size, buckets), row_hash(src, cols))
-    left = hit.groupBy(*cols).agg(F.sum("__sign").alias("__n")).filter(F.col("__n") != 0)
+    images = hit.groupBy(*cols).agg(F.count_if(F.col("__sign") > 0).alias("__a"), F.count_if(F.col("__sign") < 0).alias("__b"))
     image = F.struct(*rest) if rest else F.struct(F.lit(1).alias("__one"))
-    sides = left.groupBy(*key).agg(
-        F.max(F.when(F.col("__n") > 0, image)).alias("__s"), F.max(F.when(F.col("__n") < 0, image)).alias("__t")
-    )
-    state = (
-        F.when(F.col("__t").isNull(), "MISSING_TARGET").when(F.col("__s").isNull(), "MISSING_SOURCE").otherwise("DIFFERENT")
-    )
+    more, fewer = F.col("__a") > F.col("__b"), F.col("__a") < F.col("__b")
+    sides = images.groupBy(*key).agg(
+        F.max(F.when(more, image)).alias("__s"),
+        F.max(F.when(fewer, image)).alias("__t"),
+        F.sum("__a").alias("src_rows"),
+        F.sum("__b").alias("tgt_rows"),
+    ).filter(F.col("__s").isNotNull() | F.col("__t").isNotNull())
+    state = F.when(F.col("tgt_rows") == 0, "MISSING_TARGET").when(F.col("src_rows") == 0, "MISSING_SOURCE").otherwise("DIFFERENT")
     changed = [
         F.when(F.col("__s").isNotNull() & F.col("__t").isNotNull() & ~F.col("__s")[c].eqNullSafe(F.col("__t")[c]), F.lit(c))
         for c in rest
     ]
     listed = F.concat_ws(",", *changed) if changed else F.lit("")
-    return sides.select(*key, state.alias("state"), listed.alias("columns"))
+    return sides.select(*key, state.alias("state"), listed.alias("columns"), *(["src_rows", "tgt_rows"] if counts else []))
 
 
-def row_diff_keyless(src: DataFrame, tgt: DataFrame, *, buckets: int = 65_536) -> DataFrame:
+def row_diff_keyless(src: DataFrame, tgt: DataFrame, *, buckets: int = 65_536, collation: str = "binary") -> DataFrame:
     """Full row images whose number of copies differs, with both numbers. Buckets come from the image's hash."""
     cols = src.columns
+    src, tgt = (_collated(df, collation) for df in alike(src, tgt, cols))
     image_hash = row_hash(src, cols)
     hit = _in_unequal_buckets(_signed(src, tgt, cols), F.pmod(image_hash, F.lit(buckets)), image_hash)
     counted = hit.groupBy(*cols).agg(
@@ -358,8 +391,9 @@ def validation_status(diffs: DataFrame, by: str = "tbl", table_max: int = 1000,
         F.count_if(F.col("state") == "MISSING_SOURCE").alias("missing_source"),
         F.count_if(F.col("state") == "DIFFERENT").alias("different"),
     )
-    overall = F.sum("failures").over(Window.partitionBy(F.lit(0)))  # one row per table
-    return per.withColumn("suspended", F.col("failures") >= table_max).withColumn("task_stopped", overall >= overall_max)
+    overall = diffs.agg(F.count("*").alias("__all"))  # one row, sent to all
+    out = per.withColumn("suspended", F.col("failures") >= table_max).join(F.broadcast(overall))
+    return out.withColumn("task_stopped", F.col("__all") >= overall_max).drop("__all")
 
 
 # ------------------------------------------------------------------------------------------ verdict
@@ -387,6 +421,16 @@ def verdict(checks: DataFrame, gate: bool = False, by: list[str] | None = None)
     )
 
 
+def run_check(spark: SparkSession, check: str, rows: Callable[[], DataFrame], status: str = "verdict") -> DataFrame:
+    """``as_checks`` of a check that may not be able to run: then its one row is an ERROR, which gives exit code 3."""
+    try:
+        found = [tuple(r) for r in as_checks(check, rows(), status).collect()]  # one row
+    except Exception as e:  # whatever keeps a check from running is its result
+        found = [(check, "ERROR")]
+        logging.getLogger(__name__).warning("check %s could not run: %s", check, str(e).split("\n")[0])
+    return spark.createDataFrame(found, "check string, status string")
+
+
 def as_checks(check: str, rows: DataFrame, status: str = "verdict") -> DataFrame:
     """Rows of a check as ``(check, status)``; a check without findings gives one PASS row."""
     found = rows.agg(

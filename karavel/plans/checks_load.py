@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from karavel.functions.expr import WORD
 from karavel.operators import changes as C, loads as L
@@ -61,6 +61,66 @@ def l1_load_progress(t: Tables) -> DataFrame:
     return progress.filter("done_epoch is not null").groupBy("tbl").agg(F.count("*").alias("tasks"), F.sum("rows").alias("rows"))
 
 
+def _cut(t: Tables, lo: int | None, hi: int | None, threshold: int = 1000) -> DataFrame:
+    """A plan of parts of the customer table from statistics that may be old or missing."""
+    stats = t.spark.createDataFrame([("customer", 4000, lo, hi)], "tbl string, bytes bigint, min_key bigint, max_key bigint")
+    return snapshot.plan_parts(stats, threshold, 4)
+
+
+CUSTOMERS = "select c_custkey, c_name from customer"
+
+
+def _customers(t: Tables) -> DataFrame:
+    return t["customer"].select("c_custkey", "c_name")
+
+
+@check(CUSTOMERS)
+def l1_load_with_stale_statistics(t: Tables) -> DataFrame:
+    """The statistics know the middle of the keys only."""
+    dest, progress = shared_folder(t.spark, "l1"), shared_folder(t.spark, "l1")
+    top = t["customer"].agg(F.max("c_custkey")).first()[0]
+    plan = _cut(t, top // 4, top // 2)
+    L.full_load({"customer": _customers(t)}, dest, plan, {"customer": "c_custkey"}, progress=progress, table_jobs=4)
+    return L.loaded_table(t.spark, dest, "customer")
+
+
+@check(CUSTOMERS + " union all select null, 'no key' from region")
+def l1_load_without_key_bounds(t: Tables) -> DataFrame:
+    dest, progress = shared_folder(t.spark, "l1"), shared_folder(t.spark, "l1")
+    rows = _customers(t).unionByName(t.sql("select cast(null as bigint) as c_custkey, 'no key' as c_name from region"))
+    plan = _cut(t, None, None)
+    L.full_load({"customer": rows}, dest, plan, {"customer": "c_custkey"}, progress=progress)
+    return L.loaded_table(t.spark, dest, "customer")
+
+
+@check(CUSTOMERS)
+def l1_second_load_with_fewer_parts(t: Tables) -> DataFrame:
+    dest, progress = shared_folder(t.spark, "l1"), shared_folder(t.spark, "l1")
+    top = t["customer"].agg(F.max("c_custkey")).first()[0]
+    for threshold in (1000, 2000, 1400):
+        L.full_load({"customer": _customers(t)}, dest, _cut(t, 0, top, threshold), {"customer": "c_custkey"}, progress=progress, table_jobs=4)
+    L.full_load({"customer": _customers(t)}, dest, _cut(t, 0, top, 2000), {"customer": "c_custkey"}, progress=shared_folder(t.spark, "l1"))
+    return L.loaded_table(t.spark, dest, "customer")
+
+
+@check(CUSTOMERS)
+def l3_resume_of_a_grown_table(t: Tables) -> DataFrame:
+    """Half of the table is there when two of four parts are loaded; the rest of the run plans again."""
+    dest, progress = shared_folder(t.spark, "l3"), shared_folder(t.spark, "l3")
+    top, keys = t["customer"].agg(F.max("c_custkey")).first()[0], {"customer": "c_custkey"}
+    half = _customers(t).filter(F.col("c_custkey") <= top // 2)
+    broken = half.filter(F.raise_error(F.lit("stopped")).isNull())
+    first = _cut(t, 0, top // 2)
+    L.full_load({"customer": half}, dest, first.filter("part in (1, 4)"), keys, progress=progress, table_jobs=2)
+    try:
+        L.full_load({"customer": broken}, dest, first.filter("part in (2, 3)"), keys, progress=progress, table_jobs=2)
+    except Exception:  # noqa: BLE001 - the run is stopped on purpose
+        pass
+    again = L.resume_plan(_cut(t, 0, top), L.read_progress(t.spark, progress))
+    L.full_load({"customer": _customers(t)}, dest, again, keys, progress=progress, table_jobs=4)
+    return L.loaded_table(t.spark, dest, "customer")
+
+
 DOUBLED = """
 select o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority from fx_orders
 union all
@@ -321,6 +381,132 @@ def c8_policy_exceptions(t: Tables) -> DataFrame:
     return _policy(t)[1].drop("exception_id")
 
 
+@check(POLICY + " select pos, tbl, k, op, reason from lv where reason is not null and reason <> 'DELETE_MISSING'")
+def c8_policy_exceptions_stream(t: Tables) -> DataFrame:
+    return _policy_stream(t).exceptions().select("pos", "tbl", "k", "op", "reason")
+
+
+@check(
+    POLICY
+    + """,
+nt as (select k, op, v from (select *, row_number() over (partition by k order by pos desc) as rn from lv where reason is null) x where rn = 1)
+select k, cast(v as double) as v from fx_base where k not in (select k from nt)
+union all select k, cast(v as double) from nt where op <> 'D'"""
+)
+def c8_policy_table_stream(t: Tables) -> DataFrame:
+    return _kv(_policy_stream(t).read())
+
+
+def _policy_stream(t: Tables) -> S.FollowedTable:
+    """The log as three files in order, one per batch, judged batch by batch."""
+    folder, place = shared_folder(t.spark, "log"), shared_folder(t.spark, "followed")
+    log = t["fx_change_log"].select("pos", "op", "k", "v", F.concat(F.lit("t"), F.col("k") % 3).alias("tbl"), "event_id")
+    table = S.FollowedTable(t.spark, place, ["k"])
+    table.start(t["fx_base"])
+    low, high = log.approxQuantile("pos", [0.33, 0.66], 0.01)
+    state = shared_folder(t.spark, "state")
+    for part in (F.col("pos") <= low, (F.col("pos") > low) & (F.col("pos") <= high), F.col("pos") > high):
+        log.filter(part).coalesce(1).write.mode("append").parquet(folder)
+        stream = t.spark.readStream.schema(log.schema).parquet(folder)
+        how = {"bad_data": F.col("event_id") % 211 == 0, "table_error": F.col("event_id") % 1999 == 1500}
+        S.follow(stream, table, state, policy=C.ErrorPolicy(), **how).awaitTermination()
+    return table
+
+
+KEYED = """
+select concat('o-', cast(o_orderkey as varchar(20))) as code, cast(o_custkey as bigint) as part, cast(o_orderkey as bigint) as n from orders"""
+# per key of text and number: moved to another text, changed, deleted, or left; all at one position for every fifth order
+KEYED_AFTER = f"""
+select case when n % 4 = 0 then concat(code, '-moved') else code end as code, part, case when n % 4 <= 1 then n + 1000000 else n end as n
+from ({KEYED}) x where n % 4 <> 2"""
+
+
+def _keyed_log(t: Tables, key: list[str]) -> DataFrame:
+    image = F.struct("code", "part", "n")
+    moved = F.struct(F.when(F.col("n") % 4 == 0, F.concat("code", F.lit("-moved"))).otherwise(F.col("code")).alias("code"), "part", (F.col("n") + 1_000_000).alias("n"))
+    rows = t.sql(KEYED).filter("n % 4 <> 3")
+    op = F.when(F.col("n") % 4 == 2, "D").otherwise("U")
+    lsn = F.concat(F.lit("1/"), F.hex(F.floor(F.col("n") / 5)))
+    record = F.struct(
+        lsn.alias("lsn"), F.lit(1).alias("xid"), op.alias("action"), F.lit("t").alias("table"), F.struct("code", "part").alias("key"),
+        F.when(op == "U", moved).alias("after"), image.alias("before"),
+    )
+    schema = T.StructType([T.StructField("code", T.StringType()), T.StructField("part", T.LongType()), T.StructField("n", T.LongType())])
+    of_key = T.StructType(schema.fields[:2])
+    return C.row_changes(C.decode_changes(rows.select(F.to_json(record).alias("value")), schema, key_type=of_key), key)
+
+
+@check(KEYED_AFTER)
+def c3_key_of_two_columns(t: Tables) -> DataFrame:
+    """A key of text and number; updates that change it; many changes at the same position."""
+    return C.apply_changes(t.sql(KEYED), _keyed_log(t, ["code", "part"]), ["code", "part"], ["pos", "seq"])
+
+
+@check(KEYED_AFTER)
+def c3_key_of_two_columns_stream(t: Tables) -> DataFrame:
+    log, folder = _keyed_log(t, ["code", "part"]), shared_folder(t.spark, "log")
+    table = S.FollowedTable(t.spark, shared_folder(t.spark, "followed"), ["code", "part"], ["pos", "seq"])
+    table.start(t.sql(KEYED))
+    log.repartition(3).write.parquet(folder)
+    stream = t.spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    S.follow(stream, table, shared_folder(t.spark, "state")).awaitTermination()
+    return table.read()
+
+
+@check(KEYED_AFTER)
+def c4_updates_without_a_key(t: Tables) -> DataFrame:
+    return C.apply_changes_keyless(t.sql(KEYED), _keyed_log(t, []), ["pos", "seq"])
+
+
+TRUNCATED = f"""
+with ch as (select * from fx_change_log where pos > {HALF}),
+nt as (select k, op, v from (select *, row_number() over (partition by k order by pos desc) as rn from ch) x where rn = 1)
+select k, cast(v as double) as v from nt where op <> 'D'"""
+
+
+def _truncating_log(t: Tables) -> DataFrame:
+    """The log with a truncate at half its way."""
+    cut = t.spark.range(1).select(F.lit(HALF).cast("decimal(20,0)").alias("pos"), F.lit("T").alias("op"))
+    log = _log(t).select(F.col("pos").cast("decimal(20,0)").alias("pos"), "op", "k", "v").filter(F.col("pos") != HALF)
+    return log.unionByName(cut, allowMissingColumns=True)
+
+
+@check(TRUNCATED)
+def c9_truncate(t: Tables) -> DataFrame:
+    return _kv(C.apply_changes(t["fx_base"], _truncating_log(t), ["k"]))
+
+
+@check(TRUNCATED)
+def c9_truncate_stream(t: Tables) -> DataFrame:
+    log, folder = _truncating_log(t), shared_folder(t.spark, "log")
+    table = S.FollowedTable(t.spark, shared_folder(t.spark, "followed"), ["k"])
+    table.start(t["fx_base"])
+    log.repartition(3).write.parquet(folder)
+    stream = t.spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    S.follow(stream, table, shared_folder(t.spark, "state")).awaitTermination()
+    return _kv(table.read())
+
+
+@check("select k, cast(v as double) as v, cast(null as varchar) as note from fx_base")
+def c9_alter(t: Tables) -> DataFrame:
+    wide = C.add_columns(t["fx_base"], T.StructType([T.StructField("note", T.StringType()), T.StructField("v", T.LongType())]))
+    return wide.select("k", F.col("v").cast("double").alias("v"), "note")
+
+
+@check(APPLIED)
+def c7_late_file_stream(t: Tables) -> DataFrame:
+    """The older half of the log comes after a compaction, through a second checkpoint."""
+    log, folder, old = _log(t).select("pos", "op", "k", "v"), shared_folder(t.spark, "log"), shared_folder(t.spark, "log")
+    table = S.FollowedTable(t.spark, shared_folder(t.spark, "followed"), ["k"])
+    table.start(t["fx_base"])
+    log.filter(F.col("pos") > HALF).write.parquet(folder)
+    log.filter(F.col("pos") <= HALF).write.parquet(old)
+    for place in (folder, old):
+        S.follow(t.spark.readStream.schema(log.schema).parquet(place), table, shared_folder(t.spark, "state")).awaitTermination()
+        table.compact()
+    return _kv(table.read())
+
+
 DDL = """
 select pos, concat('t', cast(k % 11 as varchar(4))) as tbl, case when event_id % 1999 = 5 then 'X' else 'T' end as op
 from fx_change_log where event_id % 997 = 3 or event_id % 1999 = 5"""
@@ -373,6 +559,18 @@ def c10_route_stream(t: Tables) -> DataFrame:
     return S.routed(t.spark, dest).select("event_id", "pos", "tbl", "op")
 
 
+@check(ROUTED)
+def c10_route_stream_two_checkpoints(t: Tables) -> DataFrame:
+    dest = shared_folder(t.spark, "c10", "out")
+    rows = t.sql("select event_id, pos, concat('t', cast(k % 11 as varchar(4))) as tbl, op from fx_change_log")
+    for part in ("pos % 2 = 0", "pos % 2 <> 0"):
+        folder = shared_folder(t.spark, "c10", "in")
+        rows.filter(part).write.parquet(folder)
+        stream = t.spark.readStream.schema(rows.schema).parquet(folder)
+        S.route_stream(stream, _published(t), dest, shared_folder(t.spark, "c10", "state")).awaitTermination()
+    return S.routed(t.spark, dest).select("event_id", "pos", "tbl", "op")
+
+
 CHANGED = "select o_orderkey from orders where o_orderkey % 97 = 0 or o_orderkey % 101 = 0"
 
 

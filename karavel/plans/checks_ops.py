@@ -446,6 +446,18 @@ def a9_alert_events(t: Tables) -> DataFrame:
     return A.alert_events(t["fx_polls"])
 
 
+@check(ALERTS)
+def a9_alert_stream_two_checkpoints(t: Tables) -> DataFrame:
+    """A second checkpoint counts its batches from 0 again; the log goes on with the state of the first."""
+    out, polls = shared_folder(t.spark, "a9", "out"), t["fx_polls"]
+    log, cut = AlertLog(t.spark, out), polls.approxQuantile("poll", [0.5], 0.01)[0]
+    for part in (F.col("poll") <= cut, F.col("poll") > cut):
+        folder = shared_folder(t.spark, "a9", "in")
+        polls.filter(part).write.parquet(folder)
+        follow_alerts(t.spark.readStream.schema(polls.schema).parquet(folder), log, shared_folder(t.spark, "a9", "state")).awaitTermination()
+    return log.alerts()
+
+
 @check(ALERTS)
 def a9_alert_stream(t: Tables) -> DataFrame:
     folder, out, state = (shared_folder(t.spark, "a9", n) for n in ("in", "out", "state"))
@@ -509,7 +521,7 @@ def k4_schema_counts(t: Tables) -> DataFrame:
     return K.schema_counts(inv, inv.filter("owned_by_ext"), "table")
 
 
-RESET = "kind <> 'extension' and schema_name <> 's2' and schema_name not in ('s3', 's0')"
+RESET = "not owned_by_ext and kind <> 'extension' and schema_name <> 's2' and schema_name not in ('s3', 's0')"
 
 
 @check(
@@ -519,7 +531,7 @@ from fx_inv_tgt where {RESET}"""
 )
 def k5_reset_plan(t: Tables) -> DataFrame:
     inv = t["fx_inv_tgt"].filter("kind <> 'extension'")
-    return K.reset_plan(inv, Scope(exclude_schema=["s2"]), K.PROTECTED_SCHEMAS + ("s3", "s0"))
+    return K.reset_plan(inv, Scope(exclude_schema=["s2"]), K.PROTECTED_SCHEMAS + ("s3", "s0"), inv.filter("owned_by_ext"))
 
 
 @check(f"select kind, schema_name, name from fx_inv_tgt where not ({RESET}) order by kind, schema_name, name limit 20")

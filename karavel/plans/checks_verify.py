@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from karavel.operators import verify as V
 from karavel.plans.fixtures import Tables
+from karavel.session import shared_folder
+from karavel.sources.sinks import write_snapshot
 
 CHECKS: dict = {}
 
@@ -125,9 +127,13 @@ def v4_exact_counts(t: Tables) -> DataFrame:
     return out.drop("detail")
 
 
-@check()
+@check("select count(*) as rows, true as within_six_deviations from lineitem")
 def v5_sampled_count(t: Tables) -> DataFrame:
-    return V.sampled_count(t["lineitem"], 10.0, seed=7)
+    """The estimate itself depends on the engine; that it is as near as a sample of this size can be does not."""
+    share = 0.1
+    both = V.sampled_count(t["lineitem"], 100 * share, seed=7).join(F.broadcast(t["lineitem"].agg(F.count("*").alias("rows"))))
+    deviation = F.sqrt(F.col("rows") * F.lit((1 - share) / share))
+    return both.select("rows", (F.abs(F.col("est_rows") - F.col("rows")) <= 6 * deviation).alias("within_six_deviations"))
 
 
 KEYS = (
@@ -253,6 +259,13 @@ def v9_gate(t: Tables) -> DataFrame:
     return V.verdict(t.sql(CHECK_ROWS), gate=True, by=["run"])
 
 
+def _loaded(t: Tables, name: str) -> DataFrame:
+    """A table after it went through a sink."""
+    place = shared_folder(t.spark, "v9")
+    write_snapshot(t[name], place)
+    return t.spark.read.parquet(place)
+
+
 def migration_verdict(t: Tables) -> DataFrame:
     """Row, mark, estimate and object checks of one move, added up to one verdict row."""
     diffs = _diff(t).withColumn("status", F.lit("FAIL"))
@@ -263,7 +276,7 @@ def migration_verdict(t: Tables) -> DataFrame:
         .unionByName(V.as_checks("marks", v7_high_water_lag(t)))
         .unionByName(V.as_checks("estimates", estimates))
         .unionByName(V.as_checks("objects", objects))
-        .unionByName(V.as_checks("same rows", V.row_diff(t["orders"], t["orders"], ["o_orderkey"]).withColumn("status", F.lit("FAIL")), "status"))
+        .unionByName(V.run_check(t.spark, "loaded rows", lambda: V.row_diff(t["customer"], _loaded(t, "customer"), ["c_custkey"]).withColumn("status", F.lit("FAIL")), "status"))
     )
     return V.verdict(checks)
 
@@ -284,6 +297,49 @@ select count(*) filter (where status = 'PASS') as passed, count(*) filter (where
 from c""",
 )
 
+@check("select 1 as passed, 0 as warned, 0 as failed, 2 as errors, 3 as exit_code from region where r_regionkey = 0")
+def v9_verdict_of_checks_that_cannot_run(t: Tables) -> DataFrame:
+    """One check runs, one table cannot be read, and one check fails as a whole."""
+    missing = lambda: t.spark.read.parquet(f"{t.folder}/not_there.parquet")
+    sizes = t["region"].limit(1).select(F.lit("region").alias("tbl"), F.lit(100).cast("bigint").alias("bytes"))
+    count = lambda tgt: V.exact_counts(t.spark, {"region": t["region"]}, {"region": tgt}, sizes, n=1, timeout=None)
+    checks = V.run_check(t.spark, "counts", lambda: count(t["region"]))
+    checks = checks.unionByName(V.run_check(t.spark, "counts of a lost table", lambda: count(missing)))
+    checks = checks.unionByName(V.run_check(t.spark, "rows", lambda: V.row_diff(t["region"], missing(), ["r_regionkey"]).withColumn("verdict", F.lit("FAIL"))))
+    return V.verdict(checks)
+
+
+WIDER = """
+select o_orderkey, o_custkey, cast(o_totalprice as decimal(18,2)) as price, o_orderdate as placed, o_orderpriority as prio from orders"""
+
+
+@check(
+    """
+select o_orderkey, 'DIFFERENT' as state, case when o_orderkey % 3 = 0 and o_orderkey % 5 = 0 then 'price,placed' when o_orderkey % 3 = 0 then 'price' else 'placed' end as columns
+from orders where o_orderkey % 3 = 0 or o_orderkey % 5 = 0"""
+)
+def v8_row_diff_other_types(t: Tables) -> DataFrame:
+    """The target keeps more decimals and finer times, and in some rows uses them; text differs in case only."""
+    src = t.sql(WIDER).withColumn("placed", F.col("placed").cast("date"))
+    price = F.col("price").cast("decimal(20,4)") + F.when(F.col("o_orderkey") % 3 == 0, F.lit("0.0012").cast("decimal(20,4)")).otherwise(0)
+    placed = F.col("placed").cast("timestamp_ntz") + F.when(F.col("o_orderkey") % 5 == 0, F.expr("interval 7 seconds")).otherwise(F.expr("interval 0 seconds"))
+    tgt = src.withColumn("price", price.cast("decimal(20,4)")).withColumn("placed", placed).withColumn("prio", F.lower("prio"))
+    return V.row_diff(src, tgt, ["o_orderkey"], collation="ignore_case", partition_size=1000)
+
+
+@check(
+    """
+with s as (select l_orderkey, count(*) as n from lineitem group by l_orderkey),
+g as (select l_orderkey, count(*) as n from lineitem where l_linenumber > 1 and l_orderkey % 4 <> 0 group by l_orderkey)
+select s.l_orderkey, case when g.n is null then 'MISSING_TARGET' else 'DIFFERENT' end as state, s.n as src_rows, coalesce(g.n, 0) as tgt_rows
+from s left join g on s.l_orderkey = g.l_orderkey where s.n <> coalesce(g.n, 0)"""
+)
+def v8_row_diff_repeated_keys(t: Tables) -> DataFrame:
+    src = t["lineitem"].select("l_orderkey", F.lit("x").alias("v"))
+    tgt = t["lineitem"].filter("l_linenumber > 1 and l_orderkey % 4 <> 0").select("l_orderkey", F.lit("x").alias("v"))
+    return V.row_diff(src, tgt, ["l_orderkey"], counts=True, partition_size=1000).drop("columns")
+
+
 SETTINGS = """
 select w.name, restart, category, coalesce(concat_ws(' ', s.setting, s.unit), 'N/A') as src_value,
        coalesce(concat_ws(' ', g.setting, g.unit), 'N/A') as tgt_value

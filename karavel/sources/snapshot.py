@@ -75,11 +75,13 @@ def plan_parts(stats: DataFrame, threshold_bytes: int = 50 * GB, max_parts: int
     """Key ranges ``(tbl, part, parts, lo, hi)`` from ``(tbl, bytes, min_key, max_key)``.
 
     A table above the threshold gets ``ceil(bytes / threshold)`` parts, at most ``max_parts`` and at
-    most one per key value. ``lo`` and ``hi`` are both inside the part.
+    most one per key value. Without key bounds it gets one. ``lo`` and ``hi`` are both inside the part; they
+    come from statistics, so whoever reads must leave the first part open below and the last one open above.
     """
     width = F.col("max_key") - F.col("min_key") + 1
     wanted = F.ceil(F.col("bytes") / F.lit(threshold_bytes)).cast("bigint")
-    parts = F.when(F.col("bytes") > threshold_bytes, F.least(F.lit(max_parts).cast("bigint"), wanted, width)).otherwise(1)
+    split = (F.col("bytes") > threshold_bytes) & width.isNotNull()
+    parts = F.when(split, F.least(F.lit(max_parts).cast("bigint"), wanted, width)).otherwise(1)
     planned = stats.withColumn("parts", F.greatest(F.coalesce(parts, F.lit(1)), F.lit(1)).cast("bigint"))
     each = planned.withColumn("part", F.explode(F.sequence(F.lit(1).cast("bigint"), "parts")))
     lo = F.col("min_key") + div((F.col("part") - 1) * width, F.col("parts"))
@@ -87,12 +89,22 @@ def plan_parts(stats: DataFrame, threshold_bytes: int = 50 * GB, max_parts: int
     return each.select("tbl", "part", "parts", lo.cast("bigint").alias("lo"), hi.cast("bigint").alias("hi"))
 
 
-def read_part(df: DataFrame, key: str, lo: int | None, hi: int | None, with_nulls: bool = False) -> DataFrame:
-    """The rows of one key range; the first part also takes rows without a key."""
+def read_part(
+    df: DataFrame, key: str, lo: int | None, hi: int | None, with_nulls: bool = False, *, first: bool = False, last: bool = False
+) -> DataFrame:
+    """The rows of one key range, without a range all rows.
+
+    The ``first`` part takes everything up to its end and rows without a key too, the ``last`` one everything
+    from its start, so rows outside old statistics are in exactly one part.
+    """
     if lo is None or hi is None:
         return df
-    inside = F.col(key).between(lo, hi)
-    return df.filter(inside | F.col(key).isNull()) if with_nulls else df.filter(inside)
+    inside = F.lit(True)
+    if not first:
+        inside = inside & (F.col(key) >= lo)
+    if not last:
+        inside = inside & (F.col(key) <= hi)
+    return df.filter(inside | F.col(key).isNull()) if with_nulls or first else df.filter(inside & F.col(key).isNotNull())
 
 
 def read_jdbc_parts(spark: SparkSession, location: Location, table: str, key: str, lo: int, hi: int, parts: int) -> DataFrame:

@@ -12,7 +12,9 @@ import hashlib
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from karavel.operators.changes import apply_changes, bound_changes, net_changes, resume_changes
+from karavel.functions.sized import settle
+from karavel.operators.changes import ErrorPolicy, apply_changes, bound_changes, classify_changes, net_changes, resume_changes, route_changes
+from karavel.session import shared_folder
 from karavel.sources.files import delete, finished
 
 COMMITS = "name string, max_pos decimal(20,0), rows bigint, seen_pos decimal(20,0)"
@@ -26,8 +28,9 @@ class FollowedTable:
     one that comes late can change the result.
     """
 
-    def __init__(self, spark: SparkSession, path: str, key: list[str]):
-        self.spark, self.path, self.key = spark, path, key
+    def __init__(self, spark: SparkSession, path: str, key: list[str], order: list[str] | None = None):
+        """``order`` sorts changes of a key; with several changes at one position it needs a tie-breaker after ``pos``."""
+        self.spark, self.path, self.key, self.order = spark, path, key, order or ["pos"]
         self._upto: dict[int, int] = {}  # a published version never changes
 
     # ------------------------------------------------------------------------------- state on disk
@@ -89,12 +92,35 @@ class FollowedTable:
         if not names:
             return base
         rows = self.spark.read.parquet(*[f"{self.path}/changes/{n}" for n in sorted(names)])
-        return apply_changes(base, resume_changes(rows, upto_pos), self.key)
-
-    def apply_batch(self, changes: DataFrame, name: str, endpos: int | None = None) -> bool:
+        return apply_changes(base, resume_changes(rows, upto_pos), self.key, self.order)
+
+    def exceptions(self) -> DataFrame | None:
+        """What the error policy has logged in committed batches; None if there was no such batch."""
+        done = sorted(set(self._finished("exceptions")) & set(self._finished("commits")))
+        return self.spark.read.parquet(*[f"{self.path}/exceptions/{n}" for n in done]) if done else None
+
+    def _sound(self, changes: DataFrame, name: str, policy: ErrorPolicy, how: dict) -> DataFrame:
+        """The changes of a batch that apply; the others are written as exceptions, or skipped, as the policy says."""
+        table, before = how.get("table", "tbl"), self.exceptions()
+        if before is not None and table in changes.columns:  # tables that an earlier batch has suspended
+            stops = before.filter(F.col("action") == "suspend").groupBy(table).agg(F.min("pos").alias("__stop"))
+            stops, _ = settle(stops, "suspended")
+            held = F.coalesce(F.col("pos") > F.col("__stop"), F.lit(False))
+            changes = changes.join(stops, table, "left").filter(~held).select(*changes.columns)
+        judged = classify_changes(self.read(), changes, self.key, policy, store=shared_folder(self.spark, "judged"), **how)
+        live = judged.filter(~F.col("suspended"))
+        logged = live.filter(F.col("action").isin("log", "suspend"))
+        logged.drop("suspended").write.mode("overwrite").parquet(f"{self.path}/exceptions/{name}")
+        return live.filter(F.col("reason").isNull()).select(*changes.columns)
+
+    def apply_batch(
+        self, changes: DataFrame, name: str, endpos: int | None = None, policy: ErrorPolicy | None = None, **how
+    ) -> bool:
         """Store the net changes of one micro-batch under its name; False when it was committed before.
 
-        Changes that the base holds already are dropped (hand-over), so are those after ``endpos``.
+        Changes that the base holds already are dropped (hand-over), so are those after ``endpos``. With an error
+        ``policy`` (and what ``classify_changes`` takes) each change is judged against the table as it is, so
+        batches have to come in order.
         """
         if name in self._finished("commits"):
             return False
@@ -102,8 +128,10 @@ class FollowedTable:
         fresh = resume_changes(changes.observe(read, F.max("pos").alias("seen_pos")), self._version()[1])
         if endpos is not None:
             fresh = bound_changes(fresh, endpos)
+        if policy is not None:
+            fresh = self._sound(fresh, name, policy, how)
         seen = Observation()
-        net = net_changes(fresh, self.key).observe(seen, F.max("pos").alias("max_pos"), F.count("*").alias("rows"))
+        net = net_changes(fresh, self.key, self.order).observe(seen, F.max("pos").alias("max_pos"), F.count("*").alias("rows"))
         net.write.mode("overwrite").parquet(f"{self.path}/changes/{name}")
 
         def position(p: int | None, name: str) -> Column:
@@ -121,11 +149,12 @@ class FollowedTable:
     def compact(self, upto: int | None = None) -> int:
         """Write the current table as the next base version; later reads start from it.
 
-        All changes up to the replay position (or ``upto``, if later files may still bring older ones)
-        must have arrived.
+        ``upto`` is the position up to which all changes are known to have arrived: batches below it need not
+        be merged any more, and older changes that come after all are dropped. Without it nothing is taken
+        for complete, so a file that comes late still counts, and ``prune`` can delete no batch.
         """
-        version, _ = self._version()
-        upto = self.replay_pos() if upto is None else upto
+        version, known = self._version()
+        upto = known if upto is None else max(upto, known)
         self.read().write.mode("overwrite").parquet(f"{self.path}/base/v={version + 1}")
         self._publish(version + 1, upto)
         return version + 1
@@ -148,17 +177,29 @@ def resume_commits(commits: DataFrame, upto_pos: int) -> DataFrame:
     return commits.filter(F.col("max_pos") > F.lit(str(upto_pos)).cast("decimal(20,0)"))
 
 
+def stream_name(checkpoint: str) -> str:
+    """Batch numbers start again with a new checkpoint; this tells them apart."""
+    return hashlib.md5(checkpoint.encode()).hexdigest()[:12]
+
+
 def follow(
-    changes: DataFrame, table: FollowedTable, checkpoint: str, *, endpos: int | None = None, interval: str | None = None
+    changes: DataFrame,
+    table: FollowedTable,
+    checkpoint: str,
+    *,
+    endpos: int | None = None,
+    interval: str | None = None,
+    policy: ErrorPolicy | None = None,
+    **how,
 ) -> StreamingQuery:
     """Apply a change stream to a table: all files that are there, or every ``interval`` for ever.
 
     Batch numbers start again with a new checkpoint, so the checkpoint is part of a batch's name.
     """
-    stream = hashlib.md5(checkpoint.encode()).hexdigest()[:12]
+    stream = stream_name(checkpoint)
 
     def batch(df: DataFrame, batch_id: int) -> None:
-        table.apply_batch(df, f"batch={stream}-{batch_id}", endpos)
+        table.apply_batch(df, f"batch={stream}-{batch_id}", endpos, policy, **how)
 
     writer = changes.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     trigger = {"processingTime": interval} if interval else {"availableNow": True}
@@ -187,10 +228,11 @@ def follow_until(
 
 def route_stream(changes: DataFrame, published: DataFrame, dest: str, checkpoint: str, table: str = "tbl") -> StreamingQuery:
     """One stream to many tables: each batch is written once, partitioned by table, to its own folder."""
+    stream = stream_name(checkpoint)
 
     def batch(df: DataFrame, batch_id: int) -> None:
-        wanted = df.join(published.select(table).distinct(), table, "left_semi")
-        wanted.write.mode("overwrite").partitionBy(table).parquet(f"{dest}/routed_batch={batch_id}")
+        wanted = route_changes(df, published, table)
+        wanted.write.mode("overwrite").partitionBy(table).parquet(f"{dest}/routed_batch={stream}-{batch_id}")
 
     writer = changes.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return writer.trigger(availableNow=True).start()

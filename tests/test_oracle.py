@@ -4,10 +4,10 @@ import pytest
 
 import __spark_entry__ as entry
 from compare import compare_one, connect
+from karavel.plans import registry
 
 FOLDER = "/root/testdata/sf0.001"
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
-NO_STATEMENT = {"v5_sampled_count"}  # a sample differs between engines; test_verify checks its bounds
+QUERIES, ORACLES = registry.queries(), registry.oracle_sql()  # tests/llm has those of the corpus
 
 
 @pytest.fixture(scope="module")
@@ -18,11 +18,11 @@ def con():
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_equals_statement(spark, con, name):
     state, detail = compare_one(spark, con, FOLDER, name, QUERIES[name], ORACLES.get(name))
-    assert state == ("ROWS" if name in NO_STATEMENT else "OK"), detail
+    assert state == "OK", detail
 
 
-def test_only_known_queries_lack_a_statement():
-    assert set(QUERIES) - set(ORACLES) == NO_STATEMENT
+def test_every_query_has_a_statement():
+    assert set(QUERIES) == set(ORACLES)
 
 
 def test_entry_gives_one_verdict(spark):

@@ -74,7 +74,7 @@ def test_exact_counts_never_turn_an_error_into_zero(spark):
         "same": ("MATCH", None, None, "PASS"),
         "fewer": ("MISSING", 3, 30, "FAIL"),
         "more": ("MISSING", -6, -150, "FAIL"),
-        "broken": ("ERROR", None, None, "FAIL"),
+        "broken": ("ERROR", None, None, "ERROR"),
         "late": ("TIMEOUT", None, None, "WARN"),
     }
 
