@@ -101,10 +101,35 @@ def common_type(a: T.DataType, b: T.DataType) -> T.DataType | None:
     return None
 
 
+def _read_as(other: T.DataType) -> T.DataType:
+    """The type in which a text is compared with a value of another type."""
+    if isinstance(other, (T.DateType, T.TimestampType)):
+        return T.TimestampType()
+    if isinstance(other, T.DecimalType) or isinstance(other, T.IntegralType):
+        return T.DecimalType(38, 18)
+    return T.DoubleType() if isinstance(other, T.FloatType) else other
+
+
 def alike(a: DataFrame, b: DataFrame, cols: list[str]) -> tuple[DataFrame, DataFrame]:
-    """``cols`` of both tables in types that hold the values of either; as text where there is no such type."""
-    wide = {c: common_type(a.schema[c].dataType, b.schema[c].dataType) or T.StringType() for c in cols}
-    return tuple(df.select(*[F.col(c).cast(wide[c]).alias(c) for c in cols]) for df in (a, b))
+    """``cols`` of both tables in types that hold the values of either; as text where there is no such type.
+
+    A text that reads as a value of the other side's type is written as that value would be, any other text stays.
+    """
+    sides: tuple[list[Column], list[Column]] = ([], [])
+    for c in cols:
+        types = [df.schema[c].dataType for df in (a, b)]
+        wide = common_type(*types)
+        for side, own, other in ((0, *types), (1, *types[::-1])):
+            if wide is not None:
+                value = F.col(c).cast(wide)
+            elif isinstance(own, T.StringType):
+                value = F.coalesce(F.col(c).try_cast(_read_as(other)).cast("string"), F.col(c))
+            elif isinstance(other, T.StringType):
+                value = F.coalesce(F.col(c).try_cast(_read_as(own)).cast("string"), F.col(c).cast("string"))
+            else:
+                value = F.col(c).cast("string")
+            sides[side].append(value.alias(c))
+    return a.select(*sides[0]), b.select(*sides[1])
 
 
 def is_integral(df: DataFrame, col: str) -> bool:

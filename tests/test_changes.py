@@ -177,3 +177,49 @@ def test_marker_timeout(spark):
     tgt = spark.createDataFrame([(100, "testing", 103), (100, "testing", 101)], "ts bigint, status string, arrived_at bigint")
     got = {(r["ts"], r["status"]): (r["arrived"], r["delay"], r["timed_out"]) for r in C.marker_status(src, tgt, 1000).collect()}
     assert got == {(100, "testing"): (True, 1, False), (100, "copying"): (False, None, True), (990, "testing"): (False, None, False)}
+
+
+def test_truncate_empties_the_target_and_is_no_row(spark):
+    target = spark.createDataFrame([(1, "a"), (2, "b")], "k bigint, v string")
+    log = spark.createDataFrame([(1, "I", 3, "c"), (2, "T", None, None), (3, "I", 4, "d"), (4, "A", None, None)], SCHEMA)
+    assert sorted(map(tuple, C.apply_changes(target, log, ["k"]).collect())) == [(4, "d")]
+    assert sorted(map(tuple, C.apply_changes(target, log.filter("op in ('A', 'I')"), ["k"]).collect())) == [(1, "a"), (2, "b"), (3, "c"), (4, "d")]
+
+
+def test_updates_that_change_the_key_or_have_none(spark):
+    row = T.StructType([T.StructField("code", T.StringType()), T.StructField("n", T.LongType())])
+    record = lambda lsn, op, before, after: (json.dumps({"lsn": lsn, "xid": 1, "action": op, "table": "t", "key": (before or after)["code"], "before": before, "after": after}),)
+    texts = [
+        record("0/1", "U", {"code": "a", "n": 1}, {"code": "z", "n": 1}),
+        record("0/1", "U", {"code": "b", "n": 2}, {"code": "a", "n": 2}),  # the same position, takes the key just given up
+        record("0/2", "D", {"code": "c", "n": 3}, None),
+        record("0/3", "U", None, {"code": "d", "n": 40}),
+    ]
+    decoded = C.decode_changes(spark.createDataFrame(texts, "value string"), row, key_type=T.StringType())
+    assert not decoded.filter("malformed").count()
+    target = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3), ("d", 4)], "code string, n bigint")
+    keyed = C.apply_changes(target, C.row_changes(decoded, ["code"]), ["code"], ["pos", "seq"])
+    assert sorted(map(tuple, keyed.collect())) == [("a", 2), ("d", 40), ("z", 1)]
+    keyless = C.apply_changes_keyless(target, C.row_changes(decoded.filter("before is not null"), []), ["pos", "seq"])
+    assert sorted(map(tuple, keyless.collect())) == [("a", 2), ("d", 4), ("z", 1)]
+
+
+def exchanges_over(df, column):
+    """Shuffles in the plan whose rows carry a column."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [line for line in plan.splitlines() if "Exchange hashpartitioning" in line and column in line]
+
+
+def test_a_small_key_set_does_not_shuffle_the_target(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1")  # the target counts as large
+    try:
+        target = spark.range(1000).select(F.col("id").alias("k"), F.lit("x").alias("wide_target"))
+        log = spark.createDataFrame([(1, "U", 5, "y")], "pos bigint, op string, k bigint, wide_target string")
+        after = C.apply_changes(target, log, ["k"])
+        assert exchanges_over(after, "k#") == [] and after.filter("wide_target = 'y'").count() == 1
+        synced = C.sync_changed_keys(target, target, log.select("k"), ["k"])
+        assert exchanges_over(synced, "k#") == [] and synced.count() == 1000
+        routed = C.route_changes(target.withColumnRenamed("k", "tbl"), spark.range(3).withColumnRenamed("id", "tbl"))
+        assert exchanges_over(routed, "tbl#") == [] and routed.count() == 3
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

@@ -140,3 +140,23 @@ def test_log_lines(spark):
     assert [str(r["ts"]) for r in got[:2]] == ["2024-01-02 03:04:05", "2024-01-02 03:04:06"]
     assert [r["level"] for r in got] == ["INFO", "ERROR", None, None] and got[2]["ts"] is None
     assert got[1]["message"] == "it broke: badly" and got[2]["message"] == "no stamp here"
+
+
+def test_no_bounds_give_one_part_and_open_ends_take_the_rest(spark):
+    plan = plan_parts(spark.createDataFrame([("none", 1000, None, None), ("half", 1000, None, 9)], STATS), 100, 4).collect()
+    assert [(p["part"], p["parts"]) for p in plan] == [(1, 1), (1, 1)]
+    df = spark.createDataFrame([(k,) for k in (None, -50, 0, 3, 7, 99)], "k bigint")
+    cuts = [read_part(df, "k", lo, hi, first=lo == 0, last=hi == 9) for lo, hi in ((0, 3), (4, 9))]
+    assert [sorted((r["k"] for r in c.collect()), key=str) for c in cuts] == [sorted([None, -50, 0, 3], key=str), [7, 99]]
+
+
+def test_growth_between_runs(spark):
+    keys, dest, progress = {"t": "id"}, shared_folder(spark, "t"), shared_folder(spark, "p")
+    plan = lambda top: plan_parts(spark.createDataFrame([("t", 500, 0, top)], STATS), 100, 4)
+    L.full_load({"t": spark.range(100)}, dest, plan(99).filter("part <> 2"), keys, progress=progress)
+    L._log_progress(spark, progress, ("t", 2, 4, 25, 49, None, None, None, None))  # planned, not done
+    rest = L.resume_plan(plan(199), L.read_progress(spark, progress))
+    assert sorted((r["part"], r["lo"], r["hi"]) for r in rest.collect()) == [(2, 25, 49), (4, 75, 99)]
+    L.full_load({"t": spark.range(200)}, dest, rest, keys, progress=progress)
+    assert sorted(r["id"] for r in L.loaded_table(spark, dest, "t").collect()) == list(range(200))
+    assert L.resume_plan(plan(99), L.read_progress(spark, progress)).count() == 0

@@ -2,10 +2,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from karavel.operators.activity import alert_events, alert_state
-from karavel.operators.changes import apply_changes
+from karavel.operators.changes import ErrorPolicy, apply_changes
 from karavel.session import shared_folder
 from karavel.streaming.alerts import AlertLog, follow_alerts
-from karavel.streaming.follow import FollowedTable, follow, follow_until, route_stream, routed
+from karavel.streaming.follow import FollowedTable, follow, follow_until, route_stream, routed, stream_name
 from tests.test_changes import SCHEMA, random_log
 
 BASE = [(k, f"b{k}") for k in range(0, 40, 3)]
@@ -186,7 +186,7 @@ def test_alert_stream_equals_batch(spark):
         polls.filter((F.col("poll") >= lo) & (F.col("poll") < hi)).write.mode("append").parquet(folder)
         follow_alerts(spark.readStream.schema(polls.schema).parquet(folder), log, cp).awaitTermination()
     assert rows_of(log.alerts()) == simulate(random_polls())
-    log.apply_batch(polls, 1)  # a batch done before
+    log.apply_batch(polls, 1, stream_name(cp))  # a batch done before
     assert rows_of(log.alerts()) == simulate(random_polls())
 
 
@@ -201,3 +201,37 @@ def test_failed_delivery_is_raised_again(spark):
     assert rows_of(second) == [("a", 2, "initial copy done", None)]
     state = alert_state(df(polls[1]), second.select("run", "alert"), state)
     assert rows_of(alert_events(df(polls[2]), state)) == [("a", 3, "succeeded", None)]
+
+
+def test_second_alert_checkpoint_goes_on_with_the_state(spark):
+    polls, out = spark.createDataFrame(random_polls(), POLLS), shared_folder(spark, "alerts")
+    log = AlertLog(spark, out)
+    for lo, hi in ((0, 150), (150, 400), (400, 600)):
+        folder = shared_folder(spark, "polls")
+        polls.filter((F.col("poll") >= lo) & (F.col("poll") < hi)).write.parquet(folder)
+        follow_alerts(spark.readStream.schema(polls.schema).parquet(folder), log, shared_folder(spark, "cp")).awaitTermination()
+    assert rows_of(log.alerts()) == simulate(random_polls())
+    assert len(log._batches("state")) == 2 and len(log._batches("done")) == 3
+
+
+def test_file_that_comes_after_a_compaction(spark, log_folder):
+    t, log = table(spark), spark.read.schema(SCHEMA).parquet(log_folder)
+    want = expected(spark, log_folder)
+    for name, part in (("new", "pos > 400"), ("old", "pos <= 400")):
+        t.apply_batch(log.filter(part), name)
+        t.compact()
+    assert content(t.read()) == want
+    t.compact(t.replay_pos())
+    t.apply_batch(log.filter("pos <= 400"), "again")
+    assert content(t.read()) == want
+
+
+def test_policy_holds_back_a_table_in_later_batches(spark):
+    t = table(spark)
+    rows = lambda *r: spark.createDataFrame(list(r), "pos bigint, op string, k bigint, v string, tbl string, bad boolean")
+    how = {"policy": ErrorPolicy(), "table_error": F.col("bad")}
+    t.apply_batch(rows((1, "I", 100, "a", "x", False), (2, "I", 100, "b", "x", False), (3, "U", 0, "c", "x", True), (4, "U", 3, "d", "x", False)), "1", **how)
+    t.apply_batch(rows((5, "U", 6, "e", "x", False), (6, "U", 9, "f", "y", False), (7, "D", 777, "", "y", False)), "2", **how)
+    got = content(t.read())
+    assert got[100] == "a" and got[0] == "b0" and got[3] == "b3" and got[6] == "b6" and got[9] == "f"
+    assert sorted((r["pos"], r["reason"]) for r in t.exceptions().collect()) == [(2, "INSERT_CONFLICT"), (3, "TABLE_ERROR")]

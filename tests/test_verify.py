@@ -38,8 +38,8 @@ def test_row_diff_with_copies_of_a_key(spark):
     # 400 equal copies of one key: compared by count, never pair by pair
     src = [(1, "a")] * 400 + [(2, "b"), (None, "n")]
     tgt = [(1, "a")] * 399 + [(2, "b"), (2, "b"), (None, "n")]
-    got = V.row_diff(spark.createDataFrame(src, "k bigint, v string"), spark.createDataFrame(tgt, "k bigint, v string"), ["k"])
-    assert sorted((r["k"], r["state"]) for r in got.collect()) == [(1, "MISSING_TARGET"), (2, "MISSING_SOURCE")]
+    got = V.row_diff(spark.createDataFrame(src, "k bigint, v string"), spark.createDataFrame(tgt, "k bigint, v string"), ["k"], counts=True)
+    assert sorted((r["k"], r["state"], r["src_rows"], r["tgt_rows"]) for r in got.collect()) == [(1, "DIFFERENT", 400, 399), (2, "DIFFERENT", 1, 2)]
 
 
 def test_row_diff_other_types_in_target(spark):
@@ -101,7 +101,7 @@ def test_minmax_failures_and_skips(spark):
     src = {"a": spark.range(5), "b": spark.range(5), "c": spark.range(5), "d": nothing, "e": spark.range(1)}
     tgt = {"a": spark.range(6), "b": spark.range(5), "c": missing, "d": nothing, "e": spark.range(1)}
     out = V.minmax_check(spark, src, tgt, keys, n=4)
-    assert {r["tbl"]: r["verdict"] for r in out.collect()} == {"a": "FAIL", "b": "SKIPPED", "c": "FAIL", "d": "PASS"}
+    assert {r["tbl"]: r["verdict"] for r in out.collect()} == {"a": "FAIL", "b": "SKIPPED", "c": "ERROR", "d": "PASS"}
 
 
 def test_estimates(spark):
@@ -177,3 +177,29 @@ def test_availability_outcomes(spark):
     assert V.availability(n("a", "b"), n("b"), n("a")).first()["outcome"] == "all there"
     assert V.availability(n("a", "b"), n(), n("a")).first()["missing"] == 1
     assert V.availability(n("b"), n("b"), n()).first()["outcome"] == "nothing to check"
+
+
+def test_a_check_that_cannot_run_gives_code_three(spark):
+    good = V.run_check(spark, "a", lambda: spark.createDataFrame([("PASS",)], "verdict string"))
+    bad = V.run_check(spark, "b", lambda: spark.read.parquet(f"{FOLDER}/not_there.parquet"))
+    assert V.verdict(good.unionByName(bad)).first()["exit_code"] == 3 and V.verdict(good).first()["exit_code"] == 0
+
+
+def test_types_are_compared_in_one_that_holds_both(spark):
+    src = spark.sql("select 1 as k, cast(1.23 as decimal(18,2)) as d, date '2020-01-01' as t, 5 as n, 'A ' as s")
+    tgt = spark.sql("select 1L as k, cast(1.2345 as decimal(18,4)) as d, timestamp_ntz '2020-01-01 00:00:01' as t, 5L as n, 'a' as s")
+    assert V.row_diff(src, tgt, ["k"]).first()["columns"] == "d,t,s"
+    assert V.row_diff(src, tgt, ["k"], collation="ignore_case_and_trailing_blanks").first()["columns"] == "d,t"
+    assert V.row_diff_keyless(src, tgt).count() == 2
+    text = src.select("k", F.lit("1.2345").alias("d"), F.lit("2020-01-01").alias("t"), F.lit("5.0").alias("n"), "s")
+    assert V.row_diff(src, text, ["k"]).first()["columns"] == "d"
+    assert V.row_diff(src, src.withColumn("n", F.lit(5).cast("bigint")), ["k"]).count() == 0
+    assert {r["column_name"]: r["comparable"] for r in V.type_diff(src, tgt).collect()} == {"k": True, "d": True, "t": True, "n": True}
+    assert not V.type_diff(src, src.withColumn("n", F.lit("5"))).first()["comparable"]
+
+
+def test_rows_of_a_repeated_key_are_counted(spark):
+    df = lambda *rows: spark.createDataFrame(list(rows), "k bigint, v string")
+    out = V.row_diff(df((1, "a"), (1, "b"), (2, "x"), (2, "x"), (3, "z")), df((2, "x"), (3, "z"), (4, "q")), ["k"], counts=True)
+    assert sorted((r["k"], r["state"], r["src_rows"], r["tgt_rows"]) for r in out.collect()) == [
+        (1, "MISSING_TARGET", 2, 0), (2, "DIFFERENT", 2, 1), (4, "MISSING_SOURCE", 0, 1)]
