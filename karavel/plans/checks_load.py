@@ -7,20 +7,13 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from karavel.functions.expr import WORD
 from karavel.operators import changes as C, loads as L
 from karavel.plans.checks_source import ROW, change_records
+from karavel.plans.checks import collector
 from karavel.plans.fixtures import Tables
 from karavel.session import shared_folder
 from karavel.sources import logs, snapshot
 from karavel.streaming import follow as S
 
-CHECKS: dict = {}
-
-
-def check(sql: str | None = None):
-    def add(f):
-        CHECKS[f.__name__] = (f, sql)
-        return f
-
-    return add
+CHECKS, check = collector()
 
 
 ORDER_COLS = "o_orderkey, o_custkey, o_orderstatus, cast(o_totalprice as double) as o_totalprice, o_orderdate, o_orderpriority"
