@@ -24,9 +24,16 @@ _powers = np.ones(1, np.uint64)
 _inverse = np.ones(1, np.uint64)
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: lineage ends there and survives executors."""
+ROWS_PER_FILE = 50_000
+
+
+def stage(df: DataFrame, name: str, most: int | None = None) -> DataFrame:
+    """Write a table to the shared folder and read it back: lineage ends there and survives executors.
+
+    ``most`` is a number of narrow rows that the table is known not to exceed; few go to few files.
+    """
     path = shared_folder(df.sparkSession, name)
+    df = df if most is None else df.coalesce(most // ROWS_PER_FILE + 1)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -176,19 +183,20 @@ def components(edges: DataFrame, name: str) -> DataFrame:
     and the rounds grow with the logarithm of the number of nodes.
     """
     e = stage(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), name)
-    steps = []
-    while not e.isEmpty():
+    steps, n = [], e.count()
+    while n:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         rank = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("x"))
         up = both.groupBy("a").agg(F.min(rank("b")).alias("least")).select("a", F.least("least", rank("a"))["x"].alias("r"))
-        up = sized(stage(up, name))
+        up = sized(stage(up, name, 2 * n))
         second, third = up.select(F.col("a").alias("r"), F.col("r").alias("r2")), up.select(F.col("a").alias("r2"), F.col("r").alias("r3"))
-        up = sized(stage(up.join(second, "r").join(third, "r2").select("a", F.col("r3").alias("r")), name))
+        up = sized(stage(up.join(second, "r").join(third, "r2").select("a", F.col("r3").alias("r")), name, 2 * n))
         steps.append(up)
         left = up.select("a", F.col("r").alias("ra"))
         right = up.select(F.col("a").alias("b"), F.col("r").alias("rb"))
         ends = e.join(left, "a").join(right, "b").where("ra <> rb")
-        e = stage(ends.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), name)
+        e = stage(ends.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), name, n)
+        n = e.count()
     if not steps:
         return e.select(F.col("a").alias("id"), F.col("b").alias("root"))
     found = steps[0].select(F.col("a").alias("id"), F.col("r").alias("root"))
@@ -197,6 +205,17 @@ def components(edges: DataFrame, name: str) -> DataFrame:
     return sized(stage(found, name) if len(steps) > 1 else found)
 
 
+def merge_components(roots: DataFrame, links: DataFrame, name: str) -> DataFrame:
+    """``components`` of a graph after it got more edges; only those between different components are worked on."""
+    left = roots.select(F.col("id").alias("a"), F.col("root").alias("ra"))
+    right = roots.select(F.col("id").alias("b"), F.col("root").alias("rb"))
+    ends = links.join(left, "a", "left").join(right, "b", "left")
+    top = components(ends.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")), name)
+    known = roots.join(top.select(F.col("id").alias("root"), F.col("root").alias("up")), "root", "left").select("id", F.coalesce("up", "root").alias("root"))
+    new = top.join(roots.select("id"), "id", "left_anti").select("id", "root")
+    return sized(stage(known.unionByName(new), name))
+
+
 BLOCK = 4096  # members of a bucket that are compared in one piece once all pairs are tried
 Side = Callable[[str], Column]  # gives a column of one of the two items of a pair
 BIN = 1.05  # sizes up to so many times as large count as one
@@ -215,33 +234,35 @@ def linked_groups(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame],
     """
     rows = buckets.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("pivot")).where("n > 1").select("bucket", "pivot")
     members = stage(buckets.join(sized(stage(rows, name)), "bucket"), name)
-    links = roots = None
+    most, roots = members.count(), None
     turn, last = 0, False
     while True:
         if turn == 0:
             pairs = members.where("id <> pivot").select("id", F.col("pivot").alias("to"))
         else:
-            named = stage(members.join(roots, "id", "left").select("bucket", "id", F.coalesce("root", "id").alias("root")), name)
+            named = stage(members.join(roots, "id", "left").select("bucket", "id", F.coalesce("root", "id").alias("root")), name, most)
             mixed = named.groupBy("bucket").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
-            mixed = sized(stage(mixed.where("low <> high").select("bucket", "n"), name))
+            mixed = sized(stage(mixed.where("low <> high").select("bucket", "n"), name, most))
             if mixed.isEmpty():
                 return roots
-            members = stage(named.join(mixed, "bucket"), name)
+            members = stage(named.join(mixed, "bucket"), name, most)
             if last:
                 pairs = _pairs_between_groups(members, bound, fits, name)
             else:
                 order = F.struct(F.xxhash64("id", "bucket", F.lit(turn)).alias("h"), F.col("id").alias("to"), F.col("root").alias("to_root"))
-                pivots = sized(stage(members.groupBy("bucket").agg(F.min(order).alias("p")).select("bucket", "p.to", "p.to_root"), name))
+                pivots = sized(stage(members.groupBy("bucket").agg(F.min(order).alias("p")).select("bucket", "p.to", "p.to_root"), name, most))
                 pairs = members.join(pivots, "bucket").where("root <> to_root").select("id", "to")
             members = members.select("bucket", "id")
         pairs = stage(pairs.select(F.least("id", "to").alias("a"), F.greatest("id", "to").alias("b")).distinct(), name)
         more = stage(verify(pairs), name)
-        links = more if links is None else links.unionByName(more)
-        if turn == 0 or not more.isEmpty():
-            roots = components(links, name)
+        found = more.count()
+        if turn == 0:
+            roots = components(more, name)
+        elif found:
+            roots = merge_components(roots, more, name)
         if last:
             return roots
-        last = turn > 0 and 50 * more.count() <= pairs.count()
+        last = turn > 0 and 50 * found <= pairs.count()
         turn += 1
 
 

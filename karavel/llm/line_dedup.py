@@ -3,18 +3,20 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from karavel.llm.common import Words, linked_groups, mix, same_document, sized, stage, text_key
+from karavel.llm.common import Side, Words, linked_groups, mix, same_document, seeds, sized, stage, text_key
 
 BITS, BLOCKS = 128, 4  # fingerprints up to BLOCKS - 1 bits apart share a block
 LEAST_CHARS = 10  # bytes of a normalised line; shorter ones are left alone
 SIMILARITY = 0.9  # 1 - edits / characters of the longer line
 HEAVIEST = 15  # a word weighs as much as it is long, up to this
+GRAM, PARITY_WORDS = 3, 16  # lines are compared by parity bits of their 3-character grams before their texts are
 ROWS_AT_ONCE = 1 << 14  # words whose bits are spread out at a time
 
 _table = bytearray(range(256))
@@ -56,6 +58,16 @@ def fingerprints(lines: list[bytes]) -> np.ndarray:
     return out.view(np.uint32)
 
 
+def gram_parity(x: str) -> np.ndarray:
+    """A bit for each class of GRAM neighbouring characters: does the line hold an odd number of them?"""
+    c = np.frombuffer(x.encode("utf-32-le"), np.uint32).astype(np.uint64)
+    odd, h = seeds(GRAM, 8), np.zeros(max(0, len(c) - GRAM + 1), np.uint64)
+    for i in range(GRAM):
+        h += c[i : i + len(h)] * odd[i]
+    bits = np.bincount((mix(h) >> np.uint64(40)).astype(np.int64) % (64 * PARITY_WORDS), minlength=64 * PARITY_WORDS) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.uint64)
+
+
 def edit_distance(a: str, b: str) -> int:
     """Levenshtein distance; one step for each character of the shorter text, on all of the longer one at once."""
     skip = 0
@@ -144,15 +156,37 @@ def repeated_lines(docs: DataFrame, least_chars: int, similarity: float) -> Data
             keep = [similar(x, y, similarity) for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist())]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    def texts_of(ids: DataFrame) -> DataFrame:
+        """id, x (the normalised line) for (id)."""
         wanted = sized(stage(ids.join(distinct, "id").select("id", "at.doc_id", "at.th", "at.line"), "lines_wanted"))
         found = docs.join(wanted, same_document(docs, wanted)).select("id", "line", "text")
-        texts = stage(found.mapInArrow(pick, "id long, x string"), "lines_texts")
+        return stage(found.mapInArrow(pick, "id long, x string"), "lines_texts")
+
+    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["id", "size", "low", "reach", *(f"b{i}" for i in range(PARITY_WORDS))]
+        for batch in batches:
+            texts = batch.column("x").to_pylist()
+            size = [len(x) for x in texts]
+            parity = np.array([gram_parity(x) for x in texts], np.uint64).reshape(-1, PARITY_WORDS).view(np.int64)
+            low, reach = [math.floor(n * similarity - 1e-9) for n in size], [math.ceil(n / similarity + 1e-9) for n in size]
+            arrays = [batch.column("id"), *(pa.array(x, pa.int64()) for x in (size, low, reach)), *(pa.array(parity[:, i].copy()) for i in range(PARITY_WORDS))]
+            yield pa.RecordBatch.from_arrays(arrays, names)
+
+    def bound(named: DataFrame) -> DataFrame:
+        words = ", ".join(f"b{i} long" for i in range(PARITY_WORDS))
+        return texts_of(named.select("id")).mapInArrow(sizes, f"id long, size long, low long, reach long, {words}")
+
+    def fits(x: Side, y: Side) -> Column:
+        """An edit changes at most GRAM grams of either line, and each gram one parity bit."""
+        differ = sum((F.bit_count(x(f"b{i}").bitwiseXOR(y(f"b{i}"))) for i in range(PARITY_WORDS)), F.lit(0))
+        return differ <= 2 * GRAM * (F.floor(F.greatest(x("size"), y("size")) * (1 - similarity) + 1e-9))
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        texts = texts_of(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
         a, b = texts.select(F.col("id").alias("a"), "x"), texts.select(F.col("id").alias("b"), F.col("x").alias("y"))
         return pairs.join(a, "a").join(b, "b").mapInArrow(compare, "a long, b long")
 
-    roots = linked_groups(buckets, verify, "lines_links")
+    roots = linked_groups(buckets, verify, "lines_links", bound, fits)
     named = distinct.join(roots, "id", "left").where("n > 1 or root is not null").select("h1", "h2", "at", F.coalesce("root", "id").alias("root"))
     named = stage(named, "lines_named")
     first = stage(named.groupBy("root").agg(F.min("at").alias("first")), "lines_first")

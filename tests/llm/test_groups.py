@@ -258,7 +258,7 @@ def test_a_large_group_of_copies_costs_one_pair_a_member(spark, monkeypatch):
     rows = [(i, " ".join(base[: i % 190] + [f"x{i}"] + base[i % 190 :])) for i in range(300)]
     counts = []
     stage = common.stage
-    monkeypatch.setattr(common, "stage", lambda df, name: counts.append((df.columns, out.count())) or out if (out := stage(df, name)) is not None else out)
+    monkeypatch.setattr(common, "stage", lambda df, *a: counts.append((df.columns, out.count())) or out if (out := stage(df, *a)) is not None else out)
     found = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=5)
     assert {r.component_id for r in found.collect()} == {0}
     assert max(n for columns, n in counts if columns == ["a", "b"]) < 40 * len(rows)
