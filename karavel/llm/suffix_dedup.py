@@ -15,14 +15,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from karavel.llm.common import CHUNK, _power_tables, chunks, mix, same_document, sized, stage, text_bytes
+from karavel.llm.common import CHUNK, _power_tables, chunks, mix, same_document, stage, text_bytes
 
 LENGTH, GRAM = 400, 64
 SHALLOW = 128  # depth to which multikey quicksort goes; longer common prefixes are sorted with blind tries
 WORD = 8  # bytes that count as one character of the quicksort
 GROUP_MAX = 4096  # strings sorted together; larger groups are split by more of their context first
 SLICE = 1 << 23  # bytes of a text looked at together
-INTERVALS_TO_SEND = 200_000
 
 
 def common_prefix(a: bytes, b: bytes) -> int:
@@ -219,7 +218,7 @@ def anchor_table(docs: DataFrame, length: int, gram: int) -> DataFrame:
 def context_rows(docs: DataFrame, spans: DataFrame, length: int) -> DataFrame:
     """The bytes of one place of every distinct span: k, s1, s2, n, x, off (of the anchor in x), lo, hi."""
     by_doc = spans.groupBy("one.doc_id", "one.th").agg(F.collect_list(F.struct("k", "s1", "s2", "n", "one.a", "lo", "hi")).alias("spans"))
-    by_doc = sized(stage(by_doc, "repeats_places"), 20_000)
+    by_doc = stage(by_doc, "repeats_places")
     rows = docs.join(by_doc, same_document(docs, by_doc)).select("text", "spans")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -342,8 +341,6 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, grou
     docs = docs.select("doc_id", F.xxhash64(text).alias("th"), text.alias("text"))
     ranges = find_repeats(docs.where(F.octet_length("text") >= length), length, gram, group_max)
     gone = stage(ranges.groupBy("doc_id", "th").agg(F.collect_set(F.struct("start", "end")).alias("gone")), "repeats_gone")
-    few = gone.agg(F.coalesce(F.sum(F.size("gone")), F.lit(0))).first()[0] <= INTERVALS_TO_SEND
-    gone = F.broadcast(gone) if few else gone
     rows = docs.join(gone, same_document(docs, gone), "left").select(docs["doc_id"], "text", "gone")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
