@@ -15,7 +15,7 @@ from karavel.llm.common import same_document, stage, with_column
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK_CHARS = 16_384  # texts with more characters are cut into chunks of so many
 BLOCK_CHUNKS = 128  # transfer matrices that one row of the scan's first level combines
-CACHE = 400_000  # segments remembered by a task
+CACHE = 400_000  # segments that each of two generations remembers
 SPACE = "▁"  # fixed value: the mark that stands for a space in pieces
 LITERAL = "\ud800"  # stands for such a mark in the text itself; no text can hold it, it has no piece and goes by bytes
 UNKNOWN_PENALTY = 10  # fixed value: what a character without a piece scores below the worst piece
@@ -70,7 +70,7 @@ SEGMENT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 class Segmenter:
     def __init__(self, vocabulary: Vocabulary):
-        self.v, self.known = vocabulary, {}
+        self.v, self.known, self.older = vocabulary, {}, {}
 
     def edges(self, s: str, i: int, stop: int) -> list[tuple[int, int, int]]:
         """(end, id, score) of the pieces that begin at i and end by ``stop``, longest last."""
@@ -121,12 +121,13 @@ class Segmenter:
         return tuple(self.v.byte_ids[b] for b in (SPACE if c == LITERAL else c).encode())
 
     def segment(self, s: str) -> tuple[int, list[int]]:
+        """Score and ids of a segment. What was used since the last change of generation, or before it, is remembered."""
         found = self.known.get(s)
         if found is None:
-            found = self.path(s, 0, len(s))
+            found = self.older.get(s) or self.path(s, 0, len(s))
             if len(s) <= 64:
                 if len(self.known) >= CACHE:
-                    self.known.clear()
+                    self.older, self.known = self.known, {}
                 self.known[s] = found
         return found
 
@@ -135,9 +136,8 @@ class Segmenter:
         if not text:
             return 0, []
         total, ids = 0, []
-        known = self.known
         for s in SEGMENT.findall(marked(text)):
-            found = known.get(s) or self.segment(s)
+            found = self.known.get(s) or self.segment(s)
             total += found[0]
             ids += found[1]
         return total, ids
