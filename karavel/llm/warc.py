@@ -20,7 +20,6 @@ from karavel.session import shared_folder
 SPLIT_BYTES = 8 << 20  # of an archive that one task scans
 READ_BYTES = 1 << 18
 MAGIC = b"\x1f\x8b\x08"  # fixed value: gzip, deflate
-HEAD_LIMIT = 1 << 16  # bytes in which the header of a record has to end
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"  # fixed value of the WARC standard
 SCHEMA = "record_id string, record_type string, target_uri string, page_id long, refers_to long, payload_digest string, payload_bytes long, digest_ok boolean, payload binary, path string, offset long"
 
@@ -102,7 +101,7 @@ def write_archives(rows: DataFrame, folder: str) -> DataFrame:
 
 def parse_record(data: bytes) -> tuple[dict, bytes] | None:
     """Header fields and block of an unpacked member; None if it is no WARC record."""
-    end = data.find(b"\r\n\r\n", 0, HEAD_LIMIT)
+    end = data.find(b"\r\n\r\n")
     if not data.startswith(b"WARC/") or end < 0:
         return None
     fields = {}
@@ -205,8 +204,17 @@ def read_archives(spark: SparkSession, files: DataFrame, split_bytes: int = SPLI
     return parts.mapInArrow(read, SCHEMA)
 
 
+def all_read(records: DataFrame, files: DataFrame) -> DataFrame:
+    """The records, if as many were read from each file as were written to it; otherwise an error."""
+    found = records.groupBy("path").agg(F.count("*").alias("n"))
+    lost = files.join(found, "path", "left").where(F.coalesce("n", F.lit(0)) != F.col("n_records")).select("path", "n_records", "n").head(1)
+    if lost:
+        raise ValueError(f"{lost[0].path}: {lost[0].n_records} records written, {lost[0].n or 0} read")
+    return records
+
+
 def round_trip(pages: DataFrame) -> DataFrame:
     """Archives of all pages, written to the shared folder and read again; see ``read_archives`` for the columns."""
     spark = pages.sparkSession
     files = write_archives(assign_revisits(pages), shared_folder(spark, "warc"))
-    return read_archives(spark, files)
+    return all_read(stage(read_archives(spark, files), "warc_records"), files)

@@ -104,6 +104,23 @@ def test_false_marks_and_broken_members_are_passed_over():
         assert found == [len(fake), len(fake) + len(good) + 3]
 
 
+def test_a_record_with_a_very_long_url_is_read(spark):
+    url = "data:text/html," + "x" * 200_000
+    pages = spark.createDataFrame([(1, url, "<p>a"), (2, url + "y", "<p>a"), (3, "u", "<p>b")], "page_id long, url string, html string")
+    rows = {r.page_id: r for r in warc.round_trip(pages).collect()}
+    assert {i: r.target_uri for i, r in rows.items()} == {1: url, 2: url + "y", 3: "u"}
+    assert rows[1].refers_to == 2 and rows[2].digest_ok and bytes(rows[2].payload) == b"<p>a"
+
+
+def test_records_that_were_not_read_are_an_error(spark, pages):
+    files = warc.write_archives(warc.assign_revisits(pages), shared_folder(spark, "warc_test"))
+    rows = warc.read_archives(spark, files)
+    assert warc.all_read(rows, files).count() == 11
+    for wrong in (files.withColumn("n_records", files.n_records + 1), files.unionByName(files.limit(1).withColumn("path", F.lit("none")))):
+        with pytest.raises(ValueError, match="records written"):
+            warc.all_read(rows, wrong)
+
+
 def test_small_payloads_are_not_revisited(pages):
     rows = warc.assign_revisits(pages, least_bytes=5).collect()
     assert all(r.refers_to is None for r in rows)
