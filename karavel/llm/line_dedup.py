@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from karavel.llm.common import Side, Words, linked_groups, mix, same_document, seeds, sized, stage, text_key
 
 BITS, BLOCKS = 128, 4  # fingerprints up to BLOCKS - 1 bits apart share a block
-LEAST_CHARS = 10  # bytes of a normalised line; shorter ones are left alone
+LEAST_CHARS = 1  # bytes of a normalised line; only blank lines are left alone
 SIMILARITY = 0.9  # 1 - edits / characters of the longer line
 HEAVIEST = 15  # a word weighs as much as it is long, up to this
 GRAM, PARITY_WORDS = 3, 16  # lines are compared by parity bits of their 3-character grams before their texts are

@@ -351,3 +351,9 @@ def test_lines_that_are_nearly_the_same_are_found(spark):
     rows = [(i, long[: 40 * i] + "q" + long[40 * i + 1 :]) for i in range(1, 12)]
     out = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sum(x.n_removed for x in out) >= 9 and next(x for x in out if x.doc_id == 1).n_removed == 0
+
+
+def test_short_lines_take_part_and_blank_ones_stay(spark):
+    rows = [(1, "Read more\nThis one stands alone"), (2, "read more!\n\nNothing like it elsewhere"), (3, "Read more\n続く。\n---"), (4, "続く。\n\n---\nOK"), (5, "ok.")]
+    out = {x.doc_id: (x.text, x.n_removed) for x in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out == {1: (rows[0][1], 0), 2: ("\nNothing like it elsewhere", 1), 3: ("続く。\n---", 1), 4: ("\n---\nOK", 1), 5: ("", 1)}
