@@ -1,23 +1,26 @@
-"""Repeated and nearly repeated lines: SimHash of normalised lines, blocks of its bits, edit similarity, one line per group."""
+"""Repeated and nearly repeated lines: least grams of normalised lines, sketches, edit similarity, one line per group."""
 
 from __future__ import annotations
 
 import hashlib
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from karavel.llm.common import Side, Words, linked_groups, mix, same_document, seeds, sized, stage, text_key
+from karavel.llm.common import Side, linked_groups, merge_components, mix, same_document, seeds, sized, span_hashes, stage, text_key
 
-BITS, BLOCKS = 128, 4  # fingerprints up to BLOCKS - 1 bits apart share a block
+COLUMNS, HALVES = 24, 4  # fingerprints: least hashes of grams, and hashes of halves of short lines
+LONG_GRAM, SHORT_GRAM = 12, 6  # bytes; lines of LONG_FROM bytes or more have long grams, those under SHORT_TO short ones
+LONG_FROM, SHORT_TO = 48, 60
+HALF_FROM, HALF_TO = 9, 19  # characters of lines that may differ by one edit at 0.9; one half of them is intact
+SIZE_BIN = 1.5  # lines meet if they are of one class of size; its edges differ by column
+BINS, MOST_DIFFER = 128, 78  # sketch: two bits for each of BINS classes of short grams; so many may differ
+SMALL = 64  # members of a bucket that are compared pair by pair
 LEAST_CHARS = 1  # bytes of a normalised line; only blank lines are left alone
 SIMILARITY = 0.9  # 1 - edits / characters of the longer line
-HEAVIEST = 15  # a word weighs as much as it is long, up to this
 GRAM, PARITY_WORDS = 3, 16  # lines are compared by parity bits of their 3-character grams before their texts are
-ROWS_AT_ONCE = 1 << 14  # words whose bits are spread out at a time
 
 _table = bytearray(range(256))
 for _c in range(128):
@@ -26,6 +29,7 @@ for _c in range(128):
 for _c in b"0123456789":
     _table[_c] = 48
 NORMAL = bytes(_table)
+NONE = np.uint64(2**64 - 1)
 
 
 def normalised(text: str) -> list[bytes]:
@@ -33,29 +37,57 @@ def normalised(text: str) -> list[bytes]:
     return [b" ".join(x.split()) for x in text.lower().encode().translate(NORMAL).split(b"\n")]
 
 
+def _grams(buf: np.ndarray, off: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all runs of ``size`` bytes inside a line, and the line of each."""
+    runs = np.maximum(np.diff(off) - size + 1, 0)
+    bounds = np.concatenate([[0], np.cumsum(runs)])
+    at = np.arange(bounds[-1]) + np.repeat(off[:-1] - bounds[:-1], runs)
+    return span_hashes(buf, at, at + size), np.repeat(np.arange(len(runs)), runs)
+
+
+def _least(h: np.ndarray, owner: np.ndarray, n: int, columns: int) -> np.ndarray:
+    """The least gram of each line in each of ``columns`` classes of grams; NONE if there is none."""
+    out = np.full(n * columns, NONE)
+    np.minimum.at(out, owner * columns + ((h >> np.uint64(40)) % np.uint64(columns)).astype(np.int64), h & (NONE >> np.uint64(24)))
+    return out.reshape(n, columns)
+
+
+def sketches(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Fingerprints (lines x COLUMNS + HALVES numbers), sketches (lines x 4 words) and characters of each line."""
+    n, size = len(lines), np.array([len(x) for x in lines], np.int64)
+    off = np.concatenate([[0], np.cumsum(size)])
+    buf = np.frombuffer(b"".join(lines), np.uint8)
+    count = np.concatenate([[0], np.cumsum((buf & 0xC0) != 0x80)])
+    chars = count[off[1:]] - count[off[:-1]]
+    h, owner = _grams(buf, off, SHORT_GRAM)
+    least = mix(np.where((found := _least(h, owner, n, BINS)) == NONE, np.uint64(0), found))
+    bits = np.where(found == NONE, np.uint64(0), least & np.uint64(3)).reshape(n, 4, BINS // 4)
+    sketch = (bits << (2 * np.arange(BINS // 4, dtype=np.uint64))).sum(axis=2, dtype=np.uint64)
+    out = np.full((n, COLUMNS + HALVES), NONE)
+    short = size[owner] < SHORT_TO
+    out[:, :COLUMNS] = _least(h[short], owner[short], n, COLUMNS)
+    h, owner = _grams(buf, off, LONG_GRAM)
+    fits = size[owner] >= LONG_FROM
+    both, third = (size >= LONG_FROM) & (size < SHORT_TO), np.arange(COLUMNS) % 3 == 0
+    out[:, :COLUMNS] = np.where((size >= LONG_FROM)[:, None] & ~(both[:, None] & third), _least(h[fits], owner[fits], n, COLUMNS), out[:, :COLUMNS])
+    class_ = np.floor(np.log(np.maximum(chars, 1))[:, None] / np.log(SIZE_BIN) + np.arange(COLUMNS) / COLUMNS).astype(np.uint64)
+    empty = out == NONE
+    out[:, :COLUMNS] = mix(out[:, :COLUMNS] + (class_ << np.uint64(48)))
+    for i in np.flatnonzero((chars >= HALF_FROM) & (chars <= HALF_TO)).tolist():
+        x = lines[i].decode("utf-8", "replace")
+        for k in {len(x) // 2, (len(x) - 1) // 2}:
+            for column, part in ((COLUMNS + k % 2, x[:k]), (COLUMNS + 2 + k % 2, x[-k:])):
+                out[i, column], empty[i, column] = int.from_bytes(hashlib.blake2b(part.encode(), digest_size=8).digest(), "little"), False
+    own = span_hashes(buf, off[:-1], off[1:])[:, None] + np.arange(COLUMNS + HALVES, dtype=np.uint64)
+    return (np.where(empty, mix(own), out) >> np.uint64(32)).astype(np.uint32), sketch, chars
+
+
 def fingerprints(lines: list[bytes]) -> np.ndarray:
-    """SimHash of each line from its words, weighted by length: lines x 4 blocks of 32 bits."""
-    off = np.concatenate([[0], np.cumsum([len(x) for x in lines], dtype=np.int64)])
-    words = Words((np.frombuffer(b"".join(lines), np.uint8), off))
-    out = np.zeros((len(lines), BITS // 8), np.uint8)
-    weight = np.minimum(words.ends - words.starts, HEAVIEST).astype(np.uint8)
-    total = words.per_text(weight.astype(np.int64))
-    at = 0
-    while at < len(lines):
-        end = max(at + 1, int(np.searchsorted(words.first, words.first[at] + ROWS_AT_ONCE, "right")) - 1)
-        end = min(end, len(lines))
-        sums = np.zeros((end - at, BITS), np.int64)
-        full = np.flatnonzero(words.first[at + 1 : end + 1] > words.first[at:end])
-        for a in range(int(words.first[at]), int(words.first[end]), ROWS_AT_ONCE):
-            b = min(a + ROWS_AT_ONCE, int(words.first[end]))
-            h = words.hashes[a:b]
-            bits = np.unpackbits(np.stack([mix(h), mix(h ^ np.uint64(0x5DEECE66D))], axis=1).view(np.uint8), axis=1)
-            bits *= weight[a:b, None]
-            here = full[(words.first[at + full + 1] > a) & (words.first[at + full] < b)]
-            sums[here] += np.add.reduceat(bits, np.maximum(words.first[at + here] - a, 0), axis=0, dtype=np.int64)
-        out[at:end] = np.packbits(2 * sums > total[at:end, None], axis=1)
-        at = end
-    return out.view(np.uint32)
+    """Lines that are similar agree in a column: the least of the grams of a class, or an intact half of a short line.
+
+    A column without a gram has a number of the line's own.
+    """
+    return sketches(lines)[0]
 
 
 def gram_parity(x: str) -> np.ndarray:
@@ -101,13 +133,21 @@ def edit_distance(a: str, b: str) -> int:
     return distance
 
 
+def maybe_similar(a: str, b: str, least: float) -> bool:
+    """False only for texts that are not similar: an edit changes at most GRAM grams of either, and each gram one parity bit."""
+    allowed = int((1 - least) * max(len(a), len(b)) + 1e-9)
+    if 2 * GRAM * allowed >= 32 * PARITY_WORDS:  # texts that have nothing in common differ in half of the bits
+        return True
+    return int(np.bitwise_count(gram_parity(a) ^ gram_parity(b)).sum()) <= 2 * GRAM * allowed
+
+
 def similar(a: str, b: str, least: float) -> bool:
     allowed = int((1 - least) * max(len(a), len(b)) + 1e-9)
     return abs(len(a) - len(b)) <= allowed and edit_distance(a, b) <= allowed
 
 
 def line_table(docs: DataFrame, least_chars: int) -> DataFrame:
-    """doc_id, th, line (from 0), h1 and h2 (a 128-bit hash of the normalised line), f (its fingerprint as 4 ints)."""
+    """doc_id, th, line (from 0), h1 and h2 (a 128-bit hash of the normalised line), its size in characters, prints and s0 to s3."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -116,7 +156,7 @@ def line_table(docs: DataFrame, least_chars: int) -> DataFrame:
                 lines, owner, number, held = [], [], [], 0
                 while at < batch.num_rows and held < 1 << 20:
                     for n, x in enumerate(normalised(batch.column("text")[at].as_py())):
-                        if len(x) >= least_chars:
+                        if len(x) >= max(1, least_chars):
                             lines.append(x)
                             owner.append(at)
                             number.append(n)
@@ -125,25 +165,37 @@ def line_table(docs: DataFrame, least_chars: int) -> DataFrame:
                 if not lines:
                     continue
                 digest = np.frombuffer(b"".join(hashlib.blake2b(x, digest_size=16).digest() for x in lines), "<i8").reshape(-1, 2)
-                prints = fingerprints(lines).view(np.int32)
-                rows = pa.array(owner)
+                prints, sketch, chars = sketches(lines)
+                rows, sketch = pa.array(owner), sketch.view(np.int64)
                 arrays = [batch.column("doc_id").take(rows), batch.column("th").take(rows), pa.array(number, pa.int32())]
-                arrays += [pa.array(digest[:, i].copy()) for i in range(2)] + [pa.array(prints[:, i].copy()) for i in range(BLOCKS)]
-                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "th", "line", "h1", "h2", "f0", "f1", "f2", "f3"])
+                arrays += [pa.array(digest[:, i].copy()) for i in range(2)] + [pa.array(chars.astype(np.int32)), pa.array(list(map(bytes, prints.astype("<u4"))), pa.binary())]
+                arrays += [pa.array(sketch[:, i].copy()) for i in range(4)]
+                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "th", "line", "h1", "h2", "size", "prints", "s0", "s1", "s2", "s3"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "th", "text").mapInArrow(make, f"doc_id {kind}, th long, line int, h1 long, h2 long, f0 int, f1 int, f2 int, f3 int")
+    return docs.select("doc_id", "th", "text").mapInArrow(make, f"doc_id {kind}, th long, line int, h1 long, h2 long, size int, prints binary, s0 long, s1 long, s2 long, s3 long")
 
 
 def repeated_lines(docs: DataFrame, least_chars: int, similarity: float) -> DataFrame:
     """doc_id, th, line of each line that goes. ``docs``: doc_id, th, text, one row each."""
     lines = stage(line_table(docs, least_chars), "lines_all")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th", "line")
-    prints = [f"f{i}" for i in range(BLOCKS)]
-    distinct = lines.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(place).alias("at"), *(F.first(x).alias(x) for x in prints))
+    sketch = ["size", "s0", "s1", "s2", "s3"]
+    distinct = lines.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(place).alias("at"), *(F.first(x).alias(x) for x in (*sketch, "prints")))
     distinct = stage(distinct.select(F.monotonically_increasing_id().alias("id"), "*"), "lines_distinct")
-    blocks = F.array(*(F.col(x).cast("long") + F.lit(i << 32) for i, x in enumerate(prints)))
-    buckets = distinct.select(F.explode(blocks).alias("bucket"), "id")
+    # an edit or more is allowed only from this size on; shorter lines are linked if they are equal
+    least = next((n - 1 for n in range(1, 1 << 20) if int((1 - similarity) * n + 1e-9)), 1 << 20)
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                prints = np.frombuffer(b"".join(batch.column("prints").to_pylist()), "<u4").reshape(batch.num_rows, -1)
+                for i in range(prints.shape[1]):
+                    yield pa.RecordBatch.from_arrays([pa.array(prints[:, i].astype(np.int64) + (i << 32)), batch.column("id")], ["bucket", "id"])
+
+    buckets = distinct.where(f"size >= {least}").select("id", "prints").mapInArrow(explode, "bucket long, id long")
+    counts = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    members = stage(buckets.join(counts, "bucket"), "lines_members")
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -153,7 +205,7 @@ def repeated_lines(docs: DataFrame, least_chars: int, similarity: float) -> Data
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [similar(x, y, similarity) for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist())]
+            keep = [maybe_similar(x, y, similarity) and similar(x, y, similarity) for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist())]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     def texts_of(ids: DataFrame) -> DataFrame:
@@ -162,31 +214,35 @@ def repeated_lines(docs: DataFrame, least_chars: int, similarity: float) -> Data
         found = docs.join(wanted, same_document(docs, wanted)).select("id", "line", "text")
         return stage(found.mapInArrow(pick, "id long, x string"), "lines_texts")
 
-    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["id", "size", "low", "reach", *(f"b{i}" for i in range(PARITY_WORDS))]
-        for batch in batches:
-            texts = batch.column("x").to_pylist()
-            size = [len(x) for x in texts]
-            parity = np.array([gram_parity(x) for x in texts], np.uint64).reshape(-1, PARITY_WORDS).view(np.int64)
-            low, reach = [math.floor(n * similarity - 1e-9) for n in size], [math.ceil(n / similarity + 1e-9) for n in size]
-            arrays = [batch.column("id"), *(pa.array(x, pa.int64()) for x in (size, low, reach)), *(pa.array(parity[:, i].copy()) for i in range(PARITY_WORDS))]
-            yield pa.RecordBatch.from_arrays(arrays, names)
-
     def bound(named: DataFrame) -> DataFrame:
-        words = ", ".join(f"b{i} long" for i in range(PARITY_WORDS))
-        return texts_of(named.select("id")).mapInArrow(sizes, f"id long, size long, low long, reach long, {words}")
+        low, reach = F.floor(F.col("size") * similarity - 1e-9), F.ceil(F.col("size") / similarity + 1e-9)
+        return named.select("id").join(distinct, "id").select("id", *sketch, low.alias("low"), reach.alias("reach"))
 
     def fits(x: Side, y: Side) -> Column:
-        """An edit changes at most GRAM grams of either line, and each gram one parity bit."""
-        differ = sum((F.bit_count(x(f"b{i}").bitwiseXOR(y(f"b{i}"))) for i in range(PARITY_WORDS)), F.lit(0))
-        return differ <= 2 * GRAM * (F.floor(F.greatest(x("size"), y("size")) * (1 - similarity) + 1e-9))
-
-    def verify(pairs: DataFrame) -> DataFrame:
+        """Are the sizes and the sketches near enough?"""
+        differ = F.lit(0)
+        for i in range(4):
+            z = x(f"s{i}").bitwiseXOR(y(f"s{i}"))
+            differ = differ + F.bit_count(z.bitwiseOR(F.shiftrightunsigned(z, 1)).bitwiseAND(F.lit(0x5555555555555555)))
+        return (F.least(x("size"), y("size")) >= F.floor(F.greatest(x("size"), y("size")) * similarity - 1e-9)) & (differ <= MOST_DIFFER)
+
+    def check(pairs: DataFrame) -> DataFrame:
+        pairs = stage(pairs, "lines_pairs")
         texts = texts_of(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
         a, b = texts.select(F.col("id").alias("a"), "x"), texts.select(F.col("id").alias("b"), F.col("x").alias("y"))
         return pairs.join(a, "a").join(b, "b").mapInArrow(compare, "a long, b long")
 
-    roots = linked_groups(buckets, verify, "lines_links", bound, fits)
+    def verify(pairs: DataFrame) -> DataFrame:
+        a, b = distinct.select(F.col("id").alias("a"), *sketch), distinct.select(F.col("id").alias("b"), *(F.col(c).alias(f"to_{c}") for c in sketch))
+        return check(pairs.join(a, "a").join(b, "b").where(fits(F.col, lambda c: F.col(f"to_{c}"))).select("a", "b"))
+
+    few = members.where(f"n <= {SMALL}").select("bucket", "id").join(distinct.select("id", *sketch), "id")
+    few = stage(few.select("bucket", "id", *sketch), "lines_few")
+    other = few.select("bucket", F.col("id").alias("b"), *(F.col(c).alias(f"to_{c}") for c in sketch))
+    near = few.withColumnRenamed("id", "a").join(other, "bucket").where(F.col("a") < F.col("b")).where(fits(F.col, lambda c: F.col(f"to_{c}")))
+    links = stage(check(near.select("a", "b").distinct()), "lines_near")
+    roots = linked_groups(members.where(f"n > {SMALL}").select("bucket", "id"), verify, "lines_links", bound, fits)
+    roots = merge_components(roots, links, "lines_links")
     named = distinct.join(roots, "id", "left").where("n > 1 or root is not null").select("h1", "h2", "at", F.coalesce("root", "id").alias("root"))
     named = stage(named, "lines_named")
     first = stage(named.groupBy("root").agg(F.min("at").alias("first")), "lines_first")
@@ -197,10 +253,10 @@ def repeated_lines(docs: DataFrame, least_chars: int, similarity: float) -> Data
 def dedup_lines(docs: DataFrame, least_chars: int = LEAST_CHARS, similarity: float = SIMILARITY) -> DataFrame:
     """The columns of ``docs`` with the text left, and n_lines, n_removed (replaced if there are such columns).
 
-    Lines are linked if they are equal when normalised, or share a block of their fingerprint (all that are
-    less than BLOCKS bits apart do) and are similar in edits. Of each connected group the first line stays:
+    Lines are linked if they are equal when normalised, or share a column of their fingerprint (see
+    ``fingerprints``) and are similar in edits. Of each connected group the first line stays:
     the one with the least doc_id (null comes last), hash of the text and number. Lines whose normalised
-    form has fewer than ``least_chars`` bytes stay. Rows that agree in doc_id and text are one document and
+    form is empty, or has fewer than ``least_chars`` bytes, stay. Rows that agree in doc_id and text are one document and
     get equal results. A null text stays null with 0 lines.
     """
     rows = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"), "doc_id", text_key().alias("th"), F.col("text").cast("string").alias("text"))

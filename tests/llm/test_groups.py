@@ -353,6 +353,63 @@ def test_lines_that_are_nearly_the_same_are_found(spark):
     assert sum(x.n_removed for x in out) >= 9 and next(x for x in out if x.doc_id == 1).n_removed == 0
 
 
+def nearly_equal(r, n, change):
+    """A line of n words and a changed one that is similar to it."""
+    while True:
+        x = [" ".join("".join(r.choice("etaoinshrdlu") for _ in range(r.randint(2, 9))) for _ in range(n))]
+        x.append(change(x[0]))
+        a, b = (line_dedup.normalised(t)[0].decode() for t in x)
+        if a != b and lev(a, b) <= int(0.1 * max(len(a), len(b)) + 1e-9):
+            return x
+
+
+def one_word(r):
+    def change(x):
+        ws = x.split()
+        ws[r.randrange(len(ws))] = "".join(r.choice("etaoinshrdlu") for _ in range(r.randint(2, 9)))
+        return " ".join(ws)
+
+    return change
+
+
+def letters(r, share):
+    def change(x):
+        for _ in range(max(1, int(share * len(x)))):
+            at, way = r.randrange(len(x)), r.randrange(3)
+            x = x[:at] + ("", "q", "q" + x[at])[way] + x[at + 1 :]
+        return x
+
+    return change
+
+
+def test_nearly_equal_lines_of_any_length_are_found(spark):
+    """Recall against edit similarity alone: variants of lines of 2 to 60 words, which need not share a fingerprint by this test."""
+    r = random.Random(21)
+    pairs = [nearly_equal(r, n, way) for n in (2, 5, 10, 25, 60) for way in (one_word(r), letters(r, 0), letters(r, 0.05)) for _ in range(12)]
+    rows = [(2 * i + k, x) for i, p in enumerate(pairs) for k, x in enumerate(p)]
+    out = {x.doc_id: x.n_removed for x in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(out[2 * i] == 0 for i in range(len(pairs)))
+    assert sum(out[2 * i + 1] for i in range(len(pairs))) >= 0.99 * len(pairs)
+
+
+def test_fingerprints_of_lines_at_the_limit_agree():
+    r = random.Random(22)
+    for n in (3, 8, 20, 50):
+        pairs = [[line_dedup.normalised(x)[0] for x in nearly_equal(r, n, letters(r, 0.1))] for _ in range(60)]
+        prints = line_dedup.fingerprints([x for p in pairs for x in p])
+        assert (prints[::2] == prints[1::2]).any(axis=1).mean() >= 0.9
+        assert all(line_dedup.maybe_similar(a.decode(), b.decode(), 0.9) for a, b in pairs)
+
+
+def test_many_near_copies_of_one_line_and_common_beginnings(spark):
+    r = random.Random(23)
+    base = " ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(20))
+    rows = [(i, base[: i % 130] + chr(105 + i // 130) + base[i % 130 + 1 :]) for i in range(260)]
+    rows += [(1000 + i, base[:50] + " ".join("".join(r.choice("ijklmnop") for _ in range(6)) for _ in range(20))) for i in range(150)]
+    out = {x.doc_id: x.n_removed for x in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(out[i] for i in range(260)) == 259 and out[0] == 0 and not any(out[1000 + i] for i in range(150))
+
+
 def test_short_lines_take_part_and_blank_ones_stay(spark):
     rows = [(1, "Read more\nThis one stands alone"), (2, "read more!\n\nNothing like it elsewhere"), (3, "Read more\n続く。\n---"), (4, "続く。\n\n---\nOK"), (5, "ok.")]
     out = {x.doc_id: (x.text, x.n_removed) for x in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
