@@ -24,7 +24,7 @@ def op5_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 def op1_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     left = suffix_dedup.remove_repeats(table(spark, folder, "documents"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda total, x: total + x["end"] - x["start"])
-    return left.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return left.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), F.octet_length("kept").cast("long").alias("n_kept"), F.make_valid_utf8(F.col("kept").cast("string")).alias("text"))
 
 
 def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
