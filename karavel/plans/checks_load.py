@@ -399,7 +399,7 @@ def _policy_stream(t: Tables) -> S.FollowedTable:
     low, high = log.approxQuantile("pos", [0.33, 0.66], 0.01)
     state = shared_folder(t.spark, "state")
     for part in (F.col("pos") <= low, (F.col("pos") > low) & (F.col("pos") <= high), F.col("pos") > high):
-        log.filter(part).coalesce(1).write.mode("append").parquet(folder)
+        log.filter(part).write.mode("append").parquet(folder)
         stream = t.spark.readStream.schema(log.schema).parquet(folder)
         how = {"bad_data": F.col("event_id") % 211 == 0, "table_error": F.col("event_id") % 1999 == 1500}
         S.follow(stream, table, state, policy=C.ErrorPolicy(), **how).awaitTermination()

@@ -290,15 +290,30 @@ select count(*) filter (where status = 'PASS') as passed, count(*) filter (where
 from c""",
 )
 
-@check("select 1 as passed, 0 as warned, 0 as failed, 2 as errors, 3 as exit_code from region where r_regionkey = 0")
+
+@check(
+    """
+with c as (
+  select case when (select count(*) from lineitem) = (select count(*) from fx_lineitem_tgt)
+               and (select count(*) from orders) = (select count(*) from fx_orders_tgt) then 'PASS' else 'FAIL' end as status
+  union all select case when (select count(*) from orders where o_orderkey % 97 = 0) > 0 then 'FAIL' else 'PASS' end
+  union all select 'ERROR' union all select 'ERROR')
+select count(*) filter (where status = 'PASS') as passed, 0 as warned, count(*) filter (where status = 'FAIL') as failed,
+       count(*) filter (where status = 'ERROR') as errors, 3 as exit_code
+from c"""
+)
 def v9_verdict_of_checks_that_cannot_run(t: Tables) -> DataFrame:
-    """One check runs, one table cannot be read, and one check fails as a whole."""
+    """Counts and rows of whole tables; one table cannot be read, and one check fails as a whole."""
     missing = lambda: t.spark.read.parquet(f"{t.folder}/not_there.parquet")
-    sizes = t["region"].limit(1).select(F.lit("region").alias("tbl"), F.lit(100).cast("bigint").alias("bytes"))
-    count = lambda tgt: V.exact_counts(t.spark, {"region": t["region"]}, {"region": tgt}, sizes, n=1, timeout=None)
-    checks = V.run_check(t.spark, "counts", lambda: count(t["region"]))
-    checks = checks.unionByName(V.run_check(t.spark, "counts of a lost table", lambda: count(missing)))
-    checks = checks.unionByName(V.run_check(t.spark, "rows", lambda: V.row_diff(t["region"], missing(), ["r_regionkey"]).withColumn("verdict", F.lit("FAIL"))))
+    src = {"lineitem": t["fx_lineitem"], "orders": t["fx_orders"]}
+    tgt = {"lineitem": t["fx_lineitem_tgt"], "orders": t["fx_orders_tgt"]}
+    sizes = t.spark.createDataFrame([(name, 100) for name in src], "tbl string, bytes bigint")
+    count = lambda tgt: V.exact_counts(t.spark, src, tgt, sizes, timeout=None)
+    rows = lambda tgt: V.row_diff(src["orders"], tgt, ["o_orderkey"]).withColumn("verdict", F.lit("FAIL"))
+    checks = V.run_check(t.spark, "counts", lambda: count(tgt))
+    checks = checks.unionByName(V.run_check(t.spark, "counts of a lost table", lambda: count(tgt | {"orders": missing})))
+    checks = checks.unionByName(V.run_check(t.spark, "rows", lambda: rows(tgt["orders"])))
+    checks = checks.unionByName(V.run_check(t.spark, "rows of a lost table", lambda: rows(missing())))
     return V.verdict(checks)
 
 

@@ -30,6 +30,8 @@ class FollowedTable:
 
     def __init__(self, spark: SparkSession, path: str, key: list[str], order: list[str] | None = None):
         """``order`` sorts changes of a key; with several changes at one position it needs a tie-breaker after ``pos``."""
+        if not key:
+            raise ValueError("a table without a key is followed by a CountedTable")
         self.spark, self.path, self.key, self.order = spark, path, key, order or ["pos"]
         self._upto: dict[int, int] = {}  # a published version never changes
 
@@ -124,24 +126,33 @@ class FollowedTable:
         """
         if name in self._finished("commits"):
             return False
-        read = Observation()
-        fresh = resume_changes(changes.observe(read, F.max("pos").alias("seen_pos")), self._version()[1])
+        seen_pos = None
+        if policy is not None:  # a batch that is judged is read several times, and may be held back as a whole
+            changes = _staged(changes, "batch")
+            seen_pos = changes.agg(F.max("pos")).first()[0]
+        else:
+            read = Observation()
+            changes = changes.observe(read, F.max("pos").alias("seen_pos"))
+        fresh = resume_changes(changes, self._version()[1])
         if endpos is not None:
             fresh = bound_changes(fresh, endpos)
         if policy is not None:
             fresh = self._sound(fresh, name, policy, how)
-        seen = Observation()
-        net = net_changes(fresh, self.key, self.order).observe(seen, F.max("pos").alias("max_pos"), F.count("*").alias("rows"))
-        net.write.mode("overwrite").parquet(f"{self.path}/changes/{name}")
+        net_changes(fresh, self.key, self.order).write.mode("overwrite").parquet(f"{self.path}/changes/{name}")
+        if policy is None:
+            seen_pos = read.get["seen_pos"]
+        # the written changes are counted, not the plan: what is left of a plan without rows does not report
+        written = self.spark.read.schema(fresh.schema).parquet(f"{self.path}/changes/{name}")
+        max_pos, rows = written.agg(F.max("pos"), F.count("*")).first()
 
         def position(p: int | None, name: str) -> Column:
             return F.lit(None if p is None else str(p)).cast("decimal(20,0)").alias(name)
 
         done = self.spark.range(1).select(
             F.lit(name).alias("name"),
-            position(seen.get["max_pos"], "max_pos"),
-            F.lit(seen.get["rows"]).cast("bigint").alias("rows"),
-            position(read.get["seen_pos"], "seen_pos"),
+            position(max_pos, "max_pos"),
+            F.lit(rows).cast("bigint").alias("rows"),
+            position(seen_pos, "seen_pos"),
         )
         done.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/commits/{name}")
         return True
@@ -173,6 +184,12 @@ class FollowedTable:
             delete(self.spark, f"{self.path}/base/v={v}")
 
 
+def _staged(df: DataFrame, name: str) -> DataFrame:
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def resume_commits(commits: DataFrame, upto_pos: int) -> DataFrame:
     return commits.filter(F.col("max_pos") > F.lit(str(upto_pos)).cast("decimal(20,0)"))
 

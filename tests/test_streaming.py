@@ -235,3 +235,25 @@ def test_policy_holds_back_a_table_in_later_batches(spark):
     got = content(t.read())
     assert got[100] == "a" and got[0] == "b0" and got[3] == "b3" and got[6] == "b6" and got[9] == "f"
     assert sorted((r["pos"], r["reason"]) for r in t.exceptions().collect()) == [(2, "INSERT_CONFLICT"), (3, "TABLE_ERROR")]
+
+
+def test_batches_that_are_held_back_whole(spark):
+    """Every table is suspended by the first batch; the later ones apply nothing and are passed."""
+    t = table(spark)
+    folder, state = shared_folder(spark, "log"), shared_folder(spark, "cp")
+    schema = "pos bigint, op string, k bigint, v string, tbl string, bad boolean"
+    batches = [[(1, "U", 0, "a", "x", False), (2, "U", 3, "b", "x", True), (3, "U", 6, "c", "y", True)]]
+    batches += [[(4 + i, "U", 9, "late", "x", False), (5 + i, "D", 0, None, "y", False)] for i in (0, 2)]
+    for rows in batches:
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(folder)
+        source = spark.readStream.schema(schema).parquet(folder)
+        follow(source, t, state, policy=ErrorPolicy(), table_error=F.col("bad")).awaitTermination()
+    got = content(t.read())
+    assert got[0] == "a" and got[3] == "b3" and got[6] == "b6" and got[9] == "b9"
+    assert t.seen_pos() == 7 and t.replay_pos() == 1 and t.commits().count() == 3
+    assert sorted(r["pos"] for r in t.exceptions().collect()) == [2, 3]
+
+
+def test_a_keyed_table_needs_a_key(spark):
+    with pytest.raises(ValueError):
+        FollowedTable(spark, shared_folder(spark, "none"), [])
