@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from karavel.llm import decontaminate, html_text, language_id, line_dedup, near_dedup, quality, sentencepiece_codec, suffix_dedup, token_counts, warc
+from karavel.llm import decontaminate, html_text, language_id, line_dedup, near_dedup, periodic_runs, quality, sentencepiece_codec, suffix_dedup, token_counts, warc
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -56,6 +56,10 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.measured(table(spark, folder, "documents"))
 
 
+def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return periodic_runs.digests(periodic_runs.find_runs(periodic_runs.planted(table(spark, folder, "documents"))))
+
+
 # every window that holds a shingle of the item is tried; items have five words or more
 OP2_SQL = r"""
 with w as (select doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') ws from documents),
@@ -101,6 +105,27 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_wo
 from m
 """
 
+# crc32 by bits; runs of equal words at one lag from pairs of equal six words, which every run holds
+OP13_SQL = """
+with c as (select doc_id, coalesce(text, '') t, xor(4294967295, list_reduce(list_prepend(4294967295::bigint,
+      flatten([[ascii(x)::bigint, -1, -1, -1, -1, -1, -1, -1, -1] for x in string_split(doc_id::varchar, '')])),
+      lambda crc, v: case when v >= 0 then xor(crc, v) else xor(crc >> 1, case when crc % 2 = 1 then 3988292384 else 0 end) end)) h from documents),
+  o as (select doc_id, h, h // 10 g, regexp_extract_all(t, '[^\x20\x09-\x0D]+') ws, len(ws)::bigint n from c),
+  q as (select *, case when h % 10 = 0 and n > 0 then g % n end a, case when h % 10 = 0 and n > 0 then 1 + (n - g % n) // (3 + g % 8) end p from o),
+  d as (select doc_id, n, case when a is null then ws else [case when i < a then ws[i + 1] else ws[a + (i - a) % p + 1] end for i in range(0, n)] end ws from q),
+  gr as (select doc_id, i, ws[i + 1:i + 6] gram from (select doc_id, ws, unnest(range(0, n - 5)) i from d where n >= 12)),
+  pr as (select x.doc_id, x.i, y.i - x.i lag from gr x join gr y on x.doc_id = y.doc_id and x.gram = y.gram and y.i > x.i),
+  st as (select doc_id, lag, min(i) s, count(*) + 5 + lag len from (select *, i - row_number() over (partition by doc_id, lag order by i) isle from pr) z group by doc_id, lag, isle),
+  rn as (select doc_id, s, len, min(lag) p from st where len >= greatest(12, 2 * lag) group by doc_id, s, len),
+  dr as (select distinct doc_id, unnest(range(s + p, s + len)) i from rn),
+  kept as (select w.doc_id, string_agg(w.x, ' ' order by w.i) t from (select doc_id, unnest(ws) x, unnest(range(0, n)) i from d) w
+    anti join dr on w.doc_id = dr.doc_id and w.i = dr.i group by w.doc_id),
+  ag as (select doc_id, count(*) n_runs, max_by((s, len, p), len * 1000000000 - s) b, string_agg(s || ',' || len || ',' || p || chr(10), '' order by s, p) l from rn group by doc_id)
+select d.doc_id, coalesce(n_runs, 0) n_runs, b[1] "start", b[2] length, b[3] period, 1000 * b[2] // b[3] exponent_milli,
+  sha256(coalesce(l, '')) runs_sha256, sha256(coalesce(kept.t, '')) collapsed_sha256
+from d left join ag using (doc_id) left join kept using (doc_id)
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_decontamination": op2_decontamination,
@@ -112,5 +137,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_warc": op9_warc,
     "op10_quality_rules": op10_quality_rules,
+    "op13_periodic_runs": op13_periodic_runs,
 }
-ORACLES = {"op2_decontamination": OP2_SQL, "op9_warc": OP9_SQL, "op10_quality_rules": OP10_SQL}
+ORACLES = {"op2_decontamination": OP2_SQL, "op9_warc": OP9_SQL, "op10_quality_rules": OP10_SQL, "op13_periodic_runs": OP13_SQL}
