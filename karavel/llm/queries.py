@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from karavel.llm import decontaminate, html_text, language_id, line_dedup, near_dedup, periodic_runs, quality, quality_classifier, sentencepiece_codec, suffix_dedup, token_counts, warc
+from karavel.llm import decontaminate, html_text, language_id, line_dedup, near_dedup, periodic_runs, quality, quality_classifier, sentencepiece_codec, suffix_dedup, token_alignment, token_counts, warc
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -56,6 +56,10 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.measured(table(spark, folder, "documents"))
 
 
+def op11_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return token_alignment.alignment_digests(table(spark, folder, "documents"))
+
+
 def op12_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return quality_classifier.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
@@ -141,6 +145,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_warc": op9_warc,
     "op10_quality_rules": op10_quality_rules,
+    "op11_token_alignment": op11_token_alignment,
     "op12_quality_classifier": op12_quality_classifier,
     "op13_periodic_runs": op13_periodic_runs,
 }
