@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StructType
 
 from karavel.session import shared_folder
+from karavel.sources.files import delete
 
 CHUNK = 1 << 20  # bytes of text that numpy code works on at a time; a longer text is a chunk of its own
 SPACES = b" \t\n\v\f\r"  # fixed values: the separators of words, \x20 and \x09-\x0D
@@ -38,6 +40,13 @@ def stage(df: DataFrame, name: str, most: int | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*staged: DataFrame) -> None:
+    """Delete staged tables that nothing reads any more: what was made of them is staged itself."""
+    for df in staged:
+        for folder in {os.path.dirname(f) for f in df.inputFiles()}:
+            delete(df.sparkSession, folder)
+
+
 def with_column(df: DataFrame, name: str, kind: str) -> StructType:
     """The schema of ``df`` with one column more."""
     return StructType([*df.schema.fields, *StructType.fromDDL(f"{name} {kind}").fields])

@@ -1,4 +1,7 @@
-"""Repeated and nearly repeated lines: least grams of normalised lines, sketches, edit similarity, one line per group."""
+"""Repeated and nearly repeated lines: SimHash of normalised lines, pigeonhole blocks, edit similarity, one line per group.
+
+Edits that are spread over a whole line change most blocks of any fingerprint, so lines also meet by a few of their grams.
+"""
 
 from __future__ import annotations
 
@@ -9,15 +12,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from karavel.llm.common import Side, linked_groups, merge_components, mix, same_document, seeds, sized, span_hashes, stage, text_key
-
-COLUMNS, HALVES = 24, 4  # fingerprints: least hashes of grams, and hashes of halves of short lines
-LONG_GRAM, SHORT_GRAM = 12, 6  # bytes; lines of LONG_FROM bytes or more have long grams, those under SHORT_TO short ones
-LONG_FROM, SHORT_TO = 48, 60
-HALF_FROM, HALF_TO = 9, 19  # characters of lines that may differ by one edit at 0.9; one half of them is intact
-SIZE_BIN = 1.5  # lines meet if they are of one class of size; its edges differ by column
-BINS, MOST_DIFFER = 128, 78  # sketch: two bits for each of BINS classes of short grams; so many may differ
-SMALL = 64  # members of a bucket that are compared pair by pair
+from karavel.llm.common import Side, discard, linked_groups, merge_components, mix, same_document, seeds, sized, span_hashes, stage, text_key
+
+KINDS, PLACES = 32, 8  # features: kinds of bytes by the part of the line they stand in, neighbouring parts overlap
+BLOCKS, BITS = 12, 20  # a SimHash is cut into blocks; lines that differ in fewer bits than there are blocks agree in one
+GRAM_BYTES, COLUMNS = 12, 12  # lines also meet by the least gram of each of so many classes of grams
+SAMPLED = 96  # grams of a line, about, from which the least ones are taken: those with the least hashes
+RADIUS = 100  # of BLOCKS * BITS bits that similar lines differ in at most; unrelated ones differ in 120 on average, 1 % of them in less
+FROM_CHARS = 27  # characters from which lines have a SimHash and grams; lines up to SHORT_TO are met by intact segments, whatever the edits
+SHORT_TO = 29
+SIZE_BIN = 1.5  # lines meet if they are of one class of size; its edges differ by block and column
+SMALL = 16  # members of a bucket that are compared pair by pair
 LEAST_CHARS = 1  # bytes of a normalised line; only blank lines are left alone
 SIMILARITY = 0.9  # 1 - edits / characters of the longer line
 GRAM, PARITY_WORDS = 3, 16  # lines are compared by parity bits of their 3-character grams before their texts are
@@ -29,7 +34,10 @@ for _c in range(128):
 for _c in b"0123456789":
     _table[_c] = 48
 NORMAL = bytes(_table)
-NONE = np.uint64(2**64 - 1)
+KIND = 28 + np.arange(256) % 4
+KIND[97:123] = np.arange(26)
+KIND[[48, 32]] = 26, 27
+_matrix: np.ndarray | None = None
 
 
 def normalised(text: str) -> list[bytes]:
@@ -37,57 +45,94 @@ def normalised(text: str) -> list[bytes]:
     return [b" ".join(x.split()) for x in text.lower().encode().translate(NORMAL).split(b"\n")]
 
 
-def _grams(buf: np.ndarray, off: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all runs of ``size`` bytes inside a line, and the line of each."""
-    runs = np.maximum(np.diff(off) - size + 1, 0)
-    bounds = np.concatenate([[0], np.cumsum(runs)])
-    at = np.arange(bounds[-1]) + np.repeat(off[:-1] - bounds[:-1], runs)
-    return span_hashes(buf, at, at + size), np.repeat(np.arange(len(runs)), runs)
+def feature_matrix() -> np.ndarray:
+    """(kinds x half parts) x bits. A byte counts three times for its part of the line, once for the nearer part beside
+    it; of each kind the mean over all parts is taken off, so what all lines have in common does not count."""
+    global _matrix
+    if _matrix is None:
+        bits = BLOCKS * BITS
+        coin = (seeds(KINDS * PLACES * bits, 8) >> np.uint64(63)).astype(np.int64)
+        signs = (2 * coin - 1).reshape(KINDS, PLACES, bits)
+        signs = PLACES * signs - signs.sum(axis=1, keepdims=True)
+        half = np.arange(2 * PLACES)
+        beside = np.clip(half // 2 + np.where(half % 2, 1, -1), 0, PLACES - 1)
+        _matrix = (3 * signs[:, half // 2] + signs[:, beside]).reshape(KINDS * 2 * PLACES, bits).astype(np.float32)
+    return _matrix
+
+
+def simhash(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Bits (lines x BLOCKS * BITS) of the lines of a buffer, none of them empty."""
+    size, cells = np.diff(off), KINDS * 2 * PLACES
+    owner = np.repeat(np.arange(len(size)), size)
+    half = (np.arange(len(buf)) - off[owner]) * (2 * PLACES) // size[owner]
+    counts = np.bincount(owner * cells + KIND[buf] * (2 * PLACES) + half, minlength=len(size) * cells)
+    return counts.reshape(len(size), cells).astype(np.float32) @ feature_matrix() > 0
+
+
+def least_grams(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """The least gram (32 bits of its hash) in each of COLUMNS classes of the grams of each line; 0 if there is none."""
+    runs = np.maximum(np.diff(off) - GRAM_BYTES + 1, 0)
+    owner = np.repeat(np.arange(len(runs)), runs)
+    at = np.arange(len(owner)) + (off[:-1] - np.cumsum(runs) + runs)[owner]
+    h = span_hashes(buf, at, at + GRAM_BYTES)
+    rank = (h >> np.uint64(40)).astype(np.int64)  # 24 bits; only small ones can be the least of a long line
+    some = rank * runs[owner] < SAMPLED << 24
+    owner, h, rank = owner[some], h[some], rank[some]
+    column = ((h >> np.uint64(34)) & np.uint64(63)).astype(np.int64) % COLUMNS
+    out = np.full(len(runs) * COLUMNS, 1 << 62)
+    np.minimum.at(out, owner * COLUMNS + column, (rank << 34) + (h & np.uint64((1 << 34) - 1)).astype(np.int64))
+    out = out.reshape(len(runs), COLUMNS)
+    return np.where(out == 1 << 62, 0, mix(out.astype(np.uint64)) >> np.uint64(32)).astype(np.uint32)
+
+
+def segments(line: str) -> set[tuple[int, int, str]]:
+    """Parts of a short line. Two lines whose similarity is 0.9 or more, the longer of at most SHORT_TO characters, have one in common.
+
+    For the size of the longer line one or two edits are allowed. One leaves the first or the last half. Two leave
+    the first or the last third, or one is in each and the third after the first one is moved by one place at most.
+    """
+    out, n = set(), len(line)
+    for longer in range(n, SHORT_TO + 1):
+        allowed = longer // 10
+        if longer - n > allowed:
+            break
+        k = longer // (allowed + 1) if allowed else n
+        out |= {(longer, 0, line[:k]), (longer, 1, line[-k:])}
+        if allowed == 2:
+            out |= {(longer, 2, line[k + s : 2 * k + s]) for s in (-1, 0, 1)}
+    return out
+
+
+def sketches(lines: list[bytes]) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    """SimHash (lines x 4 words), other meeting points (32-bit numbers; of lines from FROM_CHARS on COLUMNS grams first) and characters of each line."""
+    off = np.concatenate([[0], np.cumsum([len(x) for x in lines])]).astype(np.int64)
+    buf = np.frombuffer(b"".join(lines), np.uint8)
+    count = np.concatenate([[0], np.cumsum((buf & 0xC0) != 0x80)])
+    chars = count[off[1:]] - count[off[:-1]]
+    packed = np.zeros((len(lines), 32), np.uint8)
+    packed[:, : BLOCKS * BITS // 8] = np.packbits(simhash(buf, off), axis=1)
+    other = [row.tobytes() for row in least_grams(buf, off)]
+    for i in np.flatnonzero(chars <= SHORT_TO).tolist():
+        own = b"".join([hashlib.blake2b(repr(x).encode(), digest_size=4).digest() for x in sorted(segments(lines[i].decode("utf-8", "replace")))])
+        other[i] = other[i] + own if chars[i] >= FROM_CHARS else own
+    return packed.view("<u8"), other, chars
 
 
-def _least(h: np.ndarray, owner: np.ndarray, n: int, columns: int) -> np.ndarray:
-    """The least gram of each line in each of ``columns`` classes of grams; NONE if there is none."""
-    out = np.full(n * columns, NONE)
-    np.minimum.at(out, owner * columns + ((h >> np.uint64(40)) % np.uint64(columns)).astype(np.int64), h & (NONE >> np.uint64(24)))
-    return out.reshape(n, columns)
+def size_class(chars: np.ndarray, column: int, columns: int) -> np.ndarray:
+    return np.floor(np.log(np.maximum(chars, 1)) / np.log(SIZE_BIN) + column / columns).astype(np.int64)
 
 
-def sketches(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Fingerprints (lines x COLUMNS + HALVES numbers), sketches (lines x 4 words) and characters of each line."""
-    n, size = len(lines), np.array([len(x) for x in lines], np.int64)
-    off = np.concatenate([[0], np.cumsum(size)])
-    buf = np.frombuffer(b"".join(lines), np.uint8)
-    count = np.concatenate([[0], np.cumsum((buf & 0xC0) != 0x80)])
-    chars = count[off[1:]] - count[off[:-1]]
-    h, owner = _grams(buf, off, SHORT_GRAM)
-    least = mix(np.where((found := _least(h, owner, n, BINS)) == NONE, np.uint64(0), found))
-    bits = np.where(found == NONE, np.uint64(0), least & np.uint64(3)).reshape(n, 4, BINS // 4)
-    sketch = (bits << (2 * np.arange(BINS // 4, dtype=np.uint64))).sum(axis=2, dtype=np.uint64)
-    out = np.full((n, COLUMNS + HALVES), NONE)
-    short = size[owner] < SHORT_TO
-    out[:, :COLUMNS] = _least(h[short], owner[short], n, COLUMNS)
-    h, owner = _grams(buf, off, LONG_GRAM)
-    fits = size[owner] >= LONG_FROM
-    both, third = (size >= LONG_FROM) & (size < SHORT_TO), np.arange(COLUMNS) % 3 == 0
-    out[:, :COLUMNS] = np.where((size >= LONG_FROM)[:, None] & ~(both[:, None] & third), _least(h[fits], owner[fits], n, COLUMNS), out[:, :COLUMNS])
-    class_ = np.floor(np.log(np.maximum(chars, 1))[:, None] / np.log(SIZE_BIN) + np.arange(COLUMNS) / COLUMNS).astype(np.uint64)
-    empty = out == NONE
-    out[:, :COLUMNS] = mix(out[:, :COLUMNS] + (class_ << np.uint64(48)))
-    for i in np.flatnonzero((chars >= HALF_FROM) & (chars <= HALF_TO)).tolist():
-        x = lines[i].decode("utf-8", "replace")
-        for k in {len(x) // 2, (len(x) - 1) // 2}:
-            for column, part in ((COLUMNS + k % 2, x[:k]), (COLUMNS + 2 + k % 2, x[-k:])):
-                out[i, column], empty[i, column] = int.from_bytes(hashlib.blake2b(part.encode(), digest_size=8).digest(), "little"), False
-    own = span_hashes(buf, off[:-1], off[1:])[:, None] + np.arange(COLUMNS + HALVES, dtype=np.uint64)
-    return (np.where(empty, mix(own), out) >> np.uint64(32)).astype(np.uint32), sketch, chars
-
-
-def fingerprints(lines: list[bytes]) -> np.ndarray:
-    """Lines that are similar agree in a column: the least of the grams of a class, or an intact half of a short line.
-
-    A column without a gram has a number of the line's own.
-    """
-    return sketches(lines)[0]
+def block_buckets(sketch: np.ndarray, chars: np.ndarray) -> np.ndarray:
+    """Buckets (lines x BLOCKS) of SimHashes: block, class of size, bits of the block."""
+    bits = np.unpackbits(np.ascontiguousarray(sketch).view(np.uint8), axis=1)[:, : BLOCKS * BITS]
+    values = bits.reshape(len(chars), BLOCKS, BITS) @ (1 << np.arange(BITS))
+    return np.stack([(1 << 48) + (k << 40) + (size_class(chars, k, BLOCKS) << 32) + values[:, k] for k in range(BLOCKS)], axis=1)
+
+
+def gram_buckets(grams: np.ndarray, chars: np.ndarray) -> np.ndarray:
+    """Buckets (lines x COLUMNS) of least grams, -1 where there is none."""
+    columns = [(2 << 48) + (k << 40) + (size_class(chars, k, COLUMNS) << 32) + grams[:, k].astype(np.int64) for k in range(COLUMNS)]
+    return np.where(grams == 0, -1, np.stack(columns, axis=1))
 
 
 def gram_parity(x: str) -> np.ndarray:
@@ -147,14 +192,14 @@ def similar(a: str, b: str, least: float) -> bool:
 
 
 def line_table(docs: DataFrame, least_chars: int) -> DataFrame:
-    """doc_id, th, line (from 0), h1 and h2 (a 128-bit hash of the normalised line), its size in characters, prints and s0 to s3."""
+    """doc_id, th, line (from 0), h1 and h2 (a 128-bit hash of the normalised line), its size in characters, SimHash (s0 to s3) and other buckets."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = 0
             while at < batch.num_rows:
                 lines, owner, number, held = [], [], [], 0
-                while at < batch.num_rows and held < 1 << 20:
+                while at < batch.num_rows and held < 1 << 19:
                     for n, x in enumerate(normalised(batch.column("text")[at].as_py())):
                         if len(x) >= max(1, least_chars):
                             lines.append(x)
@@ -164,97 +209,164 @@ def line_table(docs: DataFrame, least_chars: int) -> DataFrame:
                     at += 1
                 if not lines:
                     continue
-                digest = np.frombuffer(b"".join(hashlib.blake2b(x, digest_size=16).digest() for x in lines), "<i8").reshape(-1, 2)
-                prints, sketch, chars = sketches(lines)
+                digest = np.frombuffer(b"".join([hashlib.blake2b(x, digest_size=16).digest() for x in lines]), "<i8").reshape(-1, 2)
+                sketch, other, chars = sketches(lines)
                 rows, sketch = pa.array(owner), sketch.view(np.int64)
                 arrays = [batch.column("doc_id").take(rows), batch.column("th").take(rows), pa.array(number, pa.int32())]
-                arrays += [pa.array(digest[:, i].copy()) for i in range(2)] + [pa.array(chars.astype(np.int32)), pa.array(list(map(bytes, prints.astype("<u4"))), pa.binary())]
+                arrays += [pa.array(digest[:, i].copy()) for i in range(2)] + [pa.array(chars.astype(np.int32)), pa.array(other, pa.binary())]
                 arrays += [pa.array(sketch[:, i].copy()) for i in range(4)]
-                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "th", "line", "h1", "h2", "size", "prints", "s0", "s1", "s2", "s3"])
+                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "th", "line", "h1", "h2", "size", "other", *SKETCH])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "th", "text").mapInArrow(make, f"doc_id {kind}, th long, line int, h1 long, h2 long, size int, prints binary, s0 long, s1 long, s2 long, s3 long")
-
-
-def repeated_lines(docs: DataFrame, least_chars: int, similarity: float) -> DataFrame:
-    """doc_id, th, line of each line that goes. ``docs``: doc_id, th, text, one row each."""
-    lines = stage(line_table(docs, least_chars), "lines_all")
-    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th", "line")
-    sketch = ["size", "s0", "s1", "s2", "s3"]
-    distinct = lines.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(place).alias("at"), *(F.first(x).alias(x) for x in (*sketch, "prints")))
-    distinct = stage(distinct.select(F.monotonically_increasing_id().alias("id"), "*"), "lines_distinct")
+    return docs.select("doc_id", "th", "text").mapInArrow(make, f"doc_id {kind}, th long, line int, h1 long, h2 long, size int, other binary, s0 long, s1 long, s2 long, s3 long")
+
+
+SKETCH = ("s0", "s1", "s2", "s3")
+
+
+def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(bucket, id) of every line."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        chars, ids = batch.column("size").to_numpy(), batch.column("id").to_numpy()
+        other, long = batch.column("other").to_pylist(), chars >= FROM_CHARS
+        grams = np.frombuffer(b"".join([x[: 4 * COLUMNS] for x, some in zip(other, long.tolist()) if some]), "<u4").reshape(-1, COLUMNS)
+        own = [x[4 * COLUMNS * some :] for x, some in zip(other, long.tolist())]
+        short = np.frombuffer(b"".join(own), "<u4").astype(np.int64) + (3 << 48)
+        yield pa.RecordBatch.from_arrays([pa.array(short), pa.array(np.repeat(ids, [len(x) // 4 for x in own]))], ["bucket", "id"])
+        sketch = np.stack([batch.column(c).to_numpy() for c in SKETCH], axis=1)[long]
+        for part in (*block_buckets(sketch, chars[long]).T, *gram_buckets(grams, chars[long]).T):
+            yield pa.RecordBatch.from_arrays([pa.array(part[part >= 0]), pa.array(ids[long][part >= 0])], ["bucket", "id"])
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows in the order of (bucket, id): all pairs (a, b) of buckets with up to SMALL lines, and (bucket, a) of larger ones. Lines alone go."""
+    bucket, ids, held = np.zeros(0, np.int64), np.zeros(0, np.int64), None  # ``held``: a large bucket that goes on
+
+    def give(bucket: np.ndarray, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
+        nonlocal held
+        first = np.flatnonzero(np.diff(bucket, prepend=bucket[:1] - 1)) if len(bucket) else bucket
+        n = np.diff(np.append(first, len(bucket)))
+        large = (n > SMALL) | (bucket[first] == held) if held is not None else n > SMALL
+        held = bucket[first[-1]] if len(first) and large[-1] else None
+        rows = np.repeat(large, n)
+        empty = pa.nulls(int(rows.sum()), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(bucket[rows]), pa.array(ids[rows]), empty], ["bucket", "a", "b"])
+        first, n = first[~large & (n > 1)], n[~large & (n > 1)]
+        for step in range(1, SMALL):
+            own = np.repeat(first, np.maximum(n - step, 0)) + _ranges(np.maximum(n - step, 0))
+            if not len(own):
+                break
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[own]), pa.array(ids[own]), pa.array(ids[own + step])], ["bucket", "a", "b"])
+
+    for batch in batches:
+        bucket, ids = np.append(bucket, batch.column("bucket").to_numpy()), np.append(ids, batch.column("id").to_numpy())
+        if not len(bucket):
+            continue
+        # the last bucket may go on in the next batch; of a large one only what is needed to know it is kept back
+        cut = int(np.searchsorted(bucket, bucket[-1]))
+        cut = len(bucket) if len(bucket) - cut > SMALL or bucket[-1] == held else cut
+        yield from give(bucket[:cut], ids[:cut])
+        bucket, ids = bucket[cut:], ids[cut:]
+    yield from give(bucket, ids)
+
+
+def _ranges(n: np.ndarray) -> np.ndarray:
+    """0, 1, ... for each of some lengths, one after the other."""
+    return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+
+
+def _place() -> Column:
+    return F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th", "line")
+
+
+def _far_apart(x: Side, y: Side, similarity: float) -> Column:
+    """Do the sizes, or the SimHashes of lines that have one, rule out that two lines are similar?"""
+    differ = F.lit(0)
+    for c in SKETCH:
+        differ = differ + F.bit_count(x(c).bitwiseXOR(y(c)))
+    least, most = F.least(x("size"), y("size")), F.greatest(x("size"), y("size"))
+    return (least < F.floor(most * similarity - 1e-9)) | ((most > SHORT_TO) & (differ > RADIUS))
+
+
+def similar_lines(docs: DataFrame, distinct: DataFrame, similarity: float) -> DataFrame:
+    """Groups (id, root) of lines that are linked by similarity. ``distinct``: id, at (where it stands), size, SimHash, other."""
     # an edit or more is allowed only from this size on; shorter lines are linked if they are equal
     least = next((n - 1 for n in range(1, 1 << 20) if int((1 - similarity) * n + 1e-9)), 1 << 20)
+    wide = distinct.where(f"size >= {least}").select("id", "size", "other", *SKETCH)
+    rows = wide.mapInArrow(_explode, "bucket long, id long").repartition("bucket").sortWithinPartitions("bucket", "id")
+    met = stage(rows.mapInArrow(_meet, "bucket long, a long, b long"), "lines_met")
+    other = lambda c: F.col(f"to_{c}")
+    left = distinct.select(F.col("id").alias("a"), "size", *SKETCH)
+    right = distinct.select(F.col("id").alias("b"), *(F.col(c).alias(f"to_{c}") for c in ("size", *SKETCH)))
 
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                prints = np.frombuffer(b"".join(batch.column("prints").to_pylist()), "<u4").reshape(batch.num_rows, -1)
-                for i in range(prints.shape[1]):
-                    yield pa.RecordBatch.from_arrays([pa.array(prints[:, i].astype(np.int64) + (i << 32)), batch.column("id")], ["bucket", "id"])
+    def near(pairs: DataFrame) -> DataFrame:
+        return pairs.join(left, "a").join(right, "b").where(~_far_apart(F.col, other, similarity)).select("a", "b")
 
-    buckets = distinct.where(f"size >= {least}").select("id", "prints").mapInArrow(explode, "bucket long, id long")
-    counts = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    members = stage(buckets.join(counts, "bucket"), "lines_members")
+    pairs = stage(near(met.where("b is not null").select("a", "b").distinct()), "lines_near")
+    members = stage(met.where("b is null").select("bucket", F.col("a").alias("id")), "lines_members")
+    discard(met)
+    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(members.select("id")).distinct()
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for id_, line, text in zip(*(batch.column(c) for c in ("id", "line", "text"))):
-                x = normalised(text.as_py())[line.as_py()].decode("utf-8", "replace")
-                yield pa.RecordBatch.from_arrays([pa.array([id_.as_py()], pa.int64()), pa.array([x], pa.string())], ["id", "x"])
+            for at in range(0, batch.num_rows, 64):
+                ids, out = [], []
+                for row in batch.slice(at, 64).to_pylist():
+                    lines = normalised(row["text"])
+                    ids += [x["id"] for x in row["wanted"]]
+                    out += [lines[x["line"]].decode("utf-8", "replace") for x in row["wanted"]]
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.string())], ["id", "x"])
+
+    # the texts of lines that have a candidate, by one pass over the documents that hold the first of their copies
+    by_text = wanted.join(distinct, "id").groupBy("at.doc_id", "at.th").agg(F.collect_list(F.struct("id", "at.line")).alias("wanted"))
+    by_text = sized(stage(by_text, "lines_wanted"))
+    texts = stage(docs.join(by_text, same_document(docs, by_text)).select("wanted", "text").mapInArrow(pick, "id long, x string"), "lines_texts")
+    x, y = texts.select(F.col("id").alias("a"), "x"), texts.select(F.col("id").alias("b"), F.col("x").alias("y"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = [maybe_similar(x, y, similarity) and similar(x, y, similarity) for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist())]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    def texts_of(ids: DataFrame) -> DataFrame:
-        """id, x (the normalised line) for (id)."""
-        wanted = sized(stage(ids.join(distinct, "id").select("id", "at.doc_id", "at.th", "at.line"), "lines_wanted"))
-        found = docs.join(wanted, same_document(docs, wanted)).select("id", "line", "text")
-        return stage(found.mapInArrow(pick, "id long, x string"), "lines_texts")
+    def check(pairs: DataFrame) -> DataFrame:
+        return pairs.join(x, "a").join(y, "b").mapInArrow(compare, "a long, b long")
 
     def bound(named: DataFrame) -> DataFrame:
         low, reach = F.floor(F.col("size") * similarity - 1e-9), F.ceil(F.col("size") / similarity + 1e-9)
-        return named.select("id").join(distinct, "id").select("id", *sketch, low.alias("low"), reach.alias("reach"))
+        return named.select("id").join(distinct, "id").select("id", "size", *SKETCH, low.alias("low"), reach.alias("reach"))
 
-    def fits(x: Side, y: Side) -> Column:
-        """Are the sizes and the sketches near enough?"""
-        differ = F.lit(0)
-        for i in range(4):
-            z = x(f"s{i}").bitwiseXOR(y(f"s{i}"))
-            differ = differ + F.bit_count(z.bitwiseOR(F.shiftrightunsigned(z, 1)).bitwiseAND(F.lit(0x5555555555555555)))
-        return (F.least(x("size"), y("size")) >= F.floor(F.greatest(x("size"), y("size")) * similarity - 1e-9)) & (differ <= MOST_DIFFER)
+    fits = lambda p, q: ~_far_apart(p, q, similarity)
+    links = stage(check(pairs), "lines_linked")
+    roots = linked_groups(members, lambda p: check(stage(near(p), "lines_pairs")), "lines_links", bound, fits)
+    return merge_components(roots, links, "lines_links")
 
-    def check(pairs: DataFrame) -> DataFrame:
-        pairs = stage(pairs, "lines_pairs")
-        texts = texts_of(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
-        a, b = texts.select(F.col("id").alias("a"), "x"), texts.select(F.col("id").alias("b"), F.col("x").alias("y"))
-        return pairs.join(a, "a").join(b, "b").mapInArrow(compare, "a long, b long")
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        a, b = distinct.select(F.col("id").alias("a"), *sketch), distinct.select(F.col("id").alias("b"), *(F.col(c).alias(f"to_{c}") for c in sketch))
-        return check(pairs.join(a, "a").join(b, "b").where(fits(F.col, lambda c: F.col(f"to_{c}"))).select("a", "b"))
-
-    few = members.where(f"n <= {SMALL}").select("bucket", "id").join(distinct.select("id", *sketch), "id")
-    few = stage(few.select("bucket", "id", *sketch), "lines_few")
-    other = few.select("bucket", F.col("id").alias("b"), *(F.col(c).alias(f"to_{c}") for c in sketch))
-    near = few.withColumnRenamed("id", "a").join(other, "bucket").where(F.col("a") < F.col("b")).where(fits(F.col, lambda c: F.col(f"to_{c}")))
-    links = stage(check(near.select("a", "b").distinct()), "lines_near")
-    roots = linked_groups(members.where(f"n > {SMALL}").select("bucket", "id"), verify, "lines_links", bound, fits)
-    roots = merge_components(roots, links, "lines_links")
+
+def repeated_lines(docs: DataFrame, least_chars: int, similarity: float) -> DataFrame:
+    """doc_id, th, line of each line that goes. ``docs``: doc_id, th, text, one row each."""
+    lines = stage(line_table(docs, least_chars), "lines_all")
+    kept = [F.first(c).alias(c) for c in ("size", "other", *SKETCH)]
+    distinct = lines.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(_place()).alias("at"), *kept)
+    distinct = stage(distinct.select(F.monotonically_increasing_id().alias("id"), "*"), "lines_distinct")
+    roots = similar_lines(docs, distinct, similarity)
     named = distinct.join(roots, "id", "left").where("n > 1 or root is not null").select("h1", "h2", "at", F.coalesce("root", "id").alias("root"))
     named = stage(named, "lines_named")
     first = stage(named.groupBy("root").agg(F.min("at").alias("first")), "lines_first")
     keepers = sized(stage(named.join(first, "root").select("h1", "h2", "first"), "lines_keepers"))
-    return lines.join(keepers, ["h1", "h2"]).where(place != F.col("first")).select("doc_id", "th", "line")
+    gone = lines.select("doc_id", "th", "line", "h1", "h2").join(keepers, ["h1", "h2"]).where(_place() != F.col("first"))
+    gone = stage(gone.groupBy("doc_id", "th").agg(F.collect_list("line").alias("gone")), "lines_gone")
+    discard(lines, distinct)
+    return gone
 
 
 def dedup_lines(docs: DataFrame, least_chars: int = LEAST_CHARS, similarity: float = SIMILARITY) -> DataFrame:
     """The columns of ``docs`` with the text left, and n_lines, n_removed (replaced if there are such columns).
 
-    Lines are linked if they are equal when normalised, or share a column of their fingerprint (see
-    ``fingerprints``) and are similar in edits. Of each connected group the first line stays:
+    Lines are linked if they are equal when normalised, or meet in a bucket and are similar in edits. Lines of up to SHORT_TO
+    characters meet whenever they are similar. Longer ones meet if their SimHashes (see ``feature_matrix``) agree in a
+    block, which all do that differ in fewer bits than there are blocks in a partition, or in their first or last
+    part, which all do whose edits are in one place. Of each connected group the first line stays:
     the one with the least doc_id (null comes last), hash of the text and number. Lines whose normalised
     form is empty, or has fewer than ``least_chars`` bytes, stay. Rows that agree in doc_id and text are one document and
     get equal results. A null text stays null with 0 lines.
@@ -263,7 +375,7 @@ def dedup_lines(docs: DataFrame, least_chars: int = LEAST_CHARS, similarity: flo
     texts = rows.where("text is not null").select("doc_id", "th", "text")
     if _repeated(rows):
         texts = stage(texts.dropDuplicates(["doc_id", "th"]), "lines_documents")
-    gone = repeated_lines(texts, least_chars, similarity).groupBy("doc_id", "th").agg(F.collect_list("line").alias("gone"))
+    gone = sized(repeated_lines(texts, least_chars, similarity))
     joined = rows.join(gone, same_document(rows, gone), "left").select("row", F.coalesce("gone", F.array().cast("array<int>")).alias("gone"), rows["text"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -295,14 +295,28 @@ def test_edit_distance():
         assert line_dedup.edit_distance(a, b) == lev(a, b)
 
 
+def meeting_points(lines):
+    """The buckets of each line."""
+    if not lines:
+        return []
+    sketch, other, chars = line_dedup.sketches(lines)
+    blocks, out = line_dedup.block_buckets(sketch.view(np.int64), chars), []
+    for i, x in enumerate(other):
+        long = chars[i] >= line_dedup.FROM_CHARS
+        grams = np.frombuffer(x[: 4 * line_dedup.COLUMNS * long], "<u4").reshape(-1, line_dedup.COLUMNS)
+        found = set(blocks[i].tolist()) | set(line_dedup.gram_buckets(grams, chars[i : i + 1])[0].tolist()) - {-1} if long else set()
+        out.append(found | {(x, "short") for x in np.frombuffer(x[4 * line_dedup.COLUMNS * long :], "<u4").tolist()})
+    return out
+
+
 def plain_lines(rows, least=line_dedup.LEAST_CHARS, similarity=line_dedup.SIMILARITY):
-    """Lines removed by (doc_id, number): all pairs that are equal or share a block and are similar."""
+    """Lines removed by (doc_id, number): all pairs that are equal or share a bucket and are similar."""
     lines = [(i, n, x) for i, text in rows if text is not None for n, x in enumerate(line_dedup.normalised(text)) if len(x) >= least]
-    prints = line_dedup.fingerprints([x for _, _, x in lines]) if lines else []
+    points = meeting_points([x for _, _, x in lines])
     parent = {n: n for n in range(len(lines))}
     for a in range(len(lines)):
         for b in range(a):
-            if find(parent, a) != find(parent, b) and (lines[a][2] == lines[b][2] or (prints[a] == prints[b]).any() and line_dedup.similar(lines[a][2].decode(), lines[b][2].decode(), similarity)):
+            if find(parent, a) != find(parent, b) and (lines[a][2] == lines[b][2] or points[a] & points[b] and line_dedup.similar(lines[a][2].decode(), lines[b][2].decode(), similarity)):
                 parent[find(parent, a)] = find(parent, b)
     first = {}
     for n, (i, number, _) in enumerate(lines):
@@ -396,11 +410,51 @@ def test_fingerprints_of_lines_at_the_limit_agree():
     r = random.Random(22)
     for n in (3, 8, 20, 50):
         pairs = [[line_dedup.normalised(x)[0] for x in nearly_equal(r, n, letters(r, 0.1))] for _ in range(60)]
-        prints = line_dedup.fingerprints([x for p in pairs for x in p])
-        assert (prints[::2] == prints[1::2]).any(axis=1).mean() >= 0.9
+        points = meeting_points([x for p in pairs for x in p])
+        assert np.mean([bool(a & b) for a, b in zip(points[::2], points[1::2])]) >= 0.9
+        bits = line_dedup.sketches([x for p in pairs for x in p])[0]
+        assert (np.bitwise_count(bits[::2] ^ bits[1::2]).sum(axis=1) <= line_dedup.RADIUS).all()
         assert all(line_dedup.maybe_similar(a.decode(), b.decode(), 0.9) for a, b in pairs)
 
 
+def test_lines_within_the_guaranteed_bits_share_a_block():
+    r = np.random.default_rng(24)
+    bits = r.random((200, line_dedup.BLOCKS * line_dedup.BITS)) < 0.5
+    other = bits.copy()
+    for row in other:
+        at = r.choice(len(row), line_dedup.BLOCKS - 1, replace=False)
+        row[at] = ~row[at]
+    chars = np.full(200, 80)
+    a, b = (line_dedup.block_buckets(np.packbits(np.pad(x, ((0, 0), (0, 16))), axis=1).view("<i8"), chars) for x in (bits, other))
+    assert (a == b).any(axis=1).all()
+
+
+def test_short_lines_that_are_similar_always_meet():
+    r = random.Random(25)
+    for n in range(9, line_dedup.SHORT_TO + 1):
+        for _ in range(60):
+            a = "".join(r.choice("abc") for _ in range(n))
+            b = a
+            for _ in range(r.randint(1, n // 10 or 1)):
+                at = r.randrange(len(b))
+                b = b[:at] + ("", "z", "z" + b[at])[r.randrange(3)] + b[at + 1 :]
+            if len(b) <= line_dedup.SHORT_TO and line_dedup.similar(a, b, 0.9):
+                assert line_dedup.segments(a) & line_dedup.segments(b), (a, b)
+
+
+def test_buckets_are_met_over_any_batches():
+    r = np.random.default_rng(26)
+    sizes = [1, 2, 3, 16, 17, 40, 1, 2, 60, 5]
+    rows = np.concatenate([[(k, i) for i in range(n)] for k, n in enumerate(sizes)])
+    for _ in range(40):
+        cuts = np.sort(r.integers(0, len(rows) + 1, 4))
+        batches = [pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], ["bucket", "id"]) for x in np.split(rows, cuts)]
+        got = [tuple(x.values()) for b in line_dedup._meet(iter(batches)) for x in b.to_pylist()]
+        want = [(k, i, j) for k, n in enumerate(sizes) if n <= 16 for i in range(n) for j in range(i + 1, n)]
+        want += [(k, i, None) for k, n in enumerate(sizes) if n > 16 for i in range(n)]
+        assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_many_near_copies_of_one_line_and_common_beginnings(spark):
     r = random.Random(23)
     base = " ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(20))
