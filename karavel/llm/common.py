@@ -230,7 +230,7 @@ Side = Callable[[str], Column]  # gives a column of one of the two items of a pa
 BIN = 1.05  # sizes up to so many times as large count as one
 
 
-def linked_groups(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], name: str, bound: Callable[[DataFrame], DataFrame] | None = None, fits: Callable[[Side, Side], Column] | None = None) -> DataFrame:
+def linked_groups(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], name: str, bound: Callable[[DataFrame], DataFrame] | None = None, fits: Callable[[Side, Side], Column] | None = None, roots: DataFrame | None = None) -> DataFrame:
     """Groups of items linked through pairs that share a bucket and pass ``verify``, as (id, root).
 
     ``buckets``: bucket, id. ``verify`` takes distinct pairs (a, b) and returns those that are linked. Members are
@@ -239,12 +239,12 @@ def linked_groups(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame],
     as that links many; in the end every pair between different groups is tried, so no link is lost.
     ``bound`` keeps these few: from (id, root) it makes (id, size, low, reach) of the items that may be linked with
     another group at all, which is only so if the size of each is from ``low`` to ``reach`` of the other, and if
-    ``fits`` holds for the further columns of both.
+    ``fits`` holds for the further columns of both. ``roots``: groups that are known; then members were tried against one already.
     """
     rows = buckets.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("pivot")).where("n > 1").select("bucket", "pivot")
     members = stage(buckets.join(sized(stage(rows, name)), "bucket"), name)
-    most, roots = members.count(), None
-    turn, last = 0, False
+    most = members.count()
+    turn, last = 0 if roots is None else 1, False
     while True:
         if turn == 0:
             pairs = members.where("id <> pivot").select("id", F.col("pivot").alias("to"))

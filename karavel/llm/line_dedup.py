@@ -6,22 +6,23 @@ Edits that are spread over a whole line change most blocks of any fingerprint, s
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from karavel.llm.common import Side, discard, linked_groups, merge_components, mix, same_document, seeds, sized, span_hashes, stage, text_key
+from karavel.llm.common import Side, components, discard, linked_groups, merge_components, mix, same_document, seeds, sized, span_hashes, stage, text_key
 
 KINDS, PLACES = 32, 8  # features: kinds of bytes by the part of the line they stand in, neighbouring parts overlap
 BLOCKS, BITS = 12, 20  # a SimHash is cut into blocks; lines that differ in fewer bits than there are blocks agree in one
-GRAM_BYTES, COLUMNS = 12, 12  # lines also meet by the least gram of each of so many classes of grams
+GRAM_BYTES, COLUMNS = 12, 12  # lines also meet by the least gram of each of so many classes of grams,
+GRAM_PLACES = 4  # if it stands in the same part of them; edges of parts differ by class
 SAMPLED = 96  # grams of a line, about, from which the least ones are taken: those with the least hashes
 RADIUS = 100  # of BLOCKS * BITS bits that similar lines differ in at most; unrelated ones differ in 120 on average, 1 % of them in less
 FROM_CHARS = 27  # characters from which lines have a SimHash and grams; lines up to SHORT_TO are met by intact segments, whatever the edits
 SHORT_TO = 29
-SIZE_BIN = 1.5  # lines meet if they are of one class of size; its edges differ by block and column
+SIZE_BIN = 1.3  # lines meet if they are of one class of size; its edges differ by block and column
 SMALL = 16  # members of a bucket that are compared pair by pair
 LEAST_CHARS = 1  # bytes of a normalised line; only blank lines are left alone
 SIMILARITY = 0.9  # 1 - edits / characters of the longer line
@@ -77,10 +78,11 @@ def least_grams(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
     h = span_hashes(buf, at, at + GRAM_BYTES)
     rank = (h >> np.uint64(40)).astype(np.int64)  # 24 bits; only small ones can be the least of a long line
     some = rank * runs[owner] < SAMPLED << 24
-    owner, h, rank = owner[some], h[some], rank[some]
+    owner, h, rank, at = owner[some], h[some], rank[some], at[some]
     column = ((h >> np.uint64(34)) & np.uint64(63)).astype(np.int64) % COLUMNS
+    part = ((at - off[owner]) * GRAM_PLACES / (off[1:] - off[:-1])[owner] + column / COLUMNS).astype(np.int64)
     out = np.full(len(runs) * COLUMNS, 1 << 62)
-    np.minimum.at(out, owner * COLUMNS + column, (rank << 34) + (h & np.uint64((1 << 34) - 1)).astype(np.int64))
+    np.minimum.at(out, owner * COLUMNS + column, (rank << 37) + ((h & np.uint64((1 << 34) - 1)).astype(np.int64) << 3) + part)
     out = out.reshape(len(runs), COLUMNS)
     return np.where(out == 1 << 62, 0, mix(out.astype(np.uint64)) >> np.uint64(32)).astype(np.uint32)
 
@@ -241,32 +243,38 @@ def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows in the order of (bucket, id): all pairs (a, b) of buckets with up to SMALL lines, and (bucket, a) of larger ones. Lines alone go."""
-    bucket, ids, held = np.zeros(0, np.int64), np.zeros(0, np.int64), None  # ``held``: a large bucket that goes on
+    """(bucket, a, b, large) from rows in the order of (bucket, id): all pairs of buckets with up to SMALL lines; of larger ones each line with the first, which stands with itself too. Lines alone go."""
+    bucket, ids, held = np.zeros(0, np.int64), np.zeros(0, np.int64), (None, None)  # ``held``: a large bucket that goes on, its first line
+
+    def row(bucket: np.ndarray, a: np.ndarray, b: np.ndarray, large: bool) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(a), pa.array(b), pa.array(np.full(len(a), large))], ["bucket", "a", "b", "large"])
 
     def give(bucket: np.ndarray, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
         nonlocal held
-        first = np.flatnonzero(np.diff(bucket, prepend=bucket[:1] - 1)) if len(bucket) else bucket
-        n = np.diff(np.append(first, len(bucket)))
-        large = (n > SMALL) | (bucket[first] == held) if held is not None else n > SMALL
-        held = bucket[first[-1]] if len(first) and large[-1] else None
+        if not len(bucket):
+            return
+        first = np.flatnonzero(np.diff(bucket, prepend=bucket[:1] - 1))
+        n, top = np.diff(np.append(first, len(bucket))), ids[first]
+        large = n > SMALL
+        if bucket[0] == held[0]:
+            large[0], top[0] = True, held[1]
+        held = (bucket[-1], top[-1]) if large[-1] else (None, None)
         rows = np.repeat(large, n)
-        empty = pa.nulls(int(rows.sum()), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(bucket[rows]), pa.array(ids[rows]), empty], ["bucket", "a", "b"])
+        yield row(bucket[rows], np.repeat(top, n)[rows], ids[rows], True)
         first, n = first[~large & (n > 1)], n[~large & (n > 1)]
         for step in range(1, SMALL):
             own = np.repeat(first, np.maximum(n - step, 0)) + _ranges(np.maximum(n - step, 0))
             if not len(own):
                 break
-            yield pa.RecordBatch.from_arrays([pa.array(bucket[own]), pa.array(ids[own]), pa.array(ids[own + step])], ["bucket", "a", "b"])
+            yield row(bucket[own], ids[own], ids[own + step], False)
 
     for batch in batches:
         bucket, ids = np.append(bucket, batch.column("bucket").to_numpy()), np.append(ids, batch.column("id").to_numpy())
         if not len(bucket):
             continue
-        # the last bucket may go on in the next batch; of a large one only what is needed to know it is kept back
+        # the last bucket may go on in the next batch; of a large one nothing is kept back
         cut = int(np.searchsorted(bucket, bucket[-1]))
-        cut = len(bucket) if len(bucket) - cut > SMALL or bucket[-1] == held else cut
+        cut = len(bucket) if len(bucket) - cut > SMALL or bucket[-1] == held[0] else cut
         yield from give(bucket[:cut], ids[:cut])
         bucket, ids = bucket[cut:], ids[cut:]
     yield from give(bucket, ids)
@@ -281,13 +289,17 @@ def _place() -> Column:
     return F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th", "line")
 
 
+def _differ(x: Side, y: Side) -> Column:
+    bits = F.lit(0)
+    for c in SKETCH:
+        bits = bits + F.bit_count(x(c).bitwiseXOR(y(c)))
+    return bits
+
+
 def _far_apart(x: Side, y: Side, similarity: float) -> Column:
     """Do the sizes, or the SimHashes of lines that have one, rule out that two lines are similar?"""
-    differ = F.lit(0)
-    for c in SKETCH:
-        differ = differ + F.bit_count(x(c).bitwiseXOR(y(c)))
     least, most = F.least(x("size"), y("size")), F.greatest(x("size"), y("size"))
-    return (least < F.floor(most * similarity - 1e-9)) | ((most > SHORT_TO) & (differ > RADIUS))
+    return (least < F.floor(most * similarity - 1e-9)) | ((most > SHORT_TO) & (_differ(x, y) > RADIUS))
 
 
 def similar_lines(docs: DataFrame, distinct: DataFrame, similarity: float) -> DataFrame:
@@ -296,16 +308,16 @@ def similar_lines(docs: DataFrame, distinct: DataFrame, similarity: float) -> Da
     least = next((n - 1 for n in range(1, 1 << 20) if int((1 - similarity) * n + 1e-9)), 1 << 20)
     wide = distinct.where(f"size >= {least}").select("id", "size", "other", *SKETCH)
     rows = wide.mapInArrow(_explode, "bucket long, id long").repartition("bucket").sortWithinPartitions("bucket", "id")
-    met = stage(rows.mapInArrow(_meet, "bucket long, a long, b long"), "lines_met")
+    met = stage(rows.mapInArrow(_meet, "bucket long, a long, b long, large boolean"), "lines_met")
     other = lambda c: F.col(f"to_{c}")
     left = distinct.select(F.col("id").alias("a"), "size", *SKETCH)
     right = distinct.select(F.col("id").alias("b"), *(F.col(c).alias(f"to_{c}") for c in ("size", *SKETCH)))
 
     def near(pairs: DataFrame) -> DataFrame:
-        return pairs.join(left, "a").join(right, "b").where(~_far_apart(F.col, other, similarity)).select("a", "b")
+        return pairs.join(left, "a").join(right, "b").where(~_far_apart(F.col, other, similarity)).select("a", "b", _differ(F.col, other).alias("d"))
 
-    pairs = stage(near(met.where("b is not null").select("a", "b").distinct()), "lines_near")
-    members = stage(met.where("b is null").select("bucket", F.col("a").alias("id")), "lines_members")
+    pairs = stage(near(met.where("a <> b").select("a", "b").distinct()), "lines_near")
+    members = stage(met.where("large").select("bucket", F.col("b").alias("id")), "lines_members")
     discard(met)
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(members.select("id")).distinct()
 
@@ -338,9 +350,33 @@ def similar_lines(docs: DataFrame, distinct: DataFrame, similarity: float) -> Da
         return named.select("id").join(distinct, "id").select("id", "size", *SKETCH, low.alias("low"), reach.alias("reach"))
 
     fits = lambda p, q: ~_far_apart(p, q, similarity)
-    links = stage(check(pairs), "lines_linked")
-    roots = linked_groups(members, lambda p: check(stage(near(p), "lines_pairs")), "lines_links", bound, fits)
-    return merge_components(roots, links, "lines_links")
+    roots = _spanned(pairs, check)
+    if members.isEmpty():
+        return roots
+    return linked_groups(members, lambda p: check(stage(near(p).select("a", "b"), "lines_pairs")), "lines_links", bound, fits, roots)
+
+
+def _spanned(pairs: DataFrame, check: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Groups (id, root) of all pairs (a, b, d) that pass ``check``; pairs inside a group that is known are not checked.
+
+    First each line is checked with the nearest line before it, then each two groups by their nearest lines, then all pairs that are left.
+    """
+    nearest = F.min(F.struct("d", "a", "b")).alias("p")
+    roots, pick = None, pairs.groupBy("b").agg(nearest).select("p.a", "p.b")
+    for turn in range(3):
+        pick = stage(pick, "lines_picked")
+        found = stage(check(pick), "lines_linked")
+        roots = components(found, "lines_links") if roots is None else merge_components(roots, found, "lines_links")
+        if turn == 2:
+            return roots
+        ra, rb = roots.select(F.col("id").alias("a"), F.col("root").alias("ra")), roots.select(F.col("id").alias("b"), F.col("root").alias("rb"))
+        left = pairs.join(pick, ["a", "b"], "left_anti").join(ra, "a", "left").join(rb, "b", "left")
+        left = left.select("a", "b", "d", F.coalesce("ra", "a").alias("ra"), F.coalesce("rb", "b").alias("rb")).where("ra <> rb")
+        pairs = stage(left, "lines_open")
+        if pairs.isEmpty():
+            return roots
+        pick = pairs.groupBy(F.least("ra", "rb"), F.greatest("ra", "rb")).agg(nearest).select("p.a", "p.b") if turn == 0 else pairs.select("a", "b")
+        pairs = pairs.select("a", "b", "d")
 
 
 def repeated_lines(docs: DataFrame, least_chars: int, similarity: float) -> DataFrame:

@@ -450,8 +450,8 @@ def test_buckets_are_met_over_any_batches():
         cuts = np.sort(r.integers(0, len(rows) + 1, 4))
         batches = [pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], ["bucket", "id"]) for x in np.split(rows, cuts)]
         got = [tuple(x.values()) for b in line_dedup._meet(iter(batches)) for x in b.to_pylist()]
-        want = [(k, i, j) for k, n in enumerate(sizes) if n <= 16 for i in range(n) for j in range(i + 1, n)]
-        want += [(k, i, None) for k, n in enumerate(sizes) if n > 16 for i in range(n)]
+        want = [(k, i, j, False) for k, n in enumerate(sizes) if n <= 16 for i in range(n) for j in range(i + 1, n)]
+        want += [(k, 0, i, True) for k, n in enumerate(sizes) if n > 16 for i in range(n)]
         assert sorted(got, key=str) == sorted(want, key=str)
 
 
