@@ -19,7 +19,7 @@ BLOCKS, BITS = 12, 20  # a SimHash is cut into blocks; lines that differ in fewe
 GRAM_BYTES, COLUMNS = 12, 12  # lines also meet by the least gram of each of so many classes of grams,
 GRAM_PLACES = 4  # if it stands in the same part of them; edges of parts differ by class
 SAMPLED = 96  # grams of a line, about, from which the least ones are taken: those with the least hashes
-RADIUS = 100  # of BLOCKS * BITS bits that similar lines differ in at most; unrelated ones differ in 120 on average, 1 % of them in less
+RADIUS = 84  # of BLOCKS * BITS bits that similar lines differ in at most, but for 1 % of long ones with a tenth replaced; unrelated ones differ in 120, 0.1 % in less
 FROM_CHARS = 27  # characters from which lines have a SimHash and grams; lines up to SHORT_TO are met by intact segments, whatever the edits
 SHORT_TO = 29
 SIZE_BIN = 1.3  # lines meet if they are of one class of size; its edges differ by block and column
@@ -319,8 +319,6 @@ def similar_lines(docs: DataFrame, distinct: DataFrame, similarity: float) -> Da
     pairs = stage(near(met.where("a <> b").select("a", "b").distinct()), "lines_near")
     members = stage(met.where("large").select("bucket", F.col("b").alias("id")), "lines_members")
     discard(met)
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(members.select("id")).distinct()
-
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
@@ -331,18 +329,21 @@ def similar_lines(docs: DataFrame, distinct: DataFrame, similarity: float) -> Da
                     out += [lines[x["line"]].decode("utf-8", "replace") for x in row["wanted"]]
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.string())], ["id", "x"])
 
-    # the texts of lines that have a candidate, by one pass over the documents that hold the first of their copies
-    by_text = wanted.join(distinct, "id").groupBy("at.doc_id", "at.th").agg(F.collect_list(F.struct("id", "at.line")).alias("wanted"))
-    by_text = sized(stage(by_text, "lines_wanted"))
-    texts = stage(docs.join(by_text, same_document(docs, by_text)).select("wanted", "text").mapInArrow(pick, "id long, x string"), "lines_texts")
-    x, y = texts.select(F.col("id").alias("a"), "x"), texts.select(F.col("id").alias("b"), F.col("x").alias("y"))
+    def texts_of(pairs: DataFrame) -> DataFrame:
+        """(id, x) of the lines of pairs, by one pass over the documents that hold the first of their copies."""
+        wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+        by_text = wanted.join(distinct, "id").groupBy("at.doc_id", "at.th").agg(F.collect_list(F.struct("id", "at.line")).alias("wanted"))
+        by_text = sized(stage(by_text, "lines_wanted"))
+        return stage(docs.join(by_text, same_document(docs, by_text)).select("wanted", "text").mapInArrow(pick, "id long, x string"), "lines_texts")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = [maybe_similar(x, y, similarity) and similar(x, y, similarity) for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist())]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    def check(pairs: DataFrame) -> DataFrame:
+    def check(pairs: DataFrame, texts: DataFrame | None = None) -> DataFrame:
+        texts = texts_of(pairs) if texts is None else texts
+        x, y = texts.select(F.col("id").alias("a"), "x"), texts.select(F.col("id").alias("b"), F.col("x").alias("y"))
         return pairs.join(x, "a").join(y, "b").mapInArrow(compare, "a long, b long")
 
     def bound(named: DataFrame) -> DataFrame:
@@ -350,7 +351,9 @@ def similar_lines(docs: DataFrame, distinct: DataFrame, similarity: float) -> Da
         return named.select("id").join(distinct, "id").select("id", "size", *SKETCH, low.alias("low"), reach.alias("reach"))
 
     fits = lambda p, q: ~_far_apart(p, q, similarity)
-    roots = _spanned(pairs, check)
+    texts = texts_of(pairs)
+    roots = _spanned(pairs, lambda p: check(p, texts))
+    discard(texts, pairs)
     if members.isEmpty():
         return roots
     return linked_groups(members, lambda p: check(stage(near(p).select("a", "b"), "lines_pairs")), "lines_links", bound, fits, roots)
