@@ -15,6 +15,7 @@ from karavel.functions.ordered import ROWS_PER_RANGE, last_known, running_sum
 from karavel.functions.sized import settle
 
 EMPTIES = ("T", "X")  # operations after which a table has no rows
+COMMIT = "C"  # the record that ends a transaction
 COPIES_PER_ROW = 100_000  # equal rows that one row may expand into at a time
 
 
@@ -26,7 +27,7 @@ def decode_changes(
 ) -> DataFrame:
     """JSON change records to typed rows ``(pos, xid, op, tbl, key, after, before, malformed, raw)``.
 
-    A record has ``lsn, xid, action, table, key, after, before``. The key is a bigint unless ``key_type`` says
+    A record has ``lsn, xid, action, table, key, after, before``; the record of a commit has position and xid only. The key is a bigint unless ``key_type`` says
     otherwise: a text, or a struct for a key of several columns. A record that does not parse, lacks
     a position or has an unknown action stays in the result with ``malformed`` set, for the error policy.
     """
@@ -57,7 +58,7 @@ def decode_changes(
         r["bad"].alias("bad"),
         "raw",
     )
-    known = F.col("op").isin("I", "U", "D", "T", "X", "A")
+    known = F.col("op").isin("I", "U", "D", "T", "X", "A", COMMIT)
     malformed = F.col("bad").isNotNull() | F.col("pos").isNull() | ~F.coalesce(known, F.lit(False))
     return out.withColumn("malformed", malformed).drop("bad")
 
@@ -209,6 +210,15 @@ def apply_changes_keyless(
         )
         final = F.greatest(F.col("__n"), -F.col("__down")) + F.col("__up")
 
+    return meet_images(target, images, final, copies_per_row)
+
+
+def meet_images(target: DataFrame, images: DataFrame, final: Column, copies_per_row: int = COPIES_PER_ROW) -> DataFrame:
+    """A table without a key after counted steps per row image: ``__up``, ``__down`` and ``__deletes`` of each.
+
+    ``final`` gives the copies of an image at the end, from these and ``__n``, how many the target has.
+    """
+    cols = target.columns
     images, _ = settle(images, "keyless_images")
     sought = images.filter(F.col("__deletes") > 0).select(*[F.col(c).alias(f"__i_{c}") for c in cols], F.lit(True).alias("__sought"))
     same = all_equal((target[c], sought[f"__i_{c}"]) for c in cols)

@@ -11,7 +11,7 @@ from karavel.plans.checks import collector
 from karavel.plans.fixtures import Tables
 from karavel.session import shared_folder
 from karavel.sources import logs, snapshot
-from karavel.streaming import follow as S
+from karavel.streaming import altered, follow as S, group, keyless, transactions
 
 CHECKS, check = collector()
 
@@ -451,6 +451,64 @@ def c4_updates_without_a_key(t: Tables) -> DataFrame:
     return C.apply_changes_keyless(t.sql(KEYED), _keyed_log(t, []), ["pos", "seq"])
 
 
+def _counted(t: Tables, base: DataFrame, log: DataFrame, order: list[str], files: DataFrame, replay: bool) -> keyless.CountedTable:
+    """A table without a key after the log's files, one per batch; with ``replay`` they come again through a second checkpoint."""
+    table = keyless.CountedTable(t.spark, shared_folder(t.spark, "followed"), order)
+    table.start(base)
+    folder = shared_folder(t.spark, "log")
+    files.write.parquet(folder)
+    for _ in range(2 if replay else 1):
+        stream = t.spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+        S.follow(stream, table, shared_folder(t.spark, "state")).awaitTermination()
+    return table
+
+
+@check(CHECKS["c4_apply_changes_keyless_ordered"][1])
+def c4_apply_changes_keyless_stream(t: Tables) -> DataFrame:
+    """The log in three files in order, then the same files again."""
+    log = t.sql(
+        f"""select case when l_partkey % 89 = 0 then 'D' else 'I' end as op, l_partkey * 1000000 + l_orderkey as pos, {LINE}
+            from lineitem where l_partkey % 89 = 0 or l_partkey % 97 = 0"""
+    )
+    table = _counted(t, t["fx_lineitem"], log, ["pos"], log.repartitionByRange(3, "pos"), replay=True)
+    return table.read().groupBy(*LINE.split(", ")).agg(F.count("*").alias("copies"))
+
+
+@check(KEYED_AFTER)
+def c4_updates_without_a_key_stream(t: Tables) -> DataFrame:
+    """Files that hold positions of the whole log each, so that all of them overlap."""
+    log = _keyed_log(t, [])
+    return _counted(t, t.sql(KEYED), log, ["pos", "seq"], log.repartition(3, "pos"), replay=False).read()
+
+
+# every eleventh transaction never ends, every thirteenth is taken back
+ENDED = """
+with ch as (select * from fx_change_log where (event_id // 7) % 11 <> 0 and (event_id // 7) % 13 <> 0),
+nt as (select k, op, v from (select *, row_number() over (partition by k order by pos desc) as rn from ch) x where rn = 1)
+select k, cast(v as double) as v from fx_base where k not in (select k from nt)
+union all select k, cast(v as double) from nt where op <> 'D'"""
+
+
+@check(ENDED)
+def c2_transactions_stream(t: Tables) -> DataFrame:
+    """Transactions of seven changes in files that end anywhere; the record that ends one comes two changes later."""
+    xid = F.floor(F.col("event_id") / 7)
+    log = t["fx_change_log"].select(xid.alias("xid"), F.col("pos").cast("decimal(20,0)").alias("pos"), "op", "k", "v")
+    ends = log.groupBy("xid").agg((F.max("pos") + 2 * 4194304 + 1).cast("decimal(20,0)").alias("pos")).filter("xid % 11 <> 0")
+    ends = ends.withColumn("op", F.when(F.col("xid") % 13 == 0, transactions.ROLLBACK).otherwise(C.COMMIT))
+    folder, table = shared_folder(t.spark, "log"), S.FollowedTable(t.spark, shared_folder(t.spark, "followed"), ["k"])
+    table.start(t["fx_base"])
+    opened, state = transactions.OpenTransactions(t.spark, shared_folder(t.spark, "open")), shared_folder(t.spark, "state")
+    whole = log.unionByName(ends, allowMissingColumns=True)
+    cuts = [None, *log.approxQuantile("pos", [0.3, 0.6], 0.01), None]
+    for low, high in zip(cuts, cuts[1:]):
+        part = whole if low is None else whole.filter(F.col("pos") > low)
+        (part if high is None else part.filter(F.col("pos") <= high)).write.mode("append").parquet(folder)
+        stream = t.spark.readStream.schema(whole.schema).parquet(folder)
+        transactions.follow_transactions(stream, table, opened, state).awaitTermination()
+    return _kv(table.read())
+
+
 TRUNCATED = f"""
 with ch as (select * from fx_change_log where pos > {HALF}),
 nt as (select k, op, v from (select *, row_number() over (partition by k order by pos desc) as rn from ch) x where rn = 1)
@@ -500,6 +558,37 @@ def c7_late_file_stream(t: Tables) -> DataFrame:
     return _kv(table.read())
 
 
+ALTERED = f"""
+with nt as (select k, op, v, pos, event_type from (select *, row_number() over (partition by k order by pos desc) as rn from fx_change_log) x where rn = 1)
+select k, cast(v as double) as v, cast(null as varchar) as event_type from fx_base where k not in (select k from nt)
+union all select k, cast(case when pos > {HALF} then v else floor(v) end as double), case when pos > {HALF} then event_type end from nt where op <> 'D'"""
+
+
+@check(ALTERED)
+def c9_alter_stream(t: Tables) -> DataFrame:
+    """At half the log a number of whole units becomes a decimal and a text column is added; the older half of the log comes last."""
+    late, lsn = F.col("pos") > HALF, F.concat(F.hex(F.floor(F.col("pos") / WORD).cast("bigint")), F.lit("/"), F.hex(F.col("pos") % WORD))
+    old = F.struct("k", F.floor("v").cast("bigint").alias("v"))
+    new = F.struct("k", "v", "event_type")
+
+    def records(rows: DataFrame, image: F.Column) -> DataFrame:
+        kept = F.when(F.col("op") != "D", image)
+        return rows.select(F.to_json(F.struct(lsn.alias("lsn"), F.col("op").alias("action"), F.lit("t").alias("table"), F.col("k").alias("key"), kept.alias("after"))).alias("value"))
+
+    columns = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(k).alias("type")) for n, k in (("v", "decimal(38,2)"), ("event_type", "string"))])
+    alter = t.spark.range(1).select(F.lit(HALF).alias("pos"))
+    alter = alter.select(F.to_json(F.struct(lsn.alias("lsn"), F.lit("A").alias("action"), F.lit("t").alias("table"), columns.alias("columns"))).alias("value"))
+    log = t["fx_change_log"]
+    base = t["fx_base"].withColumn("v", F.col("v").cast("decimal(38,2)"))
+    table = altered.AlteredTable(t.spark, shared_folder(t.spark, "followed"), ["k"], ["pos", "seq"], name="t")
+    table.start(base)
+    folder, state = shared_folder(t.spark, "log"), shared_folder(t.spark, "state")
+    for part in (alter, records(log.filter(late), new), records(log.filter(~late), old)):
+        part.write.mode("append").text(folder)
+        altered.follow_records(logs.read_changes(t.spark, folder, streaming=True), table, state).awaitTermination()
+    return _kv(table.read()).join(table.read().select("k", "event_type"), "k")
+
+
 DDL = """
 select pos, concat('t', cast(k % 11 as varchar(4))) as tbl, case when event_id % 1999 = 5 then 'X' else 'T' end as op
 from fx_change_log where event_id % 997 = 3 or event_id % 1999 = 5"""
@@ -564,6 +653,33 @@ def c10_route_stream_two_checkpoints(t: Tables) -> DataFrame:
     return S.routed(t.spark, dest).select("event_id", "pos", "tbl", "op")
 
 
+@check(f"select concat('t', cast(k % 3 as varchar(4))) as tbl, k, v from ({APPLIED}) a where k % 3 < 2")
+def c10_follow_tables_stream(t: Tables) -> DataFrame:
+    """Two of the log's three tables are followed by one stream, the second one without a key."""
+    folder = shared_folder(t.spark, "log")
+    change_records(t).filter(F.get_json_object("value", "$.table") != "t1").repartitionByRange(3, "pos").sortWithinPartitions("pos").select("value").write.text(folder)
+    # table t1 has no key: its changes are the images that each change finds and leaves
+    images = t.sql(
+        """select pos, op, k, v, event_type, lag(op) over (partition by k order by pos) as old_op, lag(v) over (partition by k order by pos) as old_v,
+                  lag(event_type) over (partition by k order by pos) as old_type from fx_change_log where k % 3 = 1"""
+    ).join(t["fx_base"].select("k", F.col("v").alias("base_v")), "k", "left")
+    first, gone = F.col("old_op").isNull(), F.col("old_op") == "D"
+    before = F.when(first & F.col("base_v").isNotNull(), F.struct("k", F.col("base_v").alias("v"), F.lit(None).cast("string").alias("event_type")))
+    before = before.when(~first & ~gone, F.struct("k", F.col("old_v").alias("v"), F.col("old_type").alias("event_type")))
+    after = F.when(F.col("op") != "D", F.struct("k", "v", "event_type"))
+    op = F.when(before.isNull(), F.when(F.col("op") != "D", "I")).when(F.col("op") == "D", "D").otherwise("U")
+    lsn = F.concat(F.hex(F.floor(F.col("pos") / WORD).cast("bigint")), F.lit("/"), F.hex(F.col("pos") % WORD))
+    record = F.struct(lsn.alias("lsn"), op.alias("action"), F.lit("t1").alias("table"), after.alias("after"), before.alias("before"))
+    images.withColumn("act", op).filter("act is not null").select("pos", F.to_json(record).alias("value")).repartitionByRange(2, "pos").select("value").write.mode("append").text(folder)
+    members = [group.Member("t0", ROW, ["k"]), group.Member("t1", ROW)]
+    tables = group.TableGroup(t.spark, shared_folder(t.spark, "group"), members)
+    base = t["fx_base"].withColumn("event_type", F.lit(None).cast("string"))
+    tables.start({m.name: base.filter(F.col("k") % 3 == i) for i, m in enumerate(members)})
+    group.follow_group(logs.read_changes(t.spark, folder, streaming=True, files_per_batch=2), tables, shared_folder(t.spark, "state")).awaitTermination()
+    out = [_kv(tables.read(m.name)).select(F.lit(m.name).alias("tbl"), "k", "v") for m in members]
+    return out[0].unionByName(out[1])
+
+
 CHANGED = "select o_orderkey from orders where o_orderkey % 97 = 0 or o_orderkey % 101 = 0"
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from karavel.functions.sized import settle
@@ -17,7 +17,8 @@ from karavel.operators.changes import ErrorPolicy, apply_changes, bound_changes,
 from karavel.session import shared_folder
 from karavel.sources.files import delete, finished
 
-COMMITS = "name string, max_pos decimal(20,0), rows bigint, seen_pos decimal(20,0)"
+POSITION = "decimal(20,0)"
+COMMITS = f"name string, max_pos {POSITION}, rows bigint, seen_pos {POSITION}, tbl string, first_pos {POSITION}, cut_pos {POSITION}"
 VERSIONS = "version bigint, upto_pos decimal(20,0)"
 
 
@@ -28,24 +29,35 @@ class FollowedTable:
     one that comes late can change the result.
     """
 
-    def __init__(self, spark: SparkSession, path: str, key: list[str], order: list[str] | None = None):
-        """``order`` sorts changes of a key; with several changes at one position it needs a tie-breaker after ``pos``."""
-        if not key:
-            raise ValueError("a table without a key is followed by a CountedTable")
-        self.spark, self.path, self.key, self.order = spark, path, key, order or ["pos"]
+    keyed = True
+
+    def __init__(self, spark: SparkSession, path: str, key: list[str], order: list[str] | None = None, *, name: str | None = None, commits: str | None = None):
+        """``order`` sorts changes of a key; with several changes at one position it needs a tie-breaker after ``pos``.
+
+        ``name``: changes whose column ``tbl`` has another value are not this table's. ``commits``: a folder of commits
+        that several tables share, see ``TableGroup``; its rows are told apart by ``name``.
+        """
+        if self.keyed != bool(key):
+            raise ValueError("a FollowedTable needs a key, and a table without one is followed by a CountedTable")
+        self.spark, self.path, self.key, self.order, self.name = spark, path, key, order or ["pos"], name
+        self.commit_path, self.shared = commits or f"{path}/commits", commits is not None
         self._upto: dict[int, int] = {}  # a published version never changes
 
     # ------------------------------------------------------------------------------- state on disk
 
     def _finished(self, kind: str) -> list[str]:
-        return finished(self.spark, f"{self.path}/{kind}")
+        return finished(self.spark, self.commit_path if kind == "commits" else f"{self.path}/{kind}")
+
+    def _forget(self, kind: str, name: str) -> None:
+        delete(self.spark, f"{self.path}/{kind}/{name}")
 
     def commits(self) -> DataFrame:
-        """One row per committed batch: name, highest position applied, net changes, highest position read."""
+        """One row per committed batch: name, highest position applied, net changes, highest position read, and more."""
         done = self._finished("commits")
         if not done:
             return self.spark.createDataFrame([], COMMITS)
-        return self.spark.read.schema(COMMITS).parquet(*[f"{self.path}/commits/{n}" for n in done])
+        rows = self.spark.read.schema(COMMITS).parquet(*[f"{self.commit_path}/{n}" for n in done])
+        return rows.filter(F.col("tbl").eqNullSafe(F.lit(self.name))) if self.shared else rows
 
     def _version(self) -> tuple[int, int]:
         names = self._finished("versions")
@@ -115,9 +127,7 @@ class FollowedTable:
         logged.drop("suspended").write.mode("overwrite").parquet(f"{self.path}/exceptions/{name}")
         return live.filter(F.col("reason").isNull()).select(*changes.columns)
 
-    def apply_batch(
-        self, changes: DataFrame, name: str, endpos: int | None = None, policy: ErrorPolicy | None = None, **how
-    ) -> bool:
+    def apply_batch(self, changes: DataFrame, name: str, endpos: int | None = None, policy: ErrorPolicy | None = None, **how) -> bool:
         """Store the net changes of one micro-batch under its name; False when it was committed before.
 
         Changes that the base holds already are dropped (hand-over), so are those after ``endpos``. With an error
@@ -126,16 +136,26 @@ class FollowedTable:
         """
         if name in self._finished("commits"):
             return False
+        self.commit(name, [self.store(changes, name, endpos, policy, **how)])
+        return True
+
+    def _own(self, changes: DataFrame, endpos: int | None) -> DataFrame:
+        """The changes of this table that the base does not hold, up to the end position."""
+        if self.name is not None and "tbl" in changes.columns:
+            changes = changes.filter(F.col("tbl") == self.name)
+        fresh = resume_changes(changes, self._version()[1])
+        return fresh if endpos is None else bound_changes(fresh, endpos)
+
+    def store(self, changes: DataFrame, name: str, endpos: int | None = None, policy: ErrorPolicy | None = None, **how) -> dict:
+        """Write the net changes of a batch, which are not seen before the ``commit`` of what this returns."""
         seen_pos = None
         if policy is not None:  # a batch that is judged is read several times, and may be held back as a whole
-            changes = _staged(changes, "batch")
+            changes = staged(changes, "batch")
             seen_pos = changes.agg(F.max("pos")).first()[0]
         else:
             read = Observation()
             changes = changes.observe(read, F.max("pos").alias("seen_pos"))
-        fresh = resume_changes(changes, self._version()[1])
-        if endpos is not None:
-            fresh = bound_changes(fresh, endpos)
+        fresh = self._own(changes, endpos)
         if policy is not None:
             fresh = self._sound(fresh, name, policy, how)
         net_changes(fresh, self.key, self.order).write.mode("overwrite").parquet(f"{self.path}/changes/{name}")
@@ -144,18 +164,16 @@ class FollowedTable:
         # the written changes are counted, not the plan: what is left of a plan without rows does not report
         written = self.spark.read.schema(fresh.schema).parquet(f"{self.path}/changes/{name}")
         max_pos, rows = written.agg(F.max("pos"), F.count("*")).first()
+        return {"max_pos": max_pos, "rows": rows, "seen_pos": seen_pos}
 
-        def position(p: int | None, name: str) -> Column:
-            return F.lit(None if p is None else str(p)).cast("decimal(20,0)").alias(name)
-
-        done = self.spark.range(1).select(
-            F.lit(name).alias("name"),
-            position(max_pos, "max_pos"),
-            F.lit(rows).cast("bigint").alias("rows"),
-            position(seen_pos, "seen_pos"),
-        )
-        done.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/commits/{name}")
-        return True
+    def commit(self, name: str, stored: list[dict]) -> None:
+        """Make a batch visible: one row for each table that the commit is for, all at once."""
+        rows = [(name, r.get("max_pos"), r["rows"], r.get("seen_pos"), r.get("tbl", self.name), r.get("first_pos"), r.get("cut_pos")) for r in stored]
+        texts = [tuple(None if v is None else str(v) for v in row) for row in rows]
+        columns = COMMITS.split(", ")
+        done = self.spark.createDataFrame(texts, ", ".join(f"{c.split()[0]} string" for c in columns))
+        done = done.select(*[F.col(c.split()[0]).cast(c.split()[1]) for c in columns])
+        done.coalesce(1).write.mode("overwrite").parquet(f"{self.commit_path}/{name}")
 
     def compact(self, upto: int | None = None) -> int:
         """Write the current table as the next base version; later reads start from it.
@@ -177,14 +195,15 @@ class FollowedTable:
         upto = self._upto_pos(kept[0])
         old = self.commits().filter(F.col("max_pos") <= F.lit(str(upto)).cast("decimal(20,0)")).select("name")
         for name in [r["name"] for r in old.collect()]:
-            delete(self.spark, f"{self.path}/commits/{name}")
+            if not self.shared:  # the other tables of a group still need it
+                delete(self.spark, f"{self.commit_path}/{name}")
             delete(self.spark, f"{self.path}/changes/{name}")
         for v in versions[:-keep]:
             delete(self.spark, f"{self.path}/versions/v={v}")
             delete(self.spark, f"{self.path}/base/v={v}")
 
 
-def _staged(df: DataFrame, name: str) -> DataFrame:
+def staged(df: DataFrame, name: str) -> DataFrame:
     path = shared_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
