@@ -10,12 +10,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from karavel.llm.common import same_document, stage, with_column
+from karavel.llm.common import chunks, same_document, stage, with_column
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK_CHARS = 16_384  # texts with more characters are cut into chunks of so many
 BLOCK_CHUNKS = 128  # transfer matrices that one row of the scan's first level combines
-CACHE = 400_000  # segments that each of two generations remembers
+CACHE = 10_000_000  # ids and characters of the segments that each of two generations remembers
+AT_ONCE = 16  # chunks that a worker holds the ids of
 SPACE = "▁"  # fixed value: the mark that stands for a space in pieces
 LITERAL = "\ud800"  # stands for such a mark in the text itself; no text can hold it, it has no piece and goes by bytes
 UNKNOWN_PENALTY = 10  # fixed value: what a character without a piece scores below the worst piece
@@ -65,12 +66,26 @@ def marked(text: str, first: bool = True) -> str:
     return (SPACE if first and text else "") + text.replace(SPACE, LITERAL).replace(" ", SPACE)
 
 
+@dataclass(frozen=True)
+class Rest:
+    """A chunk without what lies between its first and last sure cut, whose pieces are known: their score and ids.
+
+    ``length``: characters of the text that are the chunk's own; ``head``: where the part is left out, -1 if nothing is.
+    """
+
+    text: str
+    length: int
+    head: int
+    middle: int
+    ids: list[int]
+
+
 SEGMENT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
 class Segmenter:
     def __init__(self, vocabulary: Vocabulary):
-        self.v, self.known, self.older = vocabulary, {}, {}
+        self.v, self.known, self.older, self.held = vocabulary, {}, {}, 0
 
     def edges(self, s: str, i: int, stop: int) -> list[tuple[int, int, int]]:
         """(end, id, score) of the pieces that begin at i and end by ``stop``, longest last."""
@@ -126,9 +141,10 @@ class Segmenter:
         if found is None:
             found = self.older.get(s) or self.path(s, 0, len(s))
             if len(s) <= 64:
-                if len(self.known) >= CACHE:
-                    self.older, self.known = self.known, {}
+                if self.held >= CACHE:
+                    self.older, self.known, self.held = self.known, {}, 0
                 self.known[s] = found
+                self.held += len(s) + len(found[1]) + 32
         return found
 
     def encode(self, text: str) -> tuple[int, list[int]]:
@@ -160,34 +176,30 @@ class Segmenter:
                 np.maximum(row, np.where(at > NEVER, at + score, NEVER), out=row)
         return best[end - start :]
 
-    def transfer(self, s: str, length: int) -> np.ndarray:
-        """Matrix [in][out] of a chunk: best score if its first ``in`` characters belong to a piece from before and its last piece takes ``out`` of the next."""
+    def transfer(self, s: str, length: int) -> tuple[np.ndarray, Rest]:
+        """Matrix [in][out] of a chunk: best score if its first ``in`` characters belong to a piece from before and its last piece takes ``out`` of the next; and what ``backtrace`` needs."""
         k = self.v.longest
         cuts = self.sure_cuts(s, length)
         if cuts is None:
-            return self.fans(s, 0, length, k).T.copy()
+            return self.fans(s, 0, length, k).T.copy(), Rest(s, length, -1, 0, [])
         first, last = cuts
         head = self.fans(s, 0, first, k)[0]
-        middle = sum(self.segment(x)[0] for x in SEGMENT.findall(s[first:last]))
-        tail = self.fans(s, last, length, 1)[:, 0]
-        return plus(plus(head[:, None], np.int64(middle)), tail[None, :])
-
-    def backtrace(self, s: str, length: int, entry: int, over: int) -> tuple[int, list[int]]:
-        """Ids of the pieces that begin in a chunk, entered ``entry`` characters in and left ``over`` beyond its end."""
-        end = length + over
-        if entry >= end:
-            return 0, []
-        cuts = self.sure_cuts(s, length)
-        if cuts is None:
-            return self.path(s, entry, end)
-        first, last = cuts
-        total, ids = self.path(s, entry, first)
+        middle, ids = 0, []
         for x in SEGMENT.findall(s[first:last]):
             score, more = self.segment(x)
-            total += score
+            middle += score
             ids += more
-        score, more = self.path(s[last:], 0, end - last)
-        return total + score, ids + more
+        tail = self.fans(s, last, length, 1)[:, 0]
+        return plus(plus(head[:, None], np.int64(middle)), tail[None, :]), Rest(s[:first] + s[last:], length - (last - first), first, middle, ids)
+
+    def backtrace(self, rest: Rest, entry: int, over: int) -> tuple[int, list[int]]:
+        """Score and ids of the pieces that begin in a chunk, entered ``entry`` characters in and left ``over`` beyond its end."""
+        end = rest.length + over
+        if rest.head < 0:
+            return self.path(rest.text, entry, end) if entry < end else (0, [])
+        first_score, first_ids = self.path(rest.text, entry, rest.head)
+        last_score, last_ids = self.path(rest.text[rest.head :], 0, end - rest.head)
+        return first_score + rest.middle + last_score, [*first_ids, *rest.ids, *last_ids]
 
 
 def plus(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -267,8 +279,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary | str = MODEL, chunk_chars: i
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         segmenter = _segmenter(shared)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for part in chunks(batch, limit=1 << 18):
                 yield _ids_batch(part.drop_columns("text"), [segmenter.encode(x.as_py()) for x in part.column("text")])
 
     out_schema = f"doc_id {kind}, th long, ids array<int>, score long"
@@ -287,15 +298,22 @@ def encode(docs: DataFrame, vocabulary: Vocabulary | str = MODEL, chunk_chars: i
                     yield pa.RecordBatch.from_arrays(columns, ["doc_id", "th", "n", "length", "part"])
 
     parts = giant.mapInArrow(cut, f"doc_id {kind}, th long, n int, length int, part string")
-    parts = stage(parts.dropDuplicates(["doc_id", "th", "n"]), "pieces_chunks")
+    parts = parts.dropDuplicates(["doc_id", "th", "n"])
 
     def transfers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         segmenter = _segmenter(shared)
         for batch in batches:
-            rows = [_packed(segmenter.transfer(marked(s, n == 0), length)) for s, length, n in zip(*(batch.column(c).to_pylist() for c in ("part", "length", "n")))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(rows, pa.binary())], ["doc_id", "th", "n", "matrix"])
-
-    matrices = stage(parts.mapInArrow(transfers, f"doc_id {kind}, th long, n int, matrix binary"), "pieces_matrices")
+            for at in range(0, batch.num_rows, AT_ONCE):
+                part = batch.slice(at, AT_ONCE)
+                found = [segmenter.transfer(marked(s, n == 0), length) for s, length, n in zip(*(part.column(c).to_pylist() for c in ("part", "length", "n")))]
+                kinds = {"text": pa.binary(), "length": pa.int32(), "head": pa.int32(), "middle": pa.int64(), "ids": pa.list_(pa.int32())}
+                rest = [pa.array([x.text.encode("utf-8", "surrogatepass") if c == "text" else getattr(x, c) for _, x in found], kind) for c, kind in kinds.items()]
+                matrix = pa.array([_packed(m) for m, _ in found], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), matrix, *rest], ["doc_id", "th", "n", "matrix", *kinds])
+
+    rest_schema = f"doc_id {kind}, th long, n int, matrix binary, text binary, length int, head int, middle long, ids array<int>"
+    parts = stage(parts.mapInArrow(transfers, rest_schema), "pieces_chunks")
+    matrices = parts.select("doc_id", "th", "n", "matrix")
     block = F.floor(F.col("n") / BLOCK_CHUNKS).cast("int").alias("block")
     row = F.sort_array(F.collect_list(F.struct("n", "matrix"))).alias("row")
 
@@ -328,10 +346,14 @@ def encode(docs: DataFrame, vocabulary: Vocabulary | str = MODEL, chunk_chars: i
     def back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         segmenter = _segmenter(shared)
         for batch in batches:
-            rows = zip(*(batch.column(c).to_pylist() for c in ("part", "n", "length", "entry", "over")))
-            yield _ids_batch(batch.select(["doc_id", "th", "n"]), [segmenter.backtrace(marked(s, n == 0), *x) for s, n, *x in rows])
-
-    chosen = parts.join(found, same_document(parts, found) & (parts["n"] == found["n"])).select(parts["doc_id"], parts["th"], parts["n"], "part", "length", "entry", "over")
+            for at in range(0, batch.num_rows, AT_ONCE):
+                part = batch.slice(at, AT_ONCE)
+                rows = zip(*(part.column(c).to_pylist() for c in ("text", "length", "head", "middle", "ids", "entry", "over")))
+                found = [segmenter.backtrace(Rest(text.decode("utf-8", "surrogatepass"), *rest), entry, over) for text, *rest, entry, over in rows]
+                yield _ids_batch(part.select(["doc_id", "th", "n"]), found)
+
+    chosen = parts.join(found, same_document(parts, found) & (parts["n"] == found["n"]))
+    chosen = chosen.select(parts["doc_id"], parts["th"], parts["n"], "text", "length", "head", "middle", "ids", "entry", "over")
     pieces = chosen.mapInArrow(back, f"doc_id {kind}, th long, n int, ids array<int>, score long")
     joined = pieces.groupBy("doc_id", "th").agg(F.sort_array(F.collect_list(F.struct("n", "ids"))).alias("all"), F.sum("score").alias("score"))
     joined = joined.select("doc_id", "th", F.flatten(F.col("all.ids")).alias("ids"), "score")
@@ -348,8 +370,8 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary | str = MODEL) -> DataFram
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = [x or b"" for x in shared.value.texts]
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part, out = batch.slice(at, 256), []
+            for at in range(0, batch.num_rows, AT_ONCE):
+                part, out = batch.slice(at, AT_ONCE), []
                 for ids in part.column("ids"):
                     raw = None if ids.as_py() is None else b"".join([known[i] for i in ids.as_py()])
                     out.append(None if raw is None else raw.removeprefix(b" ").decode("utf-8", "replace"))

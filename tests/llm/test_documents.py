@@ -146,9 +146,9 @@ def test_chunks_joined_by_matrices_score_as_the_whole():
         size = r.randint(v.longest, 12)
         cuts = list(range(0, len(marked), size))
         parts = [(marked[a : a + size + v.longest - 1], min(size, len(marked) - a)) for a in cuts]
-        matrices = [s.transfer(*p) for p in parts]
-        states = pieces.trace(matrices, 0, 0)
-        back = [s.backtrace(x, n, a, b) for (x, n), a, b in zip(parts, states[:-1], states[1:])]
+        matrices, rest = zip(*[s.transfer(*p) for p in parts])
+        states = pieces.trace(list(matrices), 0, 0)
+        back = [s.backtrace(x, a, b) for x, a, b in zip(rest, states[:-1], states[1:])]
         whole = s.path(marked, 0, len(marked))[0]
         total = matrices[0]
         for m in matrices[1:]:
