@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from karavel.functions.expr import all_equal, lsn_to_pos
 from karavel.functions.ordered import ROWS_PER_RANGE, last_known, running_sum
-from karavel.functions.sized import settle
+from karavel.functions.sized import settle, settle_known
 
 EMPTIES = ("T", "X")  # operations after which a table has no rows
 COMMIT = "C"  # the record that ends a transaction
@@ -142,19 +142,22 @@ def apply_changes(target: DataFrame, changes: DataFrame, key: list[str], order:
     """The target after the changes, with the upsert rule: insert and update both set the row.
 
     A truncate or drop (``T``, ``X``) empties the target, and only later changes count; other operations are no
-    rows and are passed over. The net changes are computed once, in the shared folder, so their size is known: few are
-    sent to the target's scan, which is then not shuffled, many are joined by shuffle.
+    rows and are passed over. One pass over the log finds the last change of each key and the last truncate; the result is
+    kept in the shared folder, so its size is known: few net changes are sent to the target's scan, which is then not
+    shuffled, many are joined by shuffle.
     """
-    order = order or ["pos"]
-    if set(order) <= set(changes.columns):
-        place = F.struct(*order)
-        cut = changes.filter(F.col("op").isin(*EMPTIES)).agg(F.max(place).alias("cut")).first()["cut"]  # one row
-        if cut is not None:
-            changes = changes.filter(place > F.struct(*[F.lit(v).cast(changes.schema[c].dataType).alias(c) for c, v in zip(order, cut)]))
-            target = target.limit(0)
-    net, _ = settle(net_changes(changes.filter(F.col("op").isin("I", "U", "D")), key, order), "net_changes")
+    place = F.struct(*(order or ["pos"]))
+    rest = [c for c in changes.columns if c not in key]
+    is_row, empties = F.col("op").isin("I", "U", "D"), F.col("op").isin(*EMPTIES)
+    last = F.max_by(F.struct(*rest), F.when(is_row, place)).alias("__last")
+    found = changes.filter(is_row | empties).groupBy(*key).agg(last, F.max(F.when(is_row, place)).alias("__at"), F.max(F.when(empties, place)).alias("__cut"))
+    net, known = settle_known(found, "net_changes", cut=F.max("__cut"))
+    net = net.filter("__last is not null")
+    if known["cut"] is not None:
+        cut = [F.lit(v).cast(f.dataType).alias(f.name) for f, v in zip(found.schema["__cut"].dataType, known["cut"])]
+        net, target = net.filter(F.col("__at") > F.struct(*cut)), target.limit(0)
     kept = target.join(net.select(*key), key, "left_anti").select(*target.columns)
-    return kept.unionByName(net.filter(F.col("op") != "D").select(*target.columns))
+    return kept.unionByName(net.select(*key, "__last.*").filter(F.col("op") != "D").select(*target.columns))
 
 
 def load_and_follow(
