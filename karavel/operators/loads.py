@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import time
+from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark import inheritable_thread_target
@@ -46,7 +47,7 @@ def _clear_other_parts(spark: SparkSession, dest: str, progress: str, planned: l
 
 
 def full_load(
-    src_tables: dict[str, DataFrame],
+    src_tables: dict[str, DataFrame | Callable[[list[str]], DataFrame]],
     dest: str,
     parts: DataFrame,
     keys: dict[str, str],
@@ -60,7 +61,8 @@ def full_load(
     Parts are independent Spark jobs, ``table_jobs`` of them at a time, so a lost task is retried by
     Spark and a lost run goes on with ``resume_plan``. The plan with its ranges is logged before the first task.
     Rows are counted while they are written. The first part is open below and the last one above. With
-    ``drop_and_create`` parts of an earlier load of the table that are not of this plan are deleted.
+    ``drop_and_create`` parts of an earlier load of the table that are not of this plan are deleted. A part of
+    ``plan_file_parts`` is read from its files only, by a function of their names in place of the table.
     """
     spark = parts.sparkSession
     planned = parts.orderBy("tbl", "part").collect()  # the plan: at most max_parts rows per table
@@ -77,7 +79,9 @@ def full_load(
 
     def load(p: Row) -> None:
         df = src_tables[p["tbl"]]
-        if p["parts"] > 1:
+        if callable(df):
+            df = df(p["files"])
+        elif p["parts"] > 1:
             df = read_part(df, keys[p["tbl"]], p["lo"], p["hi"], first=p["part"] == 1, last=p["part"] == p["parts"])
         out = f"{dest}/{p['tbl']}/part-{p['part']}"
         seen = Observation()

@@ -17,7 +17,7 @@ from threading import Timer
 from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F, types as T
 
-from karavel.functions.expr import alike, clamp, common_type, div, hash_halves, is_integral, row_hash
+from karavel.functions.expr import all_equal, alike, clamp, common_type, div, hash_halves, is_integral, row_hash
 from karavel.functions.sized import settle
 
 # Verdict per kind for objects that are missing in the target, extra in it, or changed.
@@ -383,6 +383,37 @@ def row_diff_keyless(src: DataFrame, tgt: DataFrame, *, buckets: int = 65_536, c
     return counted.filter(F.col("src_copies") != F.col("tgt_copies"))
 
 
+PENDING = ("state", "columns", "first_at", "last_at")
+
+
+def pending_rows(diffs: DataFrame, key: list[str], at: int) -> DataFrame:
+    """Rows that differ at a moment (seconds), not failed yet: key, state, columns, first and last moment seen."""
+    at_ = F.lit(at).cast("bigint")
+    return diffs.select(*key, "state", "columns", at_.alias("first_at"), at_.alias("last_at"))
+
+
+def recheck_rows(src: DataFrame, tgt: DataFrame, key: list[str], pending: DataFrame, at: int, touched: DataFrame | None = None, **how) -> DataFrame:
+    """The pending set at a later moment, while changes still flow.
+
+    Only rows of pending keys, and of keys that changes have ``touched`` since, are compared again. A key that is equal
+    now goes, one that still differs keeps its first moment, a new one begins now. ``how`` is for ``row_diff``.
+    """
+    keys = pending.select(*key)
+    if touched is not None:
+        keys = keys.unionByName(touched.select(*key))
+    keys, _ = settle(keys.distinct(), "recheck")
+    now = row_diff(src.join(keys, key, "left_semi"), tgt.join(keys, key, "left_semi"), key, **how)
+    before = pending.select(*[F.col(k).alias(f"__{k}") for k in key], F.col("first_at").alias("__first"))
+    known = now.join(before, all_equal((now[k], before[f"__{k}"]) for k in key), "left")
+    at_ = F.lit(at).cast("bigint")
+    return known.select(*key, "state", "columns", F.coalesce("__first", at_).alias("first_at"), at_.alias("last_at"))
+
+
+def outlasted(pending: DataFrame, delay: int) -> DataFrame:
+    """Pending rows that have differed for longer than the delay (seconds): the failures. With a delay of 0, all that were seen twice."""
+    return pending.filter(F.col("last_at") - F.col("first_at") > delay)
+
+
 def validation_status(diffs: DataFrame, by: str = "tbl", table_max: int = 1000, overall_max: int = 10_000) -> DataFrame:
     """Failures per table with its state once the limits are applied; the difference rows stay whole."""
     per = diffs.groupBy(by).agg(

@@ -11,7 +11,7 @@ from karavel.plans.checks import collector
 from karavel.plans.fixtures import Tables
 from karavel.session import shared_folder
 from karavel.sources import logs, snapshot
-from karavel.streaming import altered, follow as S, group, keyless, transactions
+from karavel.streaming import altered, follow as S, group, keyless, markers, transactions
 
 CHECKS, check = collector()
 
@@ -114,6 +114,22 @@ def l3_resume_of_a_grown_table(t: Tables) -> DataFrame:
     return L.loaded_table(t.spark, dest, "customer")
 
 
+LINES = "l_orderkey, l_linenumber, l_partkey, l_suppkey"
+
+
+@check(f"select {LINES} from lineitem")
+def l1_load_by_files(t: Tables) -> DataFrame:
+    """A table in twelve files, not sorted by any key, in four parts; two of them first, then the rest of the plan."""
+    place, dest, progress = (shared_folder(t.spark, "l1") for _ in range(3))
+    rows = t["lineitem"].selectExpr(*LINES.split(", "))
+    rows.repartition(12, "l_partkey").write.parquet(place)
+    plan = snapshot.plan_file_parts(t.spark, {"lineitem": place}, 1, 4)
+    tables = {"lineitem": lambda files: t.spark.read.schema(rows.schema).parquet(*files)}
+    L.full_load(tables, dest, plan.filter("part in (2, 3)"), {}, progress=progress, table_jobs=2)
+    L.full_load(tables, dest, L.resume_plan(plan, L.read_progress(t.spark, progress)), {}, progress=progress, prep="truncate", table_jobs=2)
+    return L.loaded_table(t.spark, dest, "lineitem")
+
+
 DOUBLED = """
 select o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority from fx_orders
 union all
@@ -708,3 +724,25 @@ from fx_ledger s left join fx_ledger_tgt t on s.ts = t.ts and s.status = t.statu
 )
 def c12_marker_status(t: Tables) -> DataFrame:
     return C.marker_status(t["fx_ledger"], t["fx_ledger_tgt"], 400_000, timeout=3600)
+
+
+@check(
+    """
+select s.ts, s.status, t.ts is not null as arrived, t.arrived_at - s.ts as delay, t.ts is null as timed_out
+from fx_ledger s left join fx_ledger_tgt t on s.ts = t.ts and s.status = t.status"""
+)
+def c12_marker_stream(t: Tables) -> DataFrame:
+    """Source and target ledgers in two files each; a heartbeat at the end moves the clock past the last marker's time."""
+    places = [shared_folder(t.spark, "ledger") for _ in range(2)]
+    end = t["fx_ledger"].agg((F.max("ts") + 100_000).alias("ts")).withColumn("status", F.lit("heartbeat"))
+    beats = [end, end.withColumn("arrived_at", F.col("ts"))]
+    state, dest = shared_folder(t.spark, "state"), shared_folder(t.spark, "markers")
+    half = end.first()["ts"] // 2
+    tables = [t["fx_ledger"], t["fx_ledger_tgt"]]
+    for cond in (F.col("ts") <= half, F.col("ts") > half, None):
+        for place, rows, beat in zip(places, tables, beats):
+            rows = beat.select(*rows.columns) if cond is None else rows.filter(cond)
+            rows.write.mode("append").parquet(place)
+        streams = [t.spark.readStream.schema(rows.schema).parquet(place) for place, rows in zip(places, tables)]
+        markers.follow_markers(*streams, dest, state, timeout=3600).awaitTermination()
+    return t.spark.read.parquet(dest).filter("status <> 'heartbeat'")

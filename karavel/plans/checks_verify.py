@@ -317,6 +317,23 @@ def v9_verdict_of_checks_that_cannot_run(t: Tables) -> DataFrame:
     return V.verdict(checks)
 
 
+@check(
+    """
+select o_orderkey, case when o_orderkey >= 1000000000 then 'MISSING_SOURCE' else 'MISSING_TARGET' end as state, 0 as first_at, 120 as last_at
+from (select o_orderkey from orders where o_orderkey % 97 = 0 and o_orderkey % 2 = 0
+      union all select o_orderkey + 1000000000 from orders where o_orderkey % 211 = 0) x"""
+)
+def v8_rows_that_outlast_the_delay(t: Tables) -> DataFrame:
+    """The target lags: rows that are different come right within a minute, every second missing one within two, others never."""
+    src, tgt, key = t["fx_orders"], t["fx_orders_tgt"], ["o_orderkey"]
+    pending = V.pending_rows(V.row_diff(src, tgt, key), key, 0)
+    same = tgt.join(src, key, "left_anti").unionByName(src.join(tgt.select(*key), key, "left_semi").select(*tgt.columns))
+    pending = V.recheck_rows(src, same, key, pending, 60, touched=src.select(*key).filter("o_orderkey % 101 = 0"))
+    late = same.unionByName(src.filter("o_orderkey % 97 = 0 and o_orderkey % 2 = 1").select(*tgt.columns))
+    pending = V.recheck_rows(src, late, key, pending, 120)
+    return V.outlasted(pending, 90).drop("columns")
+
+
 WIDER = """
 select o_orderkey, o_custkey, cast(o_totalprice as decimal(18,2)) as price, o_orderdate as placed, o_orderpriority as prio from orders"""
 

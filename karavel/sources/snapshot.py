@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -89,6 +90,27 @@ def plan_parts(stats: DataFrame, threshold_bytes: int = 50 * GB, max_parts: int
     return each.select("tbl", "part", "parts", lo.cast("bigint").alias("lo"), hi.cast("bigint").alias("hi"))
 
 
+def plan_file_parts(spark: SparkSession, places: dict[str, str], threshold_bytes: int = 50 * GB, max_parts: int = 16, pattern: str = "*.parquet") -> DataFrame:
+    """Parts ``(tbl, part, parts, lo, hi, files)`` of file tables as sets of whole files, so that each file is read once.
+
+    For tables that are not sorted by their key, where every key range would read all files. The number of parts is as in
+    ``plan_parts``, but at most one per file; files go, largest first, to the part with the fewest bytes. The same listing
+    gives the same parts; it is made by the cluster, and only names and sizes come to the driver.
+    """
+    rows = []
+    for table, place in places.items():
+        found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(place)
+        files = sorted(((r["length"], r["path"]) for r in found.select("path", "length").collect()), reverse=True)
+        total = sum(n for n, _ in files)
+        parts = max(1, min(max_parts, -(-total // threshold_bytes) if total > threshold_bytes else 1, len(files)))
+        heap = [(0, i, []) for i in range(parts)]
+        for size, path in files:
+            filled, i, held = heapq.heappop(heap)
+            heapq.heappush(heap, (filled + size, i, [*held, path]))
+        rows += [(table, i + 1, parts, None, None, sorted(held)) for _, i, held in sorted(heap)]
+    return spark.createDataFrame(rows, "tbl string, part bigint, parts bigint, lo bigint, hi bigint, files array<string>")
+
+
 def read_part(
     df: DataFrame, key: str, lo: int | None, hi: int | None, with_nulls: bool = False, *, first: bool = False, last: bool = False
 ) -> DataFrame:

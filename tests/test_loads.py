@@ -160,3 +160,18 @@ def test_growth_between_runs(spark):
     L.full_load({"t": spark.range(200)}, dest, rest, keys, progress=progress)
     assert sorted(r["id"] for r in L.loaded_table(spark, dest, "t").collect()) == list(range(200))
     assert L.resume_plan(plan(99), L.read_progress(spark, progress)).count() == 0
+
+
+def test_file_parts_hold_each_file_once(spark):
+    from karavel.sources import snapshot
+
+    place = shared_folder(spark, "t")
+    for n in (1000, 10, 3000, 20, 500):
+        spark.range(n).selectExpr("id", "uuid() as x").coalesce(1).write.mode("append").parquet(place)
+    names = {r["f"] for r in spark.read.parquet(place).selectExpr("_metadata.file_path as f").distinct().collect()}
+    parts = snapshot.plan_file_parts(spark, {"t": place}, 1, 3).collect()
+    held = [f for p in parts for f in p["files"]]
+    assert len(parts) == 3 and len(held) == len(set(held)) == 5 and set(held) == names
+    assert [p["files"] for p in parts] == [p["files"] for p in snapshot.plan_file_parts(spark, {"t": place}, 1, 3).collect()]
+    assert len(snapshot.plan_file_parts(spark, {"t": place}).collect()) == 1  # below the threshold
+    assert len(snapshot.plan_file_parts(spark, {"t": place}, 1, 99).collect()) == 5  # at most one part a file

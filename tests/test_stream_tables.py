@@ -219,3 +219,27 @@ def test_columns_are_only_widened():
             widened(old, new)
     schema = T.StructType([T.StructField("a", narrow)])
     assert altered(schema, [(2, [{"name": "a", "type": "decimal(30,0)"}]), (1, [{"name": "a", "type": "bigint"}])])["a"].dataType == T.DecimalType(30, 0)
+
+
+# ----------------------------------------------------------------------------------------- markers
+
+
+def test_a_marker_that_never_arrives_times_out(spark):
+    from karavel.streaming.markers import follow_markers
+
+    sent, came, dest, state = (shared_folder(spark, "m") for _ in range(4))
+    left, right = "ts bigint, status string", "ts bigint, status string, arrived_at bigint"
+    steps = [
+        ([(0, "a"), (100, "b"), (130, "c")], [(0, "a", 20)]),
+        ([(500, "beat")], [(130, "c", 150), (100, "b", 300), (500, "beat", 500)]),  # b comes after its time
+        ([(900, "beat")], [(900, "beat", 900)]),
+    ]
+    seen = []
+    for a, b in steps:
+        spark.createDataFrame(a, left).write.mode("append").parquet(sent)
+        spark.createDataFrame(b, right).write.mode("append").parquet(came)
+        follow_markers(spark.readStream.schema(left).parquet(sent), spark.readStream.schema(right).parquet(came), dest, state).awaitTermination()
+        rows = spark.read.parquet(dest).filter("status <> 'beat'").collect()
+        seen.append(sorted((r["status"], r["arrived"], r["delay"], r["timed_out"]) for r in rows))
+    assert seen[0] == [("a", True, 20, False)]
+    assert seen[-1] == [("a", True, 20, False), ("b", False, None, True), ("c", True, 20, False)]

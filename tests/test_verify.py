@@ -203,3 +203,18 @@ def test_rows_of_a_repeated_key_are_counted(spark):
     out = V.row_diff(df((1, "a"), (1, "b"), (2, "x"), (2, "x"), (3, "z")), df((2, "x"), (3, "z"), (4, "q")), ["k"], counts=True)
     assert sorted((r["k"], r["state"], r["src_rows"], r["tgt_rows"]) for r in out.collect()) == [
         (1, "MISSING_TARGET", 2, 0), (2, "DIFFERENT", 2, 1), (4, "MISSING_SOURCE", 0, 1)]
+
+
+def test_rows_are_pending_until_the_delay_is_over(spark):
+    df = lambda *rows: spark.createDataFrame(list(rows), "k bigint, v string")
+    src = df((1, "a"), (2, "b"), (3, "c"))
+    state = lambda p: {r["k"]: (r["state"], r["first_at"], r["last_at"]) for r in p.collect()}
+    pending = V.pending_rows(V.row_diff(src, df((1, "a"), (3, "x")), ["k"]), ["k"], 10)
+    assert state(pending) == {2: ("MISSING_TARGET", 10, 10), 3: ("DIFFERENT", 10, 10)}
+    assert V.outlasted(pending, 0).count() == 0
+    # key 2 has come, key 1 was changed in the source meanwhile, key 3 is still wrong
+    pending = V.recheck_rows(df((1, "new"), (2, "b"), (3, "c")), df((1, "a"), (2, "b"), (3, "x")), ["k"], pending, 20, touched=df((1, "")))
+    assert state(pending) == {1: ("DIFFERENT", 20, 20), 3: ("DIFFERENT", 10, 20)}
+    assert [r["k"] for r in V.outlasted(pending, 5).collect()] == [3] and V.outlasted(pending, 10).count() == 0
+    caught_up = df((1, "new"), (2, "b"), (3, "c"))
+    assert V.recheck_rows(caught_up, caught_up, ["k"], pending, 30).count() == 0
