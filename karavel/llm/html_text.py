@@ -35,7 +35,9 @@ SCOPE = frozenset({"table", "td", "th", "caption", "html", "template"})
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*+)((?:"[^"]*+"|'[^']*+'|[^'">])*+)>|[^<]++|<""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]++)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s"'>]++))?""")
-UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+UNSEEN = re.compile(r"display\s*:\s*none", re.I)
+VISIBILITY = re.compile(r"visibility\s*:\s*(visible|hidden|collapse)", re.I)
+NO_TEXT = frozenset("hidden password checkbox radio file range color image".split())  # fixed values: inputs that show no value; all others do
 GAP = re.compile(r"[ \t\n\r\f]+")
 WIDEST = 60  # columns are aligned up to this width; longer cells are written out whole and push the rest of their line
 
@@ -117,8 +119,14 @@ class Page:
         self.count: Counter = Counter()
         self.flows, self.tables = [Flow()], []
         self.unseen_at: int | None = None  # depth of the outermost element that hides what it holds
+        self.veils: list[tuple[int, bool]] = []  # depths of elements that say whether what they hold is visible; the last one counts
         self.pre = 0
 
+    @property
+    def veiled(self) -> bool:
+        """An element of invisible text takes its place, and elements in it may be visible again."""
+        return bool(self.veils) and self.veils[-1][1]
+
     @property
     def flow(self) -> Flow:
         return self.flows[-1]
@@ -137,6 +145,8 @@ class Page:
             if tag in HIDDEN or "hidden" in attrs or UNSEEN.search(attrs.get("style", "")):
                 self.unseen_at = len(self.open)
             else:
+                if found := VISIBILITY.findall(attrs.get("style", "")):
+                    self.veils.append((len(self.open), found[-1].lower() != "visible"))
                 self.show(tag, attrs)
         if tag in VOID or rest.endswith("/") and tag not in BLOCKS | RAW and tag not in ENDS and tag != "table":
             self.pop()
@@ -146,10 +156,10 @@ class Page:
         if tag == "br":
             flow.end_line(keep=True)
         elif tag == "img":
-            if attrs.get("alt", "").strip():
+            if attrs.get("alt", "").strip() and not self.veiled:
                 flow.text(f" {attrs['alt']} ")
         elif tag == "input":
-            if attrs.get("type", "text").lower() in ("submit", "button", "reset", "text", "search", "email") and attrs.get("value", "").strip():
+            if attrs.get("type", "").strip().lower() not in NO_TEXT and attrs.get("value", "").strip() and not self.veiled:
                 flow.text(f" {attrs['value']} ")
         elif tag in ("ul", "ol", "menu"):
             flow.block(0 if flow.lists else 1)
@@ -214,6 +224,8 @@ class Page:
                 self.hide(tag)
         elif len(self.open) < self.unseen_at:
             self.unseen_at = None
+        while self.veils and len(self.open) < self.veils[-1][0]:
+            self.veils.pop()
 
     def close_within(self, tags: set[str], until: frozenset | set) -> None:
         """End the outermost open element of ``tags`` that lies above the nearest of ``until``."""
@@ -247,7 +259,7 @@ class Page:
                 return
 
     def data(self, s: str) -> None:
-        if self.unseen_at is None:
+        if self.unseen_at is None and not self.veiled:
             s = html.unescape(s) if "&" in s else s
             if self.pre:
                 self.flow.verbatim(s.replace("\r\n", "\n"))

@@ -124,3 +124,15 @@ def test_records_that_were_not_read_are_an_error(spark, pages):
 def test_small_payloads_are_not_revisited(pages):
     rows = warc.assign_revisits(pages, least_bytes=5).collect()
     assert all(r.refers_to is None for r in rows)
+
+
+def test_inputs_show_their_values_and_children_may_be_visible_again():
+    from karavel.llm.html_text import visible_text
+
+    for kind in ("tel", "url", "number", "date", "", "what", "TEXT"):
+        assert visible_text(f'<input type="{kind}" value="shown">') == "shown"
+    for kind in ("hidden", "password", "checkbox", "radio", "file", "range", "color", "image"):
+        assert visible_text(f'<input type="{kind}" value="kept back">') == ""
+    page = '<div style="visibility: hidden">no <b style="visibility:visible">yes <i style="visibility: collapse">no</i> too</b> no <img alt="no"></div>after'
+    assert visible_text(page).split() == ["yes", "too", "after"]
+    assert visible_text('<div style="display:none">no <b style="visibility:visible">no</b></div>x') == "x"
