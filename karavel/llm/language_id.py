@@ -14,6 +14,9 @@ from karavel.llm.common import chunks, mix, seeds
 ORDER = 4
 TRAIN_CHARS = 3_000_000  # characters that the models learn from, at most about so many for each language,
 TRAIN_CHARS_ALL = 48_000_000  # and for all languages together: this bounds the models, which the driver builds and sends out
+MOST_LANGS = 256  # values of lang that get a model: those with the most characters, the first by name if equal
+PIECE = 2_000  # characters of a text that are taken into the sample together
+ASIDE_FROM = 20  # pieces of a language from which on a tenth is set aside
 CALIBRATION_ROWS = 4_000  # documents, at most about so many, that the rejection limits and the sharpness of scores are set on
 REJECTED_SHARE = 0.001  # of calibration documents in their own language that the limit lets go
 ALPHABET = 1 << 16  # what the smoothing takes for the number of characters that exist
@@ -169,21 +172,36 @@ def is_held_out() -> Column:
 def train(docs: DataFrame, train_chars: int = TRAIN_CHARS, all_chars: int = TRAIN_CHARS_ALL, calibration_rows: int = CALIBRATION_ROWS) -> Models:
     """Models from text and lang of documents whose crc32(doc_id) is no multiple of 5, over whole texts.
 
-    A classifier may learn from a bounded sample: documents are taken by a hash of doc_id and text so that
-    each language has about ``train_chars`` characters and all have ``all_chars`` together. A tenth of the
-    sample is not counted but sets limits and sharpness. Null langs and texts teach nothing.
+    A classifier may learn from a bounded sample: pieces of texts are taken by a hash of doc_id, text and place so that
+    each language has about ``train_chars`` characters and all have ``all_chars`` together, whatever the lengths of
+    its texts. A tenth of a language with ASIDE_FROM pieces or more is not counted but sets limits and sharpness. Of more than
+    ``MOST_LANGS`` values of lang those with the most characters are learned. Null langs and texts teach nothing.
     """
     spark = docs.sparkSession
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % 5 != 0))
-    sizes = {r["lang"]: (r["chars"], r["n"]) for r in rows.groupBy("lang").agg(F.sum(F.length("text")).alias("chars"), F.count("*").alias("n")).collect()}
+    by_lang = rows.groupBy("lang").agg(F.sum(F.length("text")).alias("chars")).orderBy(F.col("chars").desc(), "lang").limit(MOST_LANGS)
+    sizes = {r["lang"]: r["chars"] for r in by_lang.collect()}
     if not sizes:
         return Models((), (), ())
     each = min(train_chars, all_chars // len(sizes))
-    dice = lambda salt: F.pmod(F.xxhash64("doc_id", "text", F.lit(salt)), F.lit(1 << 30)) / F.lit(1 << 30)
-    share = F.lit(0.0)
-    for lang, (chars, _) in sizes.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, each / max(chars, 1)))).otherwise(share)
-    sample = rows.where(dice(1) < share).withColumn("aside", dice(2) < 0.1).select("lang", "text", "aside")
+    shares = [(lang, min(1.0, each / max(chars, 1)), 0.1 if min(each, chars) >= ASIDE_FROM * PIECE else 0.0) for lang, chars in sizes.items()]
+    shares = F.broadcast(spark.createDataFrame(shares, "lang string, share double, aside double"))
+    rows = rows.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), F.xxhash64("doc_id", "text").alias("key"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks(batch):
+                out = [], [], []
+                for text, lang, key, share, aside in zip(part.column("text"), *(part.column(c).to_pylist() for c in ("lang", "key", "share", "aside"))):
+                    text = text.as_py()
+                    h = np.uint64(key % (1 << 64)) + np.arange(-(-len(text) // PIECE), dtype=np.uint64)
+                    dice = [mix(h + np.uint64(salt << 40)) / 2.0**64 for salt in (1, 2)]
+                    for i in np.flatnonzero(dice[0] < share).tolist():
+                        for column, value in zip(out, (lang, text[i * PIECE : (i + 1) * PIECE], bool(dice[1][i] < aside))):
+                            column.append(value)
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, (pa.string(), pa.string(), pa.bool_()))], ["lang", "text", "aside"])
+
+    sample = rows.join(shares, "lang").select("lang", "text", "key", "share", "aside").mapInArrow(cut, "lang string, text string, aside boolean")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -204,14 +222,14 @@ def train(docs: DataFrame, train_chars: int = TRAIN_CHARS, all_chars: int = TRAI
         if len(rows_):
             by_lang[lang] = (rows_, own.column("n").to_numpy())
     models = build_models(by_lang)
-    aside = sum(n for _, n in sizes.values())
+    aside = sum(min(each, chars) for chars in sizes.values()) // (10 * PIECE)  # pieces, about
     picked = sample.where("aside").where(dice_text(calibration_rows, aside))
     known = [r for r in classify_rows(picked.select(F.lit(0).alias("doc_id"), "text", "lang"), models, "lang").select("lang", "bits").collect()]
     return _calibrated(models, [(r["lang"], np.array(r["bits"])) for r in known if r["lang"] in models.langs and r["bits"]])
 
 
 def dice_text(most: int, rows: int) -> Column:
-    return F.pmod(F.xxhash64("text", F.lit(3)), F.lit(1 << 30)) < F.lit(min(1.0, 10 * most / max(rows, 1)) * (1 << 30))
+    return F.pmod(F.xxhash64("text", F.lit(3)), F.lit(1 << 30)) < F.lit(min(1.0, most / max(rows, 1)) * (1 << 30))
 
 
 def _calibrated(models: Models, known: list[tuple[str, np.ndarray]]) -> Models:

@@ -189,3 +189,21 @@ def test_pieces_round_trip_whole_and_in_chunks(odd, source, none):
     out = pieces.round_trip(docs)
     assert out.where("not round_trip").count() == 0 and out.count() == docs.count()
     assert pieces.round_trip(none).count() == 0
+
+
+def test_many_values_of_lang_do_not_stop_the_training(spark):
+    rows = [(i, f"wort{i % 7} und {i} text mit buchstaben " * 3, f"l{i % 700:03d}") for i in range(2100)] + [(9000 + i, "the long one of few " * 40_000, "zz") for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    models = language_id.train(docs, train_chars=50_000)
+    assert len(models.langs) == language_id.MOST_LANGS and "zz" in models.langs  # of a language with few, long texts some is learned
+    out = language_id.identify(docs.where("lang in ('l001', 'zz')"), train_chars=50_000).collect()
+    assert {r.lang_pred for r in out} <= {"l001", "zz"} and len(out) == 7
+
+
+def test_every_language_with_a_document_has_a_model(spark):
+    rows = [(i, f"kurzer text {chr(97 + i % 26)} " * 5, f"l{i // 2:03d}") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    import zlib
+
+    known = {lang for i, _, lang in rows if zlib.crc32(str(i).encode()) % 5}
+    assert set(language_id.train(docs).langs) == known
