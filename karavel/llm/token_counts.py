@@ -8,6 +8,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from karavel.llm.common import stage
+
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the pattern that byte-level vocabularies of this kind split texts with.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
@@ -46,7 +48,8 @@ def length_histogram(lengths: DataFrame) -> DataFrame:
     docs_below: documents shorter than it, which gives quantiles; total_docs and total_tokens.
     Suffix sums are taken in blocks of lengths, then over the blocks, so no task holds all lengths. Empty input: no rows.
     """
-    counts = lengths.groupBy(F.col("n_tokens").alias("limit")).agg(F.count("*").alias("n_docs"))
+    # written once: both uses below would encode every text again
+    counts = stage(lengths.groupBy(F.col("n_tokens").alias("limit")).agg(F.count("*").alias("n_docs")), "token_lengths")
     counts = counts.withColumn("block", F.floor(F.col("limit") / BLOCK)).withColumn("tokens", F.col("limit") * F.col("n_docs"))
     sums = counts.groupBy("block").agg(F.sum("n_docs").alias("bd"), F.sum("tokens").alias("bt"))
     above = Window.orderBy(F.col("block").desc()).rowsBetween(Window.unboundedPreceding, -1)  # one row per block of lengths
