@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from karavel.llm.common import IS_SPACE, Words, chunks, sorted_parts, with_column
 
-SAMPLE_ROWS = 400  # documents that cost and selectivity are estimated on; they decide the order only, never a verdict
+SAMPLE_ROWS = 400  # documents, about, that cost and selectivity are estimated on; they decide the order only, never a verdict
+SAMPLE_BYTES = 1 << 16  # of them each has at most so many, so that the sample is bounded in bytes too
 REPEAT_WINDOW = 8
 IS_SYMBOL = np.isin(np.arange(256), list(b"#*$%&|<>"))  # fixed values
 
@@ -108,10 +109,14 @@ RULES = (
 def cascade_order(docs: DataFrame, rules: tuple[Rule, ...], sample_rows: int = SAMPLE_ROWS) -> list[tuple[Rule, float, float]]:
     """Rules with their cost (seconds) and share of rejections on a sample, most rejections per cost first.
 
-    The sample goes to the driver and is bounded by ``sample_rows`` documents. The order changes how much
+    The sample goes to the driver: about ``sample_rows`` documents of at most SAMPLE_BYTES bytes, drawn from all
+    of them row by row. The order changes how much
     work is done, not which documents are rejected. Without rows the rules keep their order.
     """
-    rows = docs.select(F.col("text").cast("string")).limit(sample_rows).toArrow().column("text").combine_chunks() if sample_rows else []
+    rows = []
+    if sample_rows and (total := docs.count()):
+        few = docs.select(F.col("text").cast("string")).sample(fraction=min(1.0, sample_rows / total), seed=10)
+        rows = few.where(F.coalesce(F.octet_length("text"), F.lit(0)) <= SAMPLE_BYTES).toArrow().column("text").combine_chunks()
     if not len(rows):
         return [(r, 0.0, 0.0) for r in rules]
     rows = rows.chunk(0) if isinstance(rows, pa.ChunkedArray) else rows
