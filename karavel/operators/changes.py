@@ -251,6 +251,7 @@ class ErrorPolicy:
     delete_missing: str = "ignore"
     bad_data: str = "log"
     table_error: str = "suspend"
+    bad_data_limit: int = 0  # so many bad rows of a table that were logged suspend it; 0: never
 
     def actions(self) -> dict[str, str]:
         return {
@@ -273,12 +274,14 @@ def classify_changes(
     table: str = "tbl",
     store: str | None = None,
     rows_per_range: int = ROWS_PER_RANGE,
+    errors_before: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``reason`` (NULL when the change applies), ``action`` and ``suspended`` to each change.
 
     Whether a key exists before a change follows from the last sound insert or delete before it, else
     from the target. Bad rows never change the state of a key. With ``store``, a fresh folder that all
     executors share, the judged changes are written there once and every later use reads them back.
+    ``errors_before``: bad rows per table (``n``) that earlier batches have logged, for the policy's limit.
     """
     bad = F.coalesce(bad_data, F.lit(False)) if bad_data is not None else F.lit(False)
     broken = F.coalesce(table_error, F.lit(False)) if table_error is not None else F.lit(False)
@@ -311,6 +314,8 @@ def classify_changes(
         action = F.when(F.col("reason") == name, F.lit(what)).otherwise(action)
     out = joined.withColumn("reason", reason).drop("__bad", "__broken", "__state", "__there")
     out = out.withColumn("action", action)
+    if policy.bad_data_limit and table in changes.columns:
+        out = _escalated(out, table, policy.bad_data_limit, errors_before, rows_per_range)
     if store:
         out.write.parquet(store)
         out = changes.sparkSession.read.parquet(store)
@@ -325,6 +330,18 @@ def classify_changes(
     )
 
 
+def _escalated(judged: DataFrame, table: str, limit: int, before: DataFrame | None, rows_per_range: int) -> DataFrame:
+    """The bad row that brings a table to the limit suspends it. Counts start with those of earlier batches."""
+    logged = F.when((F.col("reason") == "BAD_DATA") & (F.col("action") == "log"), 1).otherwise(0).cast("bigint")
+    counted = running_sum(judged.withColumn("__is", logged), [table], ["pos"], "__nth", F.col("__is"), rows_per_range=rows_per_range)
+    counted = counted.withColumn("__old", F.lit(0).cast("bigint"))
+    if before is not None:
+        old = before.select(F.col(table).alias("__t"), F.col("n").alias("__n"))  # one row per table
+        counted = counted.join(old, counted[table] == old["__t"], "left").withColumn("__old", F.coalesce("__n", F.lit(0)))
+    reached = (F.col("__is") == 1) & (F.col("__old") < limit) & (F.col("__old") + F.col("__nth") == limit)
+    return counted.withColumn("action", F.when(reached, F.lit("suspend")).otherwise(F.col("action"))).select(*judged.columns)
+
+
 def apply_with_policy(
     target: DataFrame, changes: DataFrame, key: list[str], policy: ErrorPolicy = ErrorPolicy(), **how
 ) -> tuple[DataFrame, DataFrame]:

@@ -362,12 +362,13 @@ sp as (select tbl, min(pos) as stop_pos from rs where reason = 'TABLE_ERROR' gro
 lv as (select rs.* from rs left join sp on rs.tbl = sp.tbl where stop_pos is null or pos <= stop_pos)"""
 
 
-def _policy(t: Tables) -> tuple[DataFrame, DataFrame]:
+def _policy(t: Tables, policy: C.ErrorPolicy = C.ErrorPolicy()) -> tuple[DataFrame, DataFrame]:
     log = t["fx_change_log"].select("pos", "op", "k", "v", F.concat(F.lit("t"), F.col("k") % 3).alias("tbl"), "event_id")
     return C.apply_with_policy(
         t["fx_base"],
         log,
         ["k"],
+        policy,
         bad_data=F.col("event_id") % 211 == 0,
         table_error=F.col("event_id") % 1999 == 1500,
         store=shared_folder(t.spark, "c8"),
@@ -406,7 +407,26 @@ def c8_policy_table_stream(t: Tables) -> DataFrame:
     return _kv(_policy_stream(t).read())
 
 
-def _policy_stream(t: Tables) -> S.FollowedTable:
+ESCALATED = POLICY.split("sp as (")[0] + """
+nb as (select *, sum(case when reason = 'BAD_DATA' then 1 else 0 end) over (partition by tbl order by pos) as bad_rows from rs),
+sp as (select tbl, min(pos) as stop_pos from nb where reason = 'TABLE_ERROR' or (reason = 'BAD_DATA' and bad_rows = 2) group by tbl),
+lv as (select rs.* from rs left join sp on rs.tbl = sp.tbl where stop_pos is null or pos <= stop_pos)
+select pos, tbl, k, op, reason from lv where reason is not null and reason <> 'DELETE_MISSING'"""
+TWO_BAD = C.ErrorPolicy(bad_data_limit=2)
+
+
+@check(ESCALATED)
+def c8_escalation(t: Tables) -> DataFrame:
+    """The second bad row of a table suspends it."""
+    return _policy(t, TWO_BAD)[1].drop("exception_id")
+
+
+@check(ESCALATED)
+def c8_escalation_stream(t: Tables) -> DataFrame:
+    return _policy_stream(t, TWO_BAD).exceptions().select("pos", "tbl", "k", "op", "reason")
+
+
+def _policy_stream(t: Tables, policy: C.ErrorPolicy = C.ErrorPolicy()) -> S.FollowedTable:
     """The log as three files in order, one per batch, judged batch by batch."""
     folder, place = shared_folder(t.spark, "log"), shared_folder(t.spark, "followed")
     log = t["fx_change_log"].select("pos", "op", "k", "v", F.concat(F.lit("t"), F.col("k") % 3).alias("tbl"), "event_id")
@@ -418,7 +438,7 @@ def _policy_stream(t: Tables) -> S.FollowedTable:
         log.filter(part).write.mode("append").parquet(folder)
         stream = t.spark.readStream.schema(log.schema).parquet(folder)
         how = {"bad_data": F.col("event_id") % 211 == 0, "table_error": F.col("event_id") % 1999 == 1500}
-        S.follow(stream, table, state, policy=C.ErrorPolicy(), **how).awaitTermination()
+        S.follow(stream, table, state, policy=policy, **how).awaitTermination()
     return table
 
 

@@ -97,6 +97,18 @@ class FollowedTable:
         snapshot.write.mode("overwrite").parquet(f"{self.path}/base/v=0")
         self._publish(0, snapshot_pos)
 
+    def reload(self, snapshot: DataFrame, snapshot_pos: int) -> int:
+        """Begin again from a new snapshot that holds all changes up to its position, so that a suspended table goes on.
+
+        Changes that were held back are not kept, so the snapshot must be at least as new as what was read of the log.
+        """
+        if snapshot_pos < self.seen_pos():
+            raise ValueError(f"the log was read up to {self.seen_pos()}, a snapshot at {snapshot_pos} lacks changes that were held back")
+        version = self._version()[0] + 1
+        snapshot.write.mode("overwrite").parquet(f"{self.path}/base/v={version}")
+        self._publish(version, snapshot_pos)
+        return version
+
     def read(self) -> DataFrame:
         """The table after all committed batches."""
         version, upto_pos = self._version()
@@ -117,6 +129,9 @@ class FollowedTable:
         """The changes of a batch that apply; the others are written as exceptions, or skipped, as the policy says."""
         table, before = how.get("table", "tbl"), self.exceptions()
         if before is not None and table in changes.columns:  # tables that an earlier batch has suspended
+            before = resume_changes(before, self._version()[1])  # what was suspended before a reload is in order again
+            if policy.bad_data_limit:
+                how = how | {"errors_before": before.filter("reason = 'BAD_DATA'").groupBy(table).agg(F.count("*").alias("n"))}
             stops = before.filter(F.col("action") == "suspend").groupBy(table).agg(F.min("pos").alias("__stop"))
             stops, _ = settle(stops, "suspended")
             held = F.coalesce(F.col("pos") > F.col("__stop"), F.lit(False))

@@ -257,3 +257,18 @@ def test_batches_that_are_held_back_whole(spark):
 def test_a_keyed_table_needs_a_key(spark):
     with pytest.raises(ValueError):
         FollowedTable(spark, shared_folder(spark, "none"), [])
+
+
+def test_a_suspended_table_goes_on_after_a_reload(spark):
+    t = table(spark)
+    rows = lambda *r: spark.createDataFrame(list(r), "pos bigint, op string, k bigint, v string, tbl string, bad boolean")
+    how = {"policy": ErrorPolicy(bad_data_limit=2), "bad_data": F.col("bad")}
+    t.apply_batch(rows((1, "U", 0, "a", "x", False), (2, "U", 0, "no", "x", True)), "1", **how)
+    t.apply_batch(rows((3, "U", 0, "no", "x", True), (4, "U", 0, "held", "x", False)), "2", **how)
+    t.apply_batch(rows((5, "U", 3, "held", "x", False)), "3", **how)
+    assert content(t.read())[0] == "a" and [r["pos"] for r in t.exceptions().filter("action = 'suspend'").collect()] == [3]
+    with pytest.raises(ValueError):
+        t.reload(spark.createDataFrame([(0, "held")], "k bigint, v string"), 4)
+    t.reload(spark.createDataFrame([(0, "held"), (3, "held")], "k bigint, v string"), 5)
+    t.apply_batch(rows((6, "U", 0, "again", "x", False), (7, "U", 3, "no", "x", True)), "4", **how)
+    assert content(t.read()) == {0: "again", 3: "held"} and t.exceptions().filter("action = 'suspend'").count() == 1
