@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from karavel.llm.common import Side, components, discard, linked_groups, merge_components, mix, same_document, seeds, sized, span_hashes, stage, text_key
+from karavel.llm.common import Side, chunks, components, discard, linked_groups, merge_components, mix, same_document, seeds, sized, span_hashes, stage, text_key
 
 KINDS, PLACES = 32, 8  # features: kinds of bytes by the part of the line they stand in, neighbouring parts overlap
 BLOCKS, BITS = 12, 20  # a SimHash is cut into blocks; lines that differ in fewer bits than there are blocks agree in one
@@ -23,6 +23,7 @@ RADIUS = 84  # of BLOCKS * BITS bits that similar lines differ in at most, but f
 FROM_CHARS = 27  # characters from which lines have a SimHash and grams; lines up to SHORT_TO are met by intact segments, whatever the edits
 SHORT_TO = 29
 SIZE_BIN = 1.3  # lines meet if they are of one class of size; its edges differ by block and column
+AT_ONCE = 1_000  # lines whose features are held at a time
 SMALL = 16  # members of a bucket that are compared pair by pair
 LEAST_CHARS = 1  # bytes of a normalised line; only blank lines are left alone
 SIMILARITY = 0.9  # 1 - edits / characters of the longer line
@@ -112,7 +113,12 @@ def sketches(lines: list[bytes]) -> tuple[np.ndarray, list[bytes], np.ndarray]:
     count = np.concatenate([[0], np.cumsum((buf & 0xC0) != 0x80)])
     chars = count[off[1:]] - count[off[:-1]]
     packed = np.zeros((len(lines), 32), np.uint8)
-    packed[:, : BLOCKS * BITS // 8] = np.packbits(simhash(buf, off), axis=1)
+    long = np.flatnonzero(chars >= FROM_CHARS)
+    for at in range(0, len(long), AT_ONCE):
+        some = long[at : at + AT_ONCE]
+        own = [lines[i] for i in some.tolist()]
+        bits = simhash(np.frombuffer(b"".join(own), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in own])]))
+        packed[some, : BLOCKS * BITS // 8] = np.packbits(bits, axis=1)
     other = [row.tobytes() for row in least_grams(buf, off)]
     for i in np.flatnonzero(chars <= SHORT_TO).tolist():
         own = b"".join([hashlib.blake2b(repr(x).encode(), digest_size=4).digest() for x in sorted(segments(lines[i].decode("utf-8", "replace")))])
@@ -419,13 +425,16 @@ def dedup_lines(docs: DataFrame, least_chars: int = LEAST_CHARS, similarity: flo
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            left, count = [], []
-            for text, gone in zip(batch.column("text"), batch.column("gone")):
-                lines, drop = (text.as_py() or "").split("\n"), set(gone.as_py())
-                left.append(None if text.as_py() is None else "\n".join(x for i, x in enumerate(lines) if i not in drop))
-                count.append(0 if text.as_py() is None else len(lines))
-            removed = pa.array([len(x) for x in batch.column("gone").to_pylist()], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(left, pa.string()), pa.array(count, pa.int64()), removed], ["row", "left", "n_lines", "n_removed"])
+            for part in chunks(batch):
+                left, count, removed = [], [], []
+                for text, gone in zip(part.column("text"), part.column("gone")):
+                    text, drop = text.as_py(), set(gone.as_py())
+                    lines = (text or "").split("\n")
+                    left.append("\n".join([x for i, x in enumerate(lines) if i not in drop]) if drop else text)
+                    count.append(0 if text is None else len(lines))
+                    removed.append(len(drop))
+                arrays = [part.column("row"), pa.array(left, pa.string()), pa.array(count, pa.int64()), pa.array(removed, pa.int64())]
+                yield pa.RecordBatch.from_arrays(arrays, ["row", "left", "n_lines", "n_removed"])
 
     out = joined.mapInArrow(cut, joined.select("row").schema.add("left", "string").add("n_lines", "long").add("n_removed", "long"))
     kept = [F.col("left").alias("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns if c not in ("n_lines", "n_removed")]
