@@ -15,7 +15,7 @@ from karavel.llm.common import chunks, same_document, stage, with_column
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK_CHARS = 16_384  # texts with more characters are cut into chunks of so many
 BLOCK_CHUNKS = 128  # transfer matrices that one row of the scan's first level combines
-CACHE = 3_000_000  # ids and characters of the segments that each of two generations remembers
+CACHE = 6_000_000  # ids and characters of the segments that each of two generations remembers
 AT_ONCE = 16  # chunks that a worker holds the ids of
 SPACE = "▁"  # fixed value: the mark that stands for a space in pieces
 LITERAL = "\ud800"  # stands for such a mark in the text itself; no text can hold it, it has no piece and goes by bytes
