@@ -3,20 +3,24 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from karavel.llm.common import chunks, same_document, stage, with_column
+from karavel.llm.common import chunks, mix, same_document, stage, with_column
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK_CHARS = 16_384  # texts with more characters are cut into chunks of so many
 BLOCK_CHUNKS = 128  # transfer matrices that one row of the scan's first level combines
-CACHE = 6_000_000  # ids and characters of the segments that each of two generations remembers
+MEMORY = 40_000_000  # bytes of segments that a worker remembers, about, in two generations
 AT_ONCE = 16  # chunks that a worker holds the ids of
+IDS_AT_ONCE = 1 << 18  # ids that are decoded in one piece, but for a text with more
+SHORT = 64  # characters of segments that are cut many at a time, and remembered
 SPACE = "▁"  # fixed value: the mark that stands for a space in pieces
 LITERAL = "\ud800"  # stands for such a mark in the text itself; no text can hold it, it has no piece and goes by bytes
 UNKNOWN_PENALTY = 10  # fixed value: what a character without a piece scores below the worst piece
@@ -24,6 +28,48 @@ NEVER = -(1 << 60)
 BYTES, PREFIX = -1, -2  # no ids: a character that goes by its bytes; the beginning of a piece
 
 
+@dataclass(frozen=True)
+class Trie:
+    """The beginnings of pieces as arrays. A node is its number, the root 0; ``keys`` is an open hash table of node * 2^21 + character, -1 where free."""
+
+    keys: np.ndarray
+    children: np.ndarray
+    ids: np.ndarray  # of each node, PREFIX if it is no piece
+    scores: np.ndarray
+
+    def step(self, nodes: np.ndarray, characters: np.ndarray) -> np.ndarray:
+        """The node after each of some nodes by a character, 0 if there is none."""
+        key = (nodes << 21) + characters
+        at = self.slots(key, len(self.keys))
+        found = self.keys[at]
+        out = np.where(found == key, self.children[at], 0)
+        open_ = np.flatnonzero((found != key) & (found >= 0))
+        while len(open_):
+            at[open_] = (at[open_] + 1) % len(self.keys)
+            found = self.keys[at[open_]]
+            hit = found == key[open_]
+            out[open_[hit]] = self.children[at[open_[hit]]]
+            open_ = open_[~hit & (found >= 0)]
+        return out
+
+    @staticmethod
+    def slots(key: np.ndarray, size: int) -> np.ndarray:
+        return (mix(key.astype(np.uint64)) & np.uint64(size - 1)).astype(np.int64)
+
+
+def make_trie(table: dict[str, tuple[int, int]]) -> Trie:
+    order = sorted(table, key=len)
+    node = {"": 0} | {x: i for i, x in enumerate(order, 1)}
+    key = np.array([(node[x[:-1]] << 21) + ord(x[-1]) for x in order], np.int64)
+    size = 1 << (8 * len(order) + 8).bit_length()
+    keys, children = np.full(size, -1, np.int64), np.zeros(size, np.int64)
+    for i, (k, at) in enumerate(zip(key.tolist(), Trie.slots(key, size).tolist()), 1):
+        while keys[at] >= 0:
+            at = (at + 1) % size
+        keys[at], children[at] = k, i
+    return Trie(keys, children, np.array([PREFIX, *(table[x][0] for x in order)], np.int64), np.array([0, *(table[x][1] for x in order)], np.int64))
+
+
 @dataclass(frozen=True)
 class Vocabulary:
     """Pieces with whole-number scores. ``byte_ids`` has the pieces that stand for single bytes."""
@@ -33,6 +79,8 @@ class Vocabulary:
     texts: tuple[bytes | None, ...]  # what each id decodes to, None for control ids
     longest: int
     unknown: int  # score of a character without a piece
+    trie: Trie  # of ``table``
+    id_scores: np.ndarray  # of each id; a character that goes by its bytes has its score at the first one
 
 
 def load_vocabulary(path: str = MODEL) -> Vocabulary:
@@ -58,7 +106,11 @@ def make_vocabulary(scores: dict[str, tuple[int, int]], byte_ids: tuple[int, ...
         raise ValueError("a piece holds a space after another character: segments can't end before spaces")
     table = {x[:k]: (PREFIX, 0) for x in scores for k in range(1, len(x))} | scores
     unknown = min((s for _, s in scores.values()), default=0) - UNKNOWN_PENALTY
-    return Vocabulary(table, byte_ids, texts, max(map(len, scores), default=1), unknown)
+    id_scores = np.zeros(len(texts), np.int64)
+    id_scores[[byte_ids[b] for b in range(256) if b & 0xC0 != 0x80]] = unknown
+    for i, score in scores.values():
+        id_scores[i] = score
+    return Vocabulary(table, byte_ids, texts, max(map(len, scores), default=1), unknown, make_trie(table), id_scores)
 
 
 def marked(text: str, first: bool = True) -> str:
@@ -77,7 +129,7 @@ class Rest:
     length: int
     head: int
     middle: int
-    ids: list[int]
+    ids: np.ndarray
 
 
 SEGMENT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
@@ -85,7 +137,10 @@ SEGMENT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 class Segmenter:
     def __init__(self, vocabulary: Vocabulary):
-        self.v, self.known, self.older, self.held = vocabulary, {}, {}, 0
+        self.v, self.held = vocabulary, 0
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.byte_ids = np.array(vocabulary.byte_ids, np.int32)
 
     def edges(self, s: str, i: int, stop: int) -> list[tuple[int, int, int]]:
         """(end, id, score) of the pieces that begin at i and end by ``stop``, longest last."""
@@ -135,28 +190,90 @@ class Segmenter:
     def bytes_of(self, c: str) -> tuple[int, ...]:
         return tuple(self.v.byte_ids[b] for b in (SPACE if c == LITERAL else c).encode())
 
-    def segment(self, s: str) -> tuple[int, list[int]]:
-        """Score and ids of a segment. What was used since the last change of generation, or before it, is remembered."""
-        found = self.known.get(s)
-        if found is None:
-            found = self.older.get(s) or self.path(s, 0, len(s))
-            if len(s) <= 64:
-                if self.held >= CACHE:
-                    self.older, self.known, self.held = self.known, {}, 0
+    def short_paths(self, segments: list[str]) -> list[bytes]:
+        """The ids of ``path`` for whole segments, packed, for all of them at once: each step is one character further in every segment."""
+        v, n = self.v, np.array([len(s) for s in segments], np.int64)
+        text = np.frombuffer("".join(segments).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        first = np.cumsum(n) - n
+        stop = np.repeat(first + n, n)
+        at, node, found = np.arange(len(text)), np.zeros(len(text), np.int64), []
+        for size in range(1, v.longest + 1):
+            node = v.trie.step(node, text[at + size - 1])
+            piece = v.trie.ids[node]
+            whole = piece != PREFIX
+            found.append((at[whole], np.full(whole.sum(), size), piece[whole], v.trie.scores[node[whole]]))
+            if size == 1:  # what has no piece of its own goes by its bytes
+                alone = at[~whole]
+                found.append((alone, np.ones(len(alone), np.int64), np.full(len(alone), BYTES), np.full(len(alone), v.unknown)))
+            more = (node > 0) & (at + size < stop[at])
+            at, node = at[more], node[more]
+        start, size, piece, score = (np.concatenate(x) for x in zip(*found))
+        step = start - np.repeat(first, n)[start]
+        order = np.argsort(step.astype(np.uint16), kind="stable")
+        start, size, piece, score = start[order], size[order], piece[order], score[order]
+        bounds = np.searchsorted(step[order], np.arange(n.max(initial=0) + 1)).tolist()
+        # places of a segment are its characters and its end; no two edges of a step lead to one place
+        place = start + np.repeat(np.arange(len(n)), n)[start]
+        end = place + size
+        best, back = np.full(len(text) + len(n), NEVER), np.zeros(len(text) + len(n), np.int64)
+        best[first + np.arange(len(n))] = 0
+        for i, j in zip(bounds, bounds[1:]):
+            ways, to = best[place[i:j]] + score[i:j], end[i:j]
+            better = np.flatnonzero(ways > best[to])
+            best[to[better]], back[to[better]] = ways[better], better + i
+        chosen = np.full(len(text), PREFIX, np.int64)
+        begin = first + np.arange(len(n))
+        left, begin = (begin + n)[n > 0], begin[n > 0]
+        while len(left):
+            edge = back[left]
+            chosen[start[edge]] = piece[edge]
+            open_ = place[edge] > begin
+            left, begin = place[edge][open_], begin[open_]
+        where = np.flatnonzero(chosen != PREFIX)
+        ids = chosen[where]
+        raw = np.flatnonzero(ids == BYTES)
+        if len(raw):
+            spelt = [self.bytes_of(chr(c)) for c in text[where[raw]].tolist()]
+            times = np.ones(len(ids), np.int64)
+            times[raw] = [len(x) for x in spelt]
+            where, ids, is_raw = np.repeat(where, times), np.repeat(ids, times), np.repeat(ids == BYTES, times)
+            ids[is_raw] = list(chain.from_iterable(spelt))
+        packed = ids.astype(np.int32).tobytes()
+        cuts = (4 * np.searchsorted(where, np.append(first, len(text)))).tolist()
+        return [packed[i:j] for i, j in zip(cuts, cuts[1:])]
+
+    def learn(self, segments: Iterable[str]) -> None:
+        """See to it that the ids of all these segments are known. What was used since the last change of generation, or before it, is remembered."""
+        if self.held > MEMORY // 2:
+            self.older, self.known, self.held = self.known, {}, 0
+        missing, new = set(segments).difference(self.known), []
+        for s in missing:
+            found = self.older.get(s)
+            if found is None and len(s) > SHORT:
+                found = np.array(self.path(s, 0, len(s))[1], np.int32).tobytes()
+            if found is None:
+                new.append(s)
+            else:
                 self.known[s] = found
-                self.held += len(s) + len(found[1]) + 32
-        return found
+        self.known.update(zip(new, self.short_paths(new)))
+        self.held += sum(200 + 2 * len(s) + len(self.known[s]) for s in missing)
+
+    def packed(self, segments: list[str]) -> np.ndarray:
+        """The ids of segments in a row that ``learn`` has seen."""
+        return np.frombuffer(b"".join(map(self.known.__getitem__, segments)), np.int32)
+
+    def score(self, ids: np.ndarray) -> int:
+        return int(self.v.id_scores[ids].sum())
+
+    def encode_all(self, texts: list[str]) -> list[tuple[int, np.ndarray]]:
+        """Score and ids of whole texts. No piece holds a space after another character, so segments end before spaces."""
+        segments = [SEGMENT.findall(marked(x)) for x in texts]
+        self.learn(chain.from_iterable(segments))
+        return [(self.score(ids), ids) for ids in map(self.packed, segments)]
 
     def encode(self, text: str) -> tuple[int, list[int]]:
-        """Score and ids of a whole text. No piece holds a space after another character, so segments end before spaces."""
-        if not text:
-            return 0, []
-        total, ids = 0, []
-        for s in SEGMENT.findall(marked(text)):
-            found = self.known.get(s) or self.segment(s)
-            total += found[0]
-            ids += found[1]
-        return total, ids
+        score, ids = self.encode_all([text])[0]
+        return score, ids.tolist()
 
     def sure_cuts(self, s: str, length: int) -> tuple[int, int] | None:
         """First and last place inside a chunk that no piece crosses and that lies beyond any piece from before."""
@@ -178,28 +295,33 @@ class Segmenter:
 
     def transfer(self, s: str, length: int) -> tuple[np.ndarray, Rest]:
         """Matrix [in][out] of a chunk: best score if its first ``in`` characters belong to a piece from before and its last piece takes ``out`` of the next; and what ``backtrace`` needs."""
+        return self.transfers([(s, length)])[0]
+
+    def transfers(self, chunks_: list[tuple[str, int]]) -> list[tuple[np.ndarray, Rest]]:
+        cuts = [self.sure_cuts(s, length) for s, length in chunks_]
+        middles = [SEGMENT.findall(s[slice(*at)]) if at else [] for at, (s, _) in zip(cuts, chunks_)]
+        self.learn(chain.from_iterable(middles))
+        return [self._transfer(s, length, at, self.packed(middle)) for (s, length), at, middle in zip(chunks_, cuts, middles)]
+
+    def _transfer(self, s: str, length: int, cuts: tuple[int, int] | None, ids: np.ndarray) -> tuple[np.ndarray, Rest]:
         k = self.v.longest
-        cuts = self.sure_cuts(s, length)
         if cuts is None:
-            return self.fans(s, 0, length, k).T.copy(), Rest(s, length, -1, 0, [])
+            return self.fans(s, 0, length, k).T.copy(), Rest(s, length, -1, 0, ids)
         first, last = cuts
         head = self.fans(s, 0, first, k)[0]
-        middle, ids = 0, []
-        for x in SEGMENT.findall(s[first:last]):
-            score, more = self.segment(x)
-            middle += score
-            ids += more
+        middle = self.score(ids)
         tail = self.fans(s, last, length, 1)[:, 0]
         return plus(plus(head[:, None], np.int64(middle)), tail[None, :]), Rest(s[:first] + s[last:], length - (last - first), first, middle, ids)
 
-    def backtrace(self, rest: Rest, entry: int, over: int) -> tuple[int, list[int]]:
+    def backtrace(self, rest: Rest, entry: int, over: int) -> tuple[int, np.ndarray]:
         """Score and ids of the pieces that begin in a chunk, entered ``entry`` characters in and left ``over`` beyond its end."""
         end = rest.length + over
         if rest.head < 0:
-            return self.path(rest.text, entry, end) if entry < end else (0, [])
+            score, ids = self.path(rest.text, entry, end) if entry < end else (0, [])
+            return score, np.array(ids, np.int32)
         first_score, first_ids = self.path(rest.text, entry, rest.head)
         last_score, last_ids = self.path(rest.text[rest.head :], 0, end - rest.head)
-        return first_score + rest.middle + last_score, [*first_ids, *rest.ids, *last_ids]
+        return first_score + rest.middle + last_score, np.concatenate([np.array(first_ids, np.int32), rest.ids, np.array(last_ids, np.int32)])
 
 
 def plus(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -237,9 +359,12 @@ def _matrix(data: bytes) -> np.ndarray:
     return flat.reshape(int(len(flat) ** 0.5), -1)
 
 
-def _ids_batch(part: pa.RecordBatch, found: list[tuple[int, list[int]]]) -> pa.RecordBatch:
-    ids = pa.array([x[1] for x in found], pa.list_(pa.int32()))
-    return pa.RecordBatch.from_arrays([*part.columns, ids, pa.array([x[0] for x in found], pa.int64())], [*part.schema.names, "ids", "score"])
+def _lists(ids: list[np.ndarray]) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, ids)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *ids])))
+
+
+def _ids_batch(part: pa.RecordBatch, found: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*part.columns, _lists([x[1] for x in found]), pa.array([x[0] for x in found], pa.int64())], [*part.schema.names, "ids", "score"])
 
 
 _segmenters: dict[int, Segmenter] = {}
@@ -279,8 +404,8 @@ def encode(docs: DataFrame, vocabulary: Vocabulary | str = MODEL, chunk_chars: i
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         segmenter = _segmenter(shared)
         for batch in batches:
-            for part in chunks(batch, limit=1 << 18):
-                yield _ids_batch(part.drop_columns("text"), [segmenter.encode(x.as_py()) for x in part.column("text")])
+            for part in chunks(batch, limit=1 << 19):
+                yield _ids_batch(part.drop_columns("text"), segmenter.encode_all(part.column("text").to_pylist()))
 
     out_schema = f"doc_id {kind}, th long, ids array<int>, score long"
     small = docs.where(F.length("text") <= chunk_chars).mapInArrow(whole, out_schema)
@@ -305,11 +430,12 @@ def encode(docs: DataFrame, vocabulary: Vocabulary | str = MODEL, chunk_chars: i
         for batch in batches:
             for at in range(0, batch.num_rows, AT_ONCE):
                 part = batch.slice(at, AT_ONCE)
-                found = [segmenter.transfer(marked(s, n == 0), length) for s, length, n in zip(*(part.column(c).to_pylist() for c in ("part", "length", "n")))]
-                kinds = {"text": pa.binary(), "length": pa.int32(), "head": pa.int32(), "middle": pa.int64(), "ids": pa.list_(pa.int32())}
+                found = segmenter.transfers([(marked(s, n == 0), length) for s, length, n in zip(*(part.column(c).to_pylist() for c in ("part", "length", "n")))])
+                kinds = {"text": pa.binary(), "length": pa.int32(), "head": pa.int32(), "middle": pa.int64()}
                 rest = [pa.array([x.text.encode("utf-8", "surrogatepass") if c == "text" else getattr(x, c) for _, x in found], kind) for c, kind in kinds.items()]
                 matrix = pa.array([_packed(m) for m, _ in found], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), matrix, *rest], ["doc_id", "th", "n", "matrix", *kinds])
+                arrays = [part.column(0), part.column(1), part.column(2), matrix, *rest, _lists([x.ids for _, x in found])]
+                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "th", "n", "matrix", *kinds, "ids"])
 
     rest_schema = f"doc_id {kind}, th long, n int, matrix binary, text binary, length int, head int, middle long, ids array<int>"
     parts = stage(parts.mapInArrow(transfers, rest_schema), "pieces_chunks")
@@ -348,7 +474,8 @@ def encode(docs: DataFrame, vocabulary: Vocabulary | str = MODEL, chunk_chars: i
         for batch in batches:
             for at in range(0, batch.num_rows, AT_ONCE):
                 part = batch.slice(at, AT_ONCE)
-                rows = zip(*(part.column(c).to_pylist() for c in ("text", "length", "head", "middle", "ids", "entry", "over")))
+                ids = [x.values.to_numpy() for x in part.column("ids")]
+                rows = zip(*(part.column(c).to_pylist() for c in ("text", "length", "head", "middle")), ids, *(part.column(c).to_pylist() for c in ("entry", "over")))
                 found = [segmenter.backtrace(Rest(text.decode("utf-8", "surrogatepass"), *rest), entry, over) for text, *rest, entry, over in rows]
                 yield _ids_batch(part.select(["doc_id", "th", "n"]), found)
 
@@ -369,13 +496,22 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary | str = MODEL) -> DataFram
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = [x or b"" for x in shared.value.texts]
+        size = np.array([len(x) for x in known], np.int64)
+        raw, first = np.frombuffer(b"".join(known), np.uint8), np.cumsum(size) - size
         for batch in batches:
-            for at in range(0, batch.num_rows, AT_ONCE):
-                part, out = batch.slice(at, AT_ONCE), []
-                for ids in part.column("ids"):
-                    raw = None if ids.as_py() is None else b"".join([known[i] for i in ids.as_py()])
-                    out.append(None if raw is None else raw.removeprefix(b" ").decode("utf-8", "replace"))
+            held = np.cumsum(pc.fill_null(pc.list_value_length(batch.column("ids")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            at = 0
+            while at < batch.num_rows:
+                to = max(at + 1, int(np.searchsorted(held, (held[at - 1] if at else 0) + IDS_AT_ONCE, "right")))
+                part, out = batch.slice(at, to - at), []
+                ids = part.column("ids").flatten().to_numpy()
+                n = size[ids]
+                text = raw[np.repeat(first[ids] - np.cumsum(n) + n, n) + np.arange(n.sum())].tobytes()
+                ends = np.append(0, np.cumsum(n))[held[at:to] - (held[at - 1] if at else 0)].tolist()
+                for begin, end, valid in zip([0, *ends], ends, part.column("ids").is_valid().to_pylist()):
+                    out.append(text[begin:end].removeprefix(b" ").decode("utf-8", "replace") if valid else None)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.string())], [*part.schema.names, "text"])
+                at = to
 
     return encoded.mapInArrow(texts, with_column(encoded, "text", "string"))
 

@@ -2,6 +2,7 @@
 
 import random
 import re
+import sys
 
 import numpy as np
 import pyarrow as pa
@@ -138,6 +139,24 @@ def test_pieces_have_the_highest_score():
         assert b"".join(v.texts[i] for i in ids).removeprefix(b" ").decode() == text
 
 
+def test_short_segments_cut_at_once_as_one_by_one(vocabulary, monkeypatch):
+    r = random.Random(8)
+    for v, letters in ((tiny(), "aabb▁c"), (vocabulary, "aeinst.,é漢☃\n\U0010ffff1")):
+        s, mark = pieces.Segmenter(v), pieces.SPACE
+        segments = [mark * r.randint(0, 2) + pieces.marked("".join(r.choice(letters) for _ in range(r.randint(0, 40))), False) for _ in range(500)] + ["", mark, mark * 9]
+        want = [s.path(x, 0, len(x)) for x in segments]
+        got = [np.frombuffer(x, np.int32) for x in s.short_paths(segments)]
+        assert [(s.score(x), x.tolist()) for x in got] == want
+    # words that are new need no search of their own, and what is remembered is bounded
+    monkeypatch.setattr(pieces, "MEMORY", 200_000)
+    s = pieces.Segmenter(vocabulary)
+    monkeypatch.setattr(s, "path", None)
+    for i in range(40):
+        s.encode_all([" ".join(f"w{r.random()}" for _ in range(200))])
+        assert sum(sys.getsizeof(x) + sys.getsizeof(y) for part in (s.known, s.older) for x, y in part.items()) < 400_000
+    assert s.older
+
+
 def test_chunks_joined_by_matrices_score_as_the_whole():
     v, r = tiny(), random.Random(4)
     s = pieces.Segmenter(v)
