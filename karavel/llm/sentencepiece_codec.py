@@ -17,10 +17,10 @@ from karavel.llm.common import chunks, mix, same_document, stage, with_column
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK_CHARS = 16_384  # texts with more characters are cut into chunks of so many
 BLOCK_CHUNKS = 128  # transfer matrices that one row of the scan's first level combines
-MEMORY = 40_000_000  # bytes of segments that a worker remembers, about, in two generations
+MEMORY = 20_000_000  # bytes of segments that a worker remembers, about, in two generations
 AT_ONCE = 16  # chunks that a worker holds the ids of
 IDS_AT_ONCE = 1 << 18  # ids that are decoded in one piece, but for a text with more
-SHORT = 64  # characters of segments that are cut many at a time, and remembered
+SHORT, SEGMENTS_AT_ONCE = 64, 4096  # segments of up to so many characters are cut so many at a time
 SPACE = "▁"  # fixed value: the mark that stands for a space in pieces
 LITERAL = "\ud800"  # stands for such a mark in the text itself; no text can hold it, it has no piece and goes by bytes
 UNKNOWN_PENALTY = 10  # fixed value: what a character without a piece scores below the worst piece
@@ -255,9 +255,16 @@ class Segmenter:
                 new.append(s)
             else:
                 self.known[s] = found
-        self.known.update(zip(new, self.short_paths(new)))
+        for at in range(0, len(new), SEGMENTS_AT_ONCE):
+            some = new[at : at + SEGMENTS_AT_ONCE]
+            self.known.update(zip(some, self.short_paths(some)))
         self.held += sum(200 + 2 * len(s) + len(self.known[s]) for s in missing)
 
+    def forget(self) -> None:
+        """Workers live on through other stages, which need their memory."""
+        self.known, self.older, self.held = {}, {}, 0
+        pa.default_memory_pool().release_unused()
+
     def packed(self, segments: list[str]) -> np.ndarray:
         """The ids of segments in a row that ``learn`` has seen."""
         return np.frombuffer(b"".join(map(self.known.__getitem__, segments)), np.int32)
@@ -371,7 +378,7 @@ _segmenters: dict[int, Segmenter] = {}
 
 
 def _segmenter(shared) -> Segmenter:
-    """One for each vocabulary and Python worker, so tasks go on with what earlier ones have seen."""
+    """One for each vocabulary and Python worker; tasks empty it when they end."""
     vocabulary = shared.value
     if id(vocabulary) not in _segmenters:
         _segmenters.clear()
@@ -406,6 +413,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary | str = MODEL, chunk_chars: i
         for batch in batches:
             for part in chunks(batch, limit=1 << 19):
                 yield _ids_batch(part.drop_columns("text"), segmenter.encode_all(part.column("text").to_pylist()))
+        segmenter.forget()
 
     out_schema = f"doc_id {kind}, th long, ids array<int>, score long"
     small = docs.where(F.length("text") <= chunk_chars).mapInArrow(whole, out_schema)
@@ -436,6 +444,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary | str = MODEL, chunk_chars: i
                 matrix = pa.array([_packed(m) for m, _ in found], pa.binary())
                 arrays = [part.column(0), part.column(1), part.column(2), matrix, *rest, _lists([x.ids for _, x in found])]
                 yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "th", "n", "matrix", *kinds, "ids"])
+        segmenter.forget()
 
     rest_schema = f"doc_id {kind}, th long, n int, matrix binary, text binary, length int, head int, middle long, ids array<int>"
     parts = stage(parts.mapInArrow(transfers, rest_schema), "pieces_chunks")

@@ -155,6 +155,10 @@ def test_short_segments_cut_at_once_as_one_by_one(vocabulary, monkeypatch):
         s.encode_all([" ".join(f"w{r.random()}" for _ in range(200))])
         assert sum(sys.getsizeof(x) + sys.getsizeof(y) for part in (s.known, s.older) for x, y in part.items()) < 400_000
     assert s.older
+    s.forget()  # as tasks do when they end
+    assert not s.known and not s.older and not s.held
+    monkeypatch.undo()
+    assert s.encode("ab, ab") == pieces.Segmenter(vocabulary).encode("ab, ab")
 
 
 def test_chunks_joined_by_matrices_score_as_the_whole():
