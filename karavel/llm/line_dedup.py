@@ -27,7 +27,8 @@ AT_ONCE = 1_000  # lines whose features are held at a time
 SMALL = 16  # members of a bucket that are compared pair by pair
 LEAST_CHARS = 1  # bytes of a normalised line; only blank lines are left alone
 SIMILARITY = 0.9  # 1 - edits / characters of the longer line
-GRAM, PARITY_WORDS = 3, 16  # lines are compared by parity bits of their 3-character grams before their texts are
+GRAM, PARITY_WORDS = 3, 16  # lines are compared by parity bits of their 3-character grams before their texts are,
+PAIRS_AT_ONCE, CHARS_AT_ONCE = 512, 1 << 18  # so many pairs, or characters of them, at a time
 
 _table = bytearray(range(256))
 for _c in range(128):
@@ -143,16 +144,6 @@ def gram_buckets(grams: np.ndarray, chars: np.ndarray) -> np.ndarray:
     return np.where(grams == 0, -1, np.stack(columns, axis=1))
 
 
-def gram_parity(x: str) -> np.ndarray:
-    """A bit for each class of GRAM neighbouring characters: does the line hold an odd number of them?"""
-    c = np.frombuffer(x.encode("utf-32-le"), np.uint32).astype(np.uint64)
-    odd, h = seeds(GRAM, 8), np.zeros(max(0, len(c) - GRAM + 1), np.uint64)
-    for i in range(GRAM):
-        h += c[i : i + len(h)] * odd[i]
-    bits = np.bincount((mix(h) >> np.uint64(40)).astype(np.int64) % (64 * PARITY_WORDS), minlength=64 * PARITY_WORDS) & 1
-    return np.packbits(bits.astype(np.uint8)).view(np.uint64)
-
-
 def edit_distance(a: str, b: str) -> int:
     """Levenshtein distance; one step for each character of the shorter text, on all of the longer one at once."""
     skip = 0
@@ -186,12 +177,38 @@ def edit_distance(a: str, b: str) -> int:
     return distance
 
 
+def odd_grams(xs: list[str], ys: list[str]) -> np.ndarray:
+    """For each pair of texts, of how many classes of GRAM neighbouring characters one holds an odd and the other an even number."""
+    texts = [x for pair in zip(xs, ys) for x in pair]
+    size = np.array([len(x) for x in texts], np.int64)
+    c = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    runs = np.maximum(size - GRAM + 1, 0)
+    at = np.repeat(np.cumsum(size) - size, runs) + _ranges(runs)
+    odd, h = seeds(GRAM, 8), np.zeros(len(at), np.uint64)
+    for i in range(GRAM):
+        h += c[at + i] * odd[i]
+    bits = 64 * PARITY_WORDS
+    owner = np.repeat(np.arange(len(texts)) // 2, runs)
+    counts = np.bincount(owner * bits + (mix(h) >> np.uint64(40)).astype(np.int64) % bits, minlength=len(xs) * bits)
+    return (counts & 1).reshape(len(xs), bits).sum(axis=1)
+
+
+def maybe_similar_pairs(xs: list[str], ys: list[str], least: float) -> np.ndarray:
+    """False only for pairs that are not similar: an edit changes at most GRAM grams of either text, and each gram one parity bit."""
+    allowed = np.array([int((1 - least) * max(len(x), len(y)) + 1e-9) for x, y in zip(xs, ys)], np.int64)
+    out = 2 * GRAM * allowed >= 32 * PARITY_WORDS  # texts that have nothing in common differ in half of the bits
+    ask, held = np.flatnonzero(~out), np.cumsum([len(xs[i]) + len(ys[i]) for i in np.flatnonzero(~out).tolist()])
+    at = 0
+    while at < len(ask):
+        to = min(at + PAIRS_AT_ONCE, max(at + 1, int(np.searchsorted(held, (held[at - 1] if at else 0) + CHARS_AT_ONCE, "right"))))
+        some = ask[at:to]
+        out[some] = odd_grams([xs[i] for i in some.tolist()], [ys[i] for i in some.tolist()]) <= 2 * GRAM * allowed[some]
+        at = to
+    return out
+
+
 def maybe_similar(a: str, b: str, least: float) -> bool:
-    """False only for texts that are not similar: an edit changes at most GRAM grams of either, and each gram one parity bit."""
-    allowed = int((1 - least) * max(len(a), len(b)) + 1e-9)
-    if 2 * GRAM * allowed >= 32 * PARITY_WORDS:  # texts that have nothing in common differ in half of the bits
-        return True
-    return int(np.bitwise_count(gram_parity(a) ^ gram_parity(b)).sum()) <= 2 * GRAM * allowed
+    return bool(maybe_similar_pairs([a], [b], least)[0])
 
 
 def similar(a: str, b: str, least: float) -> bool:
@@ -344,7 +361,8 @@ def similar_lines(docs: DataFrame, distinct: DataFrame, similarity: float) -> Da
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [maybe_similar(x, y, similarity) and similar(x, y, similarity) for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist())]
+            xs, ys = batch.column("x").to_pylist(), batch.column("y").to_pylist()
+            keep = [maybe and similar(x, y, similarity) for x, y, maybe in zip(xs, ys, maybe_similar_pairs(xs, ys, similarity).tolist())]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     def check(pairs: DataFrame, texts: DataFrame | None = None) -> DataFrame:

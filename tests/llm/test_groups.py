@@ -406,6 +406,25 @@ def test_nearly_equal_lines_of_any_length_are_found(spark):
     assert sum(out[2 * i + 1] for i in range(len(pairs))) >= 0.99 * len(pairs)
 
 
+def test_parity_of_pairs_at_once(monkeypatch):
+    r = random.Random(4)
+    xs = ["".join(r.choice("abcdefgh é漢") for _ in range(r.choice([0, 1, 2, 9, 60, 400, 1200]))) for _ in range(60)]
+    ys = [x if r.random() < 0.3 else "".join(c if r.random() < 0.93 else r.choice("xyz") for c in x) if r.random() < 0.6 else r.choice(xs) for x in xs]
+
+    def odd(x):
+        c, found = [ord(y) for y in x], Counter()
+        for i in range(len(c) - 2):
+            h = sum(v * int(o) for v, o in zip(c[i : i + 3], line_dedup.seeds(3, 8))) % 2**64
+            found[int(line_dedup.mix(np.array([h], np.uint64))[0] >> np.uint64(40)) % 1024] += 1
+        return {k for k, n in found.items() if n % 2}
+
+    monkeypatch.setattr(line_dedup, "PAIRS_AT_ONCE", 7)
+    assert line_dedup.odd_grams(xs, ys).tolist() == [len(odd(x) ^ odd(y)) for x, y in zip(xs, ys)]
+    got = line_dedup.maybe_similar_pairs(xs, ys, 0.9).tolist()
+    assert got == [line_dedup.maybe_similar(x, y, 0.9) for x, y in zip(xs, ys)] and not all(got)
+    assert all(m or not line_dedup.similar(x, y, 0.9) for x, y, m in zip(xs, ys, got))
+
+
 def test_fingerprints_of_lines_at_the_limit_agree():
     r = random.Random(22)
     for n in (3, 8, 20, 50):
