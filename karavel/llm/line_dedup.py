@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from karavel.llm.common import Side, chunks, components, discard, linked_groups, merge_components, mix, same_document, seeds, sized, span_hashes, stage, text_key
+from karavel.llm.common import Side, chunks, components, discard, freed, linked_groups, merge_components, mix, same_document, seeds, sized, span_hashes, stage, text_key
 
 KINDS, PLACES = 32, 8  # features: kinds of bytes by the part of the line they stand in, neighbouring parts overlap
 BLOCKS, BITS = 12, 20  # a SimHash is cut into blocks; lines that differ in fewer bits than there are blocks agree in one
@@ -243,7 +243,7 @@ def line_table(docs: DataFrame, least_chars: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "th", "line", "h1", "h2", "size", "other", *SKETCH])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "th", "text").mapInArrow(make, f"doc_id {kind}, th long, line int, h1 long, h2 long, size int, other binary, s0 long, s1 long, s2 long, s3 long")
+    return docs.select("doc_id", "th", "text").mapInArrow(freed(make), f"doc_id {kind}, th long, line int, h1 long, h2 long, size int, other binary, s0 long, s1 long, s2 long, s3 long")
 
 
 SKETCH = ("s0", "s1", "s2", "s3")
@@ -330,8 +330,8 @@ def similar_lines(docs: DataFrame, distinct: DataFrame, similarity: float) -> Da
     # an edit or more is allowed only from this size on; shorter lines are linked if they are equal
     least = next((n - 1 for n in range(1, 1 << 20) if int((1 - similarity) * n + 1e-9)), 1 << 20)
     wide = distinct.where(f"size >= {least}").select("id", "size", "other", *SKETCH)
-    rows = wide.mapInArrow(_explode, "bucket long, id long").repartition("bucket").sortWithinPartitions("bucket", "id")
-    met = stage(rows.mapInArrow(_meet, "bucket long, a long, b long, large boolean"), "lines_met")
+    rows = wide.mapInArrow(freed(_explode), "bucket long, id long").repartition("bucket").sortWithinPartitions("bucket", "id")
+    met = stage(rows.mapInArrow(freed(_meet), "bucket long, a long, b long, large boolean"), "lines_met")
     other = lambda c: F.col(f"to_{c}")
     left = distinct.select(F.col("id").alias("a"), "size", *SKETCH)
     right = distinct.select(F.col("id").alias("b"), *(F.col(c).alias(f"to_{c}") for c in ("size", *SKETCH)))
@@ -357,7 +357,7 @@ def similar_lines(docs: DataFrame, distinct: DataFrame, similarity: float) -> Da
         wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
         by_text = wanted.join(distinct, "id").groupBy("at.doc_id", "at.th").agg(F.collect_list(F.struct("id", "at.line")).alias("wanted"))
         by_text = sized(stage(by_text, "lines_wanted"))
-        return stage(docs.join(by_text, same_document(docs, by_text)).select("wanted", "text").mapInArrow(pick, "id long, x string"), "lines_texts")
+        return stage(docs.join(by_text, same_document(docs, by_text)).select("wanted", "text").mapInArrow(freed(pick), "id long, x string"), "lines_texts")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -368,7 +368,7 @@ def similar_lines(docs: DataFrame, distinct: DataFrame, similarity: float) -> Da
     def check(pairs: DataFrame, texts: DataFrame | None = None) -> DataFrame:
         texts = texts_of(pairs) if texts is None else texts
         x, y = texts.select(F.col("id").alias("a"), "x"), texts.select(F.col("id").alias("b"), F.col("x").alias("y"))
-        return pairs.join(x, "a").join(y, "b").mapInArrow(compare, "a long, b long")
+        return pairs.join(x, "a").join(y, "b").mapInArrow(freed(compare), "a long, b long")
 
     def bound(named: DataFrame) -> DataFrame:
         low, reach = F.floor(F.col("size") * similarity - 1e-9), F.ceil(F.col("size") / similarity + 1e-9)
@@ -454,7 +454,7 @@ def dedup_lines(docs: DataFrame, least_chars: int = LEAST_CHARS, similarity: flo
                 arrays = [part.column("row"), pa.array(left, pa.string()), pa.array(count, pa.int64()), pa.array(removed, pa.int64())]
                 yield pa.RecordBatch.from_arrays(arrays, ["row", "left", "n_lines", "n_removed"])
 
-    out = joined.mapInArrow(cut, joined.select("row").schema.add("left", "string").add("n_lines", "long").add("n_removed", "long"))
+    out = joined.mapInArrow(freed(cut), joined.select("row").schema.add("left", "string").add("n_lines", "long").add("n_removed", "long"))
     kept = [F.col("left").alias("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns if c not in ("n_lines", "n_removed")]
     return out.select(*kept, "n_lines", "n_removed")
 

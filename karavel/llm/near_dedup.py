@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from karavel.llm.common import Side, Words, chunks, linked_groups, mix, part_sums, seeds, sized, sorted_parts, stage, text_key
+from karavel.llm.common import Side, Words, chunks, freed, linked_groups, mix, part_sums, seeds, sized, sorted_parts, stage, text_key
 
 PARITY_WORDS = 16  # 64-bit words of parity bits by which sets are compared before their texts are
 CACHE_ROWS = 1 << 14  # shingles hashed at a time, so that they stay in the processor's cache
@@ -100,7 +100,7 @@ def sketch_documents(docs: DataFrame, k: int, sketch: SetSketch) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "th", "n_shingles", "s1", "s2", "registers"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", text_key().alias("th"), "text").mapInArrow(make, f"doc_id {kind}, th long, n_shingles long, s1 long, s2 long, registers binary")
+    return docs.select("doc_id", text_key().alias("th"), "text").mapInArrow(freed(make), f"doc_id {kind}, th long, n_shingles long, s1 long, s2 long, registers binary")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, sketch: SetSketch = SetSketch()) -> DataFrame:
@@ -126,7 +126,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, sketch: SetS
                 ids = np.repeat(batch.column("id").to_numpy(), bands.shape[1])
                 yield pa.RecordBatch.from_arrays([pa.array(bands.ravel()), pa.array(ids)], ["bucket", "id"])
 
-    buckets = stage(sets.select("id", "registers").mapInArrow(bucket, "bucket long, id long"), "near_buckets")
+    buckets = stage(sets.select("id", "registers").mapInArrow(freed(bucket), "bucket long, id long"), "near_buckets")
 
     def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -167,7 +167,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, sketch: SetS
     def bound(named: DataFrame) -> DataFrame:
         """At most the ``c`` shingles that also occur in another group can be shared with one: sizes n and m allow a link only if 100 c >= percent (n + m - c)."""
         named = stage(named, "near_open")
-        shingles = stage(texts_of(named.select("id")).join(sized(named), "id").mapInArrow(spread, "id long, root long, h long"), "near_shingles")
+        shingles = stage(texts_of(named.select("id")).join(sized(named), "id").mapInArrow(freed(spread), "id long, root long, h long"), "near_shingles")
         both = shingles.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("h")
         common = shingles.join(stage(both, "near_common"), "h").groupBy("id").agg(F.count("*").alias("c"))
         size = F.col("n_shingles")
@@ -186,10 +186,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, sketch: SetS
     def verify(pairs: DataFrame) -> DataFrame:
         a = sets.select(F.col("id").alias("a"), F.col("n_shingles").alias("na"), F.col("registers").alias("ra"))
         b = sets.select(F.col("id").alias("b"), F.col("n_shingles").alias("nb"), F.col("registers").alias("rb"))
-        pairs = stage(pairs.join(a, "a").join(b, "b").mapInArrow(likely, "a long, b long"), "near_likely")
+        pairs = stage(pairs.join(a, "a").join(b, "b").mapInArrow(freed(likely), "a long, b long"), "near_likely")
         texts = texts_of(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
         a, b = texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
-        return pairs.join(a, "a").join(b, "b").mapInArrow(linked, "a long, b long")
+        return pairs.join(a, "a").join(b, "b").mapInArrow(freed(linked), "a long, b long")
 
     roots = linked_groups(buckets, verify, "near_links", bound, fits)
     named = sets.join(roots, "id", "left").select(*key, "least_doc", F.coalesce("root", "id").alias("root"))

@@ -12,7 +12,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from karavel.llm.common import chunks, mix, same_document, stage, with_column
+from karavel.llm.common import chunks, freed, mix, same_document, stage, with_column
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK_CHARS = 16_384  # texts with more characters are cut into chunks of so many
@@ -416,7 +416,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary | str = MODEL, chunk_chars: i
         segmenter.forget()
 
     out_schema = f"doc_id {kind}, th long, ids array<int>, score long"
-    small = docs.where(F.length("text") <= chunk_chars).mapInArrow(whole, out_schema)
+    small = docs.where(F.length("text") <= chunk_chars).mapInArrow(freed(whole), out_schema)
     giant = docs.where(F.length("text") > chunk_chars)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -430,7 +430,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary | str = MODEL, chunk_chars: i
                     columns += [pa.array([length], pa.int32()), pa.array([s[max(at - 1, 0) : at - 1 + length + over]], pa.string())]
                     yield pa.RecordBatch.from_arrays(columns, ["doc_id", "th", "n", "length", "part"])
 
-    parts = giant.mapInArrow(cut, f"doc_id {kind}, th long, n int, length int, part string")
+    parts = giant.mapInArrow(freed(cut), f"doc_id {kind}, th long, n int, length int, part string")
     parts = parts.dropDuplicates(["doc_id", "th", "n"])
 
     def transfers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -447,7 +447,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary | str = MODEL, chunk_chars: i
         segmenter.forget()
 
     rest_schema = f"doc_id {kind}, th long, n int, matrix binary, text binary, length int, head int, middle long, ids array<int>"
-    parts = stage(parts.mapInArrow(transfers, rest_schema), "pieces_chunks")
+    parts = stage(parts.mapInArrow(freed(transfers), rest_schema), "pieces_chunks")
     matrices = parts.select("doc_id", "th", "n", "matrix")
     block = F.floor(F.col("n") / BLOCK_CHUNKS).cast("int").alias("block")
     row = F.sort_array(F.collect_list(F.struct("n", "matrix"))).alias("row")
@@ -472,11 +472,11 @@ def encode(docs: DataFrame, vocabulary: Vocabulary | str = MODEL, chunk_chars: i
 
     state_schema = f"doc_id {kind}, th long, n int, entry int, over int"
     blocks = matrices.groupBy("doc_id", "th", block).agg(row)
-    summed = blocks.mapInArrow(products, f"doc_id {kind}, th long, n int, matrix binary")
-    ends = summed.groupBy("doc_id", "th").agg(row).withColumn("entry", F.lit(0)).withColumn("over", F.lit(0)).mapInArrow(states, state_schema)
+    summed = blocks.mapInArrow(freed(products), f"doc_id {kind}, th long, n int, matrix binary")
+    ends = summed.groupBy("doc_id", "th").agg(row).withColumn("entry", F.lit(0)).withColumn("over", F.lit(0)).mapInArrow(freed(states), state_schema)
     ends = ends.withColumnRenamed("n", "block")
     inside = blocks.join(ends, same_document(blocks, ends) & (blocks["block"] == ends["block"])).select(blocks["doc_id"], blocks["th"], "row", "entry", "over")
-    found = inside.mapInArrow(states, state_schema)
+    found = inside.mapInArrow(freed(states), state_schema)
 
     def back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         segmenter = _segmenter(shared)
@@ -490,7 +490,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary | str = MODEL, chunk_chars: i
 
     chosen = parts.join(found, same_document(parts, found) & (parts["n"] == found["n"]))
     chosen = chosen.select(parts["doc_id"], parts["th"], parts["n"], "text", "length", "head", "middle", "ids", "entry", "over")
-    pieces = chosen.mapInArrow(back, f"doc_id {kind}, th long, n int, ids array<int>, score long")
+    pieces = chosen.mapInArrow(freed(back), f"doc_id {kind}, th long, n int, ids array<int>, score long")
     joined = pieces.groupBy("doc_id", "th").agg(F.sort_array(F.collect_list(F.struct("n", "ids"))).alias("all"), F.sum("score").alias("score"))
     joined = joined.select("doc_id", "th", F.flatten(F.col("all.ids")).alias("ids"), "score")
     keys = giant.select("doc_id", "th")
@@ -522,7 +522,7 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary | str = MODEL) -> DataFram
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.string())], [*part.schema.names, "text"])
                 at = to
 
-    return encoded.mapInArrow(texts, with_column(encoded, "text", "string"))
+    return encoded.mapInArrow(freed(texts), with_column(encoded, "text", "string"))
 
 
 def round_trip(docs: DataFrame, vocabulary: Vocabulary | str = MODEL) -> DataFrame:

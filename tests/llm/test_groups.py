@@ -18,6 +18,26 @@ FOLDER = "/root/testdata/sf0.001"
 # -- helpers ---------------------------------------------------------------------------------------------------
 
 
+def test_workers_give_memory_back():
+    """What a task used and freed must not stay with its worker, which lives on beside those of other stages."""
+    import os
+
+    def held():
+        with open("/proc/self/statm") as file:
+            return int(file.read().split()[1]) * os.sysconf("SC_PAGESIZE") / 1e6
+
+    def run(batches):
+        for batch in batches:
+            common.Words(batch.column(0))
+            large = [pa.array(np.arange(1 << 13)).cast(pa.float64()) for _ in range(3000)]
+            yield pa.RecordBatch.from_arrays([pa.array([len(large)])], ["n"])
+
+    common.give_back()
+    before = held()
+    (out,) = common.freed(run)(iter([pa.RecordBatch.from_arrays([pa.array(["a b " * 1000])], ["text"])]))
+    assert out.column(0).to_pylist() == [3000] and held() - before < 40 and len(common._powers) == 1
+
+
 def test_words_and_windows_of_texts():
     texts = ["a bb  a bb", None, "", " x\t", "a bb", "é é a"]
     found = common.Words(pa.array(texts))
