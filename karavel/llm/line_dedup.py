@@ -29,6 +29,7 @@ LEAST_CHARS = 1  # bytes of a normalised line; only blank lines are left alone
 SIMILARITY = 0.9  # 1 - edits / characters of the longer line
 GRAM, PARITY_WORDS = 3, 16  # lines are compared by parity bits of their 3-character grams before their texts are,
 PAIRS_AT_ONCE, CHARS_AT_ONCE = 512, 1 << 18  # so many pairs, or characters of them, at a time
+BAND, CELLS_AT_ONCE = 1000, 1 << 15  # pairs of up to BAND allowed edits are compared many at once, so many cells in a step
 
 _table = bytearray(range(256))
 for _c in range(128):
@@ -216,6 +217,67 @@ def similar(a: str, b: str, least: float) -> bool:
     return abs(len(a) - len(b)) <= allowed and edit_distance(a, b) <= allowed
 
 
+def banded_distances(xs: list[str], ys: list[str], k: int) -> np.ndarray:
+    """``edit_distance`` of pairs of texts in the order of their characters together; any number over k, up to k + 1, if it is over k. k is BAND at most.
+
+    Only cells (i, j) with i - j from -k to k count. Those of one i + j depend on the two sums before only, so all of them, in all pairs,
+    are one step. ``even`` holds i - j = -k, -k + 2, ... k; ``odd`` the ones between, and an edge on either side.
+    """
+    pairs, n = np.arange(len(xs)), np.array([(len(x), len(y)) for x, y in zip(xs, ys)], np.int64)
+    total, end = n.sum(axis=1), int(n[-1].sum())
+    rows = k + 3 + (end + k) // 2
+    sides = []
+    for k_, texts in enumerate((xs, ys)):
+        codes = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+        side = np.zeros((rows, len(pairs)), np.uint16 if codes.max(initial=0) < 1 << 16 else np.uint32)
+        side[k + 1 + _ranges(n[:, k_]), np.repeat(pairs, n[:, k_])] = codes
+        sides.append(side)
+    x, y = sides[0], np.ascontiguousarray(sides[1][::-1])
+    small = np.uint8 if k < 255 else np.uint16
+    over = np.full((k + 2, len(pairs)), k + 1, small)
+    even, odd, least = over[1:].copy(), over.copy(), over[1:].copy()
+    (odd if k % 2 else even)[(k + 1) // 2] = 0
+    differ = np.empty((k + 1, len(pairs)), bool)
+    differing = differ.view(np.uint8)
+    due, at = np.searchsorted(total, np.arange(end + 2)).tolist(), (n[:, 0] - n[:, 1] + k + 1) // 2
+    out = np.zeros(len(pairs), np.int64)
+    for step in range(1, end + 1):
+        gap = (step + k) % 2
+        own, beside, m = (odd[1:-1], even, k) if gap else (even, odd, k + 1)
+        i, j = k + (step - k + gap) // 2, rows - k - 1 - (step + k - gap) // 2
+        np.not_equal(x[i : i + m], y[j : j + m], out=differ[:m])
+        np.minimum(beside[:-1], beside[1:], out=least[:m])
+        least[:m] += 1
+        own += differing[:m]
+        np.minimum(own, least[:m], out=own)
+        np.minimum(own, over[:m], out=own)
+        if due[step] < due[step + 1]:
+            some = slice(due[step], due[step + 1])
+            out[some] = (odd if gap else even)[at[some], pairs[some]]
+    return out
+
+
+def similar_pairs(xs: list[str], ys: list[str], least: float) -> np.ndarray:
+    """``similar`` of many pairs of texts."""
+    n = np.array([(len(x), len(y)) for x, y in zip(xs, ys)], np.int64).reshape(-1, 2)
+    allowed = np.array([int((1 - least) * m + 1e-9) for m in n.max(axis=1).tolist()], np.int64)
+    out, open_ = np.zeros(len(xs), bool), abs(n[:, 0] - n[:, 1]) <= allowed
+    long = np.flatnonzero(open_ & (allowed > BAND)).tolist()
+    for i, maybe in zip(long, maybe_similar_pairs([xs[i] for i in long], [ys[i] for i in long], least).tolist()):
+        out[i] = maybe and similar(xs[i], ys[i], least)
+    short = np.flatnonzero(open_ & (allowed <= BAND))
+    short = short[np.argsort(n[short].sum(axis=1), kind="stable")]
+    total, at = n[short].sum(axis=1), 0
+    while at < len(short):  # texts of about one size together
+        to = int(np.searchsorted(total, 1.1 * total[at] + 8, "right"))
+        to = min(to, at + max(1, CELLS_AT_ONCE // (int(allowed[short[at:to]].max()) + 1)))
+        some = short[at:to]
+        own = [[texts[i] for i in some.tolist()] for texts in (xs, ys)]
+        out[some] = banded_distances(*own, int(allowed[some].max())) <= allowed[some]
+        at = to
+    return out
+
+
 def line_table(docs: DataFrame, least_chars: int) -> DataFrame:
     """doc_id, th, line (from 0), h1 and h2 (a 128-bit hash of the normalised line), its size in characters, SimHash (s0 to s3) and other buckets."""
 
@@ -362,8 +424,7 @@ def similar_lines(docs: DataFrame, distinct: DataFrame, similarity: float) -> Da
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             xs, ys = batch.column("x").to_pylist(), batch.column("y").to_pylist()
-            keep = [maybe and similar(x, y, similarity) for x, y, maybe in zip(xs, ys, maybe_similar_pairs(xs, ys, similarity).tolist())]
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            yield batch.select(["a", "b"]).filter(pa.array(similar_pairs(xs, ys, similarity)))
 
     def check(pairs: DataFrame, texts: DataFrame | None = None) -> DataFrame:
         texts = texts_of(pairs) if texts is None else texts

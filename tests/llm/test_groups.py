@@ -315,6 +315,22 @@ def test_edit_distance():
         assert line_dedup.edit_distance(a, b) == lev(a, b)
 
 
+def test_edit_distances_of_pairs_at_once(monkeypatch):
+    r = random.Random(2)
+    for k in range(9):
+        pairs = [("".join(r.choice("ab") for _ in range(r.randint(0, 20))), "".join(r.choice("ab") for _ in range(r.randint(0, 20)))) for _ in range(200)]
+        pairs = sorted([p for p in pairs if abs(len(p[0]) - len(p[1])) <= k], key=lambda p: len(p[0]) + len(p[1]))
+        assert line_dedup.banded_distances(*map(list, zip(*pairs)), k).tolist() == [min(lev(*p), k + 1) for p in pairs]
+    xs = ["".join(r.choice("abcd é漢😀") for _ in range(r.choice([0, 1, 9, 10, 35, 300, 1200, 3000]))) for _ in range(150)]
+    ys = [x if r.random() < 0.2 else "".join(r.choice(["", "x", "xy"]) if r.random() < 0.1 else c for c in x) if r.random() < 0.8 else r.choice(xs) for x in xs]
+    xs, ys = [*xs, "a" * 300, "a" * 9], [*ys, "b" * 300, "a" * 8]
+    want = [line_dedup.similar(x, y, 0.9) for x, y in zip(xs, ys)]
+    assert line_dedup.similar_pairs(xs, ys, 0.9).tolist() == want and 30 < sum(want) < 140
+    assert line_dedup.similar_pairs([], [], 0.9).tolist() == []
+    monkeypatch.setattr(line_dedup, "BAND", 20)  # as lines that are too long for a band
+    assert line_dedup.similar_pairs(xs, ys, 0.9).tolist() == want
+
+
 def meeting_points(lines):
     """The buckets of each line."""
     if not lines:
