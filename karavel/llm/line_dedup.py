@@ -6,13 +6,13 @@ Edits that are spread over a whole line change most blocks of any fingerprint, s
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from karavel.llm.common import Side, chunks, components, discard, freed, linked_groups, merge_components, mix, same_document, seeds, sized, span_hashes, stage, text_key
+from karavel.llm.common import Run, Side, chunks, components, discard, freed, linked_groups, merge_components, mix, same_document, seeds, sized, span_hashes, stage, text_key
 
 KINDS, PLACES = 32, 8  # features: kinds of bytes by the part of the line they stand in, neighbouring parts overlap
 BLOCKS, BITS = 12, 20  # a SimHash is cut into blocks; lines that differ in fewer bits than there are blocks agree in one
@@ -24,7 +24,9 @@ FROM_CHARS = 27  # characters from which lines have a SimHash and grams; lines u
 SHORT_TO = 29
 SIZE_BIN = 1.3  # lines meet if they are of one class of size; its edges differ by block and column
 AT_ONCE = 1_000  # lines whose features are held at a time
-SMALL = 16  # members of a bucket that are compared pair by pair
+SMALL = 16  # a bucket gives up to half as many near pairs a member; of others each member is compared with one first
+MIDDLE = 1024  # members of a bucket whose sizes and SimHashes are compared pair by pair where they meet
+PASSES = 4  # parts of the meeting points that are shuffled one after the other, since each row of theirs carries a SimHash
 LEAST_CHARS = 1  # bytes of a normalised line; only blank lines are left alone
 SIMILARITY = 0.9  # 1 - edits / characters of the longer line
 GRAM, PARITY_WORDS = 3, 16  # lines are compared by parity bits of their 3-character grams before their texts are,
@@ -132,17 +134,17 @@ def size_class(chars: np.ndarray, column: int, columns: int) -> np.ndarray:
     return np.floor(np.log(np.maximum(chars, 1)) / np.log(SIZE_BIN) + column / columns).astype(np.int64)
 
 
-def block_buckets(sketch: np.ndarray, chars: np.ndarray) -> np.ndarray:
-    """Buckets (lines x BLOCKS) of SimHashes: block, class of size, bits of the block."""
-    bits = np.unpackbits(np.ascontiguousarray(sketch).view(np.uint8), axis=1)[:, : BLOCKS * BITS]
-    values = bits.reshape(len(chars), BLOCKS, BITS) @ (1 << np.arange(BITS))
-    return np.stack([(1 << 48) + (k << 40) + (size_class(chars, k, BLOCKS) << 32) + values[:, k] for k in range(BLOCKS)], axis=1)
+def block_buckets(sketch: np.ndarray, chars: np.ndarray, blocks: Sequence[int] = range(BLOCKS)) -> np.ndarray:
+    """Buckets (lines x blocks) of SimHashes: block, class of size, bits of the block."""
+    bits = np.unpackbits(np.ascontiguousarray(sketch).view(np.uint8), axis=1)[:, : BLOCKS * BITS].reshape(len(chars), BLOCKS, BITS)
+    values = (bits[:, list(blocks)].astype(np.float32) @ (1 << np.arange(BITS)).astype(np.float32)).astype(np.int64)
+    return np.stack([(1 << 48) + (k << 40) + (size_class(chars, k, BLOCKS) << 32) + values[:, i] for i, k in enumerate(blocks)], axis=1)
 
 
-def gram_buckets(grams: np.ndarray, chars: np.ndarray) -> np.ndarray:
-    """Buckets (lines x COLUMNS) of least grams, -1 where there is none."""
-    columns = [(2 << 48) + (k << 40) + (size_class(chars, k, COLUMNS) << 32) + grams[:, k].astype(np.int64) for k in range(COLUMNS)]
-    return np.where(grams == 0, -1, np.stack(columns, axis=1))
+def gram_buckets(grams: np.ndarray, chars: np.ndarray, columns: Sequence[int] = range(COLUMNS)) -> np.ndarray:
+    """Buckets (lines x columns) of least grams, -1 where there is none."""
+    found = [(2 << 48) + (k << 40) + (size_class(chars, k, COLUMNS) << 32) + grams[:, k].astype(np.int64) for k in columns]
+    return np.where(grams[:, list(columns)] == 0, -1, np.stack(found, axis=1))
 
 
 def edit_distance(a: str, b: str) -> int:
@@ -309,60 +311,123 @@ def line_table(docs: DataFrame, least_chars: int) -> DataFrame:
 
 
 SKETCH = ("s0", "s1", "s2", "s3")
+MET = ("id", "size", *SKETCH)
 
 
-def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(bucket, id) of every line."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        chars, ids = batch.column("size").to_numpy(), batch.column("id").to_numpy()
-        other, long = batch.column("other").to_pylist(), chars >= FROM_CHARS
-        grams = np.frombuffer(b"".join([x[: 4 * COLUMNS] for x, some in zip(other, long.tolist()) if some]), "<u4").reshape(-1, COLUMNS)
-        own = [x[4 * COLUMNS * some :] for x, some in zip(other, long.tolist())]
-        short = np.frombuffer(b"".join(own), "<u4").astype(np.int64) + (3 << 48)
-        yield pa.RecordBatch.from_arrays([pa.array(short), pa.array(np.repeat(ids, [len(x) // 4 for x in own]))], ["bucket", "id"])
-        sketch = np.stack([batch.column(c).to_numpy() for c in SKETCH], axis=1)[long]
-        for part in (*block_buckets(sketch, chars[long]).T, *gram_buckets(grams, chars[long]).T):
-            yield pa.RecordBatch.from_arrays([pa.array(part[part >= 0]), pa.array(ids[long][part >= 0])], ["bucket", "id"])
+def _explode(part: int) -> Run:
+    """(bucket, id, size, SimHash) of every line and every meeting point of one of the PASSES."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+
+            def rows(bucket: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([pa.array(bucket), *(batch.column(c).take(pa.array(at)) for c in MET)], ["bucket", *MET])
+
+            chars = batch.column("size").to_numpy()
+            other, long = batch.column("other").to_pylist(), chars >= FROM_CHARS
+            grams = np.frombuffer(b"".join([x[: 4 * COLUMNS] for x, some in zip(other, long.tolist()) if some]), "<u4").reshape(-1, COLUMNS)
+            own = [x[4 * COLUMNS * some :] for x, some in zip(other, long.tolist())]
+            short = np.frombuffer(b"".join(own), "<u4").astype(np.int64)
+            at = np.repeat(np.arange(len(own)), [len(x) // 4 for x in own])
+            yield rows(short[short % PASSES == part] + (3 << 48), at[short % PASSES == part])
+            at, long_chars = np.flatnonzero(long), chars[long]
+            sketch = np.stack([batch.column(c).to_numpy() for c in SKETCH], axis=1)[long]
+            buckets = block_buckets(sketch, long_chars, range(part, BLOCKS, PASSES)), gram_buckets(grams, long_chars, range(part, COLUMNS, PASSES))
+            for column in (*buckets[0].T, *buckets[1].T):
+                yield rows(column[column >= 0], at[column >= 0])
+
+    return run
+
+
+def _nearness(similarity: float) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """For rows of (bucket, id, size, SimHash) and others: the bits that differ, -1 if ``_far_apart`` holds."""
+
+    def near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        least, most = np.minimum(x[:, 2], y[:, 2]), np.maximum(x[:, 2], y[:, 2])
+        d = np.bitwise_count((x[:, 3:] ^ y[:, 3:]).view(np.uint64)).sum(axis=1, dtype=np.int32)
+        return np.where((least < np.floor(most * similarity - 1e-9)) | ((most > SHORT_TO) & (d > RADIUS)), np.int32(-1), d)
+
+    return near
+
+
+def _near_pairs(rows: np.ndarray, first: np.ndarray, n: np.ndarray, near: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Near pairs (i, j, d) of rows of groups, which begin at ``first`` and have n rows. Of groups with more than SMALL / 2 of them a row there are none, but their rows that are near another come last."""
+    found, mates, count = [np.zeros((0, 4), np.int64)], np.zeros(len(rows), bool), np.zeros(len(n), np.int64)
+    open_ = np.arange(len(n))
+    for step in range(1, int(n.max(initial=1))):
+        open_ = open_[n[open_] > step]
+        runs = n[open_] - step
+        i, group = np.repeat(first[open_], runs) + _ranges(runs), np.repeat(open_, runs)
+        d = near(rows[i], rows[i + step])
+        i, group, d = i[d >= 0], group[d >= 0], d[d >= 0]
+        if not len(i):
+            continue
+        mates[i] = mates[i + step] = True
+        np.add.at(count, group, 1)
+        few = 2 * count[group] <= SMALL * n[group]
+        found.append(np.stack([i, i + step, d, group], axis=1)[few])
+        # a group with many pairs is done once each of its rows is near another
+        many = [g for g in np.unique(group[~few]).tolist() if mates[first[g] : first[g] + n[g]].all()]
+        open_ = open_[~np.isin(open_, many)] if many else open_
+    pairs, many = np.concatenate(found), 2 * count > SMALL * n
+    pairs = pairs[~many[pairs[:, 3]]]
+    at = np.repeat(first[many], n[many]) + _ranges(n[many])
+    return pairs[:, 0], pairs[:, 1], pairs[:, 2], at[mates[at]]
+
+
+def _meet(batches: Iterator[pa.RecordBatch], near: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> Iterator[pa.RecordBatch]:
+    """(bucket, a, b, large) from rows in the order of (bucket, id): all pairs of buckets with up to SMALL lines; of larger ones each line with the first, which stands with itself too. Lines alone go.
+
+    With ``near`` rows have the columns MET and results also d, -1 if the pair isn't near. Then buckets with up to MIDDLE lines give
+    their near pairs only; one that has many of them counts as large, with those of its lines that are near another.
+    """
+    rows, held, most = None, None, SMALL if near is None else MIDDLE  # ``held``: the first line of a large bucket that goes on
 
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(bucket, a, b, large) from rows in the order of (bucket, id): all pairs of buckets with up to SMALL lines; of larger ones each line with the first, which stands with itself too. Lines alone go."""
-    bucket, ids, held = np.zeros(0, np.int64), np.zeros(0, np.int64), (None, None)  # ``held``: a large bucket that goes on, its first line
-
-    def row(bucket: np.ndarray, a: np.ndarray, b: np.ndarray, large: bool) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(a), pa.array(b), pa.array(np.full(len(a), large))], ["bucket", "a", "b", "large"])
+    def out(a: np.ndarray, b: np.ndarray, large: bool, d: np.ndarray | None) -> pa.RecordBatch:
+        arrays = [pa.array(b[:, 0]), pa.array(a[:, 1]), pa.array(b[:, 1]), pa.array(np.full(len(a), large))]
+        arrays += [] if near is None else [pa.array((near(a, b) if d is None else d).astype(np.int32))]
+        return pa.RecordBatch.from_arrays(arrays, ["bucket", "a", "b", "large", "d"][: len(arrays)])
 
-    def give(bucket: np.ndarray, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def give(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
         nonlocal held
-        if not len(bucket):
+        if not len(rows):
             return
-        first = np.flatnonzero(np.diff(bucket, prepend=bucket[:1] - 1))
-        n, top = np.diff(np.append(first, len(bucket))), ids[first]
-        large = n > SMALL
-        if bucket[0] == held[0]:
-            large[0], top[0] = True, held[1]
-        held = (bucket[-1], top[-1]) if large[-1] else (None, None)
-        rows = np.repeat(large, n)
-        yield row(bucket[rows], np.repeat(top, n)[rows], ids[rows], True)
+        first = np.flatnonzero(np.diff(rows[:, 0], prepend=rows[:1, 0] - 1))
+        n, top = np.diff(np.append(first, len(rows))), rows[first]
+        large = n > most
+        if held is not None and rows[0, 0] == held[0]:
+            large[0], top[0] = True, held
+        held = top[-1] if large[-1] else None
+        own = np.repeat(large, n)
+        yield out(np.repeat(top, n, axis=0)[own], rows[own], True, None)
         first, n = first[~large & (n > 1)], n[~large & (n > 1)]
+        if near is not None:
+            i, j, d, dense = _near_pairs(rows, first, n, near)
+            yield out(rows[i], rows[j], False, d)
+            dense = rows[dense]
+            new = np.flatnonzero(np.diff(dense[:, 0], prepend=dense[:1, 0] - 1))
+            yield out(np.repeat(dense[new], np.diff(np.append(new, len(dense))), axis=0), dense, True, None)
+            return
         for step in range(1, SMALL):
             own = np.repeat(first, np.maximum(n - step, 0)) + _ranges(np.maximum(n - step, 0))
             if not len(own):
                 break
-            yield row(bucket[own], ids[own], ids[own + step], False)
+            yield out(rows[own], rows[own + step], False, None)
 
     for batch in batches:
-        bucket, ids = np.append(bucket, batch.column("bucket").to_numpy()), np.append(ids, batch.column("id").to_numpy())
-        if not len(bucket):
+        more = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in batch.schema.names], axis=1)
+        rows = more if rows is None else np.concatenate([rows, more])
+        if not len(rows):
             continue
         # the last bucket may go on in the next batch; of a large one nothing is kept back
-        cut = int(np.searchsorted(bucket, bucket[-1]))
-        cut = len(bucket) if len(bucket) - cut > SMALL or bucket[-1] == held[0] else cut
-        yield from give(bucket[:cut], ids[:cut])
-        bucket, ids = bucket[cut:], ids[cut:]
-    yield from give(bucket, ids)
+        cut = int(np.searchsorted(rows[:, 0], rows[-1, 0]))
+        cut = len(rows) if len(rows) - cut > most or held is not None and rows[-1, 0] == held[0] else cut
+        yield from give(rows[:cut])
+        rows = rows[cut:]
+    if rows is not None:
+        yield from give(rows)
 
 
 def _ranges(n: np.ndarray) -> np.ndarray:
@@ -392,8 +457,12 @@ def similar_lines(docs: DataFrame, distinct: DataFrame, similarity: float) -> Da
     # an edit or more is allowed only from this size on; shorter lines are linked if they are equal
     least = next((n - 1 for n in range(1, 1 << 20) if int((1 - similarity) * n + 1e-9)), 1 << 20)
     wide = distinct.where(f"size >= {least}").select("id", "size", "other", *SKETCH)
-    rows = wide.mapInArrow(freed(_explode), "bucket long, id long").repartition("bucket").sortWithinPartitions("bucket", "id")
-    met = stage(rows.mapInArrow(freed(_meet), "bucket long, a long, b long, large boolean"), "lines_met")
+    closeness, met = _nearness(similarity), None
+    for part in range(PASSES):
+        rows = wide.mapInArrow(freed(_explode(part)), "bucket long, id long, size int, s0 long, s1 long, s2 long, s3 long")
+        rows = rows.repartition("bucket").sortWithinPartitions("bucket", "id")
+        own = stage(rows.mapInArrow(freed(lambda batches: _meet(batches, closeness)), "bucket long, a long, b long, large boolean, d int"), "lines_met")
+        met = own if met is None else met.unionByName(own)
     other = lambda c: F.col(f"to_{c}")
     left = distinct.select(F.col("id").alias("a"), "size", *SKETCH)
     right = distinct.select(F.col("id").alias("b"), *(F.col(c).alias(f"to_{c}") for c in ("size", *SKETCH)))
@@ -401,7 +470,7 @@ def similar_lines(docs: DataFrame, distinct: DataFrame, similarity: float) -> Da
     def near(pairs: DataFrame) -> DataFrame:
         return pairs.join(left, "a").join(right, "b").where(~_far_apart(F.col, other, similarity)).select("a", "b", _differ(F.col, other).alias("d"))
 
-    pairs = stage(near(met.where("a <> b").select("a", "b").distinct()), "lines_near")
+    pairs = stage(met.where("a <> b and d >= 0").select("a", "b", "d").distinct(), "lines_near")
     members = stage(met.where("large").select("bucket", F.col("b").alias("id")), "lines_members")
     discard(met)
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

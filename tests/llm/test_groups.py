@@ -2,6 +2,8 @@
 
 import hashlib
 import random
+import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -510,6 +512,49 @@ def test_buckets_are_met_over_any_batches():
         assert sorted(got, key=str) == sorted(want, key=str)
 
 
+def test_lines_that_are_far_apart_meet_without_a_pair(monkeypatch):
+    monkeypatch.setattr(line_dedup, "MIDDLE", 60)
+    r = np.random.default_rng(27)
+    near = line_dedup._nearness(0.9)
+    rows = []
+    for bucket, (n, groups) in enumerate([(2, 2), (2, 1), (16, 16), (16, 1), (50, 50), (50, 25), (50, 1), (60, 3), (61, 61), (90, 2)]):
+        base = r.integers(-(2**63), 2**63, (groups, 4))
+        for i in range(n):
+            rows.append([bucket, len(rows), 300 + i % 20, *(base[i % groups] ^ (1 << r.integers(0, 60, 4)))])
+    rows = np.array(rows)
+    for _ in range(10):
+        cuts = np.sort(r.integers(0, len(rows) + 1, 4))
+        batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in x.T], ["bucket", *line_dedup.MET]) for x in np.split(rows, cuts)]
+        got = [tuple(x.values()) for b in line_dedup._meet(iter(batches), near) for x in b.to_pylist()]
+        pairs, members = {(k, a, b): d for k, a, b, _, d in got if a != b and d >= 0}, {(k, b) for k, _, b, large, _ in got if large}
+        for k in range(10):
+            own = rows[rows[:, 0] == k]
+            i, j = np.triu_indices(len(own), 1)
+            d = near(own[i], own[j])
+            want = {(k, a, b): v for a, b, v in zip(own[i, 1].tolist(), own[j, 1].tolist(), d.tolist()) if v >= 0}
+            found, held = {p: v for p, v in pairs.items() if p[0] == k}, {b for x, b in members if x == k}
+            if len(own) > 60:  # all of them stay, each tried against the first
+                assert held == set(own[:, 1].tolist()) and len(found) < len(own)
+            elif 2 * len(want) > line_dedup.SMALL * len(own):  # many copies of one line: each tried against one
+                assert held == {x for p in want for x in p[1:]} and len(found) < len(own)
+            else:
+                assert found == want and not held
+            assert found.items() <= want.items()
+    assert len(got) < 800  # of 4,000 pairs
+
+
+def test_staged_tables_leave_no_shuffle_files(spark):
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: set(re.findall(r"shuffle_\d+_\d+_\d+\.data", disk.getAllFiles().mkString(" ")))
+    before = files()
+    assert common.stage(spark.range(1000).repartition("id"), "few").count() == 1000
+    for _ in range(100):  # they go in the background
+        if files() <= before:
+            return
+        time.sleep(0.1)
+    assert files() <= before
+
+
 def test_many_near_copies_of_one_line_and_common_beginnings(spark):
     r = random.Random(23)
     base = " ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(20))
