@@ -20,6 +20,7 @@ GRAM_BYTES, COLUMNS = 12, 12  # lines also meet by the least gram of each of so
 GRAM_PLACES = 4  # if it stands in the same part of them; edges of parts differ by class
 SAMPLED = 96  # grams of a line, about, from which the least ones are taken: those with the least hashes
 RADIUS = 84  # of BLOCKS * BITS bits that similar lines differ in at most, but for 1 % of long ones with a tenth replaced; unrelated ones differ in 120, 0.1 % in less
+BLOCK_RADIUS = 64  # the same for lines that meet by a block: only edits in a few places change more bits, and they leave most grams to meet by
 FROM_CHARS = 27  # characters from which lines have a SimHash and grams; lines up to SHORT_TO are met by intact segments, whatever the edits
 SHORT_TO = 29
 SIZE_BIN = 1.3  # lines meet if they are of one class of size; its edges differ by block and column
@@ -342,12 +343,16 @@ def _explode(part: int) -> Run:
 
 
 def _nearness(similarity: float) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
-    """For rows of (bucket, id, size, SimHash) and others: the bits that differ, -1 if ``_far_apart`` holds."""
+    """For rows of (bucket, id, size, SimHash) and others of their buckets: the bits that differ, -1 if ``_far_apart`` holds.
+
+    Lines that meet by a block must differ in BLOCK_RADIUS bits at most; beyond it most meet by chance, the more often the more lines there are.
+    """
 
     def near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         least, most = np.minimum(x[:, 2], y[:, 2]), np.maximum(x[:, 2], y[:, 2])
         d = np.bitwise_count((x[:, 3:] ^ y[:, 3:]).view(np.uint64)).sum(axis=1, dtype=np.int32)
-        return np.where((least < np.floor(most * similarity - 1e-9)) | ((most > SHORT_TO) & (d > RADIUS)), np.int32(-1), d)
+        radius = np.where(x[:, 0] >> 48 == 1, BLOCK_RADIUS, RADIUS)
+        return np.where((least < np.floor(most * similarity - 1e-9)) | ((most > SHORT_TO) & (d > radius)), np.int32(-1), d)
 
     return near
 
@@ -558,8 +563,8 @@ def dedup_lines(docs: DataFrame, least_chars: int = LEAST_CHARS, similarity: flo
 
     Lines are linked if they are equal when normalised, or meet in a bucket and are similar in edits. Lines of up to SHORT_TO
     characters meet whenever they are similar. Longer ones meet if their SimHashes (see ``feature_matrix``) agree in a
-    block, which all do that differ in fewer bits than there are blocks in a partition, or in their first or last
-    part, which all do whose edits are in one place. Of each connected group the first line stays:
+    block, which all do that differ in fewer bits than there are blocks in a partition, or in one of their least grams,
+    as nearly all do whose edits are in one place; only the latter may differ in more than BLOCK_RADIUS bits. Of each connected group the first line stays:
     the one with the least doc_id (null comes last), hash of the text and number. Lines whose normalised
     form is empty, or has fewer than ``least_chars`` bytes, stay. Rows that agree in doc_id and text are one document and
     get equal results. A null text stays null with 0 lines.

@@ -543,6 +543,51 @@ def test_lines_that_are_far_apart_meet_without_a_pair(monkeypatch):
     assert len(got) < 800  # of 4,000 pairs
 
 
+def test_lines_that_meet_in_a_block_by_chance_give_no_pairs():
+    near = line_dedup._nearness(0.9)
+    bits = [0, 12, line_dedup.BLOCK_RADIUS, line_dedup.BLOCK_RADIUS + 1, line_dedup.RADIUS, line_dedup.RADIUS + 1]
+    for kind, found in ((1, 3), (2, 5)):
+        x = np.array([[(kind << 48) + 5, i, 200, 0, 0, 0, 0] for i in range(len(bits))])
+        y = np.array([[(kind << 48) + 5, 10 + i, 205, *(-1 if n >= 64 * (k + 1) else (1 << max(0, n - 64 * k)) - 1 for k in range(4))] for i, n in enumerate(bits)])
+        assert near(x, y).tolist() == bits[:found] + [-1] * (len(bits) - found)
+
+
+def test_lines_with_a_part_replaced_meet_near_enough():
+    r = random.Random(29)
+    for n in (12, 30, 80):
+        lines = [x.encode() for _ in range(150) for x in nearly_equal(r, n, lambda x: x[:9] + "".join(r.choice("etaoinshrdlu ") for _ in range(len(x) // 11)) + x[9 + len(x) // 11 :])]
+        bits, other, chars = line_dedup.sketches(lines)
+        grams = line_dedup.gram_buckets(np.frombuffer(b"".join(x[: 4 * line_dedup.COLUMNS] for x in other), "<u4").reshape(-1, line_dedup.COLUMNS), chars)
+        d = np.bitwise_count(bits[::2] ^ bits[1::2]).sum(axis=1)
+        blocks = line_dedup.block_buckets(bits, chars)
+        by_gram, by_block = ((grams[::2] == grams[1::2]) & (grams[::2] >= 0)).any(axis=1), (blocks[::2] == blocks[1::2]).any(axis=1)
+        assert (by_gram & (d <= line_dedup.RADIUS) | by_block & (d <= line_dedup.BLOCK_RADIUS)).mean() >= 0.99
+
+
+def generated(plan):
+    """Rows that Generate nodes of an executed plan made."""
+    if plan.nodeName() == "AdaptiveSparkPlan":
+        return generated(plan.executedPlan())
+    if plan.nodeName().endswith("QueryStage"):
+        return generated(plan.plan())
+    own = plan.metrics().apply("numOutputRows").value() if plan.nodeName() == "Generate" else 0
+    return own + sum(generated(plan.children().apply(i)) for i in range(plan.children().size()))
+
+
+def test_members_of_the_largest_group_are_met_without_copies(spark):
+    """Each pair between groups once; of a bucket with one large group only the few other members are given to classes of size."""
+    r = random.Random(28)
+    rows = [(b, 1000 * b + i, 1000 * b if i < big else 1000 * b + i - i % 2, n, r.randint(80, 130)) for b, big, n in ((1, 290, 300), (2, 0, 40), (3, 20, 41)) for i in range(n)]
+    members = spark.createDataFrame([x[:4] for x in rows], "bucket long, id long, root long, n long")
+    sizes = spark.createDataFrame([(x[1], x[4], int(0.9 * x[4]), int(x[4] / 0.9) + 1) for x in rows], "id long, size int, low int, reach int")
+    pairs = common._pairs_between_groups(members, lambda named: named.join(sizes, "id").drop("root"), None, "t")
+    got = [tuple(sorted(x)) for x in pairs.collect()]
+    fits = lambda x, y: int(0.9 * x) <= y <= int(x / 0.9) + 1 and int(0.9 * y) <= x <= int(y / 0.9) + 1
+    want = [(x[1], y[1]) for i, x in enumerate(rows) for y in rows[i + 1 :] if x[0] == y[0] and x[2] != y[2] and fits(x[4], y[4])]
+    assert sorted(got) == sorted(want) and len(want) > 1000
+    assert 0 < generated(pairs._jdf.queryExecution().executedPlan()) < 2 * 8 * (10 + 40 + 21)
+
+
 def test_staged_tables_leave_no_shuffle_files(spark):
     disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
     files = lambda: set(re.findall(r"shuffle_\d+_\d+_\d+\.data", disk.getAllFiles().mkString(" ")))
