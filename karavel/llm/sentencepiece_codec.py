@@ -17,7 +17,7 @@ from karavel.llm.common import chunks, freed, mix, same_document, stage, with_co
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK_CHARS = 16_384  # texts with more characters are cut into chunks of so many
 BLOCK_CHUNKS = 128  # transfer matrices that one row of the scan's first level combines
-MEMORY = 20_000_000  # bytes of segments that a worker remembers, about, in two generations
+MEMORY = 32_000_000  # bytes of segments that a worker remembers, about, in two generations
 AT_ONCE = 16  # chunks that a worker holds the ids of
 IDS_AT_ONCE = 1 << 18  # ids that are decoded in one piece, but for a text with more
 SHORT, SEGMENTS_AT_ONCE = 64, 4096  # segments of up to so many characters are cut so many at a time
@@ -246,19 +246,14 @@ class Segmenter:
         """See to it that the ids of all these segments are known. What was used since the last change of generation, or before it, is remembered."""
         if self.held > MEMORY // 2:
             self.older, self.known, self.held = self.known, {}, 0
-        missing, new = set(segments).difference(self.known), []
-        for s in missing:
-            found = self.older.get(s)
-            if found is None and len(s) > SHORT:
-                found = np.array(self.path(s, 0, len(s))[1], np.int32).tobytes()
-            if found is None:
-                new.append(s)
-            else:
-                self.known[s] = found
+        missing = set(segments).difference(self.known)
+        self.known.update((s, self.older[s]) for s in missing & self.older.keys())
+        self.known.update((s, np.array(self.path(s, 0, len(s))[1], np.int32).tobytes()) for s in missing if len(s) > SHORT and s not in self.known)
+        new = list(missing.difference(self.known))
         for at in range(0, len(new), SEGMENTS_AT_ONCE):
             some = new[at : at + SEGMENTS_AT_ONCE]
             self.known.update(zip(some, self.short_paths(some)))
-        self.held += sum(200 + 2 * len(s) + len(self.known[s]) for s in missing)
+        self.held += 200 * len(missing) + 2 * sum(map(len, missing)) + sum(map(len, map(self.known.__getitem__, missing)))
 
     def forget(self) -> None:
         """Workers live on through other stages, which need their memory."""
@@ -284,8 +279,14 @@ class Segmenter:
 
     def sure_cuts(self, s: str, length: int) -> tuple[int, int] | None:
         """First and last place inside a chunk that no piece crosses and that lies beyond any piece from before."""
-        cuts = [m.start() for m in SEGMENT.finditer(s, 0, length) if m.start() >= self.v.longest and s[m.start() - 1] != SPACE]
-        return (cuts[0], cuts[-1]) if cuts else None
+        # a segment begins where spaces do; runs of spaces are passed over
+        first = s.find(SPACE, self.v.longest, length)
+        while first > 0 and s[first - 1] == SPACE:
+            first = s.find(SPACE, first + 1, length)
+        last = s.rfind(SPACE, max(first, 0), length)
+        while last > first and s[last - 1] == SPACE:
+            last = s.rfind(SPACE, first, last)
+        return (first, last) if first >= 0 else None
 
     def fans(self, s: str, start: int, end: int, entries: int) -> np.ndarray:
         """Best scores from each of ``entries`` places after ``start`` to ``end`` and up to longest-1 beyond it."""

@@ -161,6 +161,16 @@ def test_short_segments_cut_at_once_as_one_by_one(vocabulary, monkeypatch):
     assert s.encode("ab, ab") == pieces.Segmenter(vocabulary).encode("ab, ab")
 
 
+def test_sure_cuts_are_found_without_cutting_the_chunk(vocabulary, monkeypatch):
+    r, segmenter = random.Random(31), pieces.Segmenter(vocabulary)
+    k = vocabulary.longest
+    cases = ["".join(pieces.SPACE if r.random() < share else "a" for _ in range(r.randint(0, 60))) for share in (0.02, 0.3, 0.9) for _ in range(400)]
+    want = [[m.start() for m in pieces.SEGMENT.finditer(s, 0, n) if m.start() >= k and s[m.start() - 1] != pieces.SPACE] for s in cases for n in (len(s), len(s) // 2)]
+    monkeypatch.setattr(pieces, "SEGMENT", None)
+    got = [segmenter.sure_cuts(s, n) for s in cases for n in (len(s), len(s) // 2)]
+    assert got == [(x[0], x[-1]) if x else None for x in want] and any(x and len(x) > 1 for x in want)
+
+
 def test_chunks_joined_by_matrices_score_as_the_whole():
     v, r = tiny(), random.Random(4)
     s = pieces.Segmenter(v)
